@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm import common
-from corpusflow.llm.unit_encoder import UnitEncoder
+from corpusflow.llm.unit_encoder import encoder
 
 #: Parts into which the pieces of one length are dealt, as a third of all may have the same.
 SALTS = 64
@@ -184,10 +184,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
     """Encode each text, end it with end_id, and cut what is longer than capacity; a shorter piece comes first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = UnitEncoder(tokenizer, keeps_space)
+        known = encoder(tokenizer, keeps_space)
         for batch in batches:
             for part in common.slices(batch, "text"):
-                ids, n = encoder.encode(common.text_list(part))
+                ids, n = known.encode(common.text_list(part))
                 size = n + 1
                 ends = np.cumsum(size)
                 flat = np.full(int(ends[-1]), end_id, "<u4")

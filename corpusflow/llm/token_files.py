@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusflow.llm import common
-from corpusflow.llm.unit_encoder import UnitEncoder, vocabulary_size
+from corpusflow.llm.unit_encoder import encoder, vocabulary_size
 
 #: The index file's first bytes, and its codes for the width of ids.
 MAGIC = b"CFTOKIDX"
@@ -45,7 +45,7 @@ class Shard:
 def _writer(out: str, path: str, keeps_space: bool, end_id: int, width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = common.filesystem(out)
-        encoder = UnitEncoder(path, keeps_space)
+        known = encoder(path, keeps_space)
         name = f"part-{uuid.uuid4().hex}"
         docs: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
@@ -55,7 +55,7 @@ def _writer(out: str, path: str, keeps_space: bool, end_id: int, width: int):
                 for part in common.slices(batch, "text"):
                     if sink is None:
                         sink = fs.open_output_stream(f"{folder}/{name}.ids")
-                    ids, n = encoder.encode(common.text_list(part))
+                    ids, n = known.encode(common.text_list(part))
                     out_ids = np.full(len(ids) + len(n), end_id, np.uint32)
                     keep = np.ones(len(out_ids), bool)
                     keep[np.cumsum(n + 1) - 1] = False

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -107,3 +108,9 @@ class UnitEncoder:
         take = np.repeat(self.begin[at] - (ends - size), size) + np.arange(total)
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])]
         return self.flat[take], np.diff(bounds)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, keeps_space: bool) -> UnitEncoder:
+    """This process's encoder: tasks that run in the same Python worker share what it has met."""
+    return UnitEncoder(path, keeps_space)

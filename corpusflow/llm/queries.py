@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.llm import bin_packing, common, token_files
+from corpusflow.llm import bin_packing, bpe_cuts, common, pii_offsets, rule_cascade, token_files
 
 END_ID = 2
 CAPACITY = 1024
@@ -19,6 +19,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bin_packing.pack(common.materialize(parts, "op4-pieces"), CAPACITY)
 
 
+def op5_pii_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, disguised or not."""
+    return pii_offsets.spans(common.table(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the ids of all documents to flat files, and read them back."""
     out = common.workspace(spark, "op6-ids")
@@ -26,11 +31,24 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, out, shards)
 
 
+def op7_bpe_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode all documents."""
+    return bpe_cuts.digests(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules over all documents."""
+    return rule_cascade.cascade(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op4_best_fit_packing,
+        op5_pii_offsets,
         op6_token_files,
+        op7_bpe_cuts,
+        op8_rule_cascade,
     )
 }
 

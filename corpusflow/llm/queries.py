@@ -5,14 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusflow.llm import bin_packing, bpe_cuts, common, pii_offsets, rule_cascade, token_files
+from corpusflow.llm import bin_packing, bpe_cuts, common, language_codes, pii_offsets, quality_subword, rule_cascade, token_files
 
 END_ID = 2
 CAPACITY = 1024
 
 
+def fold(n: int) -> Column:
+    """crc32 of the doc_id as text, mod n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op2_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents; those of fold 2 of 4 are never learnt from."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_codes.predict(docs, language_codes.learn(docs, fold(4) != 2))
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of at most 1024 tokens."""
     parts = bin_packing.pieces(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), CAPACITY, END_ID)
@@ -41,14 +54,23 @@ def op8_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_cascade.cascade(common.table(spark, sf_dir, "documents"))
 
 
+def op9_quality_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of all documents; those of fold 1 of 3 are never learnt from."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_subword.learn(docs, common.table(spark, sf_dir, "labels"), fold(3) != 1)
+    return quality_subword.score(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_language_codes,
         op4_best_fit_packing,
         op5_pii_offsets,
         op6_token_files,
         op7_bpe_cuts,
         op8_rule_cascade,
+        op9_quality_subword,
     )
 }
 

@@ -8,6 +8,7 @@ library new ones only.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -18,12 +19,20 @@ import numpy as np
 #: The code points with the Unicode property White_Space.
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Units that one worker remembers before it starts afresh.
-MAX_UNITS = 1_000_000
+MAX_UNITS = 1_500_000
 
 _UNIT = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space to Python, not to Unicode
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def vocabulary_size(path: str) -> int:
     """The vocabulary's size, added tokens included."""
     return _tokenizer(path).get_vocab_size(with_added_tokens=True)
@@ -57,6 +66,9 @@ class UnitEncoder:
     def __init__(self, path: str, keeps_space: bool):
         self.tok = _tokenizer(path)
         self.keeps_space = keeps_space
+        spec = json.loads(self.tok.to_str())
+        self.lowers = "Lowercase" in str(spec["normalizer"])
+        self.marks = tuple({t["content"][:2] for t in spec["added_tokens"]})  # special tokens are found before lower-casing
         self._reset()
 
     def _reset(self) -> None:
@@ -69,6 +81,8 @@ class UnitEncoder:
     def units(self, text: str) -> list:
         """Where space is kept, a bare string stands for itself after a space, and a 1-tuple for itself."""
         odd = any(x in text for x in _SEPARATORS)
+        if self.lowers and not any(m in text for m in self.marks) and (text.isascii() or _latin(text)):
+            text = text.lower()  # as the tokenizer will; here NFC has nothing to compose, and no special token can arise
         if self.keeps_space:
             if text and not odd and sum(map(text.count, WHITE_SPACE)) == len(text.split()) - 1:
                 first, *rest = text.split(" ")  # single white space everywhere: what follows a space is a unit with it

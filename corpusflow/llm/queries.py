@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import bin_packing, bpe_cuts, common, language_codes, pii_offsets, quality_subword, rule_cascade, token_files
+from corpusflow.llm import ann_codes, bin_packing, bpe_cuts, common, language_codes, pii_offsets, quality_subword, rule_cascade, token_files, warc_zstd
 
 END_ID = 2
 CAPACITY = 1024
@@ -19,6 +19,11 @@ def fold(n: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
+def op1_ann_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every row whose id is divisible by 20, among all rows."""
+    return ann_codes.neighbours(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op2_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents; those of fold 2 of 4 are never learnt from."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -26,6 +31,12 @@ def op2_language_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op3_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive all pages, and read the archives back."""
+    out = common.workspace(spark, "op3-warc")
+    return warc_zstd.read(spark, out, warc_zstd.write(common.table(spark, sf_dir, "pages"), out))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of at most 1024 tokens."""
     parts = bin_packing.pieces(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), CAPACITY, END_ID)
@@ -64,7 +75,9 @@ def op9_quality_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_ann_codes,
         op2_language_codes,
+        op3_warc_zstd,
         op4_best_fit_packing,
         op5_pii_offsets,
         op6_token_files,

@@ -19,6 +19,7 @@ empty table makes no rows.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -104,34 +105,36 @@ def fillings(counts: np.ndarray, gap: int, width: int, most_waste: int) -> list[
         sums.append(reach)
     found: list[tuple[tuple[int, int], ...]] = []
 
-    def fill(i: int, rest: int) -> Iterator[tuple[tuple[int, int], ...]]:
-        if rest == 0:
-            yield ()
-            return
-        while i and lengths[i - 1] > rest:
+    def fill(top: int, rest: int) -> tuple[tuple[int, int], ...]:
+        """The filling of exactly rest, which sums[top] can make, with the largest pieces first; none larger than the top-th."""
+        content = []
+        i = top
+        while rest:
+            i = min(i, bisect_right(lengths, rest))
+            while not (m := next((m for m in range(min(int(counts[lengths[i - 1]]), rest // lengths[i - 1]), 0, -1) if sums[i - 1] >> (rest - m * lengths[i - 1]) & 1), 0)):
+                i -= 1
+            content.append((lengths[i - 1], m))
+            rest -= m * lengths[i - 1]
             i -= 1
-        if i == 0:
-            return
-        x = lengths[i - 1]
-        for m in range(min(int(counts[x]), rest // x), -1, -1):
-            if sums[i - 1] >> (rest - m * x) & 1:
-                for more in fill(i - 1, rest - m * x):
-                    yield ((x, m), *more) if m else more
+        return tuple(content)
 
     for waste in range(min(most_waste, gap) + 1):
-        if sums[-1] >> (gap - waste) & 1:
-            for content in fill(len(lengths), gap - waste):
-                flat = tuple(x for x, m in content for _ in range(m))
-                if len(flat) > 8 or not any(_dominates(tuple(x for x, m in old for _ in range(m)), flat) for old in found if sum(m for _, m in old) <= 4):
-                    found.append(content)
-                if len(found) == width:
-                    return found
-                if waste and found:
-                    break  # of fillings that waste, the one with the largest pieces
+        rest = gap - waste
+        top = bisect_right(lengths, rest)
+        while sums[top] >> rest & 1:
+            content = fill(top, rest)
+            flat = tuple(x for x, m in content for _ in range(m))
+            if not any(len(old) <= 4 and len(flat) <= 8 and _dominates(old, flat) for old in (tuple(x for x, m in c for _ in range(m)) for c in found)):
+                found.append(content)
+            if len(found) == width or waste or not content:
+                break
+            top = bisect_right(lengths, content[0][0] - 1)  # the next one has a smaller largest piece
+        if len(found) == width or (waste and found):
+            break
     return found
 
 
-def pack_histogram(counts: np.ndarray, capacity: int, node_limit: int = 3000, width: int = 3) -> list[Group]:
+def pack_histogram(counts: np.ndarray, capacity: int, node_limit: int = 6000, width: int = 3) -> list[Group]:
     """Groups of equal bins that hold every piece; counts[i]: how many pieces of length i."""
     counts = np.asarray(counts, np.int64).copy()
     best = best_fit_decreasing(counts, capacity)
@@ -206,7 +209,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
     return common.texts_only(docs, id_col, text_col).mapInArrow(run, PIECES)
 
 
-def pack(parts: DataFrame, capacity: int = 1024, node_limit: int = 3000) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = 1024, node_limit: int = 6000) -> DataFrame:
     """Add sequence_id and offset to rows with a length of 1 to capacity.
 
     parts must be stable (a table), as its rows are counted first and placed afterwards. Its

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from corpusflow.llm import common
-from corpusflow.llm.unit_encoder import WHITE_SPACE
+from corpusflow.llm.unit_encoder import WHITE_SPACE, byte_symbols
 
 #: Units and fragments that one worker remembers before it starts afresh.
 MAX_UNITS = 400_000
@@ -39,13 +39,6 @@ _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 _UNIT = re.compile(f"[^{WHITE_SPACE}]+")
 
 
-def byte_symbols() -> list[str]:
-    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes for 256 and up."""
-    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
-
-
 class ForcedBoundaryBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:

@@ -61,6 +61,12 @@ def texts_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """The rows with the smallest hashed ids, about ``rows`` at most; ids are picked before anything wide is read."""
+    picked = df.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(rows)
+    return df.join(F.broadcast(picked), id_col, "left_semi")  # broadcast: at most ``rows`` numbers
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Cut an Arrow batch into slices of bounded rows and bytes."""
     n = batch.num_rows

@@ -21,7 +21,6 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from corpusflow.llm import common
 
@@ -172,8 +171,8 @@ def verdicts(texts: Texts, rules: tuple[Rule, ...]) -> np.ndarray:
 
 
 def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[bytes]:
-    """At most ``rows`` texts, those with the smallest hashed ids."""
-    return [(r.text or "").encode() for r in common.texts_only(docs).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()]
+    """The texts of about ``rows`` documents at most, those with the smallest hashed ids."""
+    return [(r.text or "").encode() for r in common.sample(common.texts_only(docs), "doc_id", rows).collect()]
 
 
 def cascade(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:

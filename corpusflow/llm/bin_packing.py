@@ -12,7 +12,8 @@ branch ends when the space it has wasted exceeds what a better packing may waste
 first incumbent is best-fit decreasing. The search ends at the lower bound or after
 ``node_limit`` nodes, with the best packing so far; no piece is ever left out.
 
-Null and empty texts make one piece, the end id. Repeated rows are packed one by one. An
+Null and empty texts make one piece, the end id. Repeated rows are packed one by one; rows
+without an id are left out. An
 empty table makes no rows.
 """
 
@@ -206,7 +207,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
                 crc = [zlib.crc32(view[a:b]) for a, b in zip(((begin[doc] + start) * 4).tolist(), ((begin[doc] + end) * 4).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([common.ids_of(part).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(end - start), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return common.texts_only(docs, id_col, text_col).mapInArrow(run, PIECES)
+    return common.texts_only(docs, id_col, text_col, named=True).mapInArrow(run, PIECES)
 
 
 def pack(parts: DataFrame, capacity: int = 1024, node_limit: int = 6000) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pyarrow.fs as pafs
@@ -56,9 +57,10 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def texts_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Just the id and the text (null: empty), whatever other columns there are."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def texts_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", named: bool = False) -> DataFrame:
+    """Just the id and the text (null: empty), whatever other columns there are. named: rows without an id are left out."""
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return out.where("doc_id IS NOT NULL") if named else out
 
 
 def sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
@@ -108,3 +110,27 @@ def bytes_list(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 def ids_of(batch: pa.RecordBatch, column: str = "doc_id") -> pa.Array:
     return batch.column(batch.schema.get_field_index(column))
+
+
+def keep_rows(docs: DataFrame, keeps: Callable[[list[bytes]], np.ndarray], text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, for whose texts keeps is true."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                yield part.filter(pa.array(keeps(bytes_list(part, text_col)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def change_texts(docs: DataFrame, change: Callable[[str], str], text_col: str = "text") -> DataFrame:
+    """All rows with all their columns, the texts changed; null stays null."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                at = part.schema.get_field_index(text_col)
+                new = pa.array([None if t is None else change(t) for t in part.column(at).to_pylist()], part.schema.field(at).type)
+                yield part.set_column(at, part.schema.field(at), new)
+
+    return docs.mapInArrow(run, docs.schema)

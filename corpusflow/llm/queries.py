@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import ann_codes, bin_packing, bpe_cuts, common, language_codes, pii_offsets, quality_subword, rule_cascade, token_files, warc_zstd
+from corpusflow.llm import ann_codes, bin_packing, bpe_cuts, common, language_codes, pii_offsets, quality_subword, rule_cascade, shingle_join, token_files, warc_zstd
 
 END_ID = 2
 CAPACITY = 1024
@@ -72,6 +72,11 @@ def op9_quality_subword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_subword.score(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components of all documents that link by 5-word shingles at a Jaccard similarity of 0.75."""
+    return shingle_join.linked_components(common.table(spark, sf_dir, "documents"), 5, 75)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_bpe_cuts,
         op8_rule_cascade,
         op9_quality_subword,
+        op10_shingle_join,
     )
 }
 

@@ -6,7 +6,7 @@ the doc ids and the n+1 offsets of the documents in the first. A partition's bas
 number of ids before it, is a prefix sum over the manifest. Readers map the files to memory.
 
 Null and empty texts are documents that hold the end id alone. Repeated doc ids stay
-separate documents side by side. An empty table makes no files and reads back as no rows.
+separate documents side by side; rows without an id are left out. An empty table makes no files and reads back as no rows.
 Every attempt of a task writes files under names of its own, and only the manifest, made
 from the attempts that succeeded, says which ones count, so a lost executor does no harm.
 """
@@ -83,7 +83,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, keeps_spac
     width = 2 if max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16 else 4
     fs, folder = common.filesystem(out)
     fs.create_dir(folder, recursive=True)
-    ordered = common.texts_only(docs, id_col, text_col).repartitionByRange(common.shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = common.texts_only(docs, id_col, text_col, named=True).repartitionByRange(common.shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     manifest = ordered.mapInArrow(_writer(out, tokenizer, keeps_space, end_id, width), MANIFEST).collect()
     shards, base = [], 0
     for row in sorted(manifest, key=lambda r: r.first_doc):

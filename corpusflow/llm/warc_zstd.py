@@ -122,6 +122,7 @@ def refer(pages: DataFrame) -> DataFrame:
 def write(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z", sample_records: int = SAMPLE_RECORDS) -> list[tuple[str, int]]:
     """Archive all pages; the manifest, (name, records) of each archive, comes back."""
     plain = pages.select(F.col(id_col).cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]", " ").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    plain = plain.where("page_id IS NOT NULL")
     sample = common.sample(plain, "page_id", sample_records).collect()
     words = train([r["html"].encode() for r in sorted(sample, key=lambda r: (r["page_id"], r["html"]))])
     fs, folder = common.filesystem(out)

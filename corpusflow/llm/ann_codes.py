@@ -12,7 +12,7 @@ The index is a table of blocks; every vector is in it. Queries are blocked too,
 pair of blocks is one unit of work with bounded memory. A pair returns at most k rows a
 query, and the best k of all pairs are kept.
 
-Vectors that are null, zero, of another length than most, or that hold null or non-finite
+Vectors without an id, or that are null, zero, of another length than most, or that hold null or non-finite
 components take no part. Ties go to the smaller id; a query's own row is no candidate (all
 rows of that id). A query without candidates has no rows.
 """
@@ -120,7 +120,7 @@ def _blocks(rows: DataFrame, size: int, frame: Frame | None) -> DataFrame:
 
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row where is_query holds its k nearest by inner product."""
-    rows = vectors.where(usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"), is_query.alias("q"))
+    rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"), is_query.alias("q"))
     dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not dims:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -132,21 +132,36 @@ def learn(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) ->
     return fit(x, y, languages)
 
 
+def decide(raw: list[bytes], model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Per text its language, that language's share, and whether it is ambiguous."""
+    known = np.array([model is not None and has_letter(b) for b in raw], bool)
+    lang, score, unsure = ["und"] * len(raw), np.zeros(len(raw)), np.zeros(len(raw), bool)
+    if known.any():
+        at = np.flatnonzero(known)
+        p = model.shares(features([raw[i] for i in at]))
+        two = np.sort(p, axis=1)[:, -2:]
+        score[at] = two[:, -1]
+        unsure[at] = two[:, -1] - two[:, 0] < AMBIGUOUS if p.shape[1] > 1 else False
+        for i, k in zip(at.tolist(), p.argmax(1).tolist(), strict=True):
+            lang[i] = model.languages[k]
+    return lang, score, unsure
+
+
+def keep(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows, with all their columns, whose text has a language; those are left out that are ``und``, or ambiguous among more than two languages."""
+
+    def keeps(raw: list[bytes]) -> np.ndarray:
+        lang, score, unsure = decide(raw, model)
+        return np.array([k != "und" for k in lang], bool) & ~(unsure & (score < 0.4))
+
+    return common.keep_rows(docs, keeps)
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, lang_pred, score (the share of the predicted language), ambiguous."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        raw = common.bytes_list(part)
-        known = np.array([model is not None and has_letter(b) for b in raw], bool)
-        lang, score, unsure = ["und"] * len(raw), np.zeros(len(raw)), np.zeros(len(raw), bool)
-        if known.any():
-            at = np.flatnonzero(known)
-            p = model.shares(features([raw[i] for i in at]))
-            two = np.sort(p, axis=1)[:, -2:]
-            score[at] = two[:, -1]
-            unsure[at] = two[:, -1] - two[:, 0] < AMBIGUOUS if p.shape[1] > 1 else False
-            for i, k in zip(at.tolist(), p.argmax(1).tolist(), strict=True):
-                lang[i] = model.languages[k]
+        lang, score, unsure = decide(common.bytes_list(part), model)
         return pa.RecordBatch.from_arrays([common.ids_of(part), pa.array(lang), pa.array(score), pa.array(unsure)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
     return common.map_slices(common.texts_only(docs), run, "doc_id long, lang_pred string, score double, ambiguous boolean")

@@ -201,3 +201,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return pa.RecordBatch.from_arrays([common.ids_of(part), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return common.map_slices(common.texts_only(docs), run, "doc_id long, score double, predicted int")
+
+
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of class 1, with all their columns."""
+    return common.keep_rows(docs, lambda raw: _scorer(model).scores(raw) >= 0.5)

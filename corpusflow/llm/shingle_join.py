@@ -34,7 +34,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm import common
@@ -345,3 +345,19 @@ def _rest_asks(prefixes: DataFrame, hot: DataFrame, sets: DataFrame, connected:
     side = F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1)
     members = with_all.select("gram", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "rep", "label", side.alias("side"))
     return _grouped_search(members, sets, ["gram", "i", "j"], percent)
+
+
+def keep(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One document of each component, with all its columns: that with the smallest doc_id; rows without an id stay.
+
+    Of repeated rows of an id one stays, the first by its text.
+    """
+    found = common.materialize(linked_components(docs, n, percent).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "shingles-found")
+    goes = found.where("doc_id != component_id").select("doc_id")
+    kept = docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
+    if found.where("rows > 1").limit(1).count():
+        again = found.where("rows > 1").select("doc_id")
+        order = Window.partitionBy("doc_id").orderBy(F.coalesce("text", F.lit("")))
+        once = kept.join(again, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
+        kept = kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    return kept

@@ -6,7 +6,7 @@ else, and each record is a frame of its own, so it can be read without those bef
 
 Records with equal payloads are stored once: the one with the largest id is a response,
 the others are revisits that refer to it. Payloads of null pages are empty, and equal as
-others are. Repeated page ids are archived row by row; of equal ones none is a revisit of
+others are; pages without an id are left out. Repeated page ids are archived row by row; of equal ones none is a revisit of
 itself. An empty table makes no archive.
 
 Each attempt of a task writes an archive under a name of its own; the manifest of the

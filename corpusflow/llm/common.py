@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -37,11 +38,29 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{root if '://' in root or root.startswith('file:') else 'file://' + root}/corpusflow/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared workspace and read back: cuts lineage and survives lost executors."""
-    path = workspace(df.sparkSession, name)
+def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Write once to the shared workspace and read back: cuts lineage and survives lost executors.
+
+    free: let Spark's cleaner delete shuffle files that nothing refers to any more; worth it after large shuffles.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = workspace(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if free:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+#: Rows and bytes up to which a side may be broadcast.
+SMALL_ROWS, SMALL_BYTES = 500_000, 32 << 20
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if its rows are few and so are the bytes of the table under it; else Spark shuffles both sides."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= SMALL_BYTES and df.count() <= SMALL_ROWS else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -8,7 +8,7 @@ reach from it. It is exact (n-grams are compared by 64-bit hashes):
    128-bit digest. All n-grams are counted where they meet, in packed blocks of 8 bytes an
    n-gram: a link needs so many shared n-grams that a document most of whose n-grams occur
    nowhere else has none. What remains are the likely copies.
-2. Those are shingled again. In an order that puts n-grams of many documents last, two
+2. Those are shingled again. In the order of how many sets hold an n-gram, rarest first, two
    linked sets share one of their first n - ceil(p * n) + 1 n-grams (prefix filter).
    Documents that share one, directly or by way of others, make a block.
 3. Within a block, each document asks an inverted index for those that occur in at least T
@@ -46,8 +46,6 @@ PERCENT = 75
 FLUSH = 2_000_000
 #: Documents and n-grams of a block that one task searches; of what is more, the chunks.
 BLOCK_DOCS, BLOCK_GRAMS = 400, 600_000
-#: N-grams in at least so many documents come last in the order; so many of them at most are told apart.
-FREQUENT, MOST_FREQUENT = 48, 400_000
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -74,8 +72,7 @@ def shingle_sets(raw: list[bytes], n: int = WORDS) -> list[np.ndarray]:
         if count >= n:
             out.append(np.unique(grams[end - count : end - n + 1]))
         elif count:
-            short = (flat[end - count : end] * _C[:count]).sum(dtype=np.uint64) + np.uint64(count) * _C[7]
-            out.append(_mix(np.array([short], np.uint64)))
+            out.append(_mix((flat[end - count : end] * _C[:count]).sum(dtype=np.uint64, keepdims=True) + np.array([count], np.uint64) * _C[7]))
         else:
             out.append(np.empty(0, np.uint64))
     return out
@@ -136,13 +133,13 @@ def _spread(docs: DataFrame, n: int, parts: int) -> DataFrame:
     return docs.mapInArrow(run, _RAW)
 
 
-_COUNTED = "kind int, doc_id long, n int, sig binary, shared int, code long"
+_COUNTED = "kind int, doc_id long, n int, sig binary, part int, shared int, holders binary"
 
 
 def _count(spread: DataFrame, parts: int) -> DataFrame:
-    """kind 0: as before. kind 1: how many of a document's n-grams in this part are in other sets too. kind 2: the code of a frequent n-gram and in how many sets it is."""
+    """kind 0: as before. kind 1: of a document's n-grams in a part, in ascending order, in how many sets each is (a byte, 255: or more), if any is in two; and how many are."""
     names = [f.split()[0] for f in _COUNTED.split(", ")]
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64()]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
     def rows(many: int, **col) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(col[k], t) if k in col else pa.nulls(many, t) for k, t in zip(names, types, strict=True)], names)
@@ -164,18 +161,19 @@ def _count(spread: DataFrame, parts: int) -> DataFrame:
             ranked = key[order]
             start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
             count = np.diff(np.concatenate([start, [len(ranked)]]))
-            often = start[count >= FREQUENT]
-            if len(often):
-                yield rows(len(often), kind=np.full(len(often), 2, np.int32), shared=count[count >= FREQUENT].astype(np.int32), code=(ranked[often] | np.uint64(part << 40)).astype(np.int64))
-            shared = np.empty(len(key), bool)
-            shared[order] = np.repeat(count > 1, count)
+            holders = np.empty(len(key), np.uint8)
+            holders[order] = np.repeat(np.minimum(count, 255), count)
             at = 0
             for docs, body in group:
-                mine = np.bincount((body & np.uint64((1 << 24) - 1)).astype(np.int64)[shared[at : at + len(body)]], minlength=len(docs))
+                mine, held = (body & np.uint64((1 << 24) - 1)).astype(np.int64), holders[at : at + len(body)]
                 at += len(body)
-                have = np.flatnonzero(mine)
+                shared = np.bincount(mine[held > 1], minlength=len(docs))
+                have = np.flatnonzero(shared)
                 if len(have):
-                    yield rows(len(have), kind=np.ones(len(have), np.int32), doc_id=docs[have], shared=mine[have].astype(np.int32))
+                    stop = np.cumsum(np.bincount(mine, minlength=len(docs)))
+                    start_of = np.concatenate([[0], stop[:-1]])
+                    packed = held[np.argsort(mine, kind="stable")].tobytes()
+                    yield rows(len(have), kind=np.ones(len(have), np.int32), doc_id=docs[have], part=np.full(len(have), part, np.int32), shared=shared[have].astype(np.int32), holders=[packed[x:y] for x, y in zip(start_of[have].tolist(), stop[have].tolist(), strict=True)])
 
     return spread.repartitionById(parts, "part").mapInArrow(run, _COUNTED)
 
@@ -261,23 +259,28 @@ def _grouped_search(members: DataFrame, sets: DataFrame, keys: list[str], percen
     return full.groupBy(*keys).applyInArrow(_search_group(percent), _LINKS)
 
 
-def _copies(docs: DataFrame, reps: DataFrame, frequent: np.ndarray, n: int, parts: int, percent: int) -> DataFrame:
-    """rep, n, grams, prefix of the sets that may have links."""
-    names = ["doc_id", "sig", "n", "grams", "prefix"]
+def _copies(docs: DataFrame, reps: DataFrame, n: int, parts: int, percent: int) -> DataFrame:
+    """rep, n, grams, prefix of the sets that may have links; reps: rep, sig, held (how many sets hold its n-grams, by part)."""
+    names = ["rep", "sig", "n", "grams", "prefix"]
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(common.bytes_list(part), n)
         prefix = []
-        for s in sets:
-            code = (s & _KEY) | _part_of(s, parts) << np.uint64(40)
-            at = np.minimum(np.searchsorted(frequent, code), max(0, len(frequent) - 1))
-            late = frequent[at] == code if len(frequent) else np.zeros(len(s), bool)
-            first = np.argsort(late, kind="stable")[: len(s) - least_overlap(len(s), percent) + 1]
-            prefix.append(s[first].view(np.int64))
+        for s, held in zip(sets, part.column("held").to_pylist(), strict=True):
+            of = _part_of(s, parts).astype(np.int64)
+            order = np.argsort(of, kind="stable")
+            first = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=parts))])
+            holders = np.ones(len(s), np.uint8)
+            for h in held:
+                at = order[first[h["part"]] : first[h["part"] + 1]]
+                if len(at) == len(h["holders"]):  # else it is another text of that id
+                    holders[at] = np.frombuffer(h["holders"], np.uint8)
+            rare = np.argsort(holders, kind="stable")[: len(s) - least_overlap(len(s), percent) + 1]
+            prefix.append(s[rare].view(np.int64))
         return pa.RecordBatch.from_arrays([common.ids_of(part), pa.array([signature(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names)
 
-    texts = docs.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    made = common.map_slices(texts, run, "doc_id long, sig binary, n int, grams binary, prefix array<long>").withColumnRenamed("doc_id", "rep")
+    wanted = reps.select(F.col("rep").alias("doc_id"), "held")
+    made = common.map_slices(docs.join(common.broadcast_if_small(wanted), "doc_id").select("doc_id", "text", "held"), run, "rep long, sig binary, n int, grams binary, prefix array<long>")
     return made.join(reps.select("rep", "sig"), ["rep", "sig"], "left_semi").dropDuplicates(["rep", "sig"]).drop("sig")
 
 
@@ -286,15 +289,15 @@ def linked_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, i
     spark = docs.sparkSession
     texts = common.texts_only(docs, id_col, text_col, named=True)
     parts = common.shuffle_partitions(spark)
-    counted = common.materialize(_count(_spread(texts, n, parts), parts), "shingles-counted")
+    counted = common.materialize(_count(_spread(texts, n, parts), parts), "shingles-counted", free=True)
     own = counted.where("kind = 0").select("doc_id", "n", "sig")
-    shared = counted.where("kind = 1").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
-    able = own.join(shared, "doc_id").where((F.col("n") > 0) & (F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("n"))).select("sig").distinct()
+    shared = counted.where("kind = 1").select("doc_id", "part", "shared", "holders")
+    able = own.where("n > 0").join(shared.groupBy("doc_id").agg(F.sum("shared").alias("shared")), "doc_id").where(F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("n"))
+    able = able.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+    held = shared.join(able, "doc_id").groupBy("doc_id", "sig").agg(F.collect_list(F.struct("part", "holders")).alias("held")).select("sig", "held")
     reps = own.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    reps = common.materialize(reps.join(able.withColumn("able", F.lit(True)), "sig", "left").withColumn("able", F.coalesce("able", F.lit(False))), "shingles-reps")
-    often = counted.where("kind = 2").select("code", "shared").orderBy(F.desc("shared"), "code").limit(MOST_FREQUENT).toArrow()
-    frequent = np.sort(often["code"].to_numpy().astype(np.uint64))
-    sets = common.materialize(_copies(texts, reps.where("able"), frequent, n, parts, percent), "shingles-sets")
+    reps = common.materialize(reps.join(held, "sig", "left"), "shingles-reps")
+    sets = common.materialize(_copies(texts, reps.where("held IS NOT NULL"), n, parts, percent), "shingles-sets", free=True)
 
     prefixes = sets.select("rep", "n", F.explode("prefix").alias("gram"))
     meeting = prefixes.groupBy("gram").agg(F.min("rep").alias("first"), F.count("*").alias("met")).where("met > 1")

@@ -14,9 +14,9 @@ reach from it. It is exact (n-grams are compared by 64-bit hashes):
 3. Within a block, each document asks an inverted index for those that occur in at least T
    of its lists: short lists are heap-merged, long ones binary-probed. Pairs that found
    links already connect are not asked for again.
-4. Blocks too large for one task go a longer way: first the smallest document of each
-   shared n-gram asks for its neighbours, in chunks; then the n-grams whose documents these
-   links have not all connected are searched chunk against chunk.
+4. Blocks too large for one task go a longer way: some documents of each, picked by hash,
+   ask all others, chunk by chunk, which connects most of what is alike; then each document
+   that isn't connected with most of its block asks all others, chunk against chunk.
 
 No candidate is dropped anywhere. Null and empty texts have no n-grams and link with
 nothing. Texts of fewer words than n have one, all their words. Repeated rows come back
@@ -34,7 +34,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm import common
@@ -46,6 +46,8 @@ PERCENT = 75
 FLUSH = 2_000_000
 #: Documents and n-grams of a block that one task searches; of what is more, the chunks.
 BLOCK_DOCS, BLOCK_GRAMS = 400, 600_000
+#: Documents of a large block that ask all others in a round, and rounds. Neither changes what is found, only how soon.
+ASKING, ROUNDS = 128, 2
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -183,29 +185,42 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def divide_skip(lists: list[np.ndarray], t: int) -> Iterator[tuple[int, int]]:
-    """(member, occurrences) of all that occur in at least t of the ascending lists.
+#: From so many postings on, short lists are merged as the runs of a merge sort, in C, instead of by a heap.
+HEAP_POSTINGS = 200
+
+
+def merge_short(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The different members of ascending lists, ascending, and in how many lists each is."""
+    if sum(map(len, lists)) <= HEAP_POSTINGS:
+        merged = np.fromiter(heapq.merge(*[x.tolist() for x in lists]), np.int64)
+    else:
+        merged = np.sort(np.concatenate(lists), kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]])) if len(merged) else np.empty(0, np.int64)
+    return merged[start], np.diff(np.concatenate([start, [len(merged)]]))
+
+
+def divide_skip(lists: list[np.ndarray], t: int) -> tuple[np.ndarray, np.ndarray]:
+    """The members that occur in at least t of the ascending lists, and their numbers of occurrences.
 
     The longest lists are set aside, fewer than t; a member must occur in at least t minus their number
-    of the short ones, which a heap merges, and is looked up in the long ones by binary search.
+    of the short ones, which are merged, and is looked up in the long ones by binary search, as long as it can still reach t.
     """
     lists = sorted((x for x in lists if len(x)), key=len)
     if len(lists) < t:
-        return
-    longest = len(lists[-1])
-    aside = min(t - 1, int(t / (0.01 * np.log2(longest + 1) + 1))) if longest > 1 else t - 1
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    aside = min(t - 1, int(t / (0.01 * np.log2(len(lists[-1]) + 1) + 1)))
     short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
-    for member, run in groupby(heapq.merge(*[x.tolist() for x in short])):
-        count = sum(1 for _ in run)
-        if count < t - aside:
-            continue
-        for i, x in enumerate(long):
-            if count + len(long) - i < t:
-                break
-            at = bisect_left(x, member)
-            count += at < len(x) and x[at] == member
-        if count >= t:
-            yield member, count
+    member, count = merge_short(short)
+    member, count = member[count >= t - aside], count[count >= t - aside]
+    for i, x in enumerate(long):
+        alive = count + (len(long) - i) >= t
+        if not alive.all():
+            member, count = member[alive], count[alive]
+        if not len(member):
+            break
+        at = np.minimum(np.searchsorted(x, member), len(x) - 1)
+        count = count + (x[at] == member)
+    return member[count >= t], count[count >= t]
 
 
 def search(sets: list[np.ndarray], label: list[int], queries: range, index: range, percent: int) -> list[tuple[int, int]]:
@@ -229,8 +244,9 @@ def search(sets: list[np.ndarray], label: list[int], queries: range, index: rang
         at = at[at < len(key)] if at.size and at[-1] == len(key) else at
         at = at[key[at] == sets[q][: len(at)]]
         lists = [x for a, b in zip(start[at].tolist(), stop[at].tolist(), strict=True) if len(x := owner[a:b][others[owner[a:b]]])]
-        for x, common_grams in divide_skip(lists, least_overlap(int(size[q]), percent)):
-            if 100 * common_grams >= percent * (size[q] + size[x] - common_grams) and root[x] != root[q]:
+        member, both = divide_skip(lists, least_overlap(int(size[q]), percent))
+        for x in member[100 * both >= percent * (size[q] + size[member] - both)].tolist():
+            if root[x] != root[q]:
                 found.append((q, x))
                 root[root == root[x]] = root[q]
     return found
@@ -243,7 +259,7 @@ def _search_group(percent: int):
     """A group's rows: rep, label, side (0: asks, 1: is asked, 2: both), grams."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("side", "ascending"), ("rep", "ascending")])
+        group = group.sort_by([("side", "ascending"), ("rep", "ascending")])  # an asking document may stand among the asked ones too
         rep, side = group["rep"].to_pylist(), group["side"].to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in group["grams"].to_pylist()]
         asks = side.count(0)
@@ -291,10 +307,9 @@ def linked_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, i
     parts = common.shuffle_partitions(spark)
     counted = common.materialize(_count(_spread(texts, n, parts), parts), "shingles-counted", free=True)
     own = counted.where("kind = 0").select("doc_id", "n", "sig")
-    shared = counted.where("kind = 1").select("doc_id", "part", "shared", "holders")
-    able = own.where("n > 0").join(shared.groupBy("doc_id").agg(F.sum("shared").alias("shared")), "doc_id").where(F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("n"))
-    able = able.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    held = shared.join(able, "doc_id").groupBy("doc_id", "sig").agg(F.collect_list(F.struct("part", "holders")).alias("held")).select("sig", "held")
+    shared = counted.where("kind = 1").groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.collect_list(F.struct("part", "holders")).alias("held"))
+    able = own.where("n > 0").join(shared, "doc_id").where(F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("n"))
+    held = able.groupBy("sig").agg(F.min_by("held", "doc_id").alias("held"))
     reps = own.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     reps = common.materialize(reps.join(held, "sig", "left"), "shingles-reps")
     sets = common.materialize(_copies(texts, reps.where("held IS NOT NULL"), n, parts, percent), "shingles-sets", free=True)
@@ -314,40 +329,57 @@ def linked_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, i
     links = common.materialize(_grouped_search(small, sets, ["block"], percent), "shingles-links")
 
     if blocks.where("large").limit(1).count():
-        hot = blocks.where("large").select("rep", "n")
-        first_links = common.materialize(_first_asks(meets, hot, sets, percent), "shingles-first")
-        more = _rest_asks(prefixes, hot, sets, components(first_links), percent)
-        links = links.union(first_links).union(common.materialize(more, "shingles-rest"))
+        hot = blocks.where("large").select("block", "rep", "n")
+        label = hot.select("rep", F.col("rep").alias("label"))
+        for number in range(ROUNDS):
+            links = common.materialize(links.union(_some_ask(hot, label, sets, number, percent)), "shingles-some")
+            label = _labels(hot, links)
+        links = common.materialize(links.union(_rest_asks(hot, label, sets, percent)), "shingles-rest")
 
     reached = components(links).select(F.col("a").alias("rep"), F.col("b").alias("component_id"))
     root = reps.join(reached, "rep", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id"))
     return own.join(root, "sig", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _first_asks(meets: DataFrame, hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """In large blocks: the first document of each shared n-gram against the others, in chunks."""
-    asked = meets.join(hot, "rep").select("first", "rep", "n")
-    load = asked.groupBy("first").agg(F.count("*").alias("docs"), F.sum("n").alias("grams"))
-    chunks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
-    load = load.select("first", chunks.alias("chunks"))
-    index = asked.join(load, "first").select("first", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "rep", F.col("rep").alias("label"), F.lit(1).alias("side"))
-    query = load.select("first", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("first").alias("rep"), F.col("first").alias("label"), F.lit(0).alias("side"))
-    return _grouped_search(index.union(query), sets, ["first", "chunk"], percent)
-
-
-def _rest_asks(prefixes: DataFrame, hot: DataFrame, sets: DataFrame, connected: DataFrame, percent: int) -> DataFrame:
-    """In large blocks: the documents of each n-gram that are not all connected yet, chunk against chunk; n-grams with the same documents count once."""
-    label = hot.join(connected.select(F.col("a").alias("rep"), "b"), "rep", "left").select("rep", F.coalesce("b", "rep").alias("label"))
-    rows = prefixes.join(label, "rep").select("gram", "rep", "n", "label")
-    group = rows.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("docs"), F.sum("n").alias("grams"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("y"))
-    once = group.where("low != high").groupBy("docs", "x", "y").agg(F.min("gram").alias("gram"), F.max("grams").alias("grams"))
-    chunks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
-    once = once.select("gram", chunks.alias("chunks"))
-    held = rows.join(once, "gram").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    with_all = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    side = F.when(F.col("chunk") == F.col("other"), 2).when(F.col("chunk") < F.col("other"), 0).otherwise(1)
-    members = with_all.select("gram", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "rep", "label", side.alias("side"))
-    return _grouped_search(members, sets, ["gram", "i", "j"], percent)
+def _labels(hot: DataFrame, links: DataFrame) -> DataFrame:
+    found = components(links).select(F.col("a").alias("rep"), F.col("b").alias("label"))
+    return common.materialize(hot.join(found, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")), "shingles-labels")
+
+
+def _chunks() -> Column:
+    """Of docs and grams: into how many chunks they go."""
+    return F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+
+
+def _some_ask(hot: DataFrame, label: DataFrame, sets: DataFrame, number: int, percent: int) -> DataFrame:
+    """In large blocks: some documents ask those that aren't connected with most of the block yet, in chunks."""
+    rows = hot.join(label, "rep")
+    each = rows.groupBy("block", "label").agg(F.count("*").alias("docs"))
+    most = each.groupBy("block").agg(F.max_by("label", F.struct("docs", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    rows = common.materialize(rows.join(most, "block"), "shingles-open")
+    place = F.row_number().over(Window.partitionBy("block").orderBy(F.xxhash64("rep", F.lit(number)), "rep"))
+    asks = rows.select("block", "rep", "label", place.alias("place")).where(F.col("place") <= ASKING)
+    index = rows.where("label != main") if number else rows
+    load = index.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("grams")).select("block", _chunks().alias("chunks"))
+    index = index.join(load, "block").select("block", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "rep", "label", F.lit(1).alias("side"))
+    query = asks.join(load, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "rep", "label", F.lit(0).alias("side"))
+    return _grouped_search(index.union(query), sets, ["block", "chunk"], percent)
+
+
+def _rest_asks(hot: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """In large blocks: every document that isn't connected with most of its block asks all that it isn't connected with, chunk against chunk."""
+    rows = hot.join(label, "rep")
+    each = rows.groupBy("block", "label").agg(F.count("*").alias("docs"))
+    most = each.groupBy("block").agg(F.max_by("label", F.struct("docs", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
+    rows = common.materialize(rows.join(most, "block"), "shingles-open")
+    chunk = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    all_load = rows.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("grams")).select("block", _chunks().alias("x_chunks"))
+    few = rows.where("label != main")
+    few_load = few.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("grams")).select("block", _chunks().alias("q_chunks"))
+    load = all_load.join(few_load, "block")
+    index = rows.join(load, "block").select("block", chunk("x_chunks").alias("j"), F.explode(F.sequence(F.lit(0), F.col("q_chunks") - 1)).alias("i"), "rep", "label", F.lit(1).alias("side"))
+    query = few.join(load, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("x_chunks") - 1)).alias("j"), chunk("q_chunks").alias("i"), "rep", "label", F.lit(0).alias("side"))
+    return _grouped_search(index.unionByName(query), sets, ["block", "i", "j"], percent)
 
 
 def keep(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -296,7 +296,8 @@ def _copies(docs: DataFrame, reps: DataFrame, n: int, parts: int, percent: int)
         return pa.RecordBatch.from_arrays([common.ids_of(part), pa.array([signature(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names)
 
     wanted = reps.select(F.col("rep").alias("doc_id"), "held")
-    made = common.map_slices(docs.join(common.broadcast_if_small(wanted), "doc_id").select("doc_id", "text", "held"), run, "rep long, sig binary, n int, grams binary, prefix array<long>")
+    texts = docs.join(common.broadcast_if_small(wanted.select("doc_id")), "doc_id", "left_semi").join(wanted, "doc_id")
+    made = common.map_slices(texts.select("doc_id", "text", "held"), run, "rep long, sig binary, n int, grams binary, prefix array<long>")
     return made.join(reps.select("rep", "sig"), ["rep", "sig"], "left_semi").dropDuplicates(["rep", "sig"]).drop("sig")
 
 
@@ -304,7 +305,7 @@ def linked_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, i
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
     texts = common.texts_only(docs, id_col, text_col, named=True)
-    parts = common.shuffle_partitions(spark)
+    parts = max(8, common.shuffle_partitions(spark) // 2)  # a part holds some tens of megabytes where a shuffle partition is sized for ten of text
     counted = common.materialize(_count(_spread(texts, n, parts), parts), "shingles-counted", free=True)
     own = counted.where("kind = 0").select("doc_id", "n", "sig")
     shared = counted.where("kind = 1").groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.collect_list(F.struct("part", "holders")).alias("held"))

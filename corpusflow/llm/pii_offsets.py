@@ -40,8 +40,8 @@ LEAST_DIGIT_WORDS = 4
 
 # Look-alikes of Latin letters, first Cyrillic and then Greek; odd dashes, spaces, signs; what is not seen.
 LOOK_ALIKES = dict(zip("АВЕКМНОРСТУХаеорсухіјѕԁԛԝ", "ABEKMHOPCTYXaeopcyxijsdqw", strict=True)) | dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαικνορυχ", "ABEZHIKMNOPTYXaiknopux", strict=True))
-SIGNS = dict.fromkeys("‐‑‒–—−﹣－", "-") | dict.fromkeys("\xa0   　", " ") | {"＠": "@", "﹫": "@", "．": ".", "。": ".", "․": ".", "＋": "+", "﹢": "+", "（": "(", "）": ")", "＿": "_", "％": "%"}
-UNSEEN = dict.fromkeys("­​‌‍⁠﻿", "")
+SIGNS = dict.fromkeys("‐‑‒–—−﹣－", "-") | dict.fromkeys("\xa0     　", " ") | {"＠": "@", "﹫": "@", "．": ".", "。": ".", "․": ".", "＋": "+", "﹢": "+", "（": "(", "）": ")", "＿": "_", "％": "%"}
+UNSEEN = dict.fromkeys("\xad​‌‍⁠﻿", "")
 
 
 def _glyphs() -> dict[str, str]:
@@ -146,6 +146,8 @@ class Rewrite:
                 start += [self.start[a]] * len(put)
                 end += [self.end[b - 1]] * len(put)
                 new += b"\1" * len(put)
+            elif b > a and new:
+                new[-1] = 1  # what is taken away marks the character before
             at = b
         self.text, self.start, self.end, self.new = "".join(text), start, end, new
 

@@ -29,7 +29,7 @@ from corpusflow.llm import common
 BITS = 12
 BUCKETS = 1 << BITS
 #: Labelled rows of a language to learn from, about at most.
-PER_LANGUAGE = 1000
+PER_LANGUAGE = 500
 #: A text is ambiguous if the two best languages' shares differ by less.
 AMBIGUOUS = 0.2
 
@@ -126,9 +126,12 @@ def learn(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) ->
         x = features(common.bytes_list(part)).astype(np.float16)
         return pa.RecordBatch.from_arrays([common.ids_of(part), part.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
 
-    got = common.map_slices(picked, run, "doc_id long, lang string, x binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
+    got = row = common.map_slices(picked, run, "doc_id long, lang string, x binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    x = np.empty((got.num_rows, BUCKETS), np.float32)
+    for i, row in enumerate(got["x"]):
+        x[i] = np.frombuffer(row.as_buffer(), np.float16)
     y = np.array([languages.index(v) for v in got["lang"].to_pylist()], np.int64)
+    del got, row
     return fit(x, y, languages)
 
 

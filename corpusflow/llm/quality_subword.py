@@ -33,7 +33,7 @@ BUCKETS = 1 << BITS
 #: The bucket of two equal words side by side.
 SAME = 0
 #: Labelled rows to learn from, at most.
-SAMPLE_ROWS = 5000
+SAMPLE_ROWS = 3000
 #: Words that one worker remembers before it starts afresh.
 MAX_WORDS = 400_000
 
@@ -167,7 +167,7 @@ def fit(raw: list[bytes], y: np.ndarray, dim: int = 8, epochs: int = 6, rate: fl
     steps, total = 0, epochs * len(bags)
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
-            which, share = bags[i]
+            which, share = bags[i][0], bags[i][1].astype(np.float32)
             step = rate * (1 - steps / total)
             steps += 1
             mean = share @ vectors[which]
@@ -190,7 +190,9 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int =
     if rows.num_rows == 0:
         return Model(np.zeros(BUCKETS), 0.0)
     rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return fit([t.encode() for t in rows["text"].to_pylist()], rows["quality"].to_numpy().astype(np.int64))
+    raw, y = [t.encode() for t in rows["text"].to_pylist()], rows["quality"].to_numpy().astype(np.int64)
+    del rows
+    return fit(raw, y)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -308,9 +308,11 @@ def linked_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, i
     parts = max(8, common.shuffle_partitions(spark) // 2)  # a part holds some tens of megabytes where a shuffle partition is sized for ten of text
     counted = common.materialize(_count(_spread(texts, n, parts), parts), "shingles-counted", free=True)
     own = counted.where("kind = 0").select("doc_id", "n", "sig")
-    shared = counted.where("kind = 1").groupBy("doc_id").agg(F.sum("shared").alias("shared"), F.collect_list(F.struct("part", "holders")).alias("held"))
-    able = own.where("n > 0").join(shared, "doc_id").where(F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("n"))
-    held = able.groupBy("sig").agg(F.min_by("held", "doc_id").alias("held"))
+    shared = counted.where("kind = 1").select("doc_id", "part", "shared", "holders")
+    able = own.where("n > 0").join(shared.groupBy("doc_id").agg(F.sum("shared").alias("shared")), "doc_id").where(F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("n"))
+    able = common.materialize(able.groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "shingles-able")
+    held = shared.join(common.broadcast_if_small(able.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("part", "holders")).alias("held"))
+    held = held.join(able, "doc_id").select("sig", "held")
     reps = own.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     reps = common.materialize(reps.join(held, "sig", "left"), "shingles-reps")
     sets = common.materialize(_copies(texts, reps.where("held IS NOT NULL"), n, parts, percent), "shingles-sets", free=True)

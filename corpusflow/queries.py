@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions import text as T
 from corpusflow.functions import vectors as V
 from corpusflow.functions.words import CONCEPT_STOPWORDS, PHRASE_STOPWORDS, QUERY_STOPWORDS
-from corpusflow.operators import chunks, evaluate, fusion, graph, lexical, mining, semantic, state, transcript, verify
+from corpusflow.operators import chunks, evaluate, fusion, graph, lexical, mining, semantic, state, transcript, verify, wiki
 from corpusflow.plans import retrieve
 from corpusflow.sources import files
 
@@ -720,3 +720,75 @@ def published_pages(spark, sf_dir):
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS norm FROM embeddings")
 def vector_norms(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"))
+
+
+# Pages and admin
+
+
+@query("""WITH k AS (SELECT 'src-' || lower(c_mktsegment) || '-' || c_custkey AS id, 'source' AS kind, 0 AS rank FROM customer UNION ALL SELECT 'src-machinery-' || s_suppkey || 'x', 'concept', 1 FROM supplier),
+ w AS (SELECT DISTINCT 'src-' || lower(c_mktsegment) || '-' || (c_custkey % 90) AS input FROM customer UNION SELECT 'q-none'),
+ p AS (SELECT input, kind, rank, count(*) AS n, min(id) AS id, max((id = input)::INT) AS exact, max(CASE WHEN id = input THEN id END) AS same FROM w JOIN k ON starts_with(k.id, w.input) GROUP BY ALL),
+ f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY input ORDER BY rank) = 1)
+ SELECT w.input, kind, CASE WHEN exact = 1 OR n = 1 THEN coalesce(same, id) END AS id, CASE WHEN f.input IS NULL THEN 'missing' WHEN exact = 1 OR n = 1 THEN 'found' ELSE 'ambiguous' END AS status FROM w LEFT JOIN f USING (input)""")
+def id_resolution(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    name = lambda n: F.concat(F.lit("src-"), F.lower("c_mktsegment"), F.lit("-"), n)
+    known = c.select(name(F.col("c_custkey")).alias("id"), F.lit("source").alias("kind"), F.lit(0).alias("rank"))
+    known = known.union(table(spark, sf_dir, "supplier").select(F.concat(F.lit("src-machinery-"), "s_suppkey", F.lit("x")), F.lit("concept"), F.lit(1)))
+    wanted = c.select(name(F.col("c_custkey") % 90).alias("input")).union(spark.createDataFrame([("q-none",)], "input string")).distinct()
+    return wiki.resolve_ids(wanted, known)
+
+
+@query("""WITH c AS (SELECT p_brand || '/' || p_type AS concept_id, p_brand AS canonical_id, list(DISTINCT p_name) AS a, list(DISTINCT p_size) AS s FROM part GROUP BY ALL)
+ SELECT canonical_id AS concept_id, CAST(len(list_distinct(flatten(list(a)))) AS INTEGER) AS aliases, CAST(len(list_distinct(flatten(list(s)))) AS INTEGER) AS sources, CAST(count(*) AS INTEGER) AS members FROM c GROUP BY canonical_id""")
+def concept_merge(spark, sf_dir):
+    c = table(spark, sf_dir, "part").groupBy(F.concat_ws("/", "p_brand", "p_type").alias("concept_id"), "p_brand").agg(F.collect_set("p_name").alias("aliases"), F.collect_set("p_size").alias("source_ids"))
+    merged = wiki.merge_concepts(c.drop("p_brand"), c.select("concept_id", F.col("p_brand").alias("canonical_id")))
+    return merged.select("concept_id", F.size("aliases").alias("aliases"), F.size("source_ids").alias("sources"), "members")
+
+
+@query("SELECT event_id AS job_id, event_type AS status FROM events WHERE event_type IN ('click', 'purchase') ORDER BY ts DESC, event_id LIMIT 20 OFFSET 40")
+def jobs_list(spark, sf_dir):
+    runs = table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.col("event_type").alias("status"), F.col("ts").alias("started"))
+    return wiki.jobs(runs, ["click", "purchase"], 3, 20).select("job_id", "status")
+
+
+@query("SELECT event_id AS job_id FROM events WHERE event_type NOT IN ('running', 'queued') AND ts < TIMESTAMP '2024-01-10'")
+def jobs_prune(spark, sf_dir):
+    runs = table(spark, sf_dir, "events").select(F.col("event_id").alias("job_id"), F.col("event_type").alias("status"), F.col("ts").alias("started"))
+    return wiki.jobs_to_prune(runs, F.lit("2024-01-10").cast("timestamp_ntz"))
+
+
+@query("SELECT 'conv-' || conv_id AS session_id, count(*) AS turns, max(turn) AS last FROM conversations GROUP BY conv_id")
+def session_list(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.concat(F.lit("conv-"), "conv_id").alias("session_id"), "turn", F.col("turn").alias("at"))
+    return wiki.sessions(c)
+
+
+@query("""WITH cited AS (SELECT DISTINCT o_custkey AS concept_id, o_orderpriority AS anchor FROM orders), anchors AS (SELECT DISTINCT o_orderpriority AS anchor, o_orderkey AS doc_id FROM orders WHERE o_totalprice > 400000),
+ allowed AS (SELECT DISTINCT o_custkey AS concept_id, o_orderkey AS doc_id FROM orders WHERE o_orderstatus = 'P'), homes AS (SELECT o_orderkey AS doc_id, 'page-' || o_custkey AS page_id FROM orders)
+ SELECT DISTINCT concept_id, page_id FROM (SELECT c.concept_id, a.doc_id FROM cited c JOIN anchors a USING (anchor) WHERE c.concept_id NOT IN (SELECT concept_id FROM allowed) UNION SELECT * FROM allowed) JOIN homes USING (doc_id)""")
+def anchor_backlinks(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    concept, doc, anchor = F.col("o_custkey").alias("concept_id"), F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("anchor")
+    return wiki.anchor_backlinks(o.select(concept, anchor).distinct(), o.where("o_totalprice > 400000").select(anchor, doc).distinct(), o.select(doc, F.concat(F.lit("page-"), "o_custkey").alias("page_id")), o.where("o_orderstatus = 'P'").select(concept, doc).distinct())
+
+
+@query("SELECT source_id, stable_location FROM (SELECT c_custkey AS source_id, CASE WHEN c_custkey % 4 = 0 THEN 'https://x.org/' || c_custkey ELSE 'docs/' || c_custkey END AS stable_location FROM customer) WHERE NOT starts_with(stable_location, 'https') AND stable_location NOT IN (SELECT 'docs/' || o_custkey FROM orders)")
+def origins_missing(spark, sf_dir):
+    key = F.col("c_custkey")
+    sources = table(spark, sf_dir, "customer").select(key.alias("source_id"), F.when(key % 4 == 0, F.concat(F.lit("https://x.org/"), key)).otherwise(F.concat(F.lit("docs/"), key)).alias("stable_location"))
+    return wiki.missing_origins(sources, table(spark, sf_dir, "orders").select(F.concat(F.lit("docs/"), "o_custkey").alias("path")).distinct())
+
+
+@query(None)
+def wiki_lint(spark, sf_dir):
+    """The lint rules over pages made of the driver's: each links to pages of the same names and cites a source."""
+    p = _pages(spark, sf_dir)
+    number = F.col("item_id").cast("int")
+    front = F.concat(F.lit("---\nname: "), "summary", F.lit("\n---\n"))
+    body = F.concat(front, "body", F.lit("\n[[wiki/concepts/"), (number * 7) % 300, F.lit("#part-0]] \"the of\" [src-"), number % 40, F.lit("]\n<!-- kb:begin id=note -->\nx\n<!-- kb:end id=note -->\n"))
+    pages = p.select(F.concat(F.lit("wiki/concepts/"), "item_id", F.lit(".md")).alias("page_id"), body.alias("body"))
+    b = table(spark, sf_dir, "benchmark")
+    sources = b.select(F.concat(F.lit("src-"), "item_id").alias("source_id"), F.concat(F.lit("wiki/sources/src-"), "item_id", F.lit(".md")).alias("page_id"), "text")
+    return wiki.lint(pages, chunks.heading_anchors(pages), sources).groupBy("rule", "severity").agg(F.count("*").alias("n"))

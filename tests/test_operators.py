@@ -317,3 +317,42 @@ def test_stream(spark, tmp_path):
     assert seen == [[1, 2], [2, 3]] and spark.read.parquet(f"{store}/revisions").count() == 4
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     assert ingest.sessions(events).agg(F.sum("n")).first()[0] == events.count() == ingest.windowed_counts(events).agg(F.sum("n")).first()[0]
+
+
+def test_wiki_pages(spark):
+    from corpusflow.operators import wiki
+
+    source = "---\ntitle: \"T one\"\nsource_document_id: d1\n---\n# T one\n<!-- kb:begin id=summary -->\nabout rafts\n<!-- kb:end id=summary -->\n<!-- kb:begin id=caption-1 -->\na boat\n<!-- kb:end id=caption-1 -->\n"
+    concept = "---\nname: Raft\naliases:\n  - log raft\n---\n# Raft\n[[wiki/sources/s1.md]] and [[wiki/none#x]] [src-z]\n"
+    pages = spark.createDataFrame([("wiki/sources/s1.md", source), ("wiki/concepts/raft.md", concept), ("wiki/index.md", "# I")], "page_id string, body string")
+    got = {r.item_id: r for r in wiki.index_entries(pages).collect()}
+    assert got["wiki/sources/s1.md"].summary == "about rafts\n\na boat" and got["wiki/sources/s1.md"].title == "T one"
+    assert got["wiki/concepts/raft.md"].aliases == ["log raft"] and got["wiki/concepts/raft.md"].summary == "" and got["wiki/concepts/raft.md"].headings == ["Raft"]
+    assert {(r.page_id, r.region, r.missing) for r in wiki.missing_citations(pages).collect()} == {("wiki/sources/s1.md", "summary", "citations"), ("wiki/sources/s1.md", "caption-1", "citations")}
+    sources = spark.createDataFrame([("src-a", "wiki/sources/s1.md", "words")], "source_id string, page_id string, text string")
+    rules = {(r.rule, r.target) for r in wiki.lint(pages, chunks.heading_anchors(pages), sources).collect()}
+    assert ("broken_links", "wiki/none.md") in rules and ("stale_citations", "src-z") in rules and not any(rule == "orphan_sources" for rule, _ in rules)
+    none = spark.createDataFrame([], "concept_id string, page_id string")
+    links = spark.createDataFrame([("wiki/concepts/raft.md", "wiki/sources/s1.md"), ("wiki/index.md", "wiki/sources/s1.md")], "page_id string, target string")
+    back = wiki.backlinks(links, none, none.withColumnRenamed("page_id", "source_id"), pages).collect()
+    assert [(r.page_id, r.referrers) for r in back] == [("wiki/sources/s1.md", ["wiki/concepts/raft.md"])]
+    body = sinks.with_backlinks(pages, spark.createDataFrame([("wiki/sources/s1.md", "wiki/concepts/raft.md")], "page_id string, referrer string")).where("page_id = 'wiki/sources/s1.md'").first()["body"]
+    assert "- [[wiki/concepts/raft.md]]" in body and "about rafts" in body
+
+
+def test_staged_images_and_captions(spark):
+    from corpusflow.operators import wiki
+
+    pages = spark.createDataFrame([("p", "![](a/x.png) ![pic](b/x.png) ![good words](big.png) ![x](https://e/y.png)")], "page_id string, body string")
+    sizes = spark.createDataFrame([("a/x.png", 10), ("b/x.png", 10), ("big.png", 1 << 30)], "path string, length long")
+    assert {(r.target, r.asset) for r in wiki.staged_images(pages, sizes).collect()} == {("a/x.png", "x.png"), ("b/x.png", "x-2.png")}
+    assert {r.target for r in verify.captions_due(pages).collect()} == {"a/x.png"}
+
+
+def test_kept_page_and_dag(spark):
+    from corpusflow.operators import wiki
+
+    pages = spark.createDataFrame([("s-old", "s", 1), ("s-new", "s", 2)], "page_id string, source_id string, modified int")
+    assert {r.page_id: r.stale for r in wiki.keep_one_page(pages).collect()} == {"s-old": True, "s-new": False}
+    dag = wiki.build_dag(spark.createDataFrame([("d", "wiki/sources/a.md")], "doc_id string, page_id string"), spark.createDataFrame([("wiki/concepts/c.md", "wiki/sources/a.md")], "page_id string, source_page string"), spark.createDataFrame([("wiki/concepts/c.md",)], "page_id string"))
+    assert {(r.src_id, r.dst_id) for r in dag.collect()} == {("d", "wiki/sources/a.md"), ("wiki/sources/a.md", "wiki/concepts/c.md"), ("wiki/concepts/c.md", "wiki/concepts/index.md")}

@@ -53,14 +53,20 @@ def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def stored_bytes(df: DataFrame) -> int | None:
+    """The size that Spark knows of what is under df; None where it knows nothing."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else None
+
+
 #: Rows and bytes up to which a side may be broadcast.
 SMALL_ROWS, SMALL_BYTES = 500_000, 32 << 20
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """df, to be broadcast if its rows are few and so are the bytes of the table under it; else Spark shuffles both sides."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return F.broadcast(df) if size <= SMALL_BYTES and df.count() <= SMALL_ROWS else df
+    size = stored_bytes(df)
+    return F.broadcast(df) if size is not None and size <= SMALL_BYTES and df.count() <= SMALL_ROWS else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -44,6 +44,8 @@ WORDS = 5
 PERCENT = 75
 #: N-grams that a task gathers before it sends them off (8 bytes each).
 FLUSH = 2_000_000
+#: Stored input for which there is a part of the n-grams.
+PART_BYTES = 25_000_000
 #: Documents and n-grams of a block that one task searches; of what is more, the chunks.
 BLOCK_DOCS, BLOCK_GRAMS = 400, 600_000
 #: Documents of a large block that ask all others in a round, and rounds. Neither changes what is found, only how soon.
@@ -301,11 +303,17 @@ def _copies(docs: DataFrame, reps: DataFrame, n: int, parts: int, percent: int)
     return made.join(reps.select("rep", "sig"), ["rep", "sig"], "left_semi").dropDuplicates(["rep", "sig"]).drop("sig")
 
 
+def _parts(docs: DataFrame) -> int:
+    """Parts that n-grams are dealt into: one for 25 MB of stored input, as far as known, and half of the shuffle partitions at most."""
+    size = common.stored_bytes(docs)
+    most = max(8, common.shuffle_partitions(docs.sparkSession) // 2)
+    return most if size is None else min(most, max(8, size // PART_BYTES))
+
+
 def linked_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    spark = docs.sparkSession
     texts = common.texts_only(docs, id_col, text_col, named=True)
-    parts = max(8, common.shuffle_partitions(spark) // 2)  # a part holds some tens of megabytes where a shuffle partition is sized for ten of text
+    parts = _parts(docs)
     counted = common.materialize(_count(_spread(texts, n, parts), parts), "shingles-counted", free=True)
     own = counted.where("kind = 0").select("doc_id", "n", "sig")
     shared = counted.where("kind = 1").select("doc_id", "part", "shared", "holders")
@@ -392,7 +400,7 @@ def keep(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """
     found = common.materialize(linked_components(docs, n, percent).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "shingles-found")
     goes = found.where("doc_id != component_id").select("doc_id")
-    kept = docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(common.broadcast_if_small(goes), "doc_id", "left_anti").select(*docs.columns)
     if found.where("rows > 1").limit(1).count():
         again = found.where("rows > 1").select("doc_id")
         order = Window.partitionBy("doc_id").orderBy(F.coalesce("text", F.lit("")))

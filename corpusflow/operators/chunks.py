@@ -6,11 +6,9 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions import text as T
-
 #: Tokens of a chunk at most, and below which it joins a neighbour; characters in a token.
 MOST, LEAST, CHARS = 800, 100, 4
 
@@ -102,17 +100,62 @@ def chunks(pages: DataFrame, id_col: str = "item_id", body_col: str = "body") ->
     return pages.select(id_col, body_col).mapInArrow(run, f"item_id {kind}, chunk_idx int, heading string, body string, tokens int, first_page int, last_page int")
 
 
+_ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_HEADING = re.compile(r"(#{1,6})[ \t]+(\S.*)")
+_OWN = re.compile(r"\{#([A-Za-z0-9_-]+)\}\s*$")
+
+
+def _slug(title: str) -> str:
+    return re.sub(r"[\W_]+", "-", title).strip("-").translate(_ASCII_LOWER)
+
+
+def _headings(body: str) -> Iterator[tuple[int, int, str]]:
+    """(line, level, rest of the line) of the headings outside fences."""
+    fenced = False
+    for n, line in enumerate(re.split(r"\r?\n", body)):
+        if line.lstrip().startswith(("```", "~~~")):
+            fenced = not fenced
+        elif not fenced and (m := _HEADING.fullmatch(line)):
+            yield n, len(m[1]), m[2]
+
+
+def anchors(body: str, most_level: int = 3) -> list[tuple[int, str]]:
+    """(line, anchor) of headings; an anchor of their own in braces counts, and one that returns gets -2, -3 and so on."""
+    seen: dict[str, int] = {}
+    out = []
+    for line, level, rest in _headings(body):
+        if level <= most_level:
+            own = _OWN.search(rest)
+            name = own[1] if own else _slug(re.sub(r"\s*(?:\{#[^}]*\}\s*)?#*\s*$", "", rest))
+            seen[name] = seen.get(name, 0) + 1
+            out.append((line, name if seen[name] == 1 else f"{name}-{seen[name]}"))
+    return out
+
+
+def cut(body: str) -> list[tuple[str, str]]:
+    """(anchor, body) from each heading to the next."""
+    lines = re.split(r"\r?\n", body)
+    at = [(n, rest) for n, _, rest in _headings(body)]
+    ends = [n for n, _ in at[1:]] + [len(lines)]
+    return [(_slug(rest), "\n".join(lines[n + 1 : end])) for (n, rest), end in zip(at, ends, strict=True)]
+
+
+def _each(pages: DataFrame, id_col: str, body_col: str, fold, schema: str, types: list[pa.DataType]) -> DataFrame:
+    """A fold of each page's text into rows behind its id, page by page: nothing is shuffled."""
+    kind = pages.schema[id_col].dataType.simpleString()
+    names = ["page_id", *[f.split()[0] for f in schema.split(", ")]]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, *r) for i, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for r in fold(body or "")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([batch.column(0).type, *types])], names)
+
+    return pages.select(id_col, body_col).mapInArrow(run, f"page_id {kind}, {schema}")
+
+
 def heading_anchors(pages: DataFrame, id_col: str = "page_id", body_col: str = "body", most_level: int = 3) -> DataFrame:
-    """page_id, line, anchor of headings outside fences; a slug that returns gets -2, -3 and so on."""
-    rows = pages.select(F.col(id_col).alias("page_id"), F.posexplode(T.lines(F.col(body_col))).alias("line", "text"))
-    fence = F.ltrim("text").rlike("^(?:```|~~~)")
-    order = Window.partitionBy("page_id").orderBy("line")
-    marked = rows.withColumn("_in", F.sum(fence.cast("int")).over(order) % 2).where((F.col("_in") == 0) & F.col("text").rlike(f"^#{{1,{most_level}}}[ \t]+\\S"))
-    own = F.regexp_extract("text", r"\{#([A-Za-z0-9_-]+)\}\s*$", 1)
-    title = F.regexp_replace(F.regexp_replace("text", r"^#+[ \t]+", ""), r"\s*(?:\{#[^}]*\}\s*)?#*\s*$", "")
-    slugged = marked.withColumn("_slug", F.when(own != "", own).otherwise(T.slug(title)))
-    n = F.row_number().over(Window.partitionBy("page_id", "_slug").orderBy("line"))
-    return slugged.select("page_id", "line", F.when(n == 1, F.col("_slug")).otherwise(F.concat("_slug", F.lit("-"), n)).alias("anchor"))
+    """page_id, line, anchor of headings outside fences."""
+    return _each(pages, id_col, body_col, lambda body: anchors(body, most_level), "line int, anchor string", [pa.int32(), pa.string()])
 
 
 def anchor_index(anchors: DataFrame) -> DataFrame:
@@ -122,14 +165,5 @@ def anchor_index(anchors: DataFrame) -> DataFrame:
 
 def sections(pages: DataFrame, id_col: str = "page_id", body_col: str = "body") -> DataFrame:
     """page_id, section, anchor, body from each heading to the next; what stands before the first heading is left out."""
-    rows = pages.select(F.col(id_col).alias("page_id"), F.posexplode(T.lines(F.col(body_col))).alias("line", "text"))
-    fence = F.ltrim("text").rlike("^(?:```|~~~)")
-    order = Window.partitionBy("page_id").orderBy("line")
-    outside = F.sum(fence.cast("int")).over(order) % 2 == 0
-    marked = rows.withColumn("_out", outside).withColumn("_head", F.col("_out") & F.col("text").rlike(r"^#{1,6}[ \t]+\S"))
-    numbered = marked.withColumn("section", F.sum(F.col("_head").cast("int")).over(order)).where("section > 0")
-    text = F.transform(F.array_sort(F.collect_list(F.struct("line", "_head", "text"))), lambda x: F.struct(x["_head"].alias("h"), x["text"].alias("t")))
-    grouped = numbered.groupBy("page_id", "section").agg(text.alias("x"))
-    head = T.slug(F.regexp_replace(F.col("x")[0]["t"], r"^#+[ \t]+", ""))
-    body = F.array_join(F.transform(F.filter("x", lambda x: ~x["h"]), lambda x: x["t"]), "\n")
-    return grouped.select("page_id", "section", head.alias("anchor"), body.alias("body"))
+    numbered = lambda body: [(n + 1, *part) for n, part in enumerate(cut(body))]
+    return _each(pages, id_col, body_col, numbered, "section int, anchor string, body string", [pa.int32(), pa.string(), pa.string()])

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,29 +19,53 @@ LEAST_SOURCES, LEAST_MENTIONS = 3, 5
 NAME_SIMILARITY, DEFINITION_SIMILARITY = 0.85, 0.15
 
 
-def phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, phrase_no, words (array): runs of words between stopwords, numbers and punctuation."""
-    marked = F.regexp_replace(F.regexp_replace(F.col(text_col), r"[^\p{L}\p{N}\s_/'-]", " \0 "), r"\s+", " ")
-    token = F.posexplode(F.split(F.trim(marked), " ")).alias("pos", "token")
-    rows = docs.select(F.col(id_col).alias("doc_id"), token).withColumn("word", F.regexp_replace("token", r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$", ""))
-    stop = F.array(*map(F.lit, sorted(set(PHRASE_STOPWORDS))))
-    cut = (F.regexp_replace("word", r"[^\p{L}\p{N}]", "") == "") | F.array_contains(stop, F.lower("word")) | F.array_contains(stop, F.lower("token")) | F.col("word").rlike("^[0-9.]+$")
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    numbered = rows.withColumn("cut", cut).withColumn("phrase_no", F.sum(F.col("cut").cast("int")).over(order)).where("NOT cut")
-    return numbered.groupBy("doc_id", "phrase_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]).alias("words"))
-
-
-def key_phrases(docs: DataFrame, limit: int = 8) -> DataFrame:
-    """doc_id, phrase, score of the best phrases of each document; a phrase's score adds up over its occurrences."""
-    runs = phrases(docs)
-    words = runs.select("doc_id", "phrase_no", "words", F.posexplode("words").alias("i", "w"))
-    scores = words.groupBy("doc_id", F.lower("w").alias("w")).agg((F.sum(F.size("words")) / F.count("*")).alias("word_score"))
-    fit = F.size("words").between(*PHRASE_WORDS)
-    scored = words.where(fit).withColumn("w", F.lower("w")).join(scores, ["doc_id", "w"]).groupBy("doc_id", "phrase_no", "words").agg(F.sum("word_score").alias("s"))
-    name = F.array_join("words", " ")
-    found = scored.groupBy("doc_id", F.lower(name).alias("key")).agg(F.sum("s").alias("score"), F.min_by(name, "phrase_no").alias("phrase"))
-    best = Window.partitionBy("doc_id").orderBy(F.desc(F.round("score", 9)), "phrase")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("doc_id", "rank", "phrase", "score")
+_TOKEN = re.compile(r"[\w/'-]+|[^\w\s/'-]")
+_ENDS = re.compile(r"^[\W]+|[\W]+$")
+_NUMBER = re.compile(r"[0-9.]+")
+_STOPPED = frozenset(PHRASE_STOPWORDS)
+
+
+def phrases(text: str) -> list[list[str]]:
+    """Runs of words between stopwords, numbers and punctuation."""
+    out: list[list[str]] = [[]]
+    for token in _TOKEN.findall(text):
+        word = _ENDS.sub("", token)
+        low = word.lower()
+        if not word or not word.strip("_") or low in _STOPPED or token.lower() in _STOPPED or _NUMBER.fullmatch(word):
+            out.append([])
+        else:
+            out[-1].append(word)
+    return [p for p in out if p]
+
+
+def rank_phrases(text: str, limit: int) -> list[tuple[str, float]]:
+    """(phrase, score): a word scores the mean length of the phrases it is in; a phrase the sum of its words, once for each time it occurs."""
+    runs = phrases(text)
+    length, times = Counter(), Counter()
+    for run in runs:
+        for w in run:
+            length[w.lower()] += len(run)
+            times[w.lower()] += 1
+    found: dict[str, list] = {}
+    for run in runs:
+        if PHRASE_WORDS[0] <= len(run) <= PHRASE_WORDS[1]:
+            name = " ".join(run)
+            entry = found.setdefault(name.lower(), [name, 0.0])
+            entry[1] += sum(length[w.lower()] / times[w.lower()] for w in run)
+    return sorted(((n, x) for n, x in found.values()), key=lambda e: (-round(e[1], 9), e[0]))[:limit]
+
+
+def key_phrases(docs: DataFrame, limit: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, rank, phrase, score of the best phrases of each document; documents are independent, so nothing is shuffled."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, n + 1, name, score) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for n, (name, score) in enumerate(rank_phrases(text or "", limit))]
+            types = [batch.column(0).type, pa.int32(), pa.string(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["doc_id", "rank", "phrase", "score"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, rank int, phrase string, score double")
 
 
 def corpus_phrases(docs: DataFrame, limit: int = 24, per_source: int = 8, least: int = 2) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import ann_codes, bin_packing, bpe_cuts, common, language_codes, pii_offsets, quality_subword, rule_cascade, shingle_join, token_files, warc_zstd
+from corpusflow.llm import ann_codes, bin_packing, bpe_cuts, common, language_codes, oracles, pii_offsets, quality_subword, rule_cascade, shingle_join, token_files, warc_zstd
 
 END_ID = 2
 CAPACITY = 1024
@@ -94,4 +94,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_warc_zstd": oracles.OP3, "op8_rule_cascade": oracles.OP8, "op10_shingle_join": oracles.OP10}

@@ -24,18 +24,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; ``spark.checkpoint.dir`` of the session."""
+    """The folder that driver and executors share, as a URI; ``spark.checkpoint.dir`` of the session."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file:///tmp/corpusflow-shared"
+        root = "/tmp/corpusflow-shared"
         spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.makeQualified(path).toString().rstrip("/")
+
+
+_MADE: list[str] = []
 
 
 def workspace(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared root, as a URI."""
-    root = shared_root(spark)
-    return f"{root if '://' in root or root.startswith('file:') else 'file://' + root}/corpusflow/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_root(spark)}/corpusflow/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clear_workspaces(spark: SparkSession) -> None:
+    """Delete all folders that this process has made; results that were not written elsewhere can't be read after that."""
+    while _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:

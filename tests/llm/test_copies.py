@@ -166,3 +166,15 @@ def test_registered(spark):
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11))
+
+
+def test_workspaces_are_shared_and_cleared(spark):
+    from corpusflow.llm import common
+
+    df = common.materialize(spark.range(5), "t")
+    path = common._MADE[-1]
+    assert path.startswith(("file:", "hdfs:")) and df.count() == 5
+    fs, at = common.filesystem(path)
+    assert fs.get_file_info(at).type.name == "Directory"
+    common.clear_workspaces(spark)
+    assert fs.get_file_info(at).type.name == "NotFound"

@@ -1,21 +1,50 @@
-"""Connected components of a table of links, by alternating large and small stars."""
+"""Connected components of a table of links: by union-find in one task while links are few, else by alternating stars."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm import common
 
+#: Links up to which one task of an executor finds the components (16 bytes a link).
+ONE_TASK = 1_000_000
+
+
+def _union_find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while (up := parent.get(top, top)) != top:
+            top = up
+        while x != top:
+            parent[x], x = top, parent.get(x, x)
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    members = np.array([x for x in parent if root(x) != x], np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(members), pa.array([root(x) for x in members.tolist()], pa.int64())], ["a", "b"])
+
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """links (a, b) to rows (a, b): each member but the smallest of its component, and that smallest one.
 
-    Each round moves every link towards the smallest member near it (Kiveris et al., 2014); the
-    number of rounds grows with the logarithm of the size of components. Each round's links are a table in the
-    shared folder.
+    Few links, counted first, go to one task. More take alternating large and small stars (Kiveris et al., 2014):
+    each round moves every link towards the smallest member near it, the number of rounds grows with the
+    logarithm of the size of components, and each round's links are a table in the shared folder.
     """
     pairs = common.materialize(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    if pairs.count() <= one_task:
+        return common.materialize(pairs.coalesce(1).mapInArrow(_union_find, "a long, b long"), "links")
     before = None
     while True:
         now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -49,7 +49,7 @@ PART_BYTES = 25_000_000
 #: Documents and n-grams of a block that one task searches; of what is more, the chunks.
 BLOCK_DOCS, BLOCK_GRAMS = 400, 600_000
 #: Documents of a large block that ask all others in a round, and rounds. Neither changes what is found, only how soon.
-ASKING, ROUNDS = 128, 2
+ASKING, ROUNDS = 256, 1
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 

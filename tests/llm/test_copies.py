@@ -126,7 +126,8 @@ def test_divide_skip_counts():
         assert dict(zip(member.tolist(), n.tolist(), strict=True)) == {x: c for x, c in count.items() if c >= t}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components(spark, one_task):
     rng = random.Random(5)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1060)]
     parent = {}
@@ -140,7 +141,7 @@ def test_components(spark):
     for a, b in links:
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
-    got = {r.a: r.b for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.a: r.b for r in components(spark.createDataFrame(links, "a long, b long"), one_task).collect()}
     assert got == {x: find(x) for x in parent if find(x) != x}
 
 

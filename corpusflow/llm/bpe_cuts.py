@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from corpusflow.llm import common
-from corpusflow.llm.unit_encoder import WHITE_SPACE, byte_symbols
+from corpusflow.llm.unit_encoder import WHITE_SPACE, byte_symbols, is_latin
 
 #: Units and fragments that one worker remembers before it starts afresh.
 MAX_UNITS = 400_000
@@ -55,6 +55,7 @@ class ForcedBoundaryBPE:
             self.merge.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
         self.token = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.marks = tuple({c[:2] for c in self.special})  # special tokens are found before lower-casing
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         picked = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(picked.replace(r"\s", WHITE_SPACE))
@@ -147,9 +148,10 @@ class ForcedBoundaryBPE:
             ids += [self.special[part]] if i % 2 else self._segment(part)
         return ids
 
-    @staticmethod
-    def split(text: str) -> list[str]:
-        """The parts between white space; words never cross it."""
+    def split(self, text: str) -> list[str]:
+        """The parts between white space; words never cross it. Lower case already, where that changes nothing: NFC has nothing to compose in Latin-1."""
+        if (text.isascii() or is_latin(text)) and not any(m in text for m in self.marks):
+            text = text.lower()
         return _UNIT.findall(text) if any(x in text for x in _SEPARATORS) else text.split()
 
     def encode(self, text: str) -> list[int]:

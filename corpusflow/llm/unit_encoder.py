@@ -25,7 +25,7 @@ _UNIT = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")  # white space to Python, not to Unicode
 
 
-def _latin(text: str) -> bool:
+def is_latin(text: str) -> bool:
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
@@ -81,7 +81,7 @@ class UnitEncoder:
     def units(self, text: str) -> list:
         """Where space is kept, a bare string stands for itself after a space, and a 1-tuple for itself."""
         odd = any(x in text for x in _SEPARATORS)
-        if self.lowers and not any(m in text for m in self.marks) and (text.isascii() or _latin(text)):
+        if self.lowers and not any(m in text for m in self.marks) and (text.isascii() or is_latin(text)):
             text = text.lower()  # as the tokenizer will; here NFC has nothing to compose, and no special token can arise
         if self.keeps_space:
             if text and not odd and sum(map(text.count, WHITE_SPACE)) == len(text.split()) - 1:

@@ -43,7 +43,7 @@ from corpusflow.llm.components import components
 WORDS = 5
 PERCENT = 75
 #: N-grams that a task gathers before it sends them off (8 bytes each).
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Stored input for which there is a part of the n-grams.
 PART_BYTES = 25_000_000
 #: Documents and n-grams of a block that one task searches; of what is more, the chunks.
@@ -155,18 +155,26 @@ def _count(spread: DataFrame, parts: int) -> DataFrame:
             own = batch.filter(pa.array(kind == 0))
             if own.num_rows:
                 yield rows(own.num_rows, kind=own.column(0), doc_id=own.column(2), n=own.column(3), sig=own.column(4))
-            for r in batch.filter(pa.array(kind == 1)).select(["part", "n", "grams"]).to_pylist():
-                blobs.append((r["part"], np.frombuffer(r["grams"], np.int64, r["n"]), np.frombuffer(r["grams"], np.uint64, offset=8 * r["n"])))
+            sent = batch.filter(pa.array(kind == 1))
+            for part, n, grams in zip(sent.column(1).to_pylist(), sent.column(3).to_pylist(), sent.column(5), strict=True):
+                raw = grams.as_buffer()  # stays where Arrow put it
+                blobs.append((part, np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint64, offset=8 * n)))
         blobs.sort(key=lambda b: b[0])
         for part, same in groupby(blobs, key=lambda b: b[0]):
             group = [(docs, body) for _, docs, body in same]
             key = np.concatenate([body >> np.uint64(24) for _, body in group])
-            order = np.argsort(key, kind="stable")
-            ranked = key[order]
-            start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-            count = np.diff(np.concatenate([start, [len(ranked)]]))
             holders = np.empty(len(key), np.uint8)
-            holders[order] = np.repeat(np.minimum(count, 255), count)
+            slot = (key >> np.uint64(36)).astype(np.uint8)
+            for k in range(16):  # a slice of the keys at a time, so that sorting takes little memory
+                mine = np.flatnonzero(slot == k)
+                if len(mine):
+                    some = key[mine]
+                    order = np.argsort(some, kind="stable")
+                    some = some[order]
+                    start = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
+                    count = np.diff(np.concatenate([start, [len(some)]]))
+                    holders[mine[order]] = np.repeat(np.minimum(count, 255).astype(np.uint8), count)
+            del key, slot
             at = 0
             for docs, body in group:
                 mine, held = (body & np.uint64((1 << 24) - 1)).astype(np.int64), holders[at : at + len(body)]

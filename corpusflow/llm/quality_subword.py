@@ -35,7 +35,7 @@ SAME = 0
 #: Labelled rows to learn from, at most.
 SAMPLE_ROWS = 3000
 #: Words that one worker remembers before it starts afresh.
-MAX_WORDS = 400_000
+MAX_WORDS = 250_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 

@@ -7,6 +7,7 @@ scan, and only entries with a positive score move on.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,7 +51,10 @@ def score(index: DataFrame, query: str, weights: dict[str, int] = WEIGHTS) -> Da
     if not T.query_terms(query):
         return index.select("*", F.lit(0).cast("long").alias("score")).limit(0)
     total = F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + (h["found"] * h["weight"]).cast("long"))
-    return _hits(index, query, weights).withColumn("score", total).where("score > 0")
+    wanted = F.array(*map(F.lit, sorted(set(T.query_terms(query)))))
+    matches = [F.exists(tokens, lambda w: F.array_contains(wanted, w)) for _, _, tokens in _fields(weights)]
+    # weights are positive, so what matches has a score; asked this way, tokens are made once to filter, and once more for the few that match
+    return _hits(index.where(reduce(lambda a, b: a | b, matches)), query, weights).withColumn("score", total)
 
 
 def search(index: DataFrame, query: str, k: int = 10) -> DataFrame:

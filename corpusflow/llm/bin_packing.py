@@ -6,9 +6,9 @@ is fixed by the capacity, not by the data), and executors give each piece the pl
 its rank among the pieces of its length stands for.
 
 The histogram is packed by bin completion (Martello & Toth; Korf): take the largest
-length that is left, list the fillings of the rest of its bin that no other dominates,
-fullest first, and branch over them; a filling is used as often as the counts allow. A
-branch ends when the space it has wasted exceeds what a better packing may waste. The
+length that is left, take one by one all fillings of the rest of its bin that no other
+dominates, fullest first, and branch over them and over how often each is used, from as
+often as the counts allow down to once. A branch ends when the space it has wasted exceeds what a better packing may waste. The
 first incumbent is best-fit decreasing. The search ends at the lower bound or after
 ``node_limit`` nodes, with the best packing so far; no piece is ever left out.
 
@@ -23,6 +23,7 @@ import zlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -91,51 +92,86 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return any(_dominates(tuple(sorted((*a[:i], x - b[0], *a[i + 1 :]), reverse=True)), b[1:]) for i, x in enumerate(a) if x >= b[0] and (i == 0 or a[i - 1] != x))
 
 
-def fillings(counts: np.ndarray, gap: int, width: int, most_waste: int) -> list[tuple[tuple[int, int], ...]]:
-    """Up to width undominated fillings of a gap, fullest first, and of equal ones those with larger pieces first."""
+def _smear(bits: int, width: int) -> int:
+    """The union of bits, moved up by 0 to width."""
+    done = 0
+    while done < width:
+        step = min(done + 1, width - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def undominated(counts: np.ndarray, gap: int, most_waste: int) -> Iterator[tuple[tuple[int, int], ...]]:
+    """All undominated fillings of a gap that waste at most most_waste, one at a time; fullest first, and of equal ones those with larger pieces first.
+
+    A filling is dominated if and only if a piece outside it can take the place of some of its pieces
+    (or of none) whose sum it isn't smaller than, and the gap still holds it all.
+    """
     lengths = [int(x) for x in np.flatnonzero(counts[: gap + 1]) if x]
+    if not lengths:
+        if gap <= most_waste:
+            yield ()
+        return
+    free = {x: int(counts[x]) for x in lengths}
     mask = (1 << (gap + 1)) - 1
-    sums = [1]  # bit s of sums[i]: s can be made of the i smallest lengths
-    for x in lengths:
-        reach, left, step = sums[-1], min(int(counts[x]), gap // x), 1
-        while left:
-            step = min(step, left)
-            reach |= (reach << (x * step)) & mask
-            left -= step
-            step *= 2
-        sums.append(reach)
-    found: list[tuple[tuple[int, int], ...]] = []
-
-    def fill(top: int, rest: int) -> tuple[tuple[int, int], ...]:
-        """The filling of exactly rest, which sums[top] can make, with the largest pieces first; none larger than the top-th."""
-        content = []
-        i = top
-        while rest:
-            i = min(i, bisect_right(lengths, rest))
-            while not (m := next((m for m in range(min(int(counts[lengths[i - 1]]), rest // lengths[i - 1]), 0, -1) if sums[i - 1] >> (rest - m * lengths[i - 1]) & 1), 0)):
-                i -= 1
-            content.append((lengths[i - 1], m))
-            rest -= m * lengths[i - 1]
-            i -= 1
-        return tuple(content)
-
-    for waste in range(min(most_waste, gap) + 1):
-        rest = gap - waste
-        top = bisect_right(lengths, rest)
-        while sums[top] >> rest & 1:
-            content = fill(top, rest)
-            flat = tuple(x for x, m in content for _ in range(m))
-            if not any(len(old) <= 4 and len(flat) <= 8 and _dominates(old, flat) for old in (tuple(x for x, m in c for _ in range(m)) for c in found)):
-                found.append(content)
-            if len(found) == width or waste or not content:
-                break
-            top = bisect_right(lengths, content[0][0] - 1)  # the next one has a smaller largest piece
-        if len(found) == width or (waste and found):
-            break
-    return found
+
+    def reaches() -> list[int]:
+        sums = [1]  # bit s of sums[i]: s can be made of the i smallest lengths
+        for x in lengths:
+            reach, left, step = sums[-1], min(free[x], gap // x), 1
+            while left:
+                step = min(step, left)
+                reach |= (reach << (x * step)) & mask
+                left -= step
+                step *= 2
+            sums.append(reach)
+        return sums
+
+    sums = reaches()
+
+    def walk(top: int, rest: int, waste: int, content: tuple[tuple[int, int], ...], some: int, several: int, spare: int) -> Iterator[tuple[tuple[int, int], ...]]:
+        """Content, and rest made of the top smallest lengths. Bits: sums of any of content's pieces, of two or more, and the lengths of which pieces are left."""
+        taken = ((_smear(some, waste - 1) << 1 if waste else 0) | several) & spare  # what can take the place of pieces in content
+        if not rest:
+            if not taken:
+                yield content
+            return
+        # What is larger than the rest can't be in it; that holds for what is larger than all that may still come, too.
+        if (_smear(some << rest, waste) & spare) >> (rest + 1) or (taken >> (lengths[top - 1] + 1) if top else taken):
+            return
+        top = min(top, bisect_right(lengths, rest))
+        alone = spare >> rest & 1  # a piece of just the rest dominates all other ways to make it
+        if alone and not (top and lengths[top - 1] == rest):
+            return
+        while top and sums[top] >> rest & 1:
+            x = lengths[top - 1]
+            any_of, more_of, steps = some, several, []
+            for m in range(1, min(free[x], rest // x) + 1):
+                more_of |= more_of << x | (any_of & ~1) << x
+                any_of |= any_of << x
+                steps.append((m, any_of, more_of))
+            for m, any_of, more_of in reversed(steps):
+                if sums[top - 1] >> (rest - m * x) & 1:
+                    yield from walk(top - 1, rest - m * x, waste, (*content, (x, m)), any_of, more_of, spare & ~(1 << x) if m == free[x] else spare)
+            if alone or taken >> x & 1:
+                return
+            top -= 1
+
+    start = sum(1 << x for x in lengths)
+    for waste in range(min(most_waste, gap - lengths[-1]) + 1):  # the largest piece alone dominates what is less full
+        for content in walk(bisect_right(lengths, gap - waste), gap - waste, waste, (), 1, 0, start):
+            sums = []  # a search holds many of these
+            yield content
+            sums = reaches()
+
+
+def fillings(counts: np.ndarray, gap: int, width: int, most_waste: int) -> list[tuple[tuple[int, int], ...]]:
+    """The first undominated fillings, up to width."""
+    return list(islice(undominated(counts, gap, most_waste), width))
 
 
-def pack_histogram(counts: np.ndarray, capacity: int, node_limit: int = 6000, width: int = 3) -> list[Group]:
+def pack_histogram(counts: np.ndarray, capacity: int, node_limit: int = 6000) -> list[Group]:
     """Groups of equal bins that hold every piece; counts[i]: how many pieces of length i."""
     counts = np.asarray(counts, np.int64).copy()
     best = best_fit_decreasing(counts, capacity)
@@ -143,27 +179,33 @@ def pack_histogram(counts: np.ndarray, capacity: int, node_limit: int = 6000, wi
     total = int((counts * np.arange(len(counts))).sum())
     nodes = 0
 
-    def expand(left: np.ndarray, waste: int) -> Iterator[tuple[Group, np.ndarray, int]]:
+    def expand(left: np.ndarray, waste: int, above: int, done: set) -> Iterator[tuple[Group, np.ndarray, int, int, set]]:
+        """All ways to fill some bins with the largest piece; done: fillings whose number is settled for bins with the piece above."""
         largest = int(np.flatnonzero(left)[-1])
+        done = set(done) if largest == above else set()
         allowed = (n_best - 1) * capacity - total - waste
         left = left.copy()
         left[largest] -= 1
-        for rest in fillings(left, capacity - largest, width, allowed):
+        for rest in undominated(left, capacity - largest, allowed):
+            if rest in done:
+                continue
+            done.add(rest)
             need = Counter({largest: 1})
             for x, m in rest:
                 need[x] += m
-            times = min((int(left[x]) + (x == largest)) // m for x, m in need.items())
+            most = min((int(left[x]) + (x == largest)) // m for x, m in need.items())
             lost = capacity - sum(x * m for x, m in need.items())
             if lost:
-                times = min(times, allowed // lost)
-            after = left.copy()
-            after[largest] += 1
-            for x, m in need.items():
-                after[x] -= m * times
-            yield (times, tuple(sorted(need.items(), reverse=True))), after, waste + lost * times
+                most = min(most, allowed // lost)
+            for times in range(most, 0, -1):
+                after = left.copy()
+                after[largest] += 1
+                for x, m in need.items():
+                    after[x] -= m * times
+                yield (times, tuple(sorted(need.items(), reverse=True))), after, waste + lost * times, largest, done
 
     if n_best > least:
-        stack, chosen = [expand(counts, 0)], []
+        stack, chosen = [expand(counts, 0, 0, set())], []
         while stack and nodes < node_limit and n_best > least:
             step = next(stack[-1], None)
             if step is None:
@@ -172,7 +214,7 @@ def pack_histogram(counts: np.ndarray, capacity: int, node_limit: int = 6000, wi
                     chosen.pop()
                 continue
             nodes += 1
-            group, after, waste = step
+            group, after, waste, largest, done = step
             if waste > (n_best - 1) * capacity - total:
                 continue
             chosen.append(group)
@@ -180,7 +222,7 @@ def pack_histogram(counts: np.ndarray, capacity: int, node_limit: int = 6000, wi
                 best, n_best = list(chosen), sum(n for n, _ in chosen)
                 chosen.pop()
                 continue
-            stack.append(expand(after, waste))
+            stack.append(expand(after, waste, largest, done))
     return best
 
 

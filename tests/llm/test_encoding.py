@@ -143,6 +143,31 @@ def test_dominance():
     assert bin_packing.fillings(counts, 30, 3, 30)[0] == ((30, 1),)
 
 
+def test_completion_tries_all_undominated_fillings():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        gap = int(rng.integers(5, 40))
+        lengths = sorted(rng.integers(1, gap + 5, int(rng.integers(1, 9))).tolist(), reverse=True)
+        counts, most = np.bincount(lengths, minlength=50), int(rng.integers(0, gap + 1))
+        every = {tuple(x for i, x in enumerate(lengths) if k >> i & 1) for k in range(1 << len(lengths))}
+        every = [f for f in every if sum(f) <= gap]
+        want = [b for b in every if gap - sum(b) <= most and not any(a != b and bin_packing._dominates(a, b) for a in every)]
+        got = [tuple(x for x, m in f for _ in range(m)) for f in bin_packing.undominated(counts, gap, most)]
+        assert got == sorted(want, key=lambda f: (-sum(f), [-x for x in f]))
+    ten = [614, 532, 522, 420, 369, 205, 123, 113, 92, 82]
+    assert sum(n for n, _ in bin_packing.pack_histogram(np.bincount(ten, minlength=1025), 1024)) == 3
+
+
+def test_packing_is_best_where_lengths_repeat():
+    rng = np.random.default_rng(7)
+    for _ in range(150):
+        capacity = int(rng.integers(10, 60))
+        lengths = rng.choice(rng.integers(1, capacity + 1, int(rng.integers(2, 8))), int(rng.integers(4, 13)))
+        groups = bin_packing.pack_histogram(np.bincount(lengths, minlength=capacity + 1), capacity)
+        assert held(groups) == Counter(lengths.tolist())
+        assert sum(n for n, _ in groups) == fewest(lengths.tolist(), capacity)
+
+
 def test_pieces_and_places(spark):
     lib = Tokenizer.from_file(BYTE)
     parts = common.materialize(bin_packing.pieces(rows(spark), BYTE, 64), "pieces")

@@ -235,6 +235,8 @@ def divide_skip(lists: list[np.ndarray], t: int) -> tuple[np.ndarray, np.ndarray
 
 def search(sets: list[np.ndarray], label: list[int], queries: range, index: range, percent: int) -> list[tuple[int, int]]:
     """Links, as places, between queries and index that connect what labels and links found before don't; as many as connect all that is linked."""
+    if not len(index):
+        return []
     size = np.array([len(s) for s in sets], np.int64)
     root = np.unique(np.array(label), return_inverse=True)[1]
     grams = np.concatenate([sets[i] for i in index])
@@ -366,8 +368,21 @@ def _labels(hot: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _chunks() -> Column:
-    """Of docs and grams: into how many chunks they go."""
-    return F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+    """Of docs and grams: into how many chunks they go; no more than there are documents."""
+    return F.least("docs", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("grams") / BLOCK_GRAMS))).cast("int")
+
+
+def _load(rows: DataFrame, name: str) -> DataFrame:
+    """Each block's number of chunks, and of documents (name_docs)."""
+    return rows.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("grams")).select("block", _chunks().alias(name), F.col("docs").alias(f"{name}_docs"))
+
+
+def _dealt(rows: DataFrame, name: str, to: str) -> DataFrame:
+    """rows with their chunk: in turn, largest first, where a block has few documents, as a hash would leave chunks empty; by hash where it has many."""
+    hashed = F.pmod(F.xxhash64("rep"), F.col(name)).cast("int")
+    few = F.col(f"{name}_docs") <= BLOCK_DOCS
+    turn = F.row_number().over(Window.partitionBy("block", F.when(few, -1).otherwise(hashed)).orderBy(F.desc("n"), "rep"))
+    return rows.withColumn(to, F.when(few, (turn - 1) % F.col(name)).otherwise(hashed).cast("int"))
 
 
 def _some_ask(hot: DataFrame, label: DataFrame, sets: DataFrame, number: int, percent: int) -> DataFrame:
@@ -379,8 +394,8 @@ def _some_ask(hot: DataFrame, label: DataFrame, sets: DataFrame, number: int, pe
     place = F.row_number().over(Window.partitionBy("block").orderBy(F.xxhash64("rep", F.lit(number)), "rep"))
     asks = rows.select("block", "rep", "label", place.alias("place")).where(F.col("place") <= ASKING)
     index = rows.where("label != main") if number else rows
-    load = index.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("grams")).select("block", _chunks().alias("chunks"))
-    index = index.join(load, "block").select("block", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int").alias("chunk"), "rep", "label", F.lit(1).alias("side"))
+    load = _load(index, "chunks")
+    index = _dealt(index.join(load, "block"), "chunks", "chunk").select("block", "chunk", "rep", "label", F.lit(1).alias("side"))
     query = asks.join(load, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "rep", "label", F.lit(0).alias("side"))
     return _grouped_search(index.union(query), sets, ["block", "chunk"], percent)
 
@@ -391,13 +406,10 @@ def _rest_asks(hot: DataFrame, label: DataFrame, sets: DataFrame, percent: int)
     each = rows.groupBy("block", "label").agg(F.count("*").alias("docs"))
     most = each.groupBy("block").agg(F.max_by("label", F.struct("docs", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
     rows = common.materialize(rows.join(most, "block"), "shingles-open")
-    chunk = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    all_load = rows.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("grams")).select("block", _chunks().alias("x_chunks"))
     few = rows.where("label != main")
-    few_load = few.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("grams")).select("block", _chunks().alias("q_chunks"))
-    load = all_load.join(few_load, "block")
-    index = rows.join(load, "block").select("block", chunk("x_chunks").alias("j"), F.explode(F.sequence(F.lit(0), F.col("q_chunks") - 1)).alias("i"), "rep", "label", F.lit(1).alias("side"))
-    query = few.join(load, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("x_chunks") - 1)).alias("j"), chunk("q_chunks").alias("i"), "rep", "label", F.lit(0).alias("side"))
+    load = _load(rows, "x_chunks").join(_load(few, "q_chunks"), "block")
+    index = _dealt(rows.join(load, "block"), "x_chunks", "j").select("block", "j", F.explode(F.sequence(F.lit(0), F.col("q_chunks") - 1)).alias("i"), "rep", "label", F.lit(1).alias("side"))
+    query = _dealt(few.join(load, "block"), "q_chunks", "i").select("block", F.explode(F.sequence(F.lit(0), F.col("x_chunks") - 1)).alias("j"), "i", "rep", "label", F.lit(0).alias("side"))
     return _grouped_search(index.unionByName(query), sets, ["block", "i", "j"], percent)
 
 

@@ -108,6 +108,23 @@ def test_join_equals_brute_force(spark, monkeypatch, seed, docs, grams):
     assert got == brute(rows)
 
 
+def test_join_of_few_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "BLOCK_GRAMS", 60)
+    rng = random.Random(4)
+    rows = []
+    for group in range(12):
+        base = [f"g{group}w{rng.randrange(10**6)}" for _ in range(100)]
+        rows += [(10 * group + k, " ".join([*base, *[f"x{k}"] * k])) for k in range(2 + group % 2)]
+        rows.append((10 * group + 9, " ".join([*base[:45], *[f"y{rng.randrange(10**6)}" for _ in range(55)]])))  # meets them, isn't linked
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.linked_components(df).collect()}
+    assert got == brute(rows) and got[1][1] == 0 and got[12][1] == 10
+
+
+def test_search_of_nothing():
+    assert shingle_join.search([np.arange(5, dtype=np.uint64)], [3], range(1), range(1, 1), 75) == []
+
+
 def test_join_of_nothing_and_repeats(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert shingle_join.linked_components(empty).count() == 0

@@ -3,9 +3,11 @@
 Transducers rewrite a text into a plainer one and carry along, for each character they
 emit, the source span it came from: homoglyphs (full-width forms, foreign digits, Greek
 and Cyrillic look-alikes, odd spaces and dashes, invisible characters), at/dot disguises
-(``name [at] host (dot) org``, ``name at host dot org``) and runs of spelled digits. The
-detectors run on the source and on the rewritten text; a find there that holds something
-rewritten and overlaps no plain find is mapped back to its source span.
+(``name [at] host (dot) org``, ``name[@]host[.]org``, ``name at host dot org``), dot
+disguises between digits (``192 dot 168 dot 1 dot 10``) and spelled digits, in runs or
+beside plain ones. The detectors run on the source and on the rewritten text, in each of
+its readings; a find there that holds something rewritten and overlaps no plain find is
+mapped back to its source span.
 
 Plain finds ("base") are never changed by the method. Null and empty texts have none.
 """
@@ -35,7 +37,7 @@ DIGIT_WORDS = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-#: Spelled digits count from this many in a row.
+#: Spelled digits count from this many in a row, neighbouring plain digits included.
 LEAST_DIGIT_WORDS = 4
 
 # Look-alikes of Latin letters, first Cyrillic and then Greek; odd dashes, spaces, signs; what is not seen.
@@ -55,7 +57,7 @@ GLYPHS = _glyphs()
 _GLYPH = re.compile("[" + "".join(map(re.escape, sorted(GLYPHS))) + "]")
 
 _OPEN, _CLOSE = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
-_AT_BOX, _DOT_BOX = _OPEN + r"(?:at|arroba|arobase)" + _CLOSE, _OPEN + r"(?:dot|punkt|punto|point)" + _CLOSE
+_AT_BOX, _DOT_BOX = _OPEN + r"(?:at|arroba|arobase|@)" + _CLOSE, _OPEN + r"(?:dot|punkt|punto|point|\.)" + _CLOSE
 _DOT_BARE = r"[ \t]+dot[ \t]+"
 #: An address one of whose signs is a disguise: a bare "at" needs a disguised dot after it.
 _ADDRESS = re.compile(
@@ -64,7 +66,7 @@ _ADDRESS = re.compile(
     rf"(?P<host>[A-Za-z0-9-]+(?:(?:{_DOT_BOX}|{_DOT_BARE}|\.)[A-Za-z0-9-]+)+)",
     re.IGNORECASE,
 )
-_BOXED_OR_DOT = re.compile(r"[\[({<][ \t]*(?:at|arroba|arobase|dot|punkt|punto|point)[ \t]*[\])}>]|[ \t]dot[ \t]", re.IGNORECASE)
+_BOXED_OR_DOT = re.compile(r"[\[({<][ \t]*(?:at|arroba|arobase|@|dot|punkt|punto|point|\.)[ \t]*[\])}>]|[ \t]dot[ \t]", re.IGNORECASE)
 _AT_SIGN = re.compile(_AT_BOX + r"|[ \t]+at[ \t]+|[ \t]*@[ \t]*", re.IGNORECASE)
 _DOT_SIGN = re.compile(_DOT_BOX + "|" + _DOT_BARE, re.IGNORECASE)
 
@@ -72,7 +74,16 @@ _WORD = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[ ,-]{{1,2}})?{_WORD}(?:(?:[ ,-]{{1,2}}|[ ]?\.[ ]?|[ ](?:dot|point|punto|punkt)[ ]){_WORD}){{{LEAST_DIGIT_WORDS - 1},}}(?!\w)", re.IGNORECASE)
 _SPELLED_PART = re.compile(rf"(?<!\w)(?:(?P<plus>plus[ ,-]{{1,2}})|(?P<digit>{_WORD})(?!\w))|(?P<dot>[ ]?\.[ ]?|[ ](?:dot|point|punto|punkt)[ ])|(?P<gap>[ ,-]+)", re.IGNORECASE)
 
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+#: A sign between digit groups, as a word or in a box.
+_DIGIT_DOT = re.compile(rf"(?<=[0-9])(?:{_DOT_BOX}|[ \t]+(?:dot|point|punto|punkt)[ \t]+)(?=[0-9])", re.IGNORECASE)
+_DOT_PART = rf"{_DOT_BOX}|[ \t]+(?:dot|point|punto|punkt)[ \t]+|[ ]?\.[ ]?"
+#: Two or more of digit words and digit groups in a row.
+_MIXED = re.compile(rf"(?<!\w)(?:plus[ ,-]{{1,2}})?(?:{_WORD}|[0-9]++)(?:(?:{_DOT_PART}|[ ,-]{{1,2}})(?:{_WORD}|[0-9]++))+(?!\w)", re.IGNORECASE)
+#: Without this there is nothing in such a row that a run of digit words doesn't have.
+_BESIDE = re.compile(rf"[0-9](?:{_DOT_PART}|[ ,-]{{1,2}}){_WORD}(?!\w)|(?<!\w){_WORD}(?:(?:{_DOT_PART}|[ ,-]{{1,2}})[0-9]|{_DOT_BOX}{_WORD}(?!\w))", re.IGNORECASE)
+_MIXED_PART = re.compile(rf"(?P<plus>plus[ ,-]{{1,2}})|(?P<digit>{_WORD})(?!\w)|(?P<plain>[0-9]+)|(?P<dot>{_DOT_PART})|(?P<gap>[ ,-]+)", re.IGNORECASE)
+
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
@@ -172,13 +183,18 @@ def _addresses(r: Rewrite) -> None:
 def _next_address(text: str, at: int) -> re.Match | None:
     """The next disguised address; looked for around at signs only, so that long words cost nothing."""
     for sign in _AT_SIGN.finditer(text, at):
-        start = sign.start()
-        while (m := _LOCAL_END.search(text, max(at, start - 64), start)) and m.start() > max(at, start - 64) - 1:
-            start = m.start()
+        start = free = sign.start()
+        while True:
+            begin = free
+            while begin > at and text[begin - 1] in _LOCAL:
+                begin -= 1
+            if begin == free:
+                break
+            start = begin
             dots = [d for d in _DOT_SIGN.finditer(text, max(at, start - 24), start) if d.end() == start]
             if not dots or dots[0].start() <= at:
                 break
-            start = dots[0].start()
+            free = dots[0].start()
         if start < sign.start() and (m := _ADDRESS.match(text, start)):
             return m
     return None
@@ -193,6 +209,31 @@ def _spelled_digits(r: Rewrite) -> None:
     r.replace(edits)
 
 
+def _mixed_digits(joins: bool) -> Callable[[Rewrite], None]:
+    """Digit words beside each other or digit groups; joins: a gap between a word and a group goes, too."""
+
+    def transduce(r: Rewrite) -> None:
+        edits = []
+        for run in _MIXED.finditer(r.text):
+            parts = list(_MIXED_PART.finditer(r.text, run.start(), run.end()))
+            if not any(p["digit"] for p in parts) or sum(1 if p["digit"] else len(p["plain"] or "") for p in parts) < LEAST_DIGIT_WORDS:
+                continue
+            for i, part in enumerate(parts):
+                if part["gap"]:
+                    words = sum(bool(p["digit"]) for p in (parts[i - 1], parts[i + 1]))
+                    if words == 2 or (words and joins):
+                        edits.append((part.start(), part.end(), ""))
+                elif not part["plain"] and part[0] != ".":
+                    edits.append((part.start(), part.end(), "+" if part["plus"] else "." if part["dot"] else DIGIT_WORDS[part["digit"].lower()]))
+        r.replace(edits)
+
+    return transduce
+
+
+def _digit_dots(r: Rewrite) -> None:
+    r.replace([(m.start(), m.end(), ".") for m in _DIGIT_DOT.finditer(r.text)])
+
+
 def _has_glyph(text: str) -> bool:
     """As ``_GLYPH.search``; texts in Latin-1 can hold two of the glyphs only."""
     if text.isascii():
@@ -205,26 +246,43 @@ def _has_glyph(text: str) -> bool:
 
 
 #: A transducer, and the test without which it changes nothing.
-TRANSDUCERS: tuple[tuple[Callable[[str], object], Callable[[Rewrite], None]], ...] = ((_has_glyph, _homoglyphs), (_SPELLED.search, _spelled_digits), (_BOXED_OR_DOT.search, _addresses))
+Steps = tuple[tuple[Callable[[str], object], Callable[[Rewrite], None]], ...]
+TRANSDUCERS: Steps = ((_has_glyph, _homoglyphs), (_SPELLED.search, _spelled_digits), (_BOXED_OR_DOT.search, _addresses))
+#: Other readings of digits. As each can hide what another shows ("5 one nine two dot ..." is 5 and 192, "1 nine 2 dot ..." is 192), all are tried.
+READINGS: tuple[Steps, ...] = tuple(((_has_glyph, _homoglyphs), (_BESIDE.search, _mixed_digits(joins)), (_DIGIT_DOT.search, _digit_dots), (_BOXED_OR_DOT.search, _addresses)) for joins in (False, True))
 
 
-def find(text: str) -> tuple[list[Span], list[Span]]:
-    """(plain finds, finds in disguise)."""
-    base = detect(text)
+def _rewritten(text: str, steps: Steps) -> Rewrite | None:
     r = None
-    for needs, transduce in TRANSDUCERS:
+    for needs, transduce in steps:
         if needs(r.text if r else text):
             r = r or Rewrite(text)
             transduce(r)
-    if r is None:
-        return base, []
-    added = []
-    for a, b, kind in detect(r.text):
-        if 1 in r.new[a:b]:
-            span = (r.start[a], r.end[b - 1], kind)
-            if all(span[1] <= x or y <= span[0] for x, y, _ in base):
-                added.append(span)
-    return base, sorted(set(added), key=lambda s: (s[0], s[2]))
+    return r
+
+
+def find(text: str) -> tuple[list[Span], list[Span]]:
+    """(plain finds, finds in disguise); of two readings of one stretch as the same kind, the longer."""
+    base = detect(text)
+    first = _rewritten(text, TRANSDUCERS)
+    plain = _rewritten(text, TRANSDUCERS[:1]) if _has_glyph(text) else None
+    digits = plain.text if plain else text
+    readings = [first]
+    if _DIGIT_DOT.search(digits) or _BESIDE.search(digits):
+        readings += [_rewritten(text, steps) for steps in READINGS]
+    added = set()
+    for r in readings:
+        for a, b, kind in detect(r.text) if r else ():
+            if 1 in r.new[a:b]:
+                span = (r.start[a], r.end[b - 1], kind)
+                if all(span[1] <= x or y <= span[0] for x, y, _ in base):
+                    added.add(span)
+    longest, reach = [], [0] * len(KINDS)
+    for a, b, kind in sorted(added, key=lambda s: (s[0], -s[1])):
+        if b > reach[kind]:
+            longest.append((a, b, kind))
+            reach[kind] = b
+    return base, sorted(longest, key=lambda s: (s[0], s[2]))
 
 
 def joined(spans: list[Span]) -> str:

@@ -50,6 +50,36 @@ def test_disguises(text, kind, found):
     assert base == plain(text) and f"[{kind.upper()}]" in pii.redact(text)
 
 
+@pytest.mark.parametrize(
+    "text,kind,found",
+    [
+        ("host 192 dot 168 dot 1 dot 10 is up", "ip", "192 dot 168 dot 1 dot 10"),
+        ("host 192 (dot) 168 (dot) 1 (dot) 10", "ip", "192 (dot) 168 (dot) 1 (dot) 10"),
+        ("host 192[.]168[.]1[.]10", "ip", "192[.]168[.]1[.]10"),
+        ("host one nine two [.] one six eight [.] 1 [.] 10", "ip", "one nine two [.] one six eight [.] 1 [.] 10"),
+        ("host 1 nine 2 dot 168 dot 1 dot one", "ip", "1 nine 2 dot 168 dot 1 dot one"),
+        ("room 5 one nine two dot one six eight dot one dot one", "ip", "one nine two dot one six eight dot one dot one"),
+        ("mail joe[@]example[.]com", "email", "joe[@]example[.]com"),
+        ("mail joe@example[.]com", "email", "joe@example[.]com"),
+        ("card 4111 1111 1111 11 one one", "card", "4111 1111 1111 11 one one"),
+        ("card 4111, 1111, 1111, 111 one", "card", None),
+        ("call +1 555 dot 123 dot 4567", "phone", "+1 555 dot 123 dot 4567"),
+        ("to first dot " + "x" * 80 + " [at] example (dot) com", "email", "first dot " + "x" * 80 + " [at] example (dot) com"),
+        ("to " + "long.name" * 30 + " [at] example (dot) com", "email", "long.name" * 30 + " [at] example (dot) com"),
+    ],
+)
+def test_disguised_signs_and_mixed_digits(text, kind, found):
+    base, added = pii.find(text)
+    got = [text[a:b] for a, b, k in added if pii.KINDS[k] == kind]
+    assert got == ([found] if found else []) and base == plain(text)
+    assert found is None or found not in pii.redact(text)
+
+
+def test_other_readings_are_quick():
+    for text in ("one 1 " * 30_000, "1 dot " * 30_000, "1[.]" * 40_000, "a dot " * 30_000 + "[at] b.c", "at dot " * 30_000, "a" * 200_000 + "[@]" * 1000, "1, one. " * 20_000):
+        pii.find(text)
+
+
 @pytest.mark.parametrize("text", ["", "at the one. At er on two", "one two three", "look at this. dot", "meet me at noon dot", "a | b at c"])
 def test_clean_texts(text):
     assert pii.find(text) == ([], []) and pii.redact(text) == text

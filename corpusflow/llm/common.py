@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +16,9 @@ import pyarrow.compute
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+T = TypeVar("T")
 
 #: Documents handled at once inside a Python worker; bounds its memory whatever the Arrow batch holds.
 SLICE_ROWS = 512
@@ -24,9 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI; ``spark.checkpoint.dir`` of the session."""
+    """The folder that driver and executors share, as a URI; ``spark.checkpoint.dir`` of the session. Only a local session, where all run on one machine, may do without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "/tmp/corpusflow-shared"
         spark.sparkContext.setCheckpointDir(root)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
@@ -50,6 +59,10 @@ def clear_workspaces(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bytes of a row group of intermediate tables: what a writing task holds back, and a reading one takes at once.
+ROW_GROUP = 16 << 20
+
+
 def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Write once to the shared workspace and read back: cuts lineage and survives lost executors.
 
@@ -57,7 +70,7 @@ def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """
     spark, schema = df.sparkSession, df.schema
     path = workspace(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     if free:
         del df
         gc.collect()
@@ -85,6 +98,48 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows and bytes of an Arrow batch between the JVM and Python.
+BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow; the session's batches become small ones, as a batch of very long texts would fill a worker."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = re.match(r"\d+$", str(conf.get(key, None)))
+        if now is None or not 0 < int(now[0]) <= most:
+            conf.set(key, most)
+    return df.mapInArrow(fn, schema)
+
+
+_RESIDENT: dict[str, object] = {}
+
+
+def resident(name: str, build: Callable[[], T]) -> T:
+    """What this Python worker keeps between tasks under a name: one thing at a time, so that what other stages left behind makes room."""
+    if name not in _RESIDENT:
+        _RESIDENT.clear()
+        trim()
+        _RESIDENT[name] = build()
+    return _RESIDENT[name]
+
+
+def trim() -> None:
+    """Give memory that is free back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def fresh_name(taken: Iterable[str], wish: str) -> str:
+    """A column name like wish that isn't taken."""
+    low = {c.lower() for c in taken}
+    while wish.lower() in low:
+        wish += "_"
+    return wish
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """Any store that pyarrow knows (file, hdfs, s3, gs) by its URI."""
     if "://" not in uri and not uri.startswith("file:"):
@@ -101,9 +156,9 @@ def texts_only(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def sample(df: DataFrame, id_col: str, rows: int) -> DataFrame:
-    """The rows with the smallest hashed ids, about ``rows`` at most; ids are picked before anything wide is read."""
+    """Rows with the smallest hashed ids, ``rows`` at most, also where ids repeat; ids are picked before anything wide is read."""
     picked = df.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(rows)
-    return df.join(F.broadcast(picked), id_col, "left_semi")  # broadcast: at most ``rows`` numbers
+    return df.join(F.broadcast(picked), id_col, "left_semi").limit(rows)  # broadcast: at most ``rows`` numbers
 
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
@@ -133,7 +188,7 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
                 if out is not None:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def text_list(batch: pa.RecordBatch, column: str = "text") -> list[str]:
@@ -157,7 +212,7 @@ def keep_rows(docs: DataFrame, keeps: Callable[[list[bytes]], np.ndarray], text_
             for part in slices(batch, text_col):
                 yield part.filter(pa.array(keeps(bytes_list(part, text_col)), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def change_texts(docs: DataFrame, change: Callable[[str], str], text_col: str = "text") -> DataFrame:
@@ -170,4 +225,4 @@ def change_texts(docs: DataFrame, change: Callable[[str], str], text_col: str =
                 new = pa.array([None if t is None else change(t) for t in part.column(at).to_pylist()], part.schema.field(at).type)
                 yield part.set_column(at, part.schema.field(at), new)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -6,37 +6,49 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm import common
 
-#: Links up to which one task of an executor finds the components (16 bytes a link).
+#: Links up to which one task of an executor finds the components (about 100 bytes a link).
 ONE_TASK = 1_000_000
 
 
 def _union_find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parent: dict[int, int] = {}
+    """Members and the smallest of their component; members are numbered in their order first, so that only small numbers are linked."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    ends = pa.chunked_array([b.column(k) for k in (0, 1) for b in held]).combine_chunks().dictionary_encode()
+    order = pa.compute.sort_indices(ends.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    number = place[ends.indices.to_numpy()]
+    parent = list(range(len(order)))
 
     def root(x: int) -> int:
         top = x
-        while (up := parent.get(top, top)) != top:
-            top = up
+        while parent[top] != top:
+            top = parent[top]
         while x != top:
-            parent[x], x = top, parent.get(x, x)
+            parent[x], x = top, parent[x]
         return top
 
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            x, y = root(a), root(b)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-    members = np.array([x for x in parent if root(x) != x], np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(members), pa.array([root(x) for x in members.tolist()], pa.int64())], ["a", "b"])
+    half = len(number) // 2
+    for a, b in zip(number[:half].tolist(), number[half:].tolist(), strict=True):
+        x, y = root(a), root(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+    least = np.array([root(x) for x in range(len(parent))], np.int64)
+    members = np.flatnonzero(least != np.arange(len(least)))
+    values = ends.dictionary
+    yield pa.RecordBatch.from_arrays([values.take(pa.array(order[members])), values.take(pa.array(order[least[members]]))], ["a", "b"])
 
 
 def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
-    """links (a, b) to rows (a, b): each member but the smallest of its component, and that smallest one.
+    """links (a, b; of any kind that has an order) to rows (a, b): each member but the smallest of its component, and that smallest one.
 
     Few links, counted first, go to one task. More take alternating large and small stars (Kiveris et al., 2014):
     each round moves every link towards the smallest member near it, the number of rounds grows with the
@@ -44,7 +56,7 @@ def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """
     pairs = common.materialize(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     if pairs.count() <= one_task:
-        return common.materialize(pairs.coalesce(1).mapInArrow(_union_find, "a long, b long"), "links")
+        return common.materialize(common.map_arrow(pairs.coalesce(1), _union_find, pairs.schema), "links")
     before = None
     while True:
         now = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

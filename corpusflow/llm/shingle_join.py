@@ -2,39 +2,41 @@
 
 Documents are sets of distinct word n-grams; two link when 100 * intersection >=
 percent * union. The result is each document's set size and the smallest id that links
-reach from it. It is exact (n-grams are compared by 64-bit hashes):
+reach from it. It is exact (n-grams are compared by 64-bit hashes, sets by 128-bit digests):
 
-1. Every text is shingled once. Equal sets collapse to their smallest document, by a
-   128-bit digest. All n-grams are counted where they meet, in packed blocks of 8 bytes an
-   n-gram: a link needs so many shared n-grams that a document most of whose n-grams occur
-   nowhere else has none. What remains are the likely copies.
+1. Every text is shingled once. Equal sets collapse to one, by their digest. All n-grams are
+   counted where they meet, in packed blocks of 8 bytes an n-gram: a link needs so many
+   shared n-grams that a set most of whose n-grams are in no other set has none. What
+   remains are the likely copies.
 2. Those are shingled again. In the order of how many sets hold an n-gram, rarest first, two
    linked sets share one of their first n - ceil(p * n) + 1 n-grams (prefix filter).
-   Documents that share one, directly or by way of others, make a block.
-3. Within a block, each document asks an inverted index for those that occur in at least T
+   Sets that share one, directly or by way of others, make a block.
+3. Within a block, each set asks an inverted index for those that occur in at least T
    of its lists: short lists are heap-merged, long ones binary-probed. Pairs that found
    links already connect are not asked for again.
-4. Blocks too large for one task go a longer way: some documents of each, picked by hash,
-   ask all others, chunk by chunk, which connects most of what is alike; then each document
-   that isn't connected with most of its block asks all others, chunk against chunk.
+4. Blocks too large for one task go a longer way: some sets of each, picked by hash, ask all
+   others, chunk by chunk, which connects most of what is alike. Prefix n-grams whose sets are
+   connected by then are done with; those left make smaller blocks. Where such a block is still
+   too large, each set that isn't connected with most of it asks all others of fitting size,
+   chunk against chunk, in bands of size.
 
 No candidate is dropped anywhere. Null and empty texts have no n-grams and link with
 nothing. Texts of fewer words than n have one, all their words. Repeated rows come back
-row by row; rows of one id are one document, linked by any of its texts. Rows without an
-id are left out.
+row by row; rows of one id are one document, linked by any of its texts, each with its own
+set's size. Rows without an id are left out. An empty table makes no rows.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
+import math
+import tempfile
 from collections.abc import Iterable, Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.llm import common
@@ -44,12 +46,12 @@ WORDS = 5
 PERCENT = 75
 #: N-grams that a task gathers before it sends them off (8 bytes each).
 FLUSH = 1_000_000
-#: Stored input for which there is a part of the n-grams.
-PART_BYTES = 25_000_000
+#: Stored input for which there is a part of the n-grams; a task gathers about twice as much.
+PART_BYTES = 16_000_000
 #: Documents and n-grams of a block that one task searches; of what is more, the chunks.
 BLOCK_DOCS, BLOCK_GRAMS = 400, 600_000
-#: Documents of a large block that ask all others in a round, and rounds. Neither changes what is found, only how soon.
-ASKING, ROUNDS = 256, 1
+#: Sets of a large block that ask all others first. It doesn't change what is found, only how soon.
+ASKING = 256
 
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -91,30 +93,38 @@ def _part_of(grams: np.ndarray, parts: int) -> np.ndarray:
 
 
 _KEY = np.uint64((1 << 40) - 1)
-_RAW = "kind int, part int, doc_id long, n int, sig binary, grams binary"
+_RAW = "kind int, part int, doc_id long, key long, n int, sig binary, grams binary"
+
+
+def _key_of(sig: bytes) -> int:
+    """Half of a set's digest, by which the count tells sets apart."""
+    return int.from_bytes(sig[:8], "little", signed=True)
 
 
 def _spread(docs: DataFrame, n: int, parts: int) -> DataFrame:
-    """kind 0: a document, its set's size and digest. kind 1: n-grams of a task's different sets that belong to a part, each with the place of its document among doc ids that precede them."""
+    """kind 0: a document, its set's size and digest. kind 1: n-grams of a task's different sets that belong to a part, in ascending order, each with the place of its set among the n keys that precede them."""
     names = [f.split()[0] for f in _RAW.split(", ")]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
-    def rows(kind, part, doc, size, sig, grams) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(part), pa.int32()), pa.array(part, pa.int32()), pa.array(doc, pa.int64()), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), pa.array(grams, pa.binary())], names)
+    def rows(many: int, **col) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(col[k], t) if k in col else pa.nulls(many, t) for k, t in zip(names, types, strict=True)], names)
 
     def flush(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        doc_ids = np.array([d for d, _ in held], np.int64)
+        keys = np.array([k for k, _ in held], np.int64)
         place = np.repeat(np.arange(len(held), dtype=np.uint64), [len(g) for _, g in held])
         grams = np.concatenate([g for _, g in held])
-        part = _part_of(grams, parts).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.diff(part[order])) + 1
-        for at in np.split(order, cuts):
-            used, local = np.unique(place[at], return_inverse=True)
-            body = (grams[at] & _KEY) << np.uint64(24) | local.astype(np.uint64)
-            yield rows(1, [int(part[at[0]])], [0], [len(used)], [b""], [doc_ids[used].tobytes() + body.tobytes()])
+        part = _part_of(grams, parts)
+        grams &= _KEY
+        order = np.argsort(part << np.uint64(40) | grams)
+        place, grams, part = place[order], grams[order], part[order].astype(np.int32)
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            used, local = np.unique(place[a:b], return_inverse=True)
+            body = grams[a:b] << np.uint64(24) | local.astype(np.uint64)
+            yield rows(1, kind=[1], part=[int(part[a])], n=[len(used)], grams=[keys[used].tobytes() + body.tobytes()])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[int] = set()
         held: list[tuple[int, np.ndarray]] = []
         waiting = 0
         for batch in batches:
@@ -122,11 +132,12 @@ def _spread(docs: DataFrame, n: int, parts: int) -> DataFrame:
                 doc = common.ids_of(piece).to_pylist()
                 sets = shingle_sets(common.bytes_list(piece), n)
                 sigs = [signature(s) for s in sets]
-                yield rows(0, [d % parts for d in doc], doc, [len(s) for s in sets], sigs, [None] * len(doc))
-                for d, s, sig in zip(doc, sets, sigs, strict=True):
-                    if len(s) and sig not in seen:
-                        seen.add(sig)
-                        held.append((d, s))
+                keys = [_key_of(x) for x in sigs]
+                yield rows(len(doc), kind=[0] * len(doc), part=[d % parts for d in doc], doc_id=doc, key=keys, n=[len(s) for s in sets], sig=sigs)
+                for k, s in zip(keys, sets, strict=True):
+                    if len(s) and k not in seen:
+                        seen.add(k)
+                        held.append((k, s))
                         waiting += len(s)
                 if waiting >= FLUSH or len(held) >= 1 << 23:
                     yield from flush(held)
@@ -134,60 +145,98 @@ def _spread(docs: DataFrame, n: int, parts: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return docs.mapInArrow(run, _RAW)
-
-
-_COUNTED = "kind int, doc_id long, n int, sig binary, part int, shared int, holders binary"
+    return common.map_arrow(docs, run, _RAW)
+
+
+_COUNTED = "kind int, doc_id long, key long, n int, sig binary, part int, shared int, holders binary"
+
+#: N-grams counted at once, and bytes that a task gathers before the rest goes to a file.
+COUNT_AT_ONCE, GATHER_BYTES = 1_000_000, 192 << 20
+
+
+class _Blobs:
+    """What a part's task gathers: (keys of sets, n-grams), beyond some bytes in a file without a name that maps to memory."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.bytes = 0
+        self.file = None
+
+    def add(self, raw: pa.Buffer, n: int) -> None:
+        self.bytes += raw.size
+        if self.bytes > GATHER_BYTES:
+            self.file = self.file or tempfile.TemporaryFile()
+            at = self.file.seek(0, 2)
+            self.file.write(raw)
+            self.file.flush()
+            both = np.memmap(self.file, np.uint64, "r", at, raw.size // 8)
+            self.held.append((both[:n].view(np.int64), both[n:]))
+        else:  # stays where Arrow put it
+            self.held.append((np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint64, offset=8 * n)))
+
+
+def _holders(blobs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """Of each n-gram of each blob, in how many different sets it is (255: or more); 0 for a set that an earlier blob has."""
+    every = np.concatenate([keys for keys, _ in blobs])
+    first = np.zeros(len(every), bool)
+    first[np.unique(every, return_index=True)[1]] = True
+    ends = np.cumsum([len(keys) for keys, _ in blobs])
+    own = [first[end - len(keys) : end] for end, (keys, _) in zip(ends.tolist(), blobs, strict=True)]
+    out = [np.zeros(len(body), np.uint8) for _, body in blobs]
+    at, low = [0] * len(blobs), (1 << 24) - 1
+    slices = max(1, sum(len(body) for _, body in blobs) // COUNT_AT_ONCE)
+    for k in range(1, slices + 1):
+        top = (k << 40) // slices  # n-grams below this; blobs are in ascending order
+        stops = [len(body) if k == slices else int(np.searchsorted(body, np.uint64(top << 24))) for _, body in blobs]
+        some = [np.asarray(body[a:b]) for (_, body), a, b in zip(blobs, at, stops, strict=True)]
+        alive = [mine[(x & np.uint64(low)).astype(np.int64)] for mine, x in zip(own, some, strict=True)]
+        grams = np.concatenate([x[y] >> np.uint64(24) for x, y in zip(some, alive, strict=True)])
+        if len(grams):
+            order = np.argsort(grams, kind="stable")
+            start = np.flatnonzero(np.concatenate([[True], np.diff(grams[order]) != 0]))
+            count = np.diff(np.concatenate([start, [len(grams)]]))
+            many = np.empty(len(grams), np.uint8)
+            many[order] = np.repeat(np.minimum(count, 255).astype(np.uint8), count)
+            done = 0
+            for x, a, b, y in zip(out, at, stops, alive, strict=True):
+                n = int(y.sum())
+                x[a:b][y] = many[done : done + n]
+                done += n
+        at = stops
+    return out
 
 
 def _count(spread: DataFrame, parts: int) -> DataFrame:
-    """kind 0: as before. kind 1: of a document's n-grams in a part, in ascending order, in how many sets each is (a byte, 255: or more), if any is in two; and how many are."""
+    """kind 0: as before. kind 1: of a set's n-grams in a part, in ascending order of their low 40 bits, in how many sets each is (a byte, 255: or more), if any is in two; and how many are."""
     names = [f.split()[0] for f in _COUNTED.split(", ")]
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
     def rows(many: int, **col) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(col[k], t) if k in col else pa.nulls(many, t) for k, t in zip(names, types, strict=True)], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: list[tuple[int, np.ndarray, np.ndarray]] = []
+        gathered: dict[int, _Blobs] = {}
         for batch in batches:
             kind = batch.column(0).to_numpy()
             own = batch.filter(pa.array(kind == 0))
             if own.num_rows:
-                yield rows(own.num_rows, kind=own.column(0), doc_id=own.column(2), n=own.column(3), sig=own.column(4))
+                yield rows(own.num_rows, kind=own.column(0), doc_id=own.column(2), key=own.column(3), n=own.column(4), sig=own.column(5))
             sent = batch.filter(pa.array(kind == 1))
-            for part, n, grams in zip(sent.column(1).to_pylist(), sent.column(3).to_pylist(), sent.column(5), strict=True):
-                raw = grams.as_buffer()  # stays where Arrow put it
-                blobs.append((part, np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint64, offset=8 * n)))
-        blobs.sort(key=lambda b: b[0])
-        for part, same in groupby(blobs, key=lambda b: b[0]):
-            group = [(docs, body) for _, docs, body in same]
-            key = np.concatenate([body >> np.uint64(24) for _, body in group])
-            holders = np.empty(len(key), np.uint8)
-            slot = (key >> np.uint64(36)).astype(np.uint8)
-            for k in range(16):  # a slice of the keys at a time, so that sorting takes little memory
-                mine = np.flatnonzero(slot == k)
-                if len(mine):
-                    some = key[mine]
-                    order = np.argsort(some, kind="stable")
-                    some = some[order]
-                    start = np.flatnonzero(np.concatenate([[True], some[1:] != some[:-1]]))
-                    count = np.diff(np.concatenate([start, [len(some)]]))
-                    holders[mine[order]] = np.repeat(np.minimum(count, 255).astype(np.uint8), count)
-            del key, slot
-            at = 0
-            for docs, body in group:
-                mine, held = (body & np.uint64((1 << 24) - 1)).astype(np.int64), holders[at : at + len(body)]
-                at += len(body)
-                shared = np.bincount(mine[held > 1], minlength=len(docs))
+            for part, n, grams in zip(sent.column(1).to_pylist(), sent.column(4).to_pylist(), sent.column(6), strict=True):
+                gathered.setdefault(part, _Blobs()).add(grams.as_buffer(), n)
+        for part in sorted(gathered):
+            blobs = gathered.pop(part).held
+            for (keys, body), held in zip(blobs, _holders(blobs), strict=True):
+                mine = (np.asarray(body) & np.uint64((1 << 24) - 1)).astype(np.int64)
+                shared = np.bincount(mine[held > 1], minlength=len(keys))
                 have = np.flatnonzero(shared)
                 if len(have):
-                    stop = np.cumsum(np.bincount(mine, minlength=len(docs)))
-                    start_of = np.concatenate([[0], stop[:-1]])
+                    stop = np.cumsum(np.bincount(mine, minlength=len(keys)))
+                    start = np.concatenate([[0], stop[:-1]])
                     packed = held[np.argsort(mine, kind="stable")].tobytes()
-                    yield rows(len(have), kind=np.ones(len(have), np.int32), doc_id=docs[have], part=np.full(len(have), part, np.int32), shared=shared[have].astype(np.int32), holders=[packed[x:y] for x, y in zip(start_of[have].tolist(), stop[have].tolist(), strict=True)])
+                    yield rows(len(have), kind=np.ones(len(have), np.int32), key=keys[have], part=np.full(len(have), part, np.int32), shared=shared[have].astype(np.int32), holders=[packed[x:y] for x, y in zip(start[have].tolist(), stop[have].tolist(), strict=True)])
 
-    return spread.repartitionById(parts, "part").mapInArrow(run, _COUNTED)
+    return common.map_arrow(spread.repartitionById(parts, "part"), run, _COUNTED)
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -233,12 +282,13 @@ def divide_skip(lists: list[np.ndarray], t: int) -> tuple[np.ndarray, np.ndarray
     return member[count >= t], count[count >= t]
 
 
-def search(sets: list[np.ndarray], label: list[int], queries: range, index: range, percent: int) -> list[tuple[int, int]]:
+def search(sets: list[np.ndarray], label: list, queries: range, index: range, percent: int) -> list[tuple[int, int]]:
     """Links, as places, between queries and index that connect what labels and links found before don't; as many as connect all that is linked."""
     if not len(index):
         return []
     size = np.array([len(s) for s in sets], np.int64)
-    root = np.unique(np.array(label), return_inverse=True)[1]
+    number: dict = {}
+    root = np.array([number.setdefault(x, len(number)) for x in label], np.int64)
     grams = np.concatenate([sets[i] for i in index])
     owner = np.repeat(np.arange(index.start, index.stop), size[index.start : index.stop])
     order = np.lexsort((owner, grams))
@@ -264,153 +314,182 @@ def search(sets: list[np.ndarray], label: list[int], queries: range, index: rang
     return found
 
 
-_LINKS = "a long, b long"
+_LINKS = "a binary, b binary"
 
 
 def _search_group(percent: int):
-    """A group's rows: rep, label, side (0: asks, 1: is asked, 2: both), grams."""
+    """A group's rows: sig, label, side (0: asks, 1: is asked, 2: both), grams."""
 
     def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("side", "ascending"), ("rep", "ascending")])  # an asking document may stand among the asked ones too
-        rep, side = group["rep"].to_pylist(), group["side"].to_pylist()
+        group = group.sort_by([("side", "ascending"), ("sig", "ascending")])  # an asking set may stand among the asked ones too
+        sig, side = group["sig"].to_pylist(), group["side"].to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in group["grams"].to_pylist()]
         asks = side.count(0)
-        links = search(sets, group["label"].to_pylist(), range(asks) if asks else range(len(rep)), range(asks, len(rep)), percent)
-        return pa.table({"a": pa.array([rep[i] for i, _ in links], pa.int64()), "b": pa.array([rep[j] for _, j in links], pa.int64())})
+        links = search(sets, group["label"].to_pylist(), range(asks) if asks else range(len(sig)), range(asks, len(sig)), percent)
+        return pa.table({"a": pa.array([sig[i] for i, _ in links], pa.binary()), "b": pa.array([sig[j] for _, j in links], pa.binary())})
 
     return run
 
 
 def _grouped_search(members: DataFrame, sets: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links that the tasks find; members: keys, rep, label, side."""
-    full = members.join(sets.select("rep", "grams"), "rep").select(*keys, "rep", "label", "side", "grams")
+    """Links that the tasks find; members: keys, sig, label, side."""
+    full = members.join(sets.select("sig", "grams"), "sig").select(*keys, "sig", "label", "side", "grams")
     return full.groupBy(*keys).applyInArrow(_search_group(percent), _LINKS)
 
 
-def _copies(docs: DataFrame, reps: DataFrame, n: int, parts: int, percent: int) -> DataFrame:
-    """rep, n, grams, prefix of the sets that may have links; reps: rep, sig, held (how many sets hold its n-grams, by part)."""
-    names = ["rep", "sig", "n", "grams", "prefix"]
+def _copies(docs: DataFrame, able: DataFrame, n: int, parts: int, percent: int) -> DataFrame:
+    """sig, key, n, grams, prefix of the sets that may have links; able: rep (a document that has the set), sig, held (how many sets hold its n-grams, by part)."""
+    names = ["sig", "key", "n", "grams", "prefix"]
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(common.bytes_list(part), n)
+        sigs = [signature(s) for s in sets]
+        # of an id with several texts only the one that was asked for is meant
+        mine = [i for i, wanted in enumerate(part.column(part.schema.get_field_index("sig")).to_pylist()) if wanted == sigs[i]]
+        held = part.column(part.schema.get_field_index("held")).to_pylist()
         prefix = []
-        for s, held in zip(sets, part.column("held").to_pylist(), strict=True):
-            of = _part_of(s, parts).astype(np.int64)
-            order = np.argsort(of, kind="stable")
-            first = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=parts))])
+        for i in mine:
+            s = sets[i]
+            of = _part_of(s, parts)
+            order = np.argsort(of << np.uint64(40) | s & _KEY)
+            first = np.concatenate([[0], np.cumsum(np.bincount(of.astype(np.int64), minlength=parts))])
             holders = np.ones(len(s), np.uint8)
-            for h in held:
-                at = order[first[h["part"]] : first[h["part"] + 1]]
-                if len(at) == len(h["holders"]):  # else it is another text of that id
-                    holders[at] = np.frombuffer(h["holders"], np.uint8)
+            for h in held[i]:
+                holders[order[first[h["part"]] : first[h["part"] + 1]]] = np.frombuffer(h["holders"], np.uint8)
             rare = np.argsort(holders, kind="stable")[: len(s) - least_overlap(len(s), percent) + 1]
             prefix.append(s[rare].view(np.int64))
-        return pa.RecordBatch.from_arrays([common.ids_of(part), pa.array([signature(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(prefix, pa.list_(pa.int64()))], names)
+        columns = [pa.array([sigs[i] for i in mine], pa.binary()), pa.array([_key_of(sigs[i]) for i in mine], pa.int64()), pa.array([len(sets[i]) for i in mine], pa.int32()), pa.array([sets[i].tobytes() for i in mine], pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names)
 
-    wanted = reps.select(F.col("rep").alias("doc_id"), "held")
+    wanted = able.select(F.col("rep").alias("doc_id"), "sig", "held")
     texts = docs.join(common.broadcast_if_small(wanted.select("doc_id")), "doc_id", "left_semi").join(wanted, "doc_id")
-    made = common.map_slices(texts.select("doc_id", "text", "held"), run, "rep long, sig binary, n int, grams binary, prefix array<long>")
-    return made.join(reps.select("rep", "sig"), ["rep", "sig"], "left_semi").dropDuplicates(["rep", "sig"]).drop("sig")
+    made = common.map_slices(texts.select("doc_id", "text", "sig", "held"), run, "sig binary, key long, n int, grams binary, prefix array<long>")
+    return made.dropDuplicates(["sig"])
 
 
-def _parts(docs: DataFrame) -> int:
-    """Parts that n-grams are dealt into: one for 25 MB of stored input, as far as known, and half of the shuffle partitions at most."""
+def _parts(docs: DataFrame, part_bytes: int) -> int:
+    """Parts that n-grams are dealt into, by the bytes of the stored input; as many as there are shuffle partitions where these aren't known."""
     size = common.stored_bytes(docs)
-    most = max(8, common.shuffle_partitions(docs.sparkSession) // 2)
-    return most if size is None else min(most, max(8, size // PART_BYTES))
+    return common.shuffle_partitions(docs.sparkSession) if size is None else max(1, -(-size // part_bytes))
 
 
-def linked_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def linked_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     texts = common.texts_only(docs, id_col, text_col, named=True)
-    parts = _parts(docs)
+    parts = _parts(docs, part_bytes)
     counted = common.materialize(_count(_spread(texts, n, parts), parts), "shingles-counted", free=True)
-    own = counted.where("kind = 0").select("doc_id", "n", "sig")
-    shared = counted.where("kind = 1").select("doc_id", "part", "shared", "holders")
-    able = own.where("n > 0").join(shared.groupBy("doc_id").agg(F.sum("shared").alias("shared")), "doc_id").where(F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("n"))
-    able = common.materialize(able.groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "shingles-able")
-    held = shared.join(common.broadcast_if_small(able.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("part", "holders")).alias("held"))
-    held = held.join(able, "doc_id").select("sig", "held")
-    reps = own.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    reps = common.materialize(reps.join(held, "sig", "left"), "shingles-reps")
-    sets = common.materialize(_copies(texts, reps.where("held IS NOT NULL"), n, parts, percent), "shingles-sets", free=True)
-
-    prefixes = sets.select("rep", "n", F.explode("prefix").alias("gram"))
-    meeting = prefixes.groupBy("gram").agg(F.min("rep").alias("first"), F.count("*").alias("met")).where("met > 1")
-    meets = common.materialize(prefixes.join(meeting, "gram").where("rep != first").groupBy("rep", "first").agg(F.count("*").alias("times")), "shingles-meets")
-    block = components(meets.select(F.col("rep").alias("a"), F.col("first").alias("b")))  # a, b: member, block
-    blocks = block.select(F.col("a").alias("rep"), F.col("b").alias("block"))
-    blocks = blocks.union(blocks.select(F.col("block").alias("rep"), "block").distinct())
-    blocks = blocks.join(sets.select("rep", "n"), "rep")
-    weight = blocks.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("grams"))
-    large = (F.col("docs") > BLOCK_DOCS) | (F.col("grams") > BLOCK_GRAMS)
-    blocks = common.materialize(blocks.join(weight.select("block", large.alias("large")), "block"), "shingles-blocks")
-    self_label = F.col("rep").alias("label")
-    small = blocks.where("NOT large").select("block", "rep", self_label, F.lit(2).alias("side"))
+    own = counted.where("kind = 0").select("doc_id", "key", "n", "sig")
+    shared = counted.where("kind = 1").select("key", "part", "shared", "holders")
+    reps = own.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("key").alias("key"), F.first("n").alias("n"))
+    able = reps.join(shared.groupBy("key").agg(F.sum("shared").alias("shared")), "key").where(F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("n"))
+    able = common.materialize(able.select("sig", "rep", "key"), "shingles-able")
+    held = shared.join(common.broadcast_if_small(able.select("key")), "key", "left_semi").groupBy("key").agg(F.collect_list(F.struct("part", "holders")).alias("held"))
+    sets = common.materialize(_copies(texts, able.join(held, "key"), n, parts, percent), "shingles-sets", free=True)
+
+    blocks = _blocks(sets)
+    small = blocks.where("NOT large").select("block", "sig", F.col("sig").alias("label"), F.lit(2).alias("side"))
     links = common.materialize(_grouped_search(small, sets, ["block"], percent), "shingles-links")
-
     if blocks.where("large").limit(1).count():
-        hot = blocks.where("large").select("block", "rep", "n")
-        label = hot.select("rep", F.col("rep").alias("label"))
-        for number in range(ROUNDS):
-            links = common.materialize(links.union(_some_ask(hot, label, sets, number, percent)), "shingles-some")
-            label = _labels(hot, links)
-        links = common.materialize(links.union(_rest_asks(hot, label, sets, percent)), "shingles-rest")
+        hot = blocks.where("large").select("block", "sig", "n")
+        links = common.materialize(links.union(_some_ask(hot, sets, percent)), "shingles-some")
+        label = _labels(hot, links)
+        left = _blocks(sets, label)
+        some = left.where("NOT large").select("block", "sig", "label", F.lit(2).alias("side"))
+        links = links.union(_grouped_search(some, sets, ["block"], percent))
+        if left.where("large").limit(1).count():
+            links = links.union(_rest_asks(left.where("large").select("block", "sig", "n", "label"), sets, percent))
+        links = common.materialize(links, "shingles-rest")
+
+    several = own.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a != b").select("doc_id")
+    several = common.materialize(several, "shingles-several")
+    again = several.limit(1).count() > 0  # ids with more than one set
+    if again:
+        theirs = own.where("n > 0").join(several, "doc_id", "left_semi")
+        links = links.union(theirs.join(theirs.groupBy("doc_id").agg(F.min("sig").alias("b")), "doc_id").select(F.col("sig").alias("a"), "b"))
+    reached = components(links).select(F.col("a").alias("sig"), F.col("b").alias("root"))
+    reached = reached.union(reached.select(F.col("root").alias("sig"), "root").distinct())
+    least = reached.join(reps.select("sig", "rep"), "sig").groupBy("root").agg(F.min("rep").alias("component_id"))
+    found = reps.select("sig", "rep").join(reached.join(least, "root").select("sig", "component_id"), "sig", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id"))
+    out = own.join(found, "sig", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    if again:
+        out = common.materialize(out, "shingles-out")
+        one = out.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("one"))
+        out = out.join(one, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("one", "component_id").alias("component_id"))
+    return out
 
-    reached = components(links).select(F.col("a").alias("rep"), F.col("b").alias("component_id"))
-    root = reps.join(reached, "rep", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id"))
-    return own.join(root, "sig", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
+def _blocks(sets: DataFrame, label: DataFrame | None = None) -> DataFrame:
+    """block, sig, n, large (and label) of the sets that share prefix n-grams, directly or by way of others.
 
-def _labels(hot: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links).select(F.col("a").alias("rep"), F.col("b").alias("label"))
-    return common.materialize(hot.join(found, "rep", "left").select("rep", F.coalesce("label", "rep").alias("label")), "shingles-labels")
+    label: sig, label; only sets that have one take part, and only n-grams whose sets differ in it count.
+    Sets go by half of their digest here: two of one half would share a block, which harms nothing.
+    """
+    every = sets.select("sig", "key", "n", "prefix")
+    if label is None:
+        grams = every.select("key", F.explode("prefix").alias("gram"))
+        meeting = grams.groupBy("gram").agg(F.min("key").alias("first"), F.count("*").alias("met")).where("met > 1")
+    else:
+        every = every.join(label, "sig")
+        grams = every.select("key", F.xxhash64("label").alias("label"), F.explode("prefix").alias("gram"))
+        meeting = grams.groupBy("gram").agg(F.min("key").alias("first"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    meets = grams.join(meeting.select("gram", "first"), "gram").where("key != first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    block = components(meets).select(F.col("a").alias("key"), F.col("b").alias("block"))
+    block = block.union(block.select(F.col("block").alias("key"), "block").distinct())
+    block = block.join(every.drop("prefix"), "key").drop("key")
+    weight = block.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("grams"))
+    large = (F.col("docs") > BLOCK_DOCS) | (F.col("grams") > BLOCK_GRAMS)
+    return common.materialize(block.join(weight.select("block", large.alias("large")), "block"), "shingles-blocks")
 
 
-def _chunks() -> Column:
-    """Of docs and grams: into how many chunks they go; no more than there are documents."""
-    return F.least("docs", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("grams") / BLOCK_GRAMS))).cast("int")
+def _labels(hot: DataFrame, links: DataFrame) -> DataFrame:
+    found = components(links).select(F.col("a").alias("sig"), F.col("b").alias("label"))
+    return common.materialize(hot.join(found, "sig", "left").select("sig", F.coalesce("label", "sig").alias("label")), "shingles-labels")
 
 
-def _load(rows: DataFrame, name: str) -> DataFrame:
-    """Each block's number of chunks, and of documents (name_docs)."""
-    return rows.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("grams")).select("block", _chunks().alias(name), F.col("docs").alias(f"{name}_docs"))
+def _load(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """How many chunks the documents of each group go to, no more than there are documents; and the documents (name_docs)."""
+    chunks = F.least("docs", F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("grams") / BLOCK_GRAMS))).cast("int")
+    return rows.groupBy(*by).agg(F.count("*").alias("docs"), F.sum("n").alias("grams")).select(*by, chunks.alias(name), F.col("docs").alias(f"{name}_docs"))
 
 
-def _dealt(rows: DataFrame, name: str, to: str) -> DataFrame:
-    """rows with their chunk: in turn, largest first, where a block has few documents, as a hash would leave chunks empty; by hash where it has many."""
-    hashed = F.pmod(F.xxhash64("rep"), F.col(name)).cast("int")
+def _dealt(rows: DataFrame, by: list[str], name: str, to: str) -> DataFrame:
+    """rows with their chunk: in turn, largest first, where a group has few documents, as a hash would leave chunks empty; by hash where it has many."""
+    hashed = F.pmod(F.xxhash64("sig"), F.col(name)).cast("int")
     few = F.col(f"{name}_docs") <= BLOCK_DOCS
-    turn = F.row_number().over(Window.partitionBy("block", F.when(few, -1).otherwise(hashed)).orderBy(F.desc("n"), "rep"))
+    turn = F.row_number().over(Window.partitionBy(*by, F.when(few, -1).otherwise(hashed)).orderBy(F.desc("n"), "sig"))
     return rows.withColumn(to, F.when(few, (turn - 1) % F.col(name)).otherwise(hashed).cast("int"))
 
 
-def _some_ask(hot: DataFrame, label: DataFrame, sets: DataFrame, number: int, percent: int) -> DataFrame:
-    """In large blocks: some documents ask those that aren't connected with most of the block yet, in chunks."""
-    rows = hot.join(label, "rep")
-    each = rows.groupBy("block", "label").agg(F.count("*").alias("docs"))
-    most = each.groupBy("block").agg(F.max_by("label", F.struct("docs", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    rows = common.materialize(rows.join(most, "block"), "shingles-open")
-    place = F.row_number().over(Window.partitionBy("block").orderBy(F.xxhash64("rep", F.lit(number)), "rep"))
-    asks = rows.select("block", "rep", "label", place.alias("place")).where(F.col("place") <= ASKING)
-    index = rows.where("label != main") if number else rows
-    load = _load(index, "chunks")
-    index = _dealt(index.join(load, "block"), "chunks", "chunk").select("block", "chunk", "rep", "label", F.lit(1).alias("side"))
-    query = asks.join(load, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "rep", "label", F.lit(0).alias("side"))
+def _some_ask(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """In large blocks: some sets ask all, in chunks."""
+    first = F.row_number().over(Window.partitionBy("block").orderBy(F.xxhash64("sig"), "sig"))
+    asks = hot.select("block", "sig", first.alias("place")).where(F.col("place") <= ASKING)
+    load = common.materialize(_load(hot, ["block"], "chunks"), "shingles-load")
+    index = _dealt(hot.join(load, "block"), ["block"], "chunks", "chunk").select("block", "chunk", "sig", F.col("sig").alias("label"), F.lit(1).alias("side"))
+    query = asks.join(load, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "sig", F.col("sig").alias("label"), F.lit(0).alias("side"))
     return _grouped_search(index.union(query), sets, ["block", "chunk"], percent)
 
 
-def _rest_asks(hot: DataFrame, label: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """In large blocks: every document that isn't connected with most of its block asks all that it isn't connected with, chunk against chunk."""
-    rows = hot.join(label, "rep")
+def _rest_asks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """In blocks that are large still (block, sig, n, label): every set that isn't connected with most of its block asks all that it isn't connected with, chunk against chunk.
+
+    Linked sets differ in size by percent at most, so they are in the same band of sizes or in neighbouring ones.
+    """
+    band = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent) + 1e-6)).cast("int") if percent < 100 else F.col("n")
     each = rows.groupBy("block", "label").agg(F.count("*").alias("docs"))
-    most = each.groupBy("block").agg(F.max_by("label", F.struct("docs", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    rows = common.materialize(rows.join(most, "block"), "shingles-open")
+    most = each.groupBy("block").agg(F.max_by("label", F.struct("docs", "label")).alias("main"))
+    rows = common.materialize(rows.join(most, "block").withColumn("band", band), "shingles-open")
     few = rows.where("label != main")
-    load = _load(rows, "x_chunks").join(_load(few, "q_chunks"), "block")
-    index = _dealt(rows.join(load, "block"), "x_chunks", "j").select("block", "j", F.explode(F.sequence(F.lit(0), F.col("q_chunks") - 1)).alias("i"), "rep", "label", F.lit(1).alias("side"))
-    query = _dealt(few.join(load, "block"), "q_chunks", "i").select("block", F.explode(F.sequence(F.lit(0), F.col("x_chunks") - 1)).alias("j"), "i", "rep", "label", F.lit(0).alias("side"))
-    return _grouped_search(index.unionByName(query), sets, ["block", "i", "j"], percent)
+    asked, asking = (common.materialize(_load(r, ["block", "band"], c), "shingles-load") for r, c in ((rows, "x_chunks"), (few, "q_chunks")))
+    near = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))
+    of = lambda load, name: load.select("block", F.col("band").alias(name), f"{name[0]}_chunks")
+    index = _dealt(rows.join(asked, ["block", "band"]), ["block", "band"], "x_chunks", "j").select("block", F.col("band").alias("x_band"), "j", "sig", "label", near.alias("q_band"))
+    index = index.join(of(asking, "q_band"), ["block", "q_band"]).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("q_chunks") - 1)))
+    query = _dealt(few.join(asking, ["block", "band"]), ["block", "band"], "q_chunks", "i").select("block", F.col("band").alias("q_band"), "i", "sig", "label", near.alias("x_band"))
+    query = query.join(of(asked, "x_band"), ["block", "x_band"]).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("x_chunks") - 1)))
+    keys = ["block", "q_band", "i", "x_band", "j"]
+    both = index.select(*keys, "sig", "label", F.lit(1).alias("side")).unionByName(query.select(*keys, "sig", "label", F.lit(0).alias("side")))
+    return _grouped_search(both, sets, keys, percent)
 
 
 def keep(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -424,6 +503,7 @@ def keep(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     if found.where("rows > 1").limit(1).count():
         again = found.where("rows > 1").select("doc_id")
         order = Window.partitionBy("doc_id").orderBy(F.coalesce("text", F.lit("")))
-        once = kept.join(again, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1").select(*docs.columns)
+        row = common.fresh_name(docs.columns, "row")
+        once = kept.join(again, "doc_id", "left_semi").withColumn(row, F.row_number().over(order)).where(F.col(row) == 1).select(*docs.columns)
         kept = kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
     return kept

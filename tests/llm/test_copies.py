@@ -8,6 +8,7 @@ import struct
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -121,6 +122,81 @@ def test_join_of_few_long_texts(spark, monkeypatch):
     assert got == brute(rows) and got[1][1] == 0 and got[12][1] == 10
 
 
+@pytest.mark.parametrize("seed,docs,grams", [(3, 400, 600_000), (4, 400, 600_000), (5, 5, 600)])
+def test_rows_of_one_id_are_one_document(spark, monkeypatch, seed, docs, grams):
+    monkeypatch.setattr(shingle_join, "BLOCK_DOCS", docs)
+    monkeypatch.setattr(shingle_join, "BLOCK_GRAMS", grams)
+    monkeypatch.setattr(shingle_join, "ASKING", 3)
+    rng = random.Random(seed)
+    rows = [(rng.randrange(100, 175) if rng.random() < 0.6 else d, t) for d, t in corpus(seed)]
+    alone = brute([*enumerate(t for _, t in rows)])  # each row as a document of its own
+    parent = {d: d for d, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (d, _) in enumerate(rows):
+        x, y = find(d), find(rows[alone[i][1]][0])
+        parent[max(x, y)] = min(x, y)
+    want = sorted((d, alone[i][0], find(d)) for i, (d, _) in enumerate(rows))
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, key string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in shingle_join.linked_components(df).collect()) == want
+    kept = shingle_join.keep(df.withColumnRenamed("key", "row")).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({d for d, _, c in want if d == c}) and {r.row for r in kept} == {"x"}
+
+
+def test_count_in_slices_and_from_a_file(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    blobs, want = [], Counter()
+    sets = [np.unique(rng.integers(0, 3000, 400).astype(np.uint64) << np.uint64(28)) for _ in range(30)]
+    for at in range(0, 30, 5):
+        some = sets[at : at + 5] + [sets[0]] * (at > 0)  # the first set comes again and again, and counts once
+        keys = [*range(at, at + 5)] + [0] * (at > 0)
+        body = np.concatenate([g << np.uint64(24) | np.uint64(i) for i, g in enumerate(some)])
+        blobs.append((np.array(keys, np.int64), body[np.argsort(body >> np.uint64(24), kind="stable")]))
+    for s in sets:
+        want.update(s.tolist())
+    for at_once in (10**6, 500):
+        monkeypatch.setattr(shingle_join, "COUNT_AT_ONCE", at_once)
+        for number, ((keys, body), held) in enumerate(zip(blobs, shingle_join._holders(blobs), strict=True)):
+            for x, n in zip(body.tolist(), held.tolist(), strict=True):
+                again = number > 0 and keys[x & 0xFFFFFF] == 0
+                assert n == (0 if again else want[x >> 24])
+    monkeypatch.setattr(shingle_join, "GATHER_BYTES", 5000)
+    gathered = shingle_join._Blobs()
+    for keys, body in blobs:
+        gathered.add(pa.py_buffer(keys.tobytes() + body.tobytes()), len(keys))
+    assert gathered.file is not None
+    for a, b in zip(shingle_join._holders(blobs), shingle_join._holders(gathered.held), strict=True):
+        assert a.tolist() == b.tolist()
+    monkeypatch.setattr(shingle_join, "PART_BYTES", 1)
+    rows = corpus(6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.linked_components(df, part_bytes=500).collect()} == brute(rows)
+
+
+def test_large_blocks_in_bands(spark, monkeypatch):
+    """Documents that share passages but aren't alike, in one block that is too large, among groups that are."""
+    for name, value in (("BLOCK_DOCS", 6), ("BLOCK_GRAMS", 10**6), ("ASKING", 2)):
+        monkeypatch.setattr(shingle_join, name, value)
+    rng = random.Random(9)
+    passages = [[f"p{k}w{rng.randrange(10**6)}" for _ in range(40)] for k in range(8)]
+    texts = []
+    for group in range(14):
+        picked = rng.sample(passages, 3)
+        base = [w for p in picked for w in p] + [f"g{group}w{i}" for i in range(rng.randrange(5, 60))]
+        for k in range(rng.randrange(1, 5)):
+            w = list(base)
+            for _ in range(k):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w[: len(w) - rng.randrange(0, 20)]))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.linked_components(df).collect()} == brute(rows)
+
+
 def test_search_of_nothing():
     assert shingle_join.search([np.arange(5, dtype=np.uint64)], [3], range(1), range(1, 1), 75) == []
 
@@ -158,8 +234,12 @@ def test_components(spark, one_task):
     for a, b in links:
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
-    got = {r.a: r.b for r in components(spark.createDataFrame(links, "a long, b long"), one_task).collect()}
-    assert got == {x: find(x) for x in parent if find(x) != x}
+    want = {x: find(x) for x in parent if find(x) != x}
+    assert {r.a: r.b for r in components(spark.createDataFrame(links, "a long, b long"), one_task).collect()} == want
+    name = lambda x: x.to_bytes(16, "big")
+    named = spark.createDataFrame([(name(a), name(b)) for a, b in links], "a binary, b binary")
+    assert {bytes(r.a): bytes(r.b) for r in components(named, one_task).collect()} == {name(x): name(y) for x, y in want.items()}
+    assert components(named.limit(0), one_task).count() == 0
 
 
 def test_pipeline(spark, sf_dir):

@@ -44,18 +44,34 @@ def test_codes_odd_vectors(spark):
 
 
 def test_error_bounds_hold():
+    """Off-centre vectors of a length that isn't a multiple of 64, against their exact products."""
     rng = np.random.default_rng(4)
-    x = rng.standard_normal((2000, 64)).astype(np.float32)
-    frame = ann_codes.Frame(ann_codes.rotation(64), x.mean(0).astype(np.float64))
+    x = (rng.standard_normal((2000, 70)) + 1.5).astype(np.float32)
+    frame = ann_codes.Frame(ann_codes.rotation(70), x.mean(0).astype(np.float64))
     bits, numbers = ann_codes.encode(frame, x)
-    q = rng.standard_normal((1, 64))
-    signs = np.unpackbits(bits, axis=1) * 2.0 - 1
-    length, fit, along = numbers.T
-    estimate = ((q @ frame.rotation.T) @ signs.T)[0] * length / fit / 8 + (q @ frame.centre)[0] * 0 + along * 0
-    truth = (x - frame.centre) @ q[0]
-    spread = length * np.sqrt(1 - fit**2) / fit / np.sqrt(63) * np.linalg.norm(q)
-    assert (np.abs(estimate - truth) <= ann_codes.EPSILON * spread).mean() > 0.97
-    assert abs((estimate - truth).mean()) < 0.1
+    assert bits.dtype == np.uint64 and bits.shape == (2000, 2)
+    queries = (rng.standard_normal((20, 70)) + 1).astype(np.float32)
+    off = []
+    for q, (estimate, bound) in zip(queries.astype(np.float64), ann_codes.estimates(frame, bits, numbers, queries), strict=True):
+        truth = x.astype(np.float64) @ q
+        off.append(estimate - truth)
+        assert (np.abs(off[-1]) <= bound).mean() > 0.96
+        assert np.corrcoef(estimate, truth)[0, 1] > 0.6
+    assert abs(np.mean(off)) < 0.1
+
+
+def test_estimates_count_bits_as_a_product_of_signs():
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((50, 64))
+    frame = ann_codes.Frame(ann_codes.rotation(64), np.zeros(64))
+    bits, numbers = ann_codes.encode(frame, x)
+    signs = np.sign(x @ frame.rotation.T)
+    length, fit, _ = numbers.T
+    for q, (estimate, _) in zip(x[:5], ann_codes.estimates(frame, bits, numbers, x[:5]), strict=True):
+        turned = frame.rotation @ q
+        step = (turned.max() - turned.min()) / (2**ann_codes.PLANES - 1)
+        rounded = np.rint((turned - turned.min()) / step) * step + turned.min()
+        np.testing.assert_allclose(estimate, signs @ rounded * length / fit / 8, rtol=1e-9, atol=1e-9)
 
 
 def test_codewords_differ():
@@ -89,6 +105,98 @@ def test_quality_held_out(spark, sf_dir):
     assert {r.score for r in quality_subword.score(odd, none).collect()} == {0.5}
 
 
+def test_decoding_equals_a_plain_loop():
+    rng = np.random.default_rng(6)
+    languages = ("a", "b", "c", "d")
+    code = language_codes.codewords(4)
+    model = language_codes.Model(languages, code, rng.standard_normal((language_codes.BUCKETS, code.shape[1])).astype(np.float32), rng.standard_normal(code.shape[1]).astype(np.float32), rng.random(code.shape[1]).astype(np.float32))
+    raw = [b"one two three", "für élan".encode(), b"x", b"", b"12 !", "Жизнь".encode()]
+    x = language_codes.features(raw)
+    lang, score, unsure = language_codes.decide(raw, model)
+    for i, text in enumerate(raw):
+        plain = {}
+        flat = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text + b" "]
+        for at in range(len(flat)):  # the hashed n-grams of the features, one by one
+            h = (flat[at] + 0x9E37) & 0xFFFFFFFF
+            for n in range(3):
+                if n:
+                    if at + n >= len(flat):
+                        break
+                    h = ((h * 0x01000193) & 0xFFFFFFFF) ^ flat[at + n]
+                bucket = ((h * 0x9E3779B1) & 0xFFFFFFFF) >> 20
+                plain[bucket] = plain.get(bucket, 0) + 1
+        want = np.zeros(language_codes.BUCKETS)
+        for k, v in plain.items():
+            want[k] = v**0.5
+        np.testing.assert_allclose(x[i], want / np.linalg.norm(want), rtol=1e-4, atol=1e-6)
+        if not any(c.isalpha() for c in text.decode()):
+            assert (lang[i], score[i], unsure[i]) == ("und", 0, False)
+            continue
+        loss = [sum(t * np.log1p(np.exp(-c * (float(x[i] @ w) + b))) for c, w, b, t in zip(word, model.weights.T, model.bias, model.trust, strict=True)) for word in code]
+        share = np.exp(min(loss) - np.array(loss)) / np.exp(min(loss) - np.array(loss)).sum()
+        assert lang[i] == languages[int(np.argmin(loss))] and abs(score[i] - share.max()) < 1e-4
+        assert unsure[i] == (np.sort(share)[-1] - np.sort(share)[-2] < language_codes.AMBIGUOUS)
+
+
+def test_learning_equals_a_plain_loop():
+    """The subword model's gradient descent, vector by vector."""
+    raw, y = [b"good words here", b"bad bad stuff", "très bon".encode(), b"stuff"], np.array([1, 0, 1, 0])
+    model = quality_subword.fit(raw, y, dim=3, epochs=2, rate=0.5)
+    rng = np.random.default_rng(5)
+    vectors = rng.uniform(-1 / 3, 1 / 3, (quality_subword.BUCKETS, 3))
+    top, bias, step = np.zeros((2, 3)), np.zeros(2), 0
+    for _ in range(2):
+        for i in rng.permutation(4):
+            words = raw[i].split()
+            hashes = quality_subword.word_hashes(words)
+            used = [*quality_subword.word_buckets(words, hashes)[1].tolist(), *quality_subword.pair_buckets(hashes, np.zeros(len(words), int))[1].tolist()]
+            rate = 0.5 * (1 - step / 8)
+            step += 1
+            mean = sum(vectors[b] for b in used) / len(used)
+            z = top @ mean + bias
+            g = np.exp(z) / np.exp(z).sum() - np.eye(2)[y[i]]
+            back = g @ top
+            top, bias = top - rate * np.outer(g, mean), bias - 0.1 * rate * g
+            for b in used:
+                vectors[b] = vectors[b] - rate * back / len(used)
+    np.testing.assert_allclose(model.part, vectors @ (top[1] - top[0]), atol=1e-5)
+    assert abs(model.bias - (bias[1] - bias[0])) < 1e-5
+
+
+def test_subwords_are_characters():
+    def grams(word):
+        marked = f"<{word}>"
+        return sorted(marked[i : i + n] for n in (3, 4) for i in range(len(marked) - n + 1))
+
+    def bucket(gram):
+        h = ord(gram[0]) + 1
+        for c in gram[1:]:
+            h = (h * 0x100000001B3 + ord(c)) % 2**64
+        return ((h + len(gram) - 1) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - quality_subword.BITS)
+
+    words = ["élan", "für", "a", "日本語", "plain"]
+    at, got = quality_subword.word_buckets([w.encode() for w in words], quality_subword.word_hashes([w.encode() for w in words]))
+    for i, w in enumerate(words):
+        assert sorted(got[at == i].tolist()[1:]) == sorted(bucket(g) for g in grams(w)), w
+
+
+def test_models_take_odd_tables(spark, sf_dir):
+    """Repeated rows, null ids, ties, and columns that clash."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    odd = spark.createDataFrame([(1, "one two", "x"), (1, "one two", "x"), (None, "a b c", "x")], "doc_id long, text string, score string")
+    model = quality_subword.learn(docs, labels, fold(3) != 1)
+    got = quality_subword.score(odd, model).collect()
+    assert len(got) == 3 and got[0].score == got[1].score
+    assert quality_subword.score(odd.limit(0), model).count() == 0 and quality_subword.keep(odd, model).columns == odd.columns
+    tie = quality_subword.score(odd, quality_subword.Model(np.zeros(quality_subword.BUCKETS), 0.0)).collect()
+    assert {(r.score, r.predicted) for r in tie} == {(0.5, 1)}
+    same = language_codes.Model(("a", "b"), language_codes.codewords(2), np.zeros((language_codes.BUCKETS, 1), np.float32), np.zeros(1, np.float32), np.ones(1, np.float32))
+    got = language_codes.predict(odd, same).collect()
+    assert len(got) == 3 and {(r.lang_pred, r.score, r.ambiguous) for r in got} == {("a", 0.5, True)}
+    long = spark.createDataFrame([(5, "the and " * 60_000)], "doc_id long, text string")
+    assert language_codes.predict(long, same).count() == 1 and language_codes.predict(long.limit(0), same).count() == 0
+
+
 def test_word_sums_equal_bags():
     rng = np.random.default_rng(2)
     model = quality_subword.Model(rng.standard_normal(quality_subword.BUCKETS), 0.3)

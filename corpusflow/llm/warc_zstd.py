@@ -1,8 +1,10 @@
 """Operator 3: WARC archives, each record compressed on its own with a shared dictionary.
 
-A Zstandard dictionary is built from a bounded sample of the records. Each archive opens
+A Zstandard dictionary is built from a bounded sample of the records, from the first
+bytes of very long ones. Each archive opens
 with a skippable frame that holds the dictionary, so it can be read without anything
 else, and each record is a frame of its own, so it can be read without those before it.
+Where the sample is too small or too uniform to train on, its last bytes serve as a dictionary of plain content.
 
 Records with equal payloads are stored once: the one with the largest id is a response,
 the others are revisits that refer to it. Payloads of null pages are empty, and equal as
@@ -20,6 +22,8 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import islice
+from typing import BinaryIO
 
 import pyarrow as pa
 import zstandard
@@ -35,7 +39,11 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 #: Records from which the dictionary is built, at most, and its size in bytes.
 SAMPLE_RECORDS = 800
 DICTIONARY_BYTES = 64 << 10
+#: Characters of a sampled payload that count for the dictionary.
+SAMPLE_CHARS = 64 << 10
 LEVEL = 3
+#: Bytes read from an archive at a time, and records handed on together.
+STEP, TOGETHER = 32 << 10, 2048
 
 PAGE = "page_id long, url string, html string"
 
@@ -84,31 +92,31 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:length]
 
 
-def train(payloads: list[bytes]) -> bytes:
-    """A dictionary, or none (empty) where there is too little to learn from."""
-    if sum(map(len, payloads)) < 8 * DICTIONARY_BYTES or len(payloads) < 16:
-        return b""
+def train(records: list[bytes]) -> bytes:
+    """A dictionary of at most an eighth of the records; none (empty) if there is nothing at all."""
+    size = min(DICTIONARY_BYTES, sum(map(len, records)) // 8)
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, payloads).as_bytes()
-    except zstandard.ZstdError:  # all alike: nothing to put in a dictionary
-        return b""
+        return zstandard.train_dictionary(size, records).as_bytes()
+    except (zstandard.ZstdError, ValueError):  # too few, or all alike
+        return b"".join(records)[-max(size, min(1024, DICTIONARY_BYTES)) :]
 
 
-def read_archive(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """The records of an archive, one frame after another."""
-    at, words = 0, b""
-    if len(raw) >= 8 and struct.unpack_from("<I", raw)[0] == DICTIONARY_MAGIC:
-        size = struct.unpack_from("<I", raw, 4)[0]
-        words, at = raw[8 : 8 + size], 8 + size
+def read_archive(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """The records of an archive, one frame after another; no more than a record is held."""
+    left, words = stream.read(8), b""
+    if len(left) == 8 and struct.unpack_from("<I", left)[0] == DICTIONARY_MAGIC:
+        words, left = stream.read(struct.unpack_from("<I", left, 4)[0]), b""
     unzip = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words)) if words else zstandard.ZstdDecompressor()
-    while at < len(raw):
-        one = unzip.decompressobj()
-        step, out = 1 << 15, b""
-        while not one.eof:
-            out += one.decompress(raw[at : at + step])
-            at = min(len(raw), at + step)
-        at -= len(one.unused_data)
-        yield parse_record(out)
+    while left := left or stream.read(STEP):
+        one, out = unzip.decompressobj(), []
+        while True:
+            out.append(one.decompress(left))
+            if one.eof:
+                break
+            if not (left := stream.read(STEP)):
+                raise ValueError("an archive ends within a record")
+        left = one.unused_data
+        yield parse_record(b"".join(out))
 
 
 def refer(pages: DataFrame) -> DataFrame:
@@ -123,8 +131,8 @@ def write(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "u
     """Archive all pages; the manifest, (name, records) of each archive, comes back."""
     plain = pages.select(F.col(id_col).cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]", " ").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     plain = plain.where("page_id IS NOT NULL")
-    sample = common.sample(plain, "page_id", sample_records).collect()
-    words = train([r["html"].encode() for r in sorted(sample, key=lambda r: (r["page_id"], r["html"]))])
+    sample = common.sample(plain, "page_id", sample_records).select("page_id", "url", F.substring("html", 1, SAMPLE_CHARS).alias("html")).collect()
+    words = train([build_record(r["page_id"], r["url"], r["html"].encode(), None, date) for r in sorted(sample)])
     fs, folder = common.filesystem(out)
     fs.create_dir(folder, recursive=True)
 
@@ -149,7 +157,8 @@ def write(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "u
         if n:
             yield pa.RecordBatch.from_pydict({"name": [name], "n": pa.array([n], pa.int64())})
 
-    rows = refer(plain).select("page_id", "url", "html", "refers_to").mapInArrow(run, "name string, n long").collect()
+    rows = refer(plain).select("page_id", "url", "html", "refers_to")
+    rows = common.map_arrow(rows, run, "name string, n long").collect()
     return sorted((r["name"], r["n"]) for r in rows)
 
 
@@ -158,23 +167,27 @@ def read(spark: SparkSession, out: str, manifest: list[tuple[str, int]]) -> Data
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     names = [f.split()[0] for f in schema.split(", ")]
 
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+
+    def row_of(fields: dict[str, str], block: bytes) -> tuple:
+        own = fields["WARC-Type"] == "response"
+        said = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+        if own and digest(block) != said:
+            raise ValueError(f"{fields['WARC-Record-ID']}: a payload differs from its digest")
+        return page_of(fields["WARC-Record-ID"]), len(block) if own else int(fields["X-Payload-Length"]), said, fields["WARC-Type"], None if own else page_of(fields["WARC-Refers-To"])
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = common.filesystem(out)
         for batch in batches:
             for row in batch.to_pylist():
-                with fs.open_input_file(f"{folder}/{row['name']}") as f:
-                    raw = f.read()
-                rows: list[tuple] = []
-                for fields, block in read_archive(raw):
-                    own = fields["WARC-Type"] == "response"
-                    said = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if own and digest(block) != said:
-                        raise ValueError(f"{row['name']}: a payload differs from its digest")
-                    rows.append((page_of(fields["WARC-Record-ID"]), len(block) if own else int(fields["X-Payload-Length"]), said, fields["WARC-Type"], None if own else page_of(fields["WARC-Refers-To"])))
-                if len(rows) != row["n"]:
-                    raise ValueError(f"{row['name']}: {len(rows)} records, not {row['n']}")
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                n = 0
+                with fs.open_input_stream(f"{folder}/{row['name']}", compression=None) as f:
+                    records = read_archive(f)
+                    while rows := [row_of(*r) for r in islice(records, TOGETHER)]:
+                        n += len(rows)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                if n != row["n"]:
+                    raise ValueError(f"{row['name']}: {n} records, not {row['n']}")
 
     files = spark.createDataFrame(manifest, "name string, n long").repartition(max(1, len(manifest)))
-    return files.mapInArrow(run, schema)
+    return common.map_arrow(files, run, schema)

@@ -1,13 +1,14 @@
 """Operator 8: quality rules as a short-circuit cascade.
 
 All rules must pass, so their order changes the cost of a verdict and never the verdict.
-On a bounded sample of the documents each rule's seconds per document and share of
-rejected documents are measured; rules then run in the order of rejections per second,
-and each rule looks only at the documents that no rule before it has rejected.
+On a bounded sample of the documents each rule's seconds and rejections are measured, among those
+that the rules chosen before it let pass; the one with most rejections per second is next. A rule
+looks only at documents that no rule before it has rejected, and a measure is taken of a document
+when a rule first asks for it.
 
 Words are runs of anything but ASCII white space. Null and empty texts have no words and
 fail the base rule. Every rule is a function of one text alone; ties and repeated rows
-don't matter.
+don't matter. Rows without an id come back too; an empty table makes no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,67 +41,81 @@ _BANG = re.compile(rb"!![ \t-\r]|!!\Z")
 
 
 class Texts:
-    """A slice of documents, with what the rules share about them."""
+    """A slice of documents; each measure is taken of a document when something first asks for it."""
+
+    #: What is measured together.
+    TOGETHER = {"words": ("n_words",), "characters": ("word_chars", "n_symbols"), "lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words",)}
 
     def __init__(self, raw: list[bytes]):
         self.raw = raw
-        self.words = [b.split() for b in raw]
-        self.n_words = np.array([len(w) for w in self.words], np.int64)
-
-    @cached_property
-    def _sums(self) -> tuple[np.ndarray, np.ndarray]:
-        size = np.array([len(b) for b in self.raw], np.int64)
-        flat = np.frombuffer(b"".join(self.raw), np.uint8)
-        ends = np.cumsum(size)
+        self.words: list[list[bytes] | None] = [None] * len(raw)
+        self.known = {group: np.zeros(len(raw), bool) for group in self.TOGETHER}
+        self._value = {name: np.zeros(len(raw), np.int64) for names in self.TOGETHER.values() for name in names}
+
+    def fork(self) -> Texts:
+        """The same documents with what is known so far, to try something without changing this."""
+        out = Texts(self.raw)
+        out.words = list(self.words)
+        out.known = {k: v.copy() for k, v in self.known.items()}
+        out._value = {k: v.copy() for k, v in self._value.items()}
+        return out
+
+    def get(self, name: str, at: np.ndarray | None = None) -> np.ndarray:
+        """A measure of the documents at; of all by default."""
+        at = np.arange(len(self.raw)) if at is None else at
+        group = next(g for g, names in self.TOGETHER.items() if name in names)
+        new = at[~self.known[group][at]]
+        if len(new):
+            for k, v in zip(self.TOGETHER[group], getattr(self, f"_{group}")(new), strict=True):
+                self._value[k][new] = v
+            self.known[group][new] = True
+        return self._value[name][at]
+
+    def split(self, at: np.ndarray) -> list[list[bytes]]:
+        self.get("n_words", at)
+        return [self.words[i] for i in at.tolist()]
+
+    def _words(self, at: np.ndarray) -> tuple[np.ndarray]:
+        for i in at.tolist():
+            self.words[i] = self.raw[i].split()
+        return (np.array([len(self.words[i]) for i in at.tolist()], np.int64),)
+
+    def _characters(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = [self.raw[i] for i in at.tolist()]
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        ends = np.cumsum([len(b) for b in raw])
         total = lambda flags: np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[ends]]))
         return total(_START[flat] & ~_SPACE[flat]), total(_SYMBOL[flat])
 
-    @property
-    def word_chars(self) -> np.ndarray:
-        return self._sums[0]
-
-    @property
-    def n_symbols(self) -> np.ndarray:
-        return self._sums[1]
-
-    @cached_property
-    def _lines(self) -> tuple[np.ndarray, np.ndarray]:
-        dup, every = np.zeros(len(self.raw), np.int64), np.ones(len(self.raw), np.int64)
-        for i, b in enumerate(self.raw):
-            if b"\n" in b:
-                lines = [x for x in b.split(b"\n") if x.strip()]
-                dup[i], every[i] = len(lines) - len(set(lines)), max(1, len(lines))
+    def _lines(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        dup, every = np.zeros(len(at), np.int64), np.ones(len(at), np.int64)
+        for k, i in enumerate(at.tolist()):
+            if b"\n" in self.raw[i]:
+                lines = [x for x in self.raw[i].split(b"\n") if x.strip()]
+                dup[k], every[k] = len(lines) - len(set(lines)), max(1, len(lines))
         return dup, every
 
-    @property
-    def n_dup_lines(self) -> np.ndarray:
-        return self._lines[0]
-
-    @property
-    def n_lines(self) -> np.ndarray:
-        return self._lines[1]
-
-    @cached_property
-    def n_repeat_words(self) -> np.ndarray:
+    def _repeats(self, at: np.ndarray) -> tuple[np.ndarray]:
         """Words that lie in a 3-word window found at least twice in their text."""
+        split = self.split(at)
+        size = np.array([len(w) for w in split], np.int64)
         number: dict[bytes, int] = {}
-        ids = np.fromiter((number.setdefault(w, len(number)) for words in self.words for w in words), np.int64, int(self.n_words.sum()))
-        doc = np.repeat(np.arange(len(self.raw)), self.n_words)
+        ids = np.fromiter((number.setdefault(w, len(number)) for words in split for w in words), np.int64, int(size.sum()))
+        doc = np.repeat(np.arange(len(at)), size)
         if len(ids) < 4:
-            return np.zeros(len(self.raw), np.int64)
+            return (np.zeros(len(at), np.int64),)
         pair = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)[1]
         inside = np.flatnonzero(doc[:-2] == doc[2:])
         three = np.unique(pair[:-1][inside] * len(number) + ids[2:][inside], return_inverse=True)[1]
-        _, window, count = np.unique(three * len(self.raw) + doc[inside], return_inverse=True, return_counts=True)
+        _, window, count = np.unique(three * len(at) + doc[inside], return_inverse=True, return_counts=True)
         hit = inside[count[window] >= 2]
         covered = np.zeros(len(ids), bool)
         for k in range(3):
             covered[hit + k] = True
-        return np.bincount(doc[covered], minlength=len(self.raw))
+        return (np.bincount(doc[covered], minlength=len(at)),)
 
-    @property
     def base_failed(self) -> np.ndarray:
-        return (self.n_words < MIN_WORDS) | (100 * self.n_repeat_words > MAX_REPEAT_PERCENT * self.n_words)
+        return (self.get("n_words") < MIN_WORDS) | (100 * self.get("n_repeat_words") > MAX_REPEAT_PERCENT * self.get("n_words"))
 
 
 @dataclass(frozen=True)
@@ -113,54 +127,61 @@ class Rule:
 
 
 def _mean_length(t: Texts, at: np.ndarray) -> np.ndarray:
-    n, chars = t.n_words[at], t.word_chars[at]
+    n, chars = t.get("n_words", at), t.get("word_chars", at)
     return (chars < 2 * n) | (chars > 15 * n)
 
 
 def _symbols(t: Texts, at: np.ndarray) -> np.ndarray:
-    return 10 * t.n_symbols[at] > 2 * t.n_words[at]
+    return 10 * t.get("n_symbols", at) > 2 * t.get("n_words", at)
 
 
 def _lines(t: Texts, at: np.ndarray) -> np.ndarray:
-    return 10 * t.n_dup_lines[at] > 4 * t.n_lines[at]
+    return 10 * t.get("n_dup_lines", at) > 4 * t.get("n_lines", at)
 
 
 def _repeats(t: Texts, at: np.ndarray) -> np.ndarray:
-    return 100 * t.n_repeat_words[at] > MAX_REPEAT_PERCENT * t.n_words[at]
+    return 100 * t.get("n_repeat_words", at) > MAX_REPEAT_PERCENT * t.get("n_words", at)
 
 
 def _few_words(t: Texts, at: np.ndarray) -> np.ndarray:
-    return t.n_words[at] < MIN_WORDS
+    return t.get("n_words", at) < MIN_WORDS
 
 
 def _shouting(t: Texts, at: np.ndarray) -> np.ndarray:
     """More than half of the words end in two exclamation marks."""
-    return np.array([2 * len(_BANG.findall(t.raw[i])) > len(t.words[i]) for i in at], bool)
+    loud = np.array([len(_BANG.findall(t.raw[i])) if b"!!" in t.raw[i] else 0 for i in at.tolist()], np.int64)
+    out = loud > 0
+    out[out] = 2 * loud[out] > t.get("n_words", at[out])
+    return out
 
 
 def _few_different(t: Texts, at: np.ndarray) -> np.ndarray:
     """Fewer than one word in twenty differs from those before it; long documents repeat more by nature."""
-    return np.array([20 * len(set(t.words[i])) < min(len(t.words[i]), 2000) for i in at], bool)
+    return np.array([20 * len(set(w)) < min(len(w), 2000) for w in t.split(at)], bool)
 
 
 RULES = (Rule("few_words", _few_words), Rule("repeats", _repeats), Rule("symbols", _symbols), Rule("mean_length", _mean_length), Rule("dup_lines", _lines), Rule("shouting", _shouting), Rule("few_different", _few_different))
 
 
 def order_rules(sample: list[bytes], rules: tuple[Rule, ...] = RULES) -> tuple[Rule, ...]:
-    """Most rejections per second first; each rule is measured on the whole sample, on texts of its own."""
-    if not sample:
-        return rules
-    rank = []
-    for rule in rules:
-        texts = Texts(sample)
-        began = time.thread_time()
-        rejected = int(rule.rejects(texts, np.arange(len(sample))).sum())
-        rank.append((-rejected / max(time.thread_time() - began, 1e-9), rule.name))
-    return tuple(sorted(rules, key=lambda r: next(x for x in rank if x[1] == r.name)))
+    """Most rejections per second next, of the sample's documents that the rules before it let pass; what these have measured costs nothing more."""
+    texts, alive, left, out = Texts(sample), np.arange(len(sample)), list(rules), []
+    while left:
+        tried = []
+        for rule in left:
+            trial = texts.fork()
+            began = time.thread_time()
+            rejected = rule.rejects(trial, alive) if len(alive) else np.zeros(0, bool)
+            cost = max(time.thread_time() - began, 1e-9)
+            tried.append((-int(rejected.sum()) / cost, cost, len(tried), trial, rejected))
+        _, _, best, texts, rejected = min(tried, key=lambda x: x[:3])
+        alive = alive[~rejected]
+        out.append(left.pop(best))
+    return tuple(out)
 
 
 def verdicts(texts: Texts, rules: tuple[Rule, ...]) -> np.ndarray:
-    """Which documents every rule lets pass."""
+    """Which documents every rule lets pass; what a rule rejects costs those behind it nothing."""
     alive = np.arange(len(texts.raw))
     for rule in rules:
         if len(alive):
@@ -170,22 +191,32 @@ def verdicts(texts: Texts, rules: tuple[Rule, ...]) -> np.ndarray:
     return kept
 
 
-def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[bytes]:
-    """The texts of about ``rows`` documents at most, those with the smallest hashed ids."""
-    return [(r.text or "").encode() for r in common.sample(common.texts_only(docs), "doc_id", rows).collect()]
+def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> list[bytes]:
+    """The texts of ``rows`` documents at most, those with the smallest hashed ids."""
+    texts = common.texts_only(docs, id_col, text_col)
+    return [(r.text or "").encode() for r in common.sample(texts, "doc_id", rows).collect()]
+
+
+def _ordered(names: tuple[str, ...]) -> tuple[Rule, ...]:
+    by_name = {r.name: r for r in RULES}
+    return tuple(by_name[n] for n in names)
 
 
 def cascade(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Per document the base measures, whether the base rule fails, and the cascade's verdict."""
-    texts = common.texts_only(docs, id_col, text_col)
-    rules = tuple(r.name for r in order_rules(sample_texts(texts, sample_rows)))
+    """Per document the base measures, whether the base rule fails, and the cascade's verdict. The verdict comes first; the measures of what is rejected are taken for the report alone."""
+    rules = tuple(r.name for r in order_rules(sample_texts(docs, sample_rows, id_col, text_col)))
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        by_name = {r.name: r for r in RULES}
         t = Texts(common.bytes_list(part))
-        kept = verdicts(t, tuple(by_name[n] for n in rules))
-        return pa.RecordBatch.from_arrays([common.ids_of(part), *[pa.array(x) for x in (t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, t.base_failed, kept)]], names)
+        kept = verdicts(t, _ordered(rules))
+        return pa.RecordBatch.from_arrays([common.ids_of(part), *[pa.array(t.get(x)) for x in names[1:6]], pa.array(t.base_failed()), pa.array(kept)], names)
+
+    return common.map_slices(common.texts_only(docs, id_col, text_col), run, schema)
+
 
-    return common.map_slices(texts, run, schema)
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows, with all their columns, that every rule lets pass; nothing is measured that no verdict needs."""
+    rules = tuple(r.name for r in order_rules(sample_texts(docs, sample_rows, id_col, text_col)))
+    return common.keep_rows(docs, lambda raw: verdicts(Texts(raw), _ordered(rules)), text_col)

@@ -75,6 +75,67 @@ def test_disguised_signs_and_mixed_digits(text, kind, found):
     assert found is None or found not in pii.redact(text)
 
 
+def addresses(text):
+    """The edits of disguised addresses: each at sign from left to right, and each place where its local part may begin, far ones first."""
+    out, at = [], 0
+    while True:
+        found = None
+        for sign in pii._AT_SIGN.finditer(text, at):
+            chain = re.compile(rf"(?:[A-Za-z0-9._%+-]+(?:{pii._DOT_BOX}|{pii._DOT_BARE}))*[A-Za-z0-9._%+-]+", re.IGNORECASE)
+            for begin in range(at, sign.start()):
+                if (begin == at or text[begin - 1] not in pii._LOCAL) and chain.fullmatch(text, begin, sign.start()):
+                    m = pii._ADDRESS.match(text, begin)
+                    if m and m.end("local") == sign.start():
+                        found = m
+                        break
+            if found:
+                break
+        if not found:
+            return out
+        at = found.end()
+        out.append((found.start(), found.end()))
+
+
+def test_addresses_begin_as_far_back_as_they_can():
+    rng = random.Random(11)
+    parts = ["a", "b.c", "-", " ", "  ", "\t", " dot ", "dot", "[dot]", " (dot) ", "[.]", " at ", "[at]", "(AT) ", "@", " @ ", ",", "\n", "point", "{punkt}", "]", "[", "é"]
+    for _ in range(30000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        got, at = [], 0
+        while m := pii._next_address(text, at):
+            at = m.end()
+            got.append((m.start(), m.end()))
+        assert got == addresses(text), text
+
+
+@pytest.mark.parametrize("text,found", [("hello, [dot] smith [at] ex.org", "smith [at] ex.org"), ("list: dot smith [at] ex.org", "smith [at] ex.org"), ("x" + " " * 40 + "dot" + " " * 40 + "y [at] z.org", None)])
+def test_dot_signs_before_a_local_part(text, found):
+    assert [text[a:b] for a, b, _ in pii.find(text)[1]] == [found or text]
+
+
+def test_rewrites_keep_their_places():
+    """Every character of a rewritten text stands for its source span, in order; what isn't marked as new is unchanged."""
+    rng = random.Random(12)
+    parts = [*"0123 aé.,@-", "one ", "zwei ", "plus ", " dot ", "[at]", " at ", "٤", "\u200b", "о", "＠", "4111", "cinq "]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 20)))
+        for steps in (pii.TRANSDUCERS, *pii.READINGS):
+            r = pii._rewritten(text, steps)
+            if r is None:
+                continue
+            assert len(r.text) == len(r.start) == len(r.end) == len(r.new)
+            assert all(a < b for a, b in zip(r.start, r.end, strict=True)) and r.start == sorted(r.start) and r.end == sorted(r.end)
+            for i, c in enumerate(r.text):
+                if text[r.start[i] : r.end[i]] != c:
+                    assert r.new[i]
+
+
+def test_glyphs_one_by_one():
+    for glyph, plain_one in list(pii.GLYPHS.items()):
+        r = pii._rewritten(f"a{glyph}b", pii.TRANSDUCERS[:1])
+        assert r.text == f"a{plain_one}b"
+
+
 def test_other_readings_are_quick():
     for text in ("one 1 " * 30_000, "1 dot " * 30_000, "1[.]" * 40_000, "a dot " * 30_000 + "[at] b.c", "at dot " * 30_000, "a" * 200_000 + "[@]" * 1000, "1, one. " * 20_000):
         pii.find(text)
@@ -94,6 +155,7 @@ def test_span_rows(spark):
     df = spark.createDataFrame([(1, "x a@b.cd", 1), (2, None, 1), (3, "", 1), (1, "x a@b.cd", 1)], "doc_id long, text string, spans int")
     got = sorted(pii.spans(df).collect())
     assert [r.spans for r in got] == ["email:2:8", "email:2:8", "", ""] and got[0].n_email == 1 and got[2].n_email == 0
+    assert pii.spans(df.limit(0)).count() == 0 and pii.spans(spark.createDataFrame([(None, "a@b.cd", 1)], df.schema)).first().n_email == 1
 
 
 def counts(text):
@@ -115,7 +177,11 @@ def test_measures():
     for _ in range(200):
         texts = ["".join(rng.choice([*"ab #|\n\t\x0b\xa0é\x1c", *"   \n\n"]) for _ in range(rng.randint(0, 60))) for _ in range(7)]
         t = rules.Texts([x.encode() for x in texts])
-        assert [tuple(map(int, r)) for r in zip(t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, strict=True)] == list(map(counts, texts))
+        assert [tuple(map(int, r)) for r in zip(*[t.get(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], strict=True)] == list(map(counts, texts))
+        some = rules.Texts([x.encode() for x in texts])
+        at = np.array([i for i in range(len(texts)) if rng.random() < 0.5], np.int64)
+        assert some.get("n_repeat_words", at).tolist() == [counts(texts[i])[4] for i in at] and some.known["repeats"].sum() == len(at)
+        assert some.get("n_symbols").tolist() == [counts(x)[2] for x in texts]
 
 
 def test_order_doesnt_matter_and_short_circuits():
@@ -128,7 +194,27 @@ def test_order_doesnt_matter_and_short_circuits():
     spy = tuple(rules.Rule(r.name, lambda t, at, r=r: (asked.append(len(at)), r.rejects(t, at))[1]) for r in rules.RULES)
     rules.verdicts(rules.Texts(raw), spy)
     assert asked[0] == len(raw) and asked[-1] < len(raw) and asked == sorted(asked, reverse=True)
-    assert {r.name for r in rules.order_rules(raw * 20)} == {r.name for r in rules.RULES}
+    assert {r.name for r in rules.order_rules(raw * 20)} == {r.name for r in rules.RULES} == {r.name for r in rules.order_rules([])}
+    t = rules.Texts(raw)
+    rules.verdicts(t, rules.RULES)
+    assert t.known["words"].all() and not t.known["repeats"][1:3].any() and not t.known["characters"][[1, 2, 3]].any() and not t.known["lines"][4]
+
+
+def test_rules_are_ordered_by_what_is_left(monkeypatch):
+    """b rejects as much as a, but nothing that a leaves over; c rejects little, all of it new."""
+    cost = {"a": 1.0, "b": 1.1, "c": 1.0}
+    clock = [0.0]
+    monkeypatch.setattr(rules.time, "thread_time", lambda: clock[0])
+
+    def rule(name, out):
+        def rejects(t, at):
+            clock[0] += cost[name]
+            return np.isin(at, out)
+
+        return rules.Rule(name, rejects)
+
+    made = (rule("b", range(8)), rule("c", [8]), rule("a", range(8)))
+    assert [r.name for r in rules.order_rules([b"x"] * 10, made)] == ["a", "c", "b"]
 
 
 def test_cascade_rows(spark):
@@ -136,6 +222,10 @@ def test_cascade_rows(spark):
     got = {r.doc_id: r for r in rules.cascade(df).collect()}
     assert (got[1].n_words, got[1].base_failed, got[1].kept) == (0, True, False) and got[2].kept
     assert rules.cascade(df.limit(0)).count() == 0
+    odd = df.union(df).union(spark.createDataFrame([(None, "x y", True)], df.schema))
+    assert rules.cascade(odd).count() == 5
+    kept = rules.keep(odd)
+    assert kept.columns == df.columns and [r.doc_id for r in kept.collect()] == [2, 2]
 
 
 def test_verdicts_against_labels(spark, sf_dir):

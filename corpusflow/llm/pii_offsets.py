@@ -9,7 +9,8 @@ beside plain ones. The detectors run on the source and on the rewritten text, in
 its readings; a find there that holds something rewritten and overlaps no plain find is
 mapped back to its source span.
 
-Plain finds ("base") are never changed by the method. Null and empty texts have none.
+Plain finds ("base") are never changed by the method. Null and empty texts have none. Repeated rows and
+rows without an id come back row by row; an empty table makes no rows.
 """
 
 from __future__ import annotations
@@ -67,6 +68,7 @@ _ADDRESS = re.compile(
     re.IGNORECASE,
 )
 _BOXED_OR_DOT = re.compile(r"[\[({<][ \t]*(?:at|arroba|arobase|@|dot|punkt|punto|point|\.)[ \t]*[\])}>]|[ \t]dot[ \t]", re.IGNORECASE)
+_DOT_WORDS = ("dot", "punkt", "punto", "point", ".")
 _AT_SIGN = re.compile(_AT_BOX + r"|[ \t]+at[ \t]+|[ \t]*@[ \t]*", re.IGNORECASE)
 _DOT_SIGN = re.compile(_DOT_BOX + "|" + _DOT_BARE, re.IGNORECASE)
 
@@ -180,23 +182,62 @@ def _addresses(r: Rewrite) -> None:
     r.replace(edits)
 
 
+def _dot_before(text: str, low: int, end: int) -> int:
+    """Where a dot sign that ends at end, spaces around it included, begins; -1 without one. Nothing before low is looked at."""
+    i = end
+    while i > low and text[i - 1] in " \t":
+        i -= 1
+    if i > low and text[i - 1] in "])}>":
+        j = i - 1
+        while j > low and text[j - 1] in " \t":
+            j -= 1
+        word = next((w for w in _DOT_WORDS if j - len(w) >= low and text[j - len(w) : j].lower() == w), None)
+        if word is None:
+            return -1
+        j -= len(word)
+        while j > low and text[j - 1] in " \t":
+            j -= 1
+        if j <= low or text[j - 1] not in "[({<":
+            return -1
+        j -= 1
+    else:
+        j = i - 3
+        if i == end or j <= low or text[j:i].lower() != "dot" or text[j - 1] not in " \t":
+            return -1
+    while j > low and text[j - 1] in " \t":
+        j -= 1
+    return j
+
+
 def _next_address(text: str, at: int) -> re.Match | None:
-    """The next disguised address; looked for around at signs only, so that long words cost nothing."""
+    """The next disguised address; looked for around at signs only, so that long words cost nothing.
+
+    Its local part begins as far back as words and dot signs take turns, or else with the word beside the at sign.
+    """
+    far: dict[int, int] = {}  # of words that dot signs join, where the first begins
     for sign in _AT_SIGN.finditer(text, at):
-        start = free = sign.start()
+        free = sign.start()
+        near = start = None
+        joined = []
         while True:
             begin = free
             while begin > at and text[begin - 1] in _LOCAL:
                 begin -= 1
             if begin == free:
                 break
+            near = begin if near is None else near
+            if begin in far:
+                start = far[begin]
+                break
             start = begin
-            dots = [d for d in _DOT_SIGN.finditer(text, max(at, start - 24), start) if d.end() == start]
-            if not dots or dots[0].start() <= at:
+            joined.append(begin)
+            free = _dot_before(text, at, begin)
+            if free <= at:
                 break
-            free = dots[0].start()
-        if start < sign.start() and (m := _ADDRESS.match(text, start)):
-            return m
+        far |= dict.fromkeys(joined, start)
+        for begin in dict.fromkeys((start, near)):
+            if begin is not None and (m := _ADDRESS.match(text, begin)) and m.end("local") == sign.start():
+                return m
     return None
 
 

@@ -10,7 +10,8 @@ symbols, NFC and lower case as normalizer and a regular expression that picks wo
 ids equal those of the tokenizers library with ``add_special_tokens=False``, and decoding
 equals its ``decode(ids, skip_special_tokens=False)`` without a decoder.
 
-Null and empty texts have no ids and decode to the empty string.
+Null and empty texts have no ids and decode to the empty string. Repeated rows and rows without
+an id come back row by row; an empty table makes no rows.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ import heapq
 import json
 import re
 import unicodedata
-from functools import lru_cache
+from collections.abc import Callable
+from functools import cached_property
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 from corpusflow.llm import common
-from corpusflow.llm.unit_encoder import WHITE_SPACE, byte_symbols, is_latin
+from corpusflow.llm.unit_encoder import WHITE_SPACE, _tokenizer, byte_symbols, is_latin
 
 #: Units and fragments that one worker remembers before it starts afresh.
 MAX_UNITS = 400_000
@@ -35,6 +37,16 @@ MAX_FRAGMENTS = 200_000
 #: From so many symbols on, merges are taken from a heap.
 LONG = 48
 
+def _ranges(characters: list[str]) -> list[list[str]]:
+    out: list[list[str]] = []
+    for c in characters:
+        if out and ord(out[-1][1]) == ord(c) - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return out
+
+
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 _UNIT = re.compile(f"[^{WHITE_SPACE}]+")
 
@@ -59,10 +71,29 @@ class ForcedBoundaryBPE:
         self.special_re = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         picked = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(picked.replace(r"\s", WHITE_SPACE))
+        self.library = _tokenizer(path)  # asked about code points that Python's tables don't know
         self._learn_pairs(vocab)
         self.fragments: dict[tuple[bytes, bool], tuple[int, ...]] = {}
         self.units: dict[str, tuple[int, str, str]] = {}
 
+    @cached_property
+    def has_newer(self) -> Callable[[str], object]:
+        """Whether a text holds code points that Python's tables don't know."""
+        unknown = [c for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]) if unicodedata.category(c) == "Cn"]
+        return re.compile("[" + "".join(f"{re.escape(a)}-{re.escape(b)}" for a, b in _ranges(unknown)) + "]").search
+
+    @cached_property
+    def stand_in(self) -> dict[int, str]:
+        """For those of them that the library takes for something else than the patterns here do: a character of that kind."""
+        split = self.library.pre_tokenizer.pre_tokenize_str
+        out = {}
+        for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))):
+            if unicodedata.category(c) == "Cn":
+                kind = "a" if len(split(f"a{c}")) == 1 else "1" if len(split(c + c)) == 2 else "#"
+                if regex.fullmatch(r"\p{L}", c) is None or kind != "a":
+                    out[ord(c)] = kind
+        return out
+
     def _learn_pairs(self, vocab: dict[str, int]) -> None:
         """joined[end][a * 256 + b]: whether some token has a before b; end: b is a word's last byte, by its suffix."""
         number = {c: i for i, c in enumerate(self.symbols)}
@@ -132,10 +163,15 @@ class ForcedBoundaryBPE:
         return [x for x in parts if x >= 0]
 
     def _segment(self, text: str) -> list[int]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case is of each character alone: no final sigma
+        if text.isascii() or is_latin(text):
+            words = self.words.findall(text.lower())
+        elif self.has_newer(text):
+            text = self.library.normalizer.normalize_str(text)
+            words = [text[m.start() : m.end()] for m in self.words.finditer(text.translate(self.stand_in))]
+        else:  # lower case is of each character alone: no final sigma
+            words = self.words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
         ids: list[int] = []
-        for word in self.words.findall(text.lower()):
+        for word in words:
             pieces = self.cuts(word.encode())
             for piece in pieces[:-1]:
                 ids += self._fragment(piece, False)
@@ -171,10 +207,9 @@ class ForcedBoundaryBPE:
         return out
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> ForcedBoundaryBPE:
     """This process's codec: tasks that run in the same Python worker share what it has met."""
-    return ForcedBoundaryBPE(path)
+    return common.resident(f"codec {path}", lambda: ForcedBoundaryBPE(path))
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,7 +228,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
             texts = pa.array([codec(tokenizer).decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return common.map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -48,6 +48,20 @@ def test_forced_boundaries_encode_and_decode_as_the_library():
         assert own.decode(want) == lib.decode(want, skip_special_tokens=False)
 
 
+def test_newer_code_points_encode_as_the_library():
+    """Every code point that Python's tables don't know and some pattern takes for a letter or a number, in a word of its own kind, of letters and of numbers."""
+    import unicodedata
+
+    import regex
+
+    lib, own = Tokenizer.from_file(WORD), bpe_cuts.ForcedBoundaryBPE(WORD)
+    newer = [c for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))) if unicodedata.category(c) == "Cn"]
+    assert len(newer) > 1000
+    for at in range(0, len(newer), 7):
+        text = " ".join(f"a{c}a{c}1{c}!{c}{c} É{c}\u0307" for c in newer[at : at + 7])
+        assert own.encode(text) == lib.encode(text, add_special_tokens=False).ids, [hex(ord(c)) for c in newer[at : at + 7]]
+
+
 def test_cuts_are_where_no_token_reaches():
     own = bpe_cuts.ForcedBoundaryBPE(WORD)
     word = "qzxjvthewq".encode()
@@ -186,3 +200,5 @@ def test_pieces_and_places(spark):
         spans.sort()
         assert [o for o, _ in spans] == [0, *np.cumsum([n for _, n in spans])[:-1].tolist()] and sum(n for _, n in spans) <= 64
     assert bin_packing.pack(parts.limit(0), 64).count() == 0
+    few = [(r.doc_id, r.piece, r.sequence_id, r.offset) for r in bin_packing.pack(parts, 64, None, ranked=2).collect()]  # many parts a length
+    assert len(few) == len(set(few)) == len(got) and len({(s, o) for _, _, s, o in few}) == len(few)

@@ -1,7 +1,7 @@
 """Operator 9: a quality classifier on supervised subword embeddings.
 
-A text is the mean of learned vectors: one for each word, for each byte 3- and 4-gram of
-the word between its boundaries, and for each pair of neighbouring words, all hashed into
+A text is the mean of learned vectors: one for each word, for each character 3- and 4-gram
+of the word between its boundaries, and for each pair of neighbouring words, all hashed into
 one table of buckets (two equal neighbours share one bucket). A softmax over two classes
 sits on top; vectors and softmax are learned together by stochastic gradient descent in
 numpy.
@@ -12,7 +12,8 @@ remembered by the worker.
 
 Learning takes a bounded sample of labelled rows, picked by hashed id. Null and empty
 texts have no vectors and get the score of the bias. Without labels every score is 0.5.
-Repeated labels of a document count by their smallest value.
+Repeated labels of a document count by their smallest value. A score of exactly 0.5 counts as class 1.
+Repeated rows and rows without an id are scored row by row; an empty table makes no rows.
 """
 
 from __future__ import annotations
@@ -50,9 +51,14 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 def word_buckets(words: list[bytes], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word's place, bucket) of every word and subword, ordered by place."""
+    joined = b"<" + b"><".join(words) + b">"
     size = np.array([len(w) + 2 for w in words], np.int64)
-    flat = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8).astype(np.uint64)
     place = np.repeat(np.arange(len(words)), size)
+    if joined.isascii():
+        flat = np.frombuffer(joined, np.uint8).astype(np.uint64)
+    else:
+        flat = np.frombuffer(joined.decode().encode("utf-32-le"), "<u4").astype(np.uint64)
+        place = place[(np.frombuffer(joined, np.uint8) & 0xC0) != 0x80]  # the first bytes of characters
     places, buckets = [np.arange(len(words))], [_bucket(hashes ^ np.uint64(0x5BD1E995))]
     h = flat + np.uint64(1)
     for n in (1, 2, 3):
@@ -132,15 +138,9 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.model.bias, -30, 30)))
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _scorer(model: Model) -> Scorer:
     """This process's scorer of a model: tasks in the same Python worker share the words it knows."""
-    if model.name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.name] = Scorer(model)
-    return _SCORERS[model.name]
+    return common.resident(f"scorer {model.name}", lambda: Scorer(model))
 
 
 def _bags(raw: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -186,7 +186,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int =
     """labels: doc_id, quality. Only documents for which usable holds (an expression over doc_id) are learnt from."""
     known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     picked = known.where(usable).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = common.texts_only(docs).join(F.broadcast(picked), "doc_id").toArrow()  # broadcast: at most sample_rows pairs of numbers
+    rows = common.texts_only(docs).join(F.broadcast(picked), "doc_id").limit(sample_rows).toArrow()  # broadcast: at most sample_rows pairs of numbers
     if rows.num_rows == 0:
         return Model(np.zeros(BUCKETS), 0.0)
     rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])

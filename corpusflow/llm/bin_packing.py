@@ -10,7 +10,9 @@ length that is left, take one by one all fillings of the rest of its bin that no
 dominates, fullest first, and branch over them and over how often each is used, from as
 often as the counts allow down to once. A branch ends when the space it has wasted exceeds what a better packing may waste. The
 first incumbent is best-fit decreasing. The search ends at the lower bound or after
-``node_limit`` nodes, with the best packing so far; no piece is ever left out.
+``node_limit`` nodes, with the best packing so far; no piece is ever left out. Without a limit
+(None) it ends with a packing that no other beats. Each row says how many sequences there are, and how many
+there must be at least, so the gap is known.
 
 Null and empty texts make one piece, the end id. Repeated rows are packed one by one; rows
 without an id are left out. An
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from corpusflow.llm import common
 from corpusflow.llm.unit_encoder import encoder
 
-#: Parts into which the pieces of one length are dealt, as a third of all may have the same.
-SALTS = 64
+#: Pieces that one task ranks, about; those of a length go to as many parts as that takes, as a third of all may have the same.
+RANKED = 50_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -171,7 +173,7 @@ def fillings(counts: np.ndarray, gap: int, width: int, most_waste: int) -> list[
     return list(islice(undominated(counts, gap, most_waste), width))
 
 
-def pack_histogram(counts: np.ndarray, capacity: int, node_limit: int = 6000) -> list[Group]:
+def pack_histogram(counts: np.ndarray, capacity: int, node_limit: int | None = 6000) -> list[Group]:
     """Groups of equal bins that hold every piece; counts[i]: how many pieces of length i."""
     counts = np.asarray(counts, np.int64).copy()
     best = best_fit_decreasing(counts, capacity)
@@ -206,7 +208,7 @@ def pack_histogram(counts: np.ndarray, capacity: int, node_limit: int = 6000) ->
 
     if n_best > least:
         stack, chosen = [expand(counts, 0, 0, set())], []
-        while stack and nodes < node_limit and n_best > least:
+        while stack and (node_limit is None or nodes < node_limit) and n_best > least:
             step = next(stack[-1], None)
             if step is None:
                 stack.pop()
@@ -230,7 +232,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
     """Encode each text, end it with end_id, and cut what is longer than capacity; a shorter piece comes first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(tokenizer, keeps_space)
+        known = common.resident(f"encoder {tokenizer} {keeps_space}", lambda: encoder(tokenizer, keeps_space))
         for batch in batches:
             for part in common.slices(batch, "text"):
                 ids, n = known.encode(common.text_list(part))
@@ -249,22 +251,28 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
                 crc = [zlib.crc32(view[a:b]) for a, b in zip(((begin[doc] + start) * 4).tolist(), ((begin[doc] + end) * 4).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([common.ids_of(part).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(end - start), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return common.texts_only(docs, id_col, text_col, named=True).mapInArrow(run, PIECES)
+    return common.map_arrow(common.texts_only(docs, id_col, text_col, named=True), run, PIECES)
 
 
-def pack(parts: DataFrame, capacity: int = 1024, node_limit: int = 6000) -> DataFrame:
-    """Add sequence_id and offset to rows with a length of 1 to capacity.
+def pack(parts: DataFrame, capacity: int = 1024, node_limit: int | None = 6000, ranked: int = RANKED) -> DataFrame:
+    """Add sequence_id and offset to rows with a length of 1 to capacity; and sequences, how many there are, and sequences_at_least.
 
     parts must be stable (a table), as its rows are counted first and placed afterwards. Its
     columns must be those of ``pieces``.
     """
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    held = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect()  # at most capacity * SALTS rows
-    table = np.zeros((capacity + 1, SALTS), np.int64)
-    for row in held:
-        table[row["length"], row["_salt"]] = row["n"]
-    base = np.cumsum(table, axis=1) - table
-    groups = pack_histogram(table.sum(axis=1), capacity, node_limit)
+    counts = np.zeros(capacity + 1, np.int64)
+    for row in parts.groupBy("length").count().collect():  # at most capacity rows
+        counts[row["length"]] = row["count"]
+    shares = np.maximum(1, -(-counts // ranked))
+    first = np.cumsum(shares) - shares  # where a length's parts begin
+    share = F.element_at(F.lit(shares.tolist()), (F.col("length") + 1).cast("int"))
+    salted = parts.withColumn("_part", (F.element_at(F.lit(first.tolist()), (F.col("length") + 1).cast("int")) + F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), share)).cast("long"))
+    held = np.zeros(int(shares.sum()), np.int64)
+    for row in salted.groupBy("_part").count().collect():  # one row for ``ranked`` pieces, and one a length
+        held[row["_part"]] = row["count"]
+    base = np.cumsum(held) - held
+    base -= np.repeat(base[first], shares)
+    groups = pack_histogram(counts, capacity, node_limit)
     used = np.zeros(capacity + 1, np.int64)
     rows = []  # length, first rank, first sequence, number in a sequence, first offset
     sequence = 0
@@ -283,11 +291,12 @@ def pack(parts: DataFrame, capacity: int = 1024, node_limit: int = 6000) -> Data
         for batch in batches:
             col = {k: batch.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(batch.schema.names)}
             length = col["length"]
-            rank = base[length, col["_salt"]] + col["_rank"] - 1
+            rank = base[col["_part"]] + col["_rank"] - 1
             row = plan[np.searchsorted(keys, length * shift + rank, "right") - 1]
             nth, slot = np.divmod(rank - row[:, 1], row[:, 3])
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(row[:, 2] + nth), pa.array(row[:, 4] + slot * length)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = salted.select("doc_id", "piece", "start", "length", "ids_crc32", "_salt", F.row_number().over(order).cast("long").alias("_rank"))
-    return ranked.mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    order = Window.partitionBy("_part").orderBy("doc_id", "piece", "start", "ids_crc32")
+    placed = salted.select("doc_id", "piece", "start", "length", "ids_crc32", "_part", F.row_number().over(order).cast("long").alias("_rank"))
+    out = common.map_arrow(placed, place, PIECES + ", sequence_id long, offset long")
+    return out.select("*", F.lit(sequence).cast("long").alias("sequences"), F.lit(lower_bound(counts, capacity)).cast("long").alias("sequences_at_least"))

@@ -45,7 +45,7 @@ class Shard:
 def _writer(out: str, path: str, keeps_space: bool, end_id: int, width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = common.filesystem(out)
-        known = encoder(path, keeps_space)
+        known = common.resident(f"encoder {path} {keeps_space}", lambda: encoder(path, keeps_space))
         name = f"part-{uuid.uuid4().hex}"
         docs: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
@@ -84,7 +84,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, keeps_spac
     fs, folder = common.filesystem(out)
     fs.create_dir(folder, recursive=True)
     ordered = common.texts_only(docs, id_col, text_col, named=True).repartitionByRange(common.shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = ordered.mapInArrow(_writer(out, tokenizer, keeps_space, end_id, width), MANIFEST).collect()
+    manifest = common.map_arrow(ordered, _writer(out, tokenizer, keeps_space, end_id, width), MANIFEST).collect()
     shards, base = [], 0
     for row in sorted(manifest, key=lambda r: r.first_doc):
         shards.append(Shard(row.name, row.n_docs, row.n_tokens, base))
@@ -129,4 +129,4 @@ def read(spark: SparkSession, out: str, shards: list[Shard]) -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     rows = [(s.name, s.base) for s in shards]
     files = spark.createDataFrame(rows, "name string, base long").repartition(max(1, len(rows)))
-    return files.mapInArrow(_reader(out), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return common.map_arrow(files, _reader(out), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -172,7 +171,5 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, keeps_space: bool) -> UnitEncoder | ByteLevelEncoder:
-    """This process's encoder: tasks that run in the same Python worker share what it has met."""
     return ByteLevelEncoder(path) if keeps_space else UnitEncoder(path, False)

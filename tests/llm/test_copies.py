@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import io
 import random
 import re
 import struct
@@ -43,10 +44,28 @@ def test_archive_opens_with_its_dictionary():
     press = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(words))
     frames = [press.compress(warc_zstd.build_record(i, "u", p, None, "d")) for i, p in enumerate(payloads[:50])]
     raw = struct.pack("<II", warc_zstd.DICTIONARY_MAGIC, len(words)) + words + b"".join(frames)
-    assert [b for _, b in warc_zstd.read_archive(raw)] == payloads[:50]
+    assert [b for _, b in warc_zstd.read_archive(io.BytesIO(raw))] == payloads[:50]
+    with pytest.raises(ValueError):
+        list(warc_zstd.read_archive(io.BytesIO(raw[:-5])))
     with pytest.raises(zstandard.ZstdError):
         zstandard.ZstdDecompressor().decompress(frames[3])
-    assert warc_zstd.train([b""] * 5) == b"" and list(warc_zstd.read_archive(b"")) == []
+    assert warc_zstd.train([b""] * 5) == b"" and list(warc_zstd.read_archive(io.BytesIO(b""))) == []
+    assert warc_zstd.train([b"few"]) == b"few"
+
+
+@pytest.mark.parametrize("n,same", [(3, False), (900, False), (40, True)])
+def test_every_archive_carries_a_dictionary(spark, tmp_path, n, same):
+    """Many pages, few pages, and pages too much alike to train on."""
+    rng = random.Random(n)
+    html = lambda i: "<html><title>same</title></html>" if same else f"<html><title>{rng.random()}</title>" + " ".join(rng.choice(["lorem", "ipsum", "dolor"]) for _ in range(rng.randint(50, 400)))
+    rows = [(i, f"http://a/{i}", html(i)) for i in range(n)]
+    manifest = warc_zstd.write(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    for name, _ in manifest:
+        raw = (tmp_path / "w" / name).read_bytes()
+        magic, size = struct.unpack_from("<II", raw)
+        assert magic == warc_zstd.DICTIONARY_MAGIC and 0 < size <= warc_zstd.DICTIONARY_BYTES
+    got = {r.page_id: r.payload_bytes for r in warc_zstd.read(spark, str(tmp_path / "w"), manifest).collect()}
+    assert got == {i: len(t.encode()) for i, _, t in rows}
 
 
 def test_archive_of_nothing(spark, tmp_path):
@@ -259,6 +278,48 @@ def test_pipeline(spark, sf_dir):
     assert packed.select("doc_id").distinct().count() == kept.count()
 
 
+def test_stages_take_odd_tables(spark, sf_dir):
+    """Empty tables, null and repeated ids, null texts, and columns whose names clash with the operators' own."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    good = docs.where("lang = 'en'").orderBy("doc_id").limit(5)
+    extra = good.selectExpr("*", "'x' AS row", "1 AS sig", "2 AS n", "3 AS label")
+    blank = extra.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "lang", "source", "n_chars", "row", "sig", "n", "label").limit(1)
+    null = extra.selectExpr("doc_id + 900000 AS doc_id", "CAST(NULL AS STRING) AS text", "lang", "source", "n_chars", "row", "sig", "n", "label").limit(1)
+    odd = extra.unionByName(extra).unionByName(blank).unionByName(null)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd.limit(0), sf_dir).count() == 0, name
+        out = stage(spark, odd, sf_dir)
+        if name != "packing":
+            assert out.columns == odd.columns, name
+        rows = out.collect()
+        want = {"near_duplicates": 7, "pii": 12}.get(name)
+        assert want is None or len(rows) == want, name
+        if name != "packing":
+            assert {r.row for r in rows} <= {"x"}
+    small = spark.createDataFrame([(i, "a b c d e f g") for i in (1, 2)], "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1 AS n_chars")
+    assert corpus_pipeline.near_duplicates(spark, small, sf_dir).count() == 1
+
+
+def test_queries_run(spark, sf_dir):
+    """Each registered query over a small scale, by its contract's columns; every document comes back."""
+    import __spark_entry__
+
+    columns = {1: "query_id rank vec_id score", 2: "doc_id held_out lang_pred score", 3: "page_id payload_bytes payload_digest record_type refers_to", 4: "doc_id piece start length ids_crc32 sequence_id offset", 5: "doc_id n_email n_ip n_card n_phone base_sha256 spans", 6: "doc_id start n_tokens ids_crc32", 7: "doc_id n_tokens ids_sha256 decoded_sha256", 8: "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", 9: "doc_id held_out score predicted", 10: "doc_id n_shingles component_id"}
+    n = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("documents", "pages")}
+    for name, query in __spark_entry__.queries().items():
+        if m := re.match(r"op(\d+)_", name):
+            df = query(spark, sf_dir)
+            want = columns[int(m[1])].split()
+            assert df.columns[: len(want)] == want, name
+            rows = df.collect()
+            if want[0] in ("doc_id", "page_id"):
+                assert len({r[0] for r in rows}) == n["documents" if want[0] == "doc_id" else "pages"], name
+            if int(m[1]) == 4:
+                assert len({r.sequence_id for r in rows}) == rows[0].sequences >= rows[0].sequences_at_least
+
+
 def test_registered(spark):
     import __spark_entry__
 

@@ -109,7 +109,7 @@ def frontmatter_value(body: Column, key: str) -> Column:
 def frontmatter_list(body: Column, key: str) -> Column:
     """A block list of scalars of the front matter."""
     block = F.regexp_extract(frontmatter(body), rf"(?m)^{re.escape(key)}:[ \t]*\r?\n((?:[ \t]*- .*(?:\r?\n|\z))+)", 1)
-    return F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*- [\"']?(.*?)[\"']?[ \t]*$"), 1), F.trim)
+    return F.transform(F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*- [\"']?(.*?)[\"']?[ \t]*$"), 1), lambda x: F.trim(x))
 
 
 def wiki_links(body: Column) -> Column:
@@ -137,8 +137,109 @@ def strip_code(body: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(body, r"(?ms)^[ \t]*(```|~~~).*?^[ \t]*\1[^\n]*$", " "), "`[^`\n]*`", " ")
 
 
+def strip_code_blocks(body: Column) -> Column:
+    """Blank blocks fenced by backticks; tildes fence nothing here, and inline code stays."""
+    return F.regexp_replace(body, r"(?ms)^[ \t]*```.*?(?:^[ \t]*```[^\n]*$|\z)", " ")
+
+
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def without_frontmatter(body: Column) -> Column:
+    return F.regexp_replace(body, r"\A---\r?\n(?s:.*?)\r?\n---(?:\r?\n|\z)", "")
+
+
+#: Fixed value: bytes of a page's first paragraph that count.
+PARAGRAPH_BYTES = 800
+
+
+def first_paragraph(body: Column) -> Column:
+    """The lines of the first paragraph after the title, joined by spaces; headings and comments are passed over, and a second-level heading ends the search. Null if there is none.
+
+    What is longer than 800 bytes is cut at the last whole character within.
+    """
+    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("done"))
+    put = lambda a, text, done: F.struct(text.alias("text"), done.alias("done"))
+
+    def step(a: Column, line: Column) -> Column:
+        t = _trimmed(line)
+        more = F.when(a["text"] == "", t).otherwise(F.concat(a["text"], F.lit(" "), t))
+        blank = t.startswith("<!--") | (t == "")
+        return (
+            F.when(a["done"] | t.startswith("# "), a)
+            .when(t.startswith("## "), put(a, a["text"], F.lit(True)))
+            .when(blank, put(a, a["text"], a["text"] != ""))
+            .otherwise(put(a, more, F.octet_length(more) >= PARAGRAPH_BYTES))
+        )
+
+    whole = F.aggregate(lines(without_frontmatter(body)), start, step)["text"]
+    raw = F.encode(whole, "UTF-8")
+    parts = [F.substring(raw, F.lit(1), F.lit(PARAGRAPH_BYTES - k)).cast("string") for k in range(4)]
+    cut = F.coalesce(*[F.when(F.is_valid_utf8(x), x) for x in parts])
+    return F.nullif(F.when(F.octet_length(whole) <= PARAGRAPH_BYTES, whole).otherwise(cut), F.lit(""))
+
+
+def definition_hint(body: Column) -> Column:
+    """The text of a concept before its first second-level heading, managed region or gap of two blank lines, without the title, in single spaces."""
+    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("started"), F.lit(False).alias("gap"), F.lit(False).alias("done"))
+    put = lambda text, started, gap, done: F.struct(text.alias("text"), F.lit(started).alias("started"), F.lit(gap).alias("gap"), F.lit(done).alias("done"))
+
+    def step(a: Column, line: Column) -> Column:
+        t = _trimmed(line)
+        return (
+            F.when(a["done"] | (~a["started"] & ((t == "") | (t.startswith("#") & ~t.startswith("## ")))), a)
+            .when(t.startswith("## ") | t.startswith("<!-- kb:begin") | ((t == "") & a["gap"]), put(a["text"], True, False, True))
+            .when(t == "", put(a["text"], True, True, False))
+            .otherwise(put(F.concat(a["text"], F.lit(" "), t), True, False, False))
+        )
+
+    return F.trim(F.regexp_replace(F.aggregate(lines(body), start, step)["text"], r"\s+", " "))
+
+
+def markdown_links(body: Column) -> Column:
+    """Destinations of Markdown links that aren't images: what <> enclose, or all up to white space."""
+    pattern = F.lit(r"(!?)\[[^\]]*\]\(([^)]+)\)")
+    pairs = F.arrays_zip(F.regexp_extract_all(body, pattern, 1).alias("sign"), F.regexp_extract_all(body, pattern, 2).alias("raw"))
+    plain = F.transform(F.filter(pairs, lambda p: p["sign"] == ""), lambda p: F.trim(p["raw"]))
+    return F.filter(F.transform(plain, lambda x: F.when(x.startswith("<"), F.regexp_extract(x, r"^<[^>]*>", 0)).otherwise(F.regexp_extract(x, r"^\S+", 0))), lambda x: x != "")
+
+
+def link_target(raw: Column, page_id: Column) -> Column:
+    """struct(target, anchor) of a link on a page: its path from the root of the wiki, with .md; null for other places than the wiki.
+
+    Paths that don't begin at the wiki are relative to the page; . and .. are resolved; an alias goes; without a path the page itself is meant.
+    """
+    plain = F.trim(F.regexp_extract(F.trim(raw), r"^([^|]*)", 1))
+    path = F.trim(F.regexp_replace(F.trim(F.regexp_extract(plain, r"^([^#]*)", 1)), r"^<+|>+$", ""))
+    anchor = F.nullif(F.trim(F.regexp_replace(F.regexp_extract(plain, r"#(.*)$", 1), r">+$", "")), F.lit(""))
+    bare = F.regexp_replace(path, r"\.md$", "")
+    folder = F.regexp_extract(page_id, r"^(.*)/[^/]*$", 1)
+    joined = F.when(bare.startswith("wiki"), bare).otherwise(F.concat(folder, F.lit("/"), bare))
+    step = lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).when(x.isin("", "."), a).otherwise(F.array_append(a, x))
+    clean = F.array_join(F.aggregate(F.split(joined, "/"), F.array().cast("array<string>"), step), "/")
+    target = F.when(path == "", page_id).when(clean.startswith("wiki/"), F.concat(clean, F.lit(".md")))
+    away = (plain == "") | plain.rlike(r"^(?:https?://|mailto:)")
+    return F.when(~away & target.isNotNull(), F.struct(target.alias("target"), anchor.alias("anchor")))
+
+
+def drop_narration(text: Column) -> Column:
+    """An answer from its first heading on; without one its last paragraph; without paragraphs all of it."""
+    plain = F.regexp_replace(text, r"^[\r\n]+", "")
+    heading = F.regexp_extract(plain, r"(?sd)(?:\A|(?<=\n))#{1,6} .*\z", 0)
+    broken = plain.rlike(r"\n[ \t]*\n")
+    last = F.regexp_extract(plain, r"(?sd)\A.*\n[ \t]*\n(.*)\z", 1)
+    return F.regexp_replace(F.when(heading != "", heading).when(broken, last).otherwise(plain), r"\s+$", "")
+
+
+def kb_path(uri: Column) -> Column:
+    """The path that a kb:// address names, without fragment, query and leading slashes; null for anything else."""
+    rest = F.regexp_extract(uri, r"^kb://([^#?]*)", 1)
+    return F.nullif(F.trim(F.regexp_replace(rest, "^/+", "")), F.lit(""))
+
+
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\n\s*\n"), F.trim), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
 
 
 def entry_estimate(text: Column) -> Column:

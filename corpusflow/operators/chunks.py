@@ -132,6 +132,29 @@ def anchors(body: str, most_level: int = 3) -> list[tuple[int, str]]:
     return out
 
 
+def transcript_anchors(body: str) -> list[str]:
+    """Anchors of a transcript's headings up to the third level, but for those of turns (@...) and the list of speakers."""
+    seen: dict[str, int] = {}
+    out, fenced = [], False
+    for line in body.splitlines():
+        line = line.lstrip()
+        if line.startswith(("```", "~~~")):
+            fenced = not fenced
+        elif not fenced and (m := re.fullmatch(r"(#{1,3})(?!#)\s(.*)", line)):
+            title = m[2].strip().rstrip("#").strip()
+            name = _slug(title)
+            if not name or (len(m[1]) == 2 and (title.startswith("@") or title == "Speakers")):
+                continue
+            seen[name.lower()] = n = seen.get(name.lower(), 0) + 1
+            out.append(name if n == 1 else f"{name}-{n}")
+    return out
+
+
+def transcript_headings(pages: DataFrame, id_col: str = "page_id", body_col: str = "body") -> DataFrame:
+    """page_id, place, anchor of a transcript's own headings."""
+    return _each(pages, id_col, body_col, lambda body: list(enumerate(transcript_anchors(body))), "place int, anchor string", [pa.int32(), pa.string()])
+
+
 def cut(body: str) -> list[tuple[str, str]]:
     """(anchor, body) from each heading to the next."""
     lines = re.split(r"\r?\n", body)

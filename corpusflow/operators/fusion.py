@@ -43,7 +43,8 @@ def overlap_scorer(query_terms: list[str]) -> Callable[[Column], Column]:
 def rerank(fused: DataFrame, texts: DataFrame, scorer: Callable[[Column], Column], keep: int = RERANK_KEEP) -> DataFrame:
     """Score the candidates' texts (item_id, text) anew if the gate opens, and keep the best; else the fused order stays."""
     gate = F.broadcast(disagree(fused).select("rerank"))
-    scored = fused.join(texts.select("item_id", "text"), "item_id", "left").withColumn("rerank_score", scorer(F.coalesce("text", F.lit("")))).drop("text").crossJoin(gate)
+    pool = F.broadcast(fused.select("item_id"))  # broadcast: the fused items are limited
+    scored = fused.join(texts.join(pool, "item_id", "left_semi").select("item_id", "text"), "item_id", "left").withColumn("rerank_score", scorer(F.coalesce("text", F.lit("")))).drop("text").crossJoin(gate)
     key = F.when(F.col("rerank"), F.col("rerank_score")).otherwise(F.col("score"))
     placed = scored.withColumn("position", F.row_number().over(Window.orderBy(F.desc(key), "item_id")))
     return placed.where(~F.col("rerank") | (F.col("position") <= keep))

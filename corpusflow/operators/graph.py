@@ -16,7 +16,10 @@ DAMPING, ROUNDS, EPSILON = 0.85, 30, 1e-6
 def _ready(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/corpusflow-checkpoints")
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(root or "/tmp/corpusflow-checkpoints")
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -74,15 +77,21 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None, damping: float = DAMPING
     return state.where(F.col("score") > epsilon / n).select("item_id", "score")
 
 
+#: Rounds after which what was reached is written anew as one table.
+COMPACT = 12
+
+
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """item_id and depth (0 for start) of all that edges (src_id, dst_id) lead to."""
+    """item_id and depth (0 for start) of all that edges (src_id, dst_id) lead to. Each round writes what is new in it."""
     reached = frontier = settle(start.select("item_id").distinct().withColumn("depth", F.lit(0)))
     depth = 0
     while frontier.limit(1).count():
         depth += 1
         step = frontier.join(edges, F.col("item_id") == F.col("src_id")).select(F.col("dst_id").alias("item_id")).distinct()
         frontier = settle(step.join(reached, "item_id", "left_anti").withColumn("depth", F.lit(depth)))
-        reached = settle(reached.unionByName(frontier))
+        reached = reached.unionByName(frontier)
+        if depth % COMPACT == 0:
+            reached = settle(reached)
     return reached
 
 
@@ -114,11 +123,14 @@ def inconsistent(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
 
 
 def resolve_node(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (name) to item_id: the node of that name, else the only one that ends with it, else null."""
+    """wanted (name) to item_id: the node of that name, else the only one that ends with it, else null. Endings meet by equality, for each length that is asked for."""
+    lengths = [r[0] for r in wanted.select(F.length("name").alias("n")).where("n > 0").distinct().orderBy("n").limit(1000).collect()]
     same = wanted.join(nodes.withColumnRenamed("item_id", "exact"), F.col("name") == F.col("exact"), "left")
-    ending = same.join(nodes, F.col("exact").isNull() & F.col("item_id").endswith(F.col("name")), "left")
-    found = ending.groupBy("name", "exact").agg(F.count("item_id").alias("n"), F.min("item_id").alias("only"))
-    return found.select("name", F.coalesce("exact", F.when(F.col("n") == 1, F.col("only"))).alias("item_id"))
+    sizes = F.filter(F.array(*map(F.lit, lengths or [0])).cast("array<int>"), lambda n: n <= F.length("item_id"))
+    endings = nodes.select("item_id", F.explode(sizes).alias("n")).select("item_id", F.right("item_id", F.col("n")).alias("name"))
+    ending = same.where("exact IS NULL").join(endings, "name", "left")
+    found = ending.groupBy("name").agg(F.count("item_id").alias("n"), F.min("item_id").alias("only")).select("name", F.when(F.col("n") == 1, F.col("only")).alias("item_id"))
+    return same.where("exact IS NOT NULL").select("name", F.col("exact").alias("item_id")).unionByName(found)
 
 
 def prune(edges: DataFrame, gone: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from corpusflow.functions import text as T
 WEIGHTS = {"title": 4, "alias": 3, "heading": 2, "summary": 1}
 #: Candidates that a plan considers.
 PLAN_CANDIDATES = 25
+#: Fixed value: matches below which a plan falls back on index pages and the newest sources.
+FALLBACK = 3
 
 
 def entries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", title_words: int = 8) -> DataFrame:
@@ -69,40 +71,49 @@ def reasons(scored: DataFrame) -> DataFrame:
     return scored.select("item_id", h).select("item_id", "reason", text.alias("message"))
 
 
-def within_budget(candidates: DataFrame, budget: int, order: list[Column], cost: str = "tokens", most: int = PLAN_CANDIDATES) -> DataFrame:
-    """Walk the best candidates in order; take each that still fits, pass over those that don't.
+def within_budget(candidates: DataFrame, budget: int, order: list[Column], cost: str = "tokens", most: int = PLAN_CANDIDATES, used: DataFrame | None = None) -> DataFrame:
+    """Walk the best candidates in order; take each that still fits, pass over those that don't and go on.
 
-    One row carries at most ``most`` candidates, so the fold is a single expression.
+    One row carries at most ``most`` candidates, so the fold is a single expression. used: one row with what is spent already, in its first column.
     """
     columns = candidates.columns
     ranked = candidates.orderBy(*order).limit(most).withColumn("_pos", F.row_number().over(Window.orderBy(*order)))
     rows = ranked.groupBy().agg(F.array_sort(F.collect_list(F.struct("_pos", *columns))).alias("r"))
+    spent = F.lit(0)
+    if used is not None:
+        rows, spent = rows.crossJoin(F.broadcast(used.select(F.col(used.columns[0]).alias("_used")))), F.col("_used")  # broadcast: one row
     kind = rows.schema["r"].dataType.simpleString()
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(kind).alias("taken"))
+    start = F.struct(spent.cast("long").alias("used"), F.array().cast(kind).alias("taken"))
     step = lambda a, x: F.when(a["used"] + x[cost] <= budget, F.struct((a["used"] + x[cost]).cast("long").alias("used"), F.array_append(a["taken"], x).alias("taken"))).otherwise(a)
     taken = rows.select(F.aggregate("r", start, step).alias("a")).select(F.posexplode("a.taken").alias("_i", "t"))
     return taken.select((F.col("_i") + 1).alias("position"), *[F.col(f"t.{c}") for c in columns])
 
 
-def plan(index: DataFrame, query: str, budget: int) -> DataFrame:
-    """position, item_id, score, tokens of the entries to read within the budget."""
+def plan(index: DataFrame, query: str, budget: int, pages: DataFrame | None = None, newest: DataFrame | None = None) -> DataFrame:
+    """position, item_id, score, tokens of the entries to read within the budget.
+
+    pages and newest (item_id, tokens, order) are fallen back on where fewer than three entries match at all.
+    """
     text = F.concat_ws(" ", "title", F.array_join("aliases", " "), F.array_join("headings", " "), "summary")
     scored = score(index, query).select("item_id", "score", T.entry_estimate(text).alias("tokens"))
-    return within_budget(scored, budget, [F.desc("score"), F.col("item_id")])
+    planned = within_budget(scored, budget, [F.desc("score"), F.col("item_id")])
+    if pages is None or newest is None:
+        return planned
+    return with_fallback(planned, pages, newest, budget, matches=scored.limit(FALLBACK).agg(F.count("*").alias("matches")))
 
 
-def with_fallback(planned: DataFrame, pages: DataFrame, newest: DataFrame, budget: int, least: int = 3) -> DataFrame:
-    """Where a plan has fewer than ``least`` candidates, add index pages and then the newest sources (5 at most) while the budget lasts.
+def with_fallback(planned: DataFrame, pages: DataFrame, newest: DataFrame, budget: int, least: int = FALLBACK, matches: DataFrame | None = None) -> DataFrame:
+    """Where fewer than ``least`` candidates match, add index pages and then the newest sources (5 at most) that the budget still holds, passing over those that it doesn't.
 
-    pages and newest: item_id, tokens, and order. Added candidates have score 0 and follow the plan's.
+    pages and newest: item_id, tokens, and order. Added candidates have score 0 and follow the plan's. matches: one row, how many match at all; by default how many the plan has.
     """
     state = planned.agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("used"))
-    more = pages.select("item_id", "tokens", F.lit(0).alias("tier"), "order").unionByName(newest.orderBy("order").limit(5).select("item_id", "tokens", F.lit(1).alias("tier"), "order"))
-    more = more.join(planned.select("item_id"), "item_id", "left_anti").crossJoin(F.broadcast(state)).where(F.col("n") < least)
-    running = F.sum("tokens").over(Window.orderBy("tier", "order", "item_id").rowsBetween(Window.unboundedPreceding, 0))
-    fits = more.withColumn("_total", F.col("used") + running).where(F.col("_total") <= budget)
-    position = F.col("n") + F.row_number().over(Window.orderBy("tier", "order", "item_id"))
-    added = fits.select(position.cast("int").alias("position"), "item_id", F.lit(0).cast("long").alias("score"), F.col("tokens").cast("long").alias("tokens"))
+    state = state.crossJoin(matches) if matches is not None else state.withColumn("matches", F.col("n"))
+    more = pages.select("item_id", "tokens", F.lit(0).alias("tier"), "order").unionByName(newest.orderBy("order", "item_id").limit(5).select("item_id", "tokens", F.lit(1).alias("tier"), "order"))
+    more = more.groupBy("item_id").agg(F.min(F.struct("tier", "order", "tokens")).alias("m")).select("item_id", "m.*").join(planned.select("item_id"), "item_id", "left_anti")
+    more = more.crossJoin(F.broadcast(state.select("matches"))).where(F.col("matches") < least).drop("matches")  # broadcast: one row
+    fits = within_budget(more, budget, [F.col("tier"), F.col("order"), F.col("item_id")], used=state.select("used"))
+    added = fits.crossJoin(F.broadcast(state.select("n"))).select((F.col("n") + F.col("position")).cast("int").alias("position"), "item_id", F.lit(0).cast("long").alias("score"), F.col("tokens").cast("long").alias("tokens"))
     return planned.select("position", "item_id", "score", "tokens").unionByName(added)
 
 

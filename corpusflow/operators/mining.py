@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
 from corpusflow.functions.words import CONCEPT_STOPWORDS, MENTION_STOPWORDS, PHRASE_STOPWORDS, TOPIC_STOPWORDS
+from corpusflow.operators import matching
 
 #: Words in a key phrase; sources and mentions that make a missing concept; similarity of duplicates.
 PHRASE_WORDS = (2, 4)
@@ -118,7 +119,7 @@ def _bigrams(text: Column) -> Column:
 
 
 def near_names(names: DataFrame, least: float = NAME_SIMILARITY, least_definition: float = DEFINITION_SIMILARITY) -> DataFrame:
-    """a, b, similarity of names alike by the Dice measure of character pairs. names: id, name, definition (may be null).
+    """a, b, similarity of ids with names alike by the Dice measure of character pairs; of several names the most alike. names: id, name, definition (may be null).
 
     Topic words are dropped first, unless nothing would be left. Definitions, where both have one, must be
     a little alike too. Only names of fitting lengths that share one of their rarest pairs meet: to reach the measure, the
@@ -127,23 +128,24 @@ def near_names(names: DataFrame, least: float = NAME_SIMILARITY, least_definitio
     stop = F.array(*map(F.lit, TOPIC_STOPWORDS))
     low = F.lower(F.trim("name"))
     bare = F.array_join(F.filter(F.split(low, r"\s+"), lambda w: ~F.array_contains(stop, w)), " ")
-    rows = names.select("id", F.lower(F.coalesce("definition", F.lit(""))).alias("definition"), F.when(bare == "", low).otherwise(bare).alias("term"))
-    counted = rows.select("id", "term", F.explode(_bigrams(F.col("term"))).alias("gram")).groupBy("id", "term", "gram").agg(F.count("*").alias("c"))
+    named = names.select("id", F.when(bare == "", low).otherwise(bare).alias("term")).distinct()
+    rows = named.select(F.struct("id", "term").alias("node"), "term")
+    counted = rows.select("node", F.explode(_bigrams(F.col("term"))).alias("gram")).groupBy("node", "gram").agg(F.count("*").alias("c"))
     df = counted.groupBy("gram").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("id", "term").orderBy("df", "gram")
-    ranked = counted.join(df, "gram").withColumn("n", F.sum("c").over(Window.partitionBy("id", "term"))).withColumn("before", F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    order = Window.partitionBy("node").orderBy("df", "gram")
+    ranked = counted.join(df, "gram").withColumn("n", F.sum("c").over(Window.partitionBy("node"))).withColumn("before", F.coalesce(F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # a partner has at least n * s / (2 - s) pairs, of which s / 2 * (n + that) must be shared
     need = F.ceil(F.col("n") * least / (2 - least) - F.lit(1e-9))
-    prefix = ranked.where(F.col("before") <= F.col("n") - need).select("id", "gram", "n")
+    prefix = ranked.where(F.col("before") <= F.col("n") - need).select("node", "gram", "n")
     left, right = prefix.toDF("a", "gram", "na"), prefix.toDF("b", "gram", "nb")
     ratio = least / (2 - least)
-    met = left.join(right, "gram").where((F.col("a") < F.col("b")) & (F.col("na") >= ratio * F.col("nb") - 1e-9) & (F.col("nb") >= ratio * F.col("na") - 1e-9)).select("a", "b", "na", "nb").distinct()
-    ca, cb = counted.select(F.col("id").alias("a"), "gram", F.col("c").alias("ca")), counted.select(F.col("id").alias("b"), "gram", F.col("c").alias("cb"))
-    dice = met.join(ca, "a").join(cb, ["b", "gram"]).groupBy("a", "b", "na", "nb").agg(F.sum(F.least("ca", "cb")).alias("both")).select("a", "b", (2 * F.col("both") / (F.col("na") + F.col("nb"))).alias("similarity"))
-    short = rows.where(F.length("term") < 2).select("id", "term")
+    met = left.join(right, "gram").where((F.col("a.id") < F.col("b.id")) & (F.col("na") >= ratio * F.col("nb") - 1e-9) & (F.col("nb") >= ratio * F.col("na") - 1e-9)).select("a", "b", "na", "nb").distinct()
+    ca, cb = counted.select(F.col("node").alias("a"), "gram", F.col("c").alias("ca")), counted.select(F.col("node").alias("b"), "gram", F.col("c").alias("cb"))
+    dice = met.join(ca, "a").join(cb, ["b", "gram"]).groupBy("a", "b", "na", "nb").agg(F.sum(F.least("ca", "cb")).alias("both")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), (2 * F.col("both") / (F.col("na") + F.col("nb"))).alias("similarity"))
+    short = rows.where(F.length("term") < 2).select(F.col("node.id").alias("id"), "term")
     same = short.toDF("a", "term").join(short.toDF("b", "term"), "term").where("a < b").select("a", "b", F.lit(1.0).alias("similarity"))
-    alike = dice.where(F.col("similarity") >= least).unionByName(same)
-    d = rows.select("id", "definition")
+    alike = dice.where(F.col("similarity") >= least).unionByName(same).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+    d = names.groupBy("id").agg(F.max(F.lower(F.coalesce("definition", F.lit("")))).alias("definition"))
     both = alike.join(d.toDF("a", "da"), "a").join(d.toDF("b", "db"), "b")
     return both.where((F.col("da") == "") | (F.col("db") == "") | (word_dice(F.col("da"), F.col("db")) >= least_definition)).select("a", "b", "similarity")
 
@@ -173,20 +175,16 @@ def word_forms(word: Column) -> Column:
 def mentions(concepts: DataFrame, sources: DataFrame) -> DataFrame:
     """concept_id, source_id where a source's words hold one of a concept's names in any form. concepts: concept_id, names; sources: source_id, text.
 
-    Names meet texts on their first word; only those pairs are looked at in full.
+    Texts are read once, with all names at a time; only what was found is shuffled.
     """
     stop = F.array(*map(F.lit, MENTION_STOPWORDS))
     name = concepts.select("concept_id", F.explode("names").alias("name")).select("concept_id", F.lower(F.trim("name")).alias("name"))
     fine = (F.length("name") >= 3) & F.col("name").rlike(r"[\p{L}\p{N}]") & ~F.array_contains(stop, F.col("name"))
     forms = name.where(fine).select("concept_id", F.explode(word_forms(F.col("name"))).alias("form")).distinct()
-    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    asked = forms.select("concept_id", words(F.col("form")).alias("want")).where(F.size("want") > 0).withColumn("first", F.col("want")[0])
-    held = sources.select("source_id", F.posexplode(words(F.col("text"))).alias("at", "first"))
-    singles = asked.where(F.size("want") == 1).join(held.select("source_id", "first").distinct(), "first").select("concept_id", "source_id")
-    longer = asked.where(F.size("want") > 1).join(held, "first")
-    near = longer.select("concept_id", "source_id", "want", "at").join(sources.select("source_id", words(F.col("text")).alias("words")), "source_id")
-    whole = near.where(F.slice("words", F.col("at") + 1, F.size("want")) == F.col("want")).select("concept_id", "source_id")
-    return singles.unionByName(whole).distinct()
+    words = lambda c: F.array_join(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda w: w != ""), " ")
+    asked = forms.select(F.col("concept_id").alias("pattern_id"), words(F.col("form")).alias("form")).where("form != ''").select("pattern_id", F.concat(F.lit(" "), "form", F.lit(" ")).alias("pattern"))
+    held = sources.select(F.col("source_id").alias("text_id"), F.concat(F.lit(" "), words(F.col("text")), F.lit(" ")).alias("text"))
+    return matching.contained(asked, held).select(F.col("pattern_id").alias("concept_id"), F.col("text_id").alias("source_id")).distinct()
 
 
 def snippets(docs: DataFrame, term: str, before: int = 80, width: int = 280, most: int = 12) -> DataFrame:
@@ -202,3 +200,49 @@ def category_index(pages: DataFrame) -> DataFrame:
     grouped = pages.withColumn("c", known).groupBy(F.lower("c").alias("key")).agg(F.min_by("c", "page_id").alias("category"), F.count("*").alias("n"))
     order = Window.orderBy(F.col("key") == "uncategorized", "key")
     return grouped.select("category", F.row_number().over(order).alias("position"), "n")
+
+
+# Openings of a definition of a special case, and words that say that there are several.
+_VARIANT = r"(?i)^\s*an?\s+\S.{0,30}?\s+variant\b"
+_SPECIAL = r"(?i)^\s*an?\s+(?:specialization|special\s+case|instance|sub-?case|sub-?class|subtype|kind)\s+of\b"
+SCOPE_WORDS = ("variant", "variants", "family", "include", "includes", "including")
+
+
+def first_sentence(body: Column) -> Column:
+    return F.regexp_extract(F.regexp_replace(body, r"^\s+", ""), r"^[^.\n]*", 0)
+
+
+def names_alias(body: Column, name: Column, aliases: Column) -> Column:
+    """The first alias, but for the name itself, that the first sentence names, as it is or with an s; null without one."""
+    sentence = F.lower(first_sentence(body))
+    hit = lambda a: (F.lower(a) != F.lower(name)) & (T.contains_word(sentence, F.lower(a)) | T.contains_word(sentence, F.concat(F.lower(a), F.lit("s"))))
+    return F.get(F.filter(aliases, hit), 0)
+
+
+def lacks_scope(body: Column, aliases: Column) -> Column:
+    """Whether a concept of three aliases or more neither says that there are several nor names two of them."""
+    low = F.lower(body)
+    said = F.exists(F.array(*map(F.lit, SCOPE_WORDS)), lambda w: T.contains_word(low, w))
+    return (F.size(aliases) >= 3) & ~said & (F.size(F.filter(aliases, lambda a: T.contains_word(low, F.lower(a)))) < 2)
+
+
+def narrow_opening(body: Column) -> Column:
+    """How a definition opens like that of a special case; null if it doesn't."""
+    head = first_sentence(body)
+    return F.when(head.rlike(_VARIANT), "narrow_variant_prefix").when(head.rlike(_SPECIAL), "specialization_prefix")
+
+
+def contradiction_inputs(quotes: DataFrame, known: DataFrame, most: int = 20, longest: int = 600) -> DataFrame:
+    """concept_id, quotes (source_id and text, in turn from each source) and fingerprint of the concepts whose quotations are to be judged.
+
+    quotes: concept_id, source_id, pos, quote; known: fingerprint of those judged before. One source alone contradicts nothing.
+    """
+    said = F.regexp_replace("quote", r"^\s+|\s+$", "")
+    turn = F.row_number().over(Window.partitionBy("concept_id", "source_id").orderBy("pos"))
+    place = F.row_number().over(Window.partitionBy("concept_id").orderBy("turn", "source_id"))
+    cut = F.when(F.length(said) > longest, F.concat(F.substring(said, 1, longest), F.lit("…"))).otherwise(said)
+    rows = quotes.select("concept_id", "source_id", "pos", cut.alias("text")).withColumn("turn", turn).where(F.col("turn") <= most).withColumn("place", place).where(F.col("place") <= most)
+    both = rows.groupBy("concept_id").agg(F.count_distinct("source_id").alias("sources"), F.array_sort(F.collect_list(F.struct("place", "source_id", "text"))).alias("q")).where("sources >= 2")
+    texts = F.array_distinct(F.array_sort(F.transform("q", lambda x: x["text"])))
+    made = both.select("concept_id", F.transform("q", lambda x: F.struct(x["source_id"].alias("source_id"), x["text"].alias("text"))).alias("quotes"), T.fingerprint(F.col("concept_id").cast("string"), F.array_join(texts, "\0")).alias("fingerprint"))
+    return made.join(known.select("fingerprint"), "fingerprint", "left_anti").select("concept_id", "quotes", "fingerprint")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions import vectors as V
@@ -67,3 +67,34 @@ def ranks(hits: DataFrame, tier: str) -> DataFrame:
     return hits.select("item_id", F.row_number().over(Window.orderBy(F.desc("score"), "item_id")).alias("rank"), F.lit(tier).alias("tier"), F.col("score").cast("double").alias("score"))
 
 
+def ranks_among(hits: DataFrame, wanted: DataFrame, top: int, tier: str) -> DataFrame:
+    """item_id and its place in a long tier, of the first ``top`` items and of the wanted ones (item_id; few, as they come from tiers with a limit).
+
+    The places of wanted items are counted, not sorted for: how many hits stand before each.
+    """
+    first = ranks(hits.orderBy(F.desc("score"), "item_id").limit(top), tier)
+    asked = hits.join(F.broadcast(wanted.select("item_id").distinct()), "item_id", "left_semi").select(F.col("item_id").alias("_id"), F.col("score").alias("_score"))
+    before = hits.join(F.broadcast(asked), (F.col("score") > F.col("_score")) | ((F.col("score") == F.col("_score")) & (F.col("item_id") <= F.col("_id"))))
+    counted = before.groupBy("_id", "_score").agg(F.count("*").cast("int").alias("rank")).select(F.col("_id").alias("item_id"), "rank", F.lit(tier).alias("tier"), F.col("_score").cast("double").alias("score"))
+    return first.unionByName(counted).distinct()
+
+
+def sync(stored: DataFrame, inputs: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The store after a sync: chunk_id, item_id, content_hash, embedding of all that is live, and nothing else.
+
+    inputs: chunk_id, item_id, text, content_hash of what is live. Only chunks that are new or whose hash differs are embedded; embed: from inputs to chunk_id, embedding.
+    """
+    key = ["chunk_id", "content_hash"]
+    same = stored.join(inputs.select(*key), key, "left_semi").select("chunk_id", "item_id", "content_hash", "embedding")
+    due = inputs.join(same.select("chunk_id"), "chunk_id", "left_anti")
+    made = due.select("chunk_id", "item_id", "content_hash").join(embed(due.select("chunk_id", "text")), "chunk_id")
+    return same.unionByName(made.select(*same.columns))
+
+
+def mean_pool(tokens: Column, mask: Column) -> Column:
+    """The mean of token vectors, weighted by their mask, at unit length; all zero if nothing counts. Tokens without a mask don't count."""
+    pairs = F.filter(F.zip_with(tokens, mask, lambda t, m: F.struct(t.alias("t"), m.cast("double").alias("m"))), lambda p: p["m"] > 0)
+    zero = F.transform(F.get(tokens, 0), lambda x: F.lit(0.0))
+    total = F.aggregate(pairs, zero, lambda a, p: F.zip_with(a, p["t"], lambda x, y: x + y.cast("double") * p["m"]))
+    length = V.norm(total)
+    return F.transform(total, lambda x: F.when(length > 0, x / length).otherwise(0.0))

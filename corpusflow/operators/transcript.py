@@ -80,10 +80,36 @@ def collapse_runs(segments: DataFrame, least: int = RUN) -> DataFrame:
     return marked.where((F.col("_n") < least) | (F.col("_i") == 1)).select(*segments.columns)
 
 
+def _repeats(raw: bytes, width: int) -> bool:
+    n = len(raw)
+    if n < 2 * width:
+        return False
+    codes = np.frombuffer(raw, np.uint8).astype(np.uint64)
+    odd, back = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+    up, down = (np.cumprod(np.concatenate([[1], np.full(n - 1, x, np.uint64)]).astype(np.uint64)) for x in (odd, back))
+    sums = np.concatenate([[0], np.cumsum((codes + np.uint64(1)) * up)]).astype(np.uint64)
+    hashes = (sums[width:] - sums[:-width]) * down[: n - width + 1]
+    order = np.argsort(hashes, kind="stable")
+    same = np.flatnonzero(hashes[order][1:] == hashes[order][:-1])
+    if len(same) == 0:
+        return False
+    seen: set[bytes] = set()
+    for i in np.unique(np.concatenate([order[same], order[same + 1]])).tolist():  # hashes can be equal by chance
+        window = raw[i : i + width]
+        if window in seen:
+            return True
+        seen.add(window)
+    return False
+
+
 def repeats_itself(text: Column, width: int = 60) -> Column:
-    """Whether some stretch of that many characters stands twice in a text."""
-    windows = F.transform(F.sequence(F.lit(1), F.length(text) - width + 1), lambda i: F.substring(text, i, F.lit(width)))
-    return F.when(F.length(text) <= width, F.lit(False)).otherwise(F.size(F.array_distinct(windows)) < F.size(windows))
+    """Whether some stretch of that many bytes stands twice in a text of twice as many at least; stretches may overlap. Null texts don't."""
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t is not None and _repeats(t.encode(), width))
+
+    return run(text)
 
 
 def round_robin(quotes: DataFrame, limit: int = 20) -> DataFrame:

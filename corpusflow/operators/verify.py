@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
+from corpusflow.operators import matching
 
 #: Fixed value: edits allowed in each whole hundred characters of a quotation.
 FUZZ = 2
@@ -38,10 +39,29 @@ def quote_in(quote: Column, source: Column) -> Column:
     return F.contains(T.match_form(source), T.match_form(quote))
 
 
+def find_quotes(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """quote_id, source_id of every source that holds a quotation, in their forms for comparing. quotes: quote_id, quote; sources: source_id, text."""
+    patterns = quotes.select(F.col("quote_id").alias("pattern_id"), T.match_form(F.col("quote")).alias("pattern"))
+    texts = sources.select(F.col("source_id").alias("text_id"), T.match_form(F.col("text")).alias("text"))
+    return matching.contained(patterns, texts).select(F.col("pattern_id").alias("quote_id"), F.col("text_id").alias("source_id"))
+
+
+def _starts(quote: str, source: str, budget: int) -> list[int]:
+    """Where a window within the budget may begin: of budget + 1 parts of the quotation at least one stands there unchanged, moved by the budget at most."""
+    cuts = [len(quote) * i // (budget + 1) for i in range(budget + 2)]
+    found: set[int] = set()
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        at = source.find(quote[a:b])
+        while at >= 0:
+            found.update(range(max(0, at - a - budget), at - a + budget + 1))
+            at = source.find(quote[a:b], at + 1)
+    return sorted(x for x in found if x < len(source))
+
+
 def within(quote: str, source: str, budget: int) -> int | None:
     """Edits between a quotation and the first window of a source, from the left and then by length, that is within the budget."""
     q, n = len(quote), len(source)
-    for start in range(n):
+    for start in _starts(quote, source, budget) if q > budget else range(n):
         row = list(range(min(q + budget, n - start) + 1))  # distances of the empty prefix to windows of each length
         for i in range(1, q + 1):
             low, high = max(1, i - budget), min(len(row) - 1, i + budget)
@@ -51,7 +71,7 @@ def within(quote: str, source: str, budget: int) -> int | None:
             for j in range(low, high + 1):
                 new[j] = min(row[j - 1] + (quote[i - 1] != source[start + j - 1]), row[j] + 1, new[j - 1] + 1)
             row = new
-            if min(row) > budget:
+            if min(row[max(0, i - budget) : high + 1], default=budget + 1) > budget:
                 break
         else:
             for length in range(max(0, q - budget), len(row)):

@@ -93,12 +93,17 @@ def issues(found: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [row(rule, df) for rule, df in found.items()])
 
 
+def page_links(pages: DataFrame) -> DataFrame:
+    """page_id, target, anchor of the wiki links and Markdown links on pages (page_id, body), code and front matter aside; both may be relative to the page."""
+    plain = T.without_frontmatter(F.regexp_replace(T.strip_code_blocks(F.col("body")), "`[^`\n]*`", " "))
+    raw = F.concat(F.regexp_extract_all(plain, F.lit(r"\[\[([^\]\r\n]+)\]\]"), 1), T.markdown_links(plain))
+    found = pages.select("page_id", F.explode(raw).alias("raw")).select("page_id", T.link_target(F.col("raw"), F.col("page_id")).alias("t"))
+    return found.where("t IS NOT NULL").select("page_id", "t.target", "t.anchor")
+
+
 def lint(pages: DataFrame, anchors: DataFrame, sources: DataFrame) -> DataFrame:
     """The rules that need pages, anchors and sources alone. pages: page_id, body; anchors: page_id, anchor; sources: source_id, page_id, text."""
-    plain = F.regexp_replace(T.strip_code(F.col("body")), r"\A---\r?\n(?s:.*?)\r?\n---(?:\r?\n|\z)", "")
-    raw = pages.select("page_id", F.explode(F.regexp_extract_all(plain, F.lit(r"\[\[([^\]\r\n]+)\]\]"), 1)).alias("raw"))
-    target = F.concat(F.regexp_replace(F.regexp_replace(F.trim(F.regexp_extract("raw", r"^([^|#]*)", 1)), r"^(?:\./|/)+", ""), r"\.md$", ""), F.lit(".md"))
-    links = raw.select("page_id", target.alias("target"), F.nullif(F.regexp_extract("raw", r"#([^|]*)", 1), F.lit("")).alias("anchor"))
+    links = page_links(pages)
     cited = pages.select("page_id", F.explode(T.source_references(F.col("body"))).alias("source_id"))
     used = cited.select("source_id").union(links.join(sources.select(F.col("page_id").alias("target"), "source_id"), "target").select("source_id"))
     quotes = verify.verify_quotes(verify.quote_citations(pages.where(F.col("page_id").startswith("wiki/concepts/"))).select("page_id", "quote", "source_id"), sources)
@@ -119,7 +124,10 @@ def lint(pages: DataFrame, anchors: DataFrame, sources: DataFrame) -> DataFrame:
 
 def resolve_ids(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """wanted (input) to id, kind and status: found or ambiguous in the first kind where the input is an id or starts one, else missing. known: id, kind, rank of the kind."""
-    hits = wanted.join(known, F.col("id").startswith(F.col("input")))
+    lengths = [r[0] for r in wanted.select(F.length("input").alias("n")).where("n > 0").distinct().orderBy("n").limit(1000).collect()]  # beginnings meet by equality, for each length that is asked for
+    sizes = F.filter(F.array(*map(F.lit, lengths or [0])).cast("array<int>"), lambda n: n <= F.length("id"))
+    starts = known.select("*", F.explode(sizes).alias("_n")).withColumn("input", F.left("id", F.col("_n"))).drop("_n")
+    hits = wanted.join(starts, "input")
     per_kind = hits.groupBy("input", "kind", "rank").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.max((F.col("id") == F.col("input")).cast("int")).alias("exact"), F.max(F.when(F.col("id") == F.col("input"), F.col("id"))).alias("same"))
     first = per_kind.groupBy("input").agg(F.min_by(F.struct("kind", "n", "exact", F.coalesce("same", "id").alias("id")), "rank").alias("m"))
     status = F.when(F.col("m").isNull(), "missing").when((F.col("m.exact") == 1) | (F.col("m.n") == 1), "found").otherwise("ambiguous")
@@ -191,3 +199,57 @@ def staged_images(pages: DataFrame, files: DataFrame, most_bytes: int = 10 << 20
     name = F.regexp_extract("target", r"([^/]+)$", 1)
     n = F.dense_rank().over(Window.partitionBy(name).orderBy("target"))
     return fine.select("page_id", "target", F.when(n == 1, name).otherwise(F.regexp_replace(name, r"(\.[^.]*)$", F.concat(F.lit("-"), n.cast("string"), F.lit("$1")))).alias("asset"))
+
+
+def review_counts(items: DataFrame) -> DataFrame:
+    """kind (null: all) with total, pending, approved and rejected review items; kinds without a pending one are left out. items: kind, status."""
+    n = lambda status: F.count_if(F.col("status") == status).alias(status)
+    counts = [F.count("*").alias("total"), *map(n, ("pending", "approved", "rejected"))]
+    return items.agg(*counts).select(F.lit(None).cast("string").alias("kind"), "*").unionByName(items.groupBy("kind").agg(*counts).where("pending > 0"))
+
+
+def build_records_of(records: DataFrame, output_id: str) -> DataFrame:
+    """Build records that made an output, newest first. records: record_id, created, output_ids."""
+    return records.where(F.array_contains("output_ids", output_id)).orderBy(F.desc("created"), "record_id")
+
+
+def heading_citations(revisions: DataFrame) -> DataFrame:
+    """citation_id, revision_id, anchor: a citation for each key heading of a revision (revision_id, anchors), or one of the whole where there is none."""
+    rows = revisions.select("revision_id", F.explode_outer("anchors").alias("anchor"))
+    return rows.select(F.concat("revision_id", F.coalesce(F.concat(F.lit("#"), "anchor"), F.lit(""))).alias("citation_id"), "revision_id", "anchor")
+
+
+def extracted_concepts(answers: DataFrame) -> DataFrame:
+    """source_id, name of the concepts that a model's answers (source_id, answer: JSON with ``concepts``) list; remarks on a concept are no concepts, and what can't be read lists none."""
+    parsed = F.from_json("answer", "concepts array<struct<name string>>")
+    rows = answers.select("source_id", F.explode(parsed["concepts"]).alias("c")).select("source_id", F.trim("c.name").alias("name"))
+    return rows.where((F.col("name") != "") & ~T.meta_slug(T.link_slug(F.col("name"))))
+
+
+def merge_outcomes(groups: DataFrame) -> DataFrame:
+    """group_id, outcome, path: confident merges become pages, the others wait for a review. groups: group_id, canonical, confident."""
+    slug = T.link_slug(F.col("canonical"))
+    return groups.select("group_id", F.when(F.col("confident"), "page").otherwise("review").alias("outcome"), F.when(F.col("confident"), F.concat(F.lit("wiki/concepts/"), slug, F.lit(".md"))).otherwise(F.concat(F.lit("reviews/merges/"), F.col("group_id").cast("string"), F.lit(".json"))).alias("path"))
+
+
+def imputed_body(existing: Column, name: Column, definition: Column, sources: Column) -> Column:
+    """A concept page with a drafted definition and the addresses (array) behind it: front matter and managed regions of the existing page (null: none) stay."""
+    front = F.coalesce(F.nullif(F.regexp_extract(existing, r"\A(---\r?\n(?s:.*?)\r?\n---\r?\n)", 1), F.lit("")), F.concat(F.lit("---\nid: concept:"), T.link_slug(name), F.lit("\nname: "), name, F.lit("\norigin: imputed\n---\n")))
+    regions = F.coalesce(F.array_join(F.regexp_extract_all(existing, F.lit(r"(?s)<!-- kb:begin id=(.*?) -->.*?<!-- kb:end id=\1 -->"), 0), "\n\n"), F.lit(""))
+    listed = F.when(F.size(sources) > 0, F.concat(F.lit("\n## Sources\n\n"), F.array_join(F.transform(sources, lambda s: F.concat(F.lit("- "), s)), "\n"), F.lit("\n"))).otherwise("")
+    drafted = F.when(F.trim(definition) != "", F.concat(F.lit("\n"), F.trim(definition), F.lit("\n"))).otherwise("")
+    return F.concat(front, F.lit("\n# "), name, F.lit("\n"), drafted, listed, F.when(regions != "", F.concat(F.lit("\n"), regions, F.lit("\n"))).otherwise(""))
+
+
+def tree(files: DataFrame) -> DataFrame:
+    """path, kind (dir or file), depth of all that isn't hidden below a root, folders before files and then by name, in ``position``. files: path."""
+    parts = F.split("path", "/")
+    seen = files.where(~F.exists(parts, lambda x: x.startswith("."))).select(parts.alias("p"))
+    every = seen.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda n: F.struct(F.slice("p", 1, n).alias("p"), (n < F.size("p")).alias("dir")))).alias("e")).select("e.*").distinct()
+    step = F.transform(F.col("p"), lambda x, i: F.struct((~F.col("dir") & (i + 1 == F.size("p"))).alias("file"), x.alias("name")))
+    return every.select(F.array_join("p", "/").alias("path"), F.when(F.col("dir"), "dir").otherwise("file").alias("kind"), F.size("p").alias("depth"), step.alias("position")).orderBy("position")
+
+
+def eval_runs(files: DataFrame) -> DataFrame:
+    """name and time of the evaluations whose results are stored, newest first. files: path, modified."""
+    return files.where(F.col("path").rlike(r"\.json$")).select(F.regexp_extract("path", r"([^/]*)\.json$", 1).alias("name"), "modified").orderBy(F.desc("modified"), "name")

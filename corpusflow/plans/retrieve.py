@@ -11,7 +11,7 @@ from corpusflow.operators import fusion, graph, lexical, semantic
 
 
 def hybrid_search(index: DataFrame, chunks: DataFrame, query: str, vector: DataFrame, edges: DataFrame | None, limit: int = 10, floors: tuple[float, float] = semantic.FLOORS["hash"], rrf_k: int = fusion.RRF_K, rerank: bool = False) -> DataFrame:
-    """position, item_id, score and ranks: lexical, semantic above its floor, PageRank from what both found, fused, and reranked if asked for and the tiers disagree."""
+    """position, item_id, score and ranks: lexical, semantic above its floor, PageRank from what both found, fused, and reranked if asked for and the tiers disagree. An index with a column body lends its first paragraph to reranking."""
     pool = max(limit, fusion.RERANK_POOL) if rerank else limit
     lex = lexical.search(index, query, pool)
     lexical_tier = semantic.ranks(lex, "lexical")
@@ -20,10 +20,11 @@ def hybrid_search(index: DataFrame, chunks: DataFrame, query: str, vector: DataF
     tiers = [lexical_tier, semantic_tier]
     if edges is not None:
         seeds = lexical_tier.select("item_id").union(semantic_tier.select("item_id")).distinct()
-        tiers.append(semantic.ranks(graph.pagerank(edges, seeds), "structural"))
+        tiers.append(semantic.ranks_among(graph.pagerank(edges, seeds), seeds, pool, "structural"))
     fused = fusion.fuse(tiers, pool, rrf_k)
     if rerank:
-        text = fusion.rich_text(F.col("title"), F.col("summary"), F.lit(None).cast("string"), F.col("item_id"))
+        paragraph = T.first_paragraph(F.col("body")) if "body" in index.columns else F.lit(None).cast("string")
+        text = fusion.rich_text(F.col("title"), F.col("summary"), paragraph, F.col("item_id"))
         return fusion.rerank(fused, index.select("item_id", text.alias("text")), fusion.overlap_scorer(T.query_terms(query))).where(F.col("position") <= limit)
     return fused.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "item_id"))).where(F.col("position") <= limit)
 
@@ -35,12 +36,11 @@ def hybrid_plan(index: DataFrame, chunks: DataFrame, query: str, vector: DataFra
     cost = index.select("item_id", T.entry_estimate(F.concat_ws(" ", "title", F.array_join("aliases", " "), F.array_join("headings", " "), "summary")).alias("tokens"))
     tail = sem.join(planned.select("item_id"), "item_id", "left_anti").join(cost, "item_id").select("item_id", F.col("score").alias("semantic_score"), "tokens")
     used = planned.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("used"))
-    running = F.sum("tokens").over(Window.orderBy(F.desc("semantic_score"), "item_id").rowsBetween(Window.unboundedPreceding, 0))
-    tail = tail.crossJoin(F.broadcast(used)).withColumn("_total", F.col("used") + running).where(F.col("_total") <= budget)
+    tail = lexical.within_budget(tail, budget, [F.desc("semantic_score"), F.col("item_id")], used=used).drop("position")
     members = planned.select("item_id", "tokens", F.col("position").alias("lexical_rank")).unionByName(tail.select("item_id", "tokens", F.lit(None).cast("int").alias("lexical_rank")))
     ranked = members.join(semantic.ranks(sem, "semantic").select("item_id", F.col("rank").alias("semantic_rank")), "item_id", "left")
     if edges is not None:
-        structural = semantic.ranks(graph.pagerank(edges, members.select("item_id")), "structural").select("item_id", F.col("rank").alias("structural_rank"))
+        structural = semantic.ranks_among(graph.pagerank(edges, members.select("item_id")), members.select("item_id"), 0, "structural").select("item_id", F.col("rank").alias("structural_rank"))
         ranked = ranked.join(structural, "item_id", "left")
     else:
         ranked = ranked.withColumn("structural_rank", F.lit(None).cast("int"))
@@ -54,9 +54,9 @@ def assemble(planned: DataFrame, pages: DataFrame, sections: DataFrame, query: s
 
     planned: position, item_id. pages: item_id, body, summary. sections: item_id, section, anchor, body. A plan holds a few dozen candidates at most.
     """
-    scored = lexical.section_scores(sections, query)
+    scored = lexical.section_scores(sections.join(F.broadcast(planned.select("item_id")), "item_id", "left_semi"), query)
     parts = scored.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("o"), "section", "anchor", "body"))).alias("sections"))
-    one = planned.select("position", "item_id").join(pages.select("item_id", "body", "summary"), "item_id").join(parts, "item_id", "left").withColumn("_plan", F.lit(0))
+    one = F.broadcast(planned.select("position", "item_id")).join(pages.select("item_id", "body", "summary"), "item_id").join(parts, "item_id", "left").withColumn("_plan", F.lit(0))
     schema = "seq int, item_id string, anchor string, kind string, text string, start long, end long"
 
     def fold(table: pa.Table) -> pa.Table:

@@ -12,7 +12,6 @@ from corpusflow.functions import vectors as V
 from corpusflow.functions.words import CONCEPT_STOPWORDS, PHRASE_STOPWORDS, QUERY_STOPWORDS
 from corpusflow.operators import chunks, evaluate, fusion, graph, lexical, mining, semantic, state, transcript, verify, wiki
 from corpusflow.plans import retrieve
-from corpusflow.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -121,12 +120,6 @@ def page_links(spark, sf_dir):
     return rows.groupBy("href").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("n_pages"))
 
 
-@query(None)
-def text_sniff(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", files.looks_like_text(F.col("text").cast("binary")).alias("is_text"), T.semantically_empty(F.col("text")).alias("is_empty"))
-
-
 # Retrieval
 
 
@@ -146,13 +139,17 @@ def lex_reasons(spark, sf_dir):
 
 _BUDGET = 2500
 _ENTRY = f"CAST(greatest(32, ceil(strlen({_TITLE} || '   ' || text) / 4.0)) AS BIGINT)"
-_PLAN = f"""{_SCORES}, c AS (SELECT s.item_id, s.score, {_ENTRY} AS tokens, row_number() OVER (ORDER BY score DESC, item_id) AS pos FROM scores s JOIN documents d ON d.doc_id = s.item_id),
+
+
+
+def _plan_sql(budget: int) -> str:
+    return f"""{_SCORES}, c AS (SELECT s.item_id, s.score, {_ENTRY} AS tokens, row_number() OVER (ORDER BY score DESC, item_id) AS pos FROM scores s JOIN documents d ON d.doc_id = s.item_id),
  walk(pos, item_id, score, tokens, used, takes) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false
-  UNION ALL SELECT c.pos, c.item_id, c.score, c.tokens, w.used + CASE WHEN w.used + c.tokens <= {_BUDGET} THEN c.tokens ELSE 0 END, w.used + c.tokens <= {_BUDGET} FROM walk w JOIN c ON c.pos = w.pos + 1 WHERE c.pos <= 25),
+  UNION ALL SELECT c.pos, c.item_id, c.score, c.tokens, w.used + CASE WHEN w.used + c.tokens <= {budget} THEN c.tokens ELSE 0 END, w.used + c.tokens <= {budget} FROM walk w JOIN c ON c.pos = w.pos + 1 WHERE c.pos <= 25),
  planned AS (SELECT CAST(row_number() OVER (ORDER BY pos) AS INTEGER) AS position, item_id, score, tokens FROM walk WHERE takes)"""
 
 
-@query(f"WITH RECURSIVE {_PLAN} SELECT position, item_id, score, tokens FROM planned")
+@query(f"WITH RECURSIVE {_plan_sql(_BUDGET)} SELECT position, item_id, score, tokens FROM planned")
 def lex_plan_budget(spark, sf_dir):
     return lexical.plan(_index(spark, sf_dir), QUESTION, _BUDGET)
 
@@ -446,24 +443,31 @@ _FORM = r"trim(regexp_replace(lower(translate({x},'*_`','')),'\s+',' ','g'))"
 
 @query(f"SELECT item_id, doc_id FROM (SELECT item_id, {_FORM.format(x='text')} AS q FROM benchmark) b, (SELECT doc_id, {_FORM.format(x='text')} AS s FROM documents) d WHERE contains(s, q)")
 def quotes_found(spark, sf_dir):
-    """Quotations are few and meet every document; the reading side is never shuffled."""
-    q = table(spark, sf_dir, "benchmark").select("item_id", T.match_form(F.col("text")).alias("q"))
-    d = table(spark, sf_dir, "documents").select("doc_id", T.match_form(F.col("text")).alias("s"))
-    words = F.split("s", " ")
-    starts = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 4)), lambda i: F.array_join(F.slice(words, i, 5), " ")))).alias("head"))
-    # a quotation's second to sixth words stand whole in any text that holds it, so they serve as the key
-    key = F.array_join(F.slice(F.split("q", " "), 2, 5), " ")
-    long = q.where(F.size(F.split("q", " ")) >= 7).withColumn("head", key)
-    met = long.join(starts, "head").select("item_id", "q", "doc_id").distinct().join(d, "doc_id").where(F.contains("s", "q")).select("item_id", "doc_id")
-    short = q.where(F.size(F.split("q", " ")) < 7).join(d, F.contains("s", "q")).select("item_id", "doc_id")
-    return met.unionByName(short)
+    """Quotations are few and meet every document in one pass."""
+    quotes = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    found = verify.find_quotes(quotes, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text"))
+    return found.select(F.col("quote_id").alias("item_id"), F.col("source_id").alias("doc_id"))
+
+
+_VERIFIED = f"""q AS (SELECT item_id, item_id % 5 AS k, CASE item_id % 5 WHEN 1 THEN 'zzz ' || text WHEN 2 THEN substring(text, 1, 90) || 'qqq' ELSE text END AS quote FROM benchmark), s AS (SELECT item_id AS source_id, '<p>“' || text || '”  *x*' AS text FROM benchmark WHERE item_id % 5 <> 3),
+ j AS (SELECT q.*, s.text, {_FORM.format(x='q.quote')} AS a, {_FORM.format(x='s.text')} AS b FROM q LEFT JOIN s ON s.source_id = q.item_id)"""
+
+
+@query(f"WITH {_VERIFIED} SELECT item_id AS page_id, CASE WHEN text IS NULL THEN 'source_missing' WHEN contains(b, a) THEN 'exact' ELSE 'absent' END AS status FROM j WHERE text IS NULL OR contains(b, a) OR length(a) < 100")
+def quotes_verified(spark, sf_dir):
+    """Quotations with their sources: some changed, some without a source. Long changed ones, which may be found with edits, are left to quotes_fuzzy."""
+    b, k, x = table(spark, sf_dir, "benchmark"), F.col("item_id") % 5, F.col("text")
+    quote = F.when(k == 1, F.concat(F.lit("zzz "), x)).when(k == 2, F.concat(F.substring(x, 1, 90), F.lit("qqq"))).otherwise(x)
+    sources = b.where("item_id % 5 != 3").select(F.col("item_id").alias("source_id"), F.concat(F.lit("<p>“"), "text", F.lit("”  *x*")).alias("text"))
+    done = verify.verify_quotes(b.select(F.col("item_id").alias("page_id"), quote.alias("quote"), F.col("item_id").alias("source_id")), sources)
+    return done.where((F.col("status") != "fuzzy") & ((F.col("status") != "absent") | (F.length(T.match_form(F.col("quote"))) < 100))).select("page_id", "status")
 
 
 @query(None)
 def quotes_fuzzy(spark, sf_dir):
     """Benchmark passages with a letter changed, against the documents that hold a passage."""
     held = QUERIES["quotes_found"](spark, sf_dir).groupBy("item_id").agg(F.min("doc_id").alias("source_id"))
-    b = table(spark, sf_dir, "benchmark").join(held, "item_id").select(F.col("item_id").alias("page_id"), F.concat(F.substring("text", 1, 20), F.lit("x"), F.substring("text", 22, 100000)).alias("quote"), "source_id")
+    b = table(spark, sf_dir, "benchmark").join(held, "item_id").select(F.col("item_id").alias("page_id"), F.concat(F.substring("text", 1, 20), F.lit("x"), F.substring("text", F.lit(22), F.length("text"))).alias("quote"), "source_id")
     sources = table(spark, sf_dir, "documents").join(held.select(F.col("source_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("source_id"), "text")
     return verify.verify_quotes(b, sources).select("page_id", "status", "edits")
 
@@ -474,11 +478,11 @@ def stale_references(spark, sf_dir):
     return verify.stale_citations(cited, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id")))
 
 
-@query("SELECT 'cust/' || c_custkey AS source_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) AND NOT regexp_matches('cust/' || c_custkey, '^cust/1[^/]*$')")
+@query("SELECT 'part/' || p_partkey AS source_id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40) AND NOT regexp_matches('part/' || p_partkey, '^part/1[^/]*$')")
 def orphan_sources(spark, sf_dir):
-    name = lambda c: F.concat(F.lit("cust/"), c).alias("source_id")
-    found = verify.orphan_sources(table(spark, sf_dir, "customer").select(name("c_custkey")), table(spark, sf_dir, "orders").select(name("o_custkey")))
-    return found.where(~F.col("source_id").rlike("^cust/1[^/]*$"))
+    name = lambda c: F.concat(F.lit("part/"), c).alias("source_id")
+    found = verify.orphan_sources(table(spark, sf_dir, "part").select(name("p_partkey")), table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(name("l_partkey")), ["none/**"])
+    return found.where(~F.col("source_id").rlike("^part/1[^/]*$"))
 
 
 @query("""WITH b AS (SELECT DISTINCT replace(p_name, 'e', 'o') AS target FROM part WHERE replace(p_name, 'e', 'o') NOT IN (SELECT p_name FROM part)), n AS (SELECT DISTINCT p_name AS name FROM part),
@@ -597,7 +601,10 @@ _SEG = """s AS (SELECT user_id AS rec, row_number() OVER (PARTITION BY user_id O
  seg AS (SELECT rec, seq, start_s, start_s + fmod(value, 20) AS end_s, text FROM s)"""
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {_SEG}, walk(rec, seq, speaker, a, b, turn) AS (SELECT rec, seq, text, CAST(trunc(start_s) AS INTEGER), CAST(trunc(greatest(end_s, start_s)) AS INTEGER), 0 FROM seg WHERE seq = 1
+ UNION ALL SELECT s.rec, s.seq, s.text, CASE WHEN t.same THEN w.a ELSE CAST(trunc(s.start_s) AS INTEGER) END, CAST(trunc(greatest(s.end_s, s.start_s)) AS INTEGER), CASE WHEN t.same THEN w.turn ELSE w.turn + 1 END
+  FROM walk w JOIN seg s ON s.rec = w.rec AND s.seq = w.seq + 1, LATERAL (SELECT s.text = w.speaker AND s.start_s - w.b < 10 AND greatest(s.end_s, s.start_s) - w.a < 300 AS same) t)
+ SELECT rec, turn, any_value(speaker) AS speaker, min(a) AS start_s, arg_max(b, seq) AS end_s, string_agg(speaker, ' ' ORDER BY seq) AS text FROM walk GROUP BY rec, turn""")
 def turns_merge(spark, sf_dir):
     return transcript.merge_turns(_segments(spark, sf_dir).withColumn("speaker", F.col("text")))
 
@@ -624,9 +631,14 @@ def speaker_nearest(spark, sf_dir):
     return transcript.speakers(s.select("rec", "seq", "start_s", "end_s"), v).select("rec", "seq", "speaker")
 
 
-@query("SELECT doc_id, CASE WHEN length(text) <= 60 THEN false ELSE len(list_distinct(list_transform(range(1, length(text) - 58), lambda i: substring(text, i, 60)))) < length(text) - 59 END AS repeats FROM documents")
+_TWICE = "CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN repeat('a', 80) WHEN 2 THEN substring(text, 1, 50) || repeat('é', 40) || 'x' || repeat('é', 40) ELSE repeat('ab', 60) END"
+
+
+@query(f"""WITH t AS (SELECT doc_id, hex(encode(coalesce({_TWICE}, ''))) AS h FROM documents)
+ SELECT doc_id, length(h) >= 240 AND len(list_distinct(list_transform(range(0, greatest(0, length(h) // 2 - 59)), lambda i: substring(h, 2 * i + 1, 120)))) < length(h) // 2 - 59 AS repeats FROM t""")
 def self_repetition(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", transcript.repeats_itself(F.col("text")).alias("repeats"))
+    """Windows of 60 bytes in texts of 120 bytes at least: 80 letters are too few, and 40 accented ones are a window and more."""
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{_TWICE} AS text").select("doc_id", transcript.repeats_itself(F.col("text")).alias("repeats"))
 
 
 @query("SELECT source AS source_id, doc_id AS pos FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) ORDER BY r, source LIMIT 50")
@@ -674,11 +686,6 @@ def chunk_pages(spark, sf_dir):
     return chunks.chunks(_pages(spark, sf_dir))
 
 
-@query(None)
-def heading_anchors(spark, sf_dir):
-    return chunks.heading_anchors(_pages(spark, sf_dir), "item_id")
-
-
 @query(None)
 def hybrid_search(spark, sf_dir):
     edges = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 500).alias("src_id"), F.pmod(F.col("vec_id") * 7 + 3, F.lit(500)).alias("dst_id"))
@@ -686,10 +693,21 @@ def hybrid_search(spark, sf_dir):
     return retrieve.hybrid_search(_index(spark, sf_dir), e, QUESTION, _vector(spark, sf_dir), edges, 10, rerank=True).drop("rerank")
 
 
-@query(None)
+_HYBRID = 9000
+
+
+@query(f"""WITH RECURSIVE {_plan_sql(_HYBRID)}, {_KNN}, top AS (SELECT chunk_id AS item_id, score FROM k ORDER BY score DESC, chunk_id LIMIT 100), near AS (SELECT * FROM top ORDER BY score DESC, item_id LIMIT 25),
+ sem AS (SELECT item_id, score, row_number() OVER (ORDER BY score DESC, item_id) AS rank FROM near WHERE score >= 0.05 AND ((SELECT count(*) FROM planned) > 0 OR (SELECT max(score) FROM near) >= 0.45)),
+ tail AS (SELECT s.item_id, {_ENTRY} AS tokens, row_number() OVER (ORDER BY s.score DESC, s.item_id) AS pos FROM sem s JOIN documents d ON d.doc_id = s.item_id WHERE s.item_id NOT IN (SELECT item_id FROM planned)),
+ go(pos, item_id, tokens, used, takes) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST((SELECT coalesce(sum(tokens), 0) FROM planned) AS BIGINT), false
+  UNION ALL SELECT t.pos, t.item_id, t.tokens, g.used + CASE WHEN g.used + t.tokens <= {_HYBRID} THEN t.tokens ELSE 0 END, g.used + t.tokens <= {_HYBRID} FROM go g JOIN tail t ON t.pos = g.pos + 1),
+ members AS (SELECT item_id, tokens, position AS lexical_rank FROM planned UNION ALL SELECT item_id, tokens, NULL FROM go WHERE takes)
+ SELECT m.item_id, m.tokens, m.lexical_rank, CAST(s.rank AS INTEGER) AS semantic_rank, round(coalesce(1.0 / (60 + m.lexical_rank), 0) + coalesce(1.0 / (60 + s.rank), 0), 9) AS score FROM members m LEFT JOIN sem s ON s.item_id = m.item_id""")
 def hybrid_plan(spark, sf_dir):
+    """The floor is low, so that a tail of semantic hits meets the budget: what doesn't fit is passed over."""
     e = _chunks(spark, sf_dir).withColumn("item_id", F.col("chunk_id"))
-    return retrieve.hybrid_plan(_index(spark, sf_dir), e, QUESTION, _vector(spark, sf_dir), None, 6000)
+    found = retrieve.hybrid_plan(_index(spark, sf_dir), e, QUESTION, _vector(spark, sf_dir), None, _HYBRID, (0.05, 0.45))
+    return found.select("item_id", "tokens", "lexical_rank", "semantic_rank", F.round("score", 9).alias("score"))
 
 
 @query(None)
@@ -765,20 +783,21 @@ def session_list(spark, sf_dir):
     return wiki.sessions(c)
 
 
-@query("""WITH cited AS (SELECT DISTINCT o_custkey AS concept_id, o_orderpriority AS anchor FROM orders), anchors AS (SELECT DISTINCT o_orderpriority AS anchor, o_orderkey AS doc_id FROM orders WHERE o_totalprice > 400000),
+@query("""WITH cited AS (SELECT DISTINCT o_custkey AS concept_id, o_orderpriority || '-' || (o_custkey % 500) AS anchor FROM orders), anchors AS (SELECT DISTINCT o_orderpriority || '-' || (o_orderkey % 500) AS anchor, o_orderkey AS doc_id FROM orders),
  allowed AS (SELECT DISTINCT o_custkey AS concept_id, o_orderkey AS doc_id FROM orders WHERE o_orderstatus = 'P'), homes AS (SELECT o_orderkey AS doc_id, 'page-' || o_custkey AS page_id FROM orders)
  SELECT DISTINCT concept_id, page_id FROM (SELECT c.concept_id, a.doc_id FROM cited c JOIN anchors a USING (anchor) WHERE c.concept_id NOT IN (SELECT concept_id FROM allowed) UNION SELECT * FROM allowed) JOIN homes USING (doc_id)""")
 def anchor_backlinks(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    concept, doc, anchor = F.col("o_custkey").alias("concept_id"), F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("anchor")
-    return wiki.anchor_backlinks(o.select(concept, anchor).distinct(), o.where("o_totalprice > 400000").select(anchor, doc).distinct(), o.select(doc, F.concat(F.lit("page-"), "o_custkey").alias("page_id")), o.where("o_orderstatus = 'P'").select(concept, doc).distinct())
+    concept, doc = F.col("o_custkey").alias("concept_id"), F.col("o_orderkey").alias("doc_id")
+    anchor = lambda key: F.concat("o_orderpriority", F.lit("-"), F.col(key) % 500).alias("anchor")
+    return wiki.anchor_backlinks(o.select(concept, anchor("o_custkey")).distinct(), o.select(anchor("o_orderkey"), doc).distinct(), o.select(doc, F.concat(F.lit("page-"), "o_custkey").alias("page_id")), o.where("o_orderstatus = 'P'").select(concept, doc).distinct())
 
 
-@query("SELECT source_id, stable_location FROM (SELECT c_custkey AS source_id, CASE WHEN c_custkey % 4 = 0 THEN 'https://x.org/' || c_custkey ELSE 'docs/' || c_custkey END AS stable_location FROM customer) WHERE NOT starts_with(stable_location, 'https') AND stable_location NOT IN (SELECT 'docs/' || o_custkey FROM orders)")
+@query("SELECT source_id, stable_location FROM (SELECT p_partkey AS source_id, CASE WHEN p_partkey % 4 = 0 THEN 'https://x.org/' || p_partkey ELSE 'docs/' || p_partkey END AS stable_location FROM part) WHERE NOT starts_with(stable_location, 'https') AND stable_location NOT IN (SELECT 'docs/' || l_partkey FROM lineitem WHERE l_quantity > 40)")
 def origins_missing(spark, sf_dir):
-    key = F.col("c_custkey")
-    sources = table(spark, sf_dir, "customer").select(key.alias("source_id"), F.when(key % 4 == 0, F.concat(F.lit("https://x.org/"), key)).otherwise(F.concat(F.lit("docs/"), key)).alias("stable_location"))
-    return wiki.missing_origins(sources, table(spark, sf_dir, "orders").select(F.concat(F.lit("docs/"), "o_custkey").alias("path")).distinct())
+    key = F.col("p_partkey")
+    sources = table(spark, sf_dir, "part").select(key.alias("source_id"), F.when(key % 4 == 0, F.concat(F.lit("https://x.org/"), key)).otherwise(F.concat(F.lit("docs/"), key)).alias("stable_location"))
+    return wiki.missing_origins(sources, table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.concat(F.lit("docs/"), "l_partkey").alias("path")).distinct())
 
 
 @query(None)
@@ -792,3 +811,6 @@ def wiki_lint(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     sources = b.select(F.concat(F.lit("src-"), "item_id").alias("source_id"), F.concat(F.lit("wiki/sources/src-"), "item_id", F.lit(".md")).alias("page_id"), "text")
     return wiki.lint(pages, chunks.heading_anchors(pages), sources).groupBy("rule", "severity").agg(F.count("*").alias("n"))
+
+
+from corpusflow import wiki_queries  # noqa: E402, F401  registers its queries

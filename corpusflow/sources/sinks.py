@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,20 +18,47 @@ def _fs(spark: SparkSession, path: str):
     return jvm, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of a table's complete versions, oldest first."""
+    jvm, fs = _fs(spark, path)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(n for n in names if re.fullmatch(r"v\d{12}", n))
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a table that ``replace_table`` wrote."""
+    return spark.read.parquet(f"{path}/{_versions(spark, path)[-1]}")
+
+
 def replace_table(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
-    """Write beside the table and then take its place, so readers see the old rows or the new ones. df may read the table it replaces."""
+    """Write a new version beside the others; one rename makes it the table, so readers see the old rows or the new ones, and a crash leaves the old.
+
+    df may read the table it replaces. There is one writer at a time. The version before stays for those who read it; older ones go, and so does what crashed writers left.
+    """
     spark = df.sparkSession
-    fresh, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
+    versions = _versions(spark, path)
+    fresh = f"{path}/_new-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(fresh) if partition_by else df.write.parquet(fresh)
     jvm, fs = _fs(spark, path)
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    if fs.exists(at(path)):
-        fs.rename(at(path), at(old))
-    fs.rename(at(fresh), at(path))
-    fs.delete(at(old), True)
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(name)
+    number = int(versions[-1][1:]) + 1 if versions else 0
+    if not fs.rename(at(fresh), at(f"{path}/v{number:012d}")):
+        raise OSError(f"{path}: the new version could not take its place")
+    for name in versions[:-1]:
+        fs.delete(at(f"{path}/{name}"), True)
+    for file in fs.listStatus(at(path)):
+        if file.getPath().getName().startswith("_new-"):
+            fs.delete(file.getPath(), True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``replace_table`` has written there."""
+    return bool(_versions(spark, path))
+
+
+def present(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at a path."""
     jvm, fs = _fs(spark, path)
     return fs.exists(jvm.org.apache.hadoop.fs.Path(path))
 
@@ -38,17 +66,17 @@ def exists(spark: SparkSession, path: str) -> bool:
 def upsert_table(df: DataFrame, path: str, key: list[str]) -> None:
     """Insert rows or replace those with the same key."""
     spark = df.sparkSession
-    replace_table(state.upsert(spark.read.parquet(path), df, key) if exists(spark, path) else df, path)
+    replace_table(state.upsert(read_table(spark, path), df, key) if exists(spark, path) else df, path)
 
 
 def persist_edges(edges: DataFrame, path: str) -> dict[str, int]:
     """Store a graph's edges; returns how many there are, and how many were inserted and deleted. An unchanged graph isn't written."""
     spark = edges.sparkSession
-    stored = spark.read.parquet(path) if exists(spark, path) else edges.limit(0)
+    stored = read_table(spark, path) if exists(spark, path) else edges.limit(0)
     change = {r["change"]: r["count"] for r in state.delta(stored, edges).groupBy("change").count().collect()}
     if change or not exists(spark, path):
         replace_table(edges, path)
-    return {"edges": spark.read.parquet(path).count(), "inserted": change.get("insert", 0), "deleted": change.get("delete", 0)}
+    return {"edges": read_table(spark, path).count(), "inserted": change.get("insert", 0), "deleted": change.get("delete", 0)}
 
 
 def with_backlinks(pages: DataFrame, backlinks: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ def ingest(docs: DataFrame, store: str, checkpoint: str, on_new: Callable[[DataF
         spark = rows.sparkSession
         arrived = rows.select("doc_id", fingerprint(F.coalesce("text", F.lit(""))).alias("content_hash"), "text").dropDuplicates(["doc_id", "content_hash"])
         path = f"{store}/revisions"
-        known = spark.read.parquet(path) if sinks.exists(spark, path) else arrived.select("doc_id", "content_hash").limit(0)
+        known = spark.read.parquet(path) if sinks.present(spark, path) else arrived.select("doc_id", "content_hash").limit(0)
         outcome = state.ingest_outcome(arrived.select("doc_id", "content_hash"), known.select("doc_id"), known)
         fresh = arrived.join(outcome.where("outcome != 'skipped'"), ["doc_id", "content_hash"]).persist()
         try:

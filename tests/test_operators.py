@@ -289,7 +289,7 @@ def test_sinks(spark, tmp_path):
     table = f"file://{tmp_path}/t"
     sinks.upsert_table(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), table, ["k"])
     sinks.upsert_table(spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), table, ["k"])
-    assert sorted(map(tuple, spark.read.parquet(table).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    assert sorted(map(tuple, sinks.read_table(spark, table).collect())) == [(1, "a"), (2, "c"), (3, "d")]
     assert one(spark, sinks.publish_links(F.col("t"), "https://x.org/w/"), t="[a](b.md#c) [d](https://e) ![f](./g.png)") == "[a](https://x.org/w/b.md#c) [d](https://e) ![f](https://x.org/w/g.png)"
 
 

@@ -482,3 +482,40 @@ def transcripts_read_back(spark, sf_dir):
 def transcript_headings(spark, sf_dir):
     body = _text(f"'# Talk ' || {W[0]}", "'## Speakers'", "'- @a: A'", "'## @a [00:00:01 → 00:00:02]'", "'## Notes'", "'```'", "'## No'", "'```'", "'### Notes ##'", "'#### deep'")
     return chunks.transcript_headings(table(spark, sf_dir, "documents").selectExpr("doc_id AS page_id", f"{body} AS body"))
+
+
+# Chunks and contexts
+
+
+_BIG = f"repeat({W[1]}, 84)"
+_HUGE = f"repeat({W[2]}, 400)"
+_CHUNKED = _text("'<!-- kb:page 1 -->'", "'## A'", _BIG, "'<!-- kb:page 2 -->'", "'## B'", _BIG, "'## C'", "'short'", "'## D'", "'### d1'", _HUGE, "'### d2'", _HUGE)
+
+
+@query(f"""WITH c AS (SELECT doc_id, 0 AS i, 'A' AS h, {_BIG} AS b, 1 AS p FROM documents UNION ALL SELECT doc_id, 1, 'B', {_BIG} || {_N} || {_N} || 'short', 2 FROM documents
+ UNION ALL SELECT doc_id, 2, 'd1', {_HUGE}, 2 FROM documents UNION ALL SELECT doc_id, 3, 'd2', {_HUGE}, 2 FROM documents)
+ SELECT doc_id AS item_id, i AS chunk_idx, h AS heading, md5(b) AS body_md5, CAST(length(b) // 4 AS INTEGER) AS tokens, p AS first_page, p AS last_page FROM c""")
+def chunk_forms(spark, sf_dir):
+    """Chunks at pages and headings; a short one joins the one before, one that is too long is cut at the next level."""
+    found = chunks.chunks(table(spark, sf_dir, "documents").selectExpr("doc_id AS item_id", f"{_CHUNKED} AS body"))
+    return found.select("item_id", "chunk_idx", "heading", F.md5(F.col("body").cast("binary")).alias("body_md5"), "tokens", "first_page", "last_page")
+
+
+_ERING = r"len(list_filter(regexp_split_to_array(lower(regexp_replace(b, '(\p{Ll})(\p{Lu})', '\1 \2', 'g')), '[^\p{L}\p{N}]+'), lambda w: w = 'ering'))"
+
+
+@query(f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id < 15),
+ parts AS (SELECT doc_id, i, 'part-' || i AS anchor, substring(t, 1 + 300 * i, 300) AS b FROM d, range(0, 4) r(i)), scored AS (SELECT *, {_ERING} AS score FROM parts),
+ rows AS (SELECT doc_id, 0 AS k, CAST(0 AS BIGINT) AS o, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS anchor, 'document' AS kind, t AS text FROM d UNION ALL SELECT doc_id, 1, 0, 0, NULL, 'summary', substring(t, 1, 200) FROM d UNION ALL SELECT doc_id, 2, -score, i, anchor, 'section', b FROM scored),
+ flat AS (SELECT *, row_number() OVER (ORDER BY doc_id, k, o, i) AS pos, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS cost, CAST(strlen(text) AS BIGINT) AS size FROM rows),
+ walk(pos, spare, done, seq, whole, takes) AS (SELECT CAST(0 AS BIGINT), CAST(1500 AS BIGINT), CAST(0 AS BIGINT), 0, CAST(-1 AS BIGINT), false
+  UNION ALL SELECT f.pos, w.spare - CASE WHEN x.yes THEN f.cost ELSE 0 END, w.done + CASE WHEN x.yes THEN f.size ELSE 0 END, w.seq + x.yes::INTEGER, CASE WHEN x.yes AND f.kind = 'document' THEN f.doc_id ELSE w.whole END, x.yes
+   FROM walk w JOIN flat f ON f.pos = w.pos + 1, LATERAL (SELECT f.size > 0 AND f.cost <= w.spare AND w.whole <> f.doc_id AS yes) x)
+ SELECT w.seq, f.doc_id::VARCHAR AS item_id, f.anchor, f.kind, md5(f.text) AS text_md5, w.done - f.size AS start, w.done AS "end" FROM walk w JOIN flat f USING (pos) WHERE takes""")
+def context_folded(spark, sf_dir):
+    """A context within a budget: pages in whole, or else their summary and the sections that fit, best first."""
+    d = table(spark, sf_dir, "documents").where("doc_id < 15").selectExpr("doc_id", "coalesce(text, '') AS t")
+    planned = d.selectExpr("doc_id + 1 AS position", "doc_id AS item_id")
+    parts = d.selectExpr("doc_id AS item_id", "explode(sequence(0, 3)) AS section", "t").selectExpr("item_id", "section", "'part-' || section AS anchor", "substring(t, 1 + 300 * section, 300) AS body")
+    context = retrieve.assemble(planned, d.selectExpr("doc_id AS item_id", "t AS body", "substring(t, 1, 200) AS summary"), parts, "the ering", 1500)
+    return context.select("seq", "item_id", "anchor", "kind", F.md5(F.col("text").cast("binary")).alias("text_md5"), "start", "end")

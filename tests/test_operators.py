@@ -356,3 +356,102 @@ def test_kept_page_and_dag(spark):
     assert {r.page_id: r.stale for r in wiki.keep_one_page(pages).collect()} == {"s-old": True, "s-new": False}
     dag = wiki.build_dag(spark.createDataFrame([("d", "wiki/sources/a.md")], "doc_id string, page_id string"), spark.createDataFrame([("wiki/concepts/c.md", "wiki/sources/a.md")], "page_id string, source_page string"), spark.createDataFrame([("wiki/concepts/c.md",)], "page_id string"))
     assert {(r.src_id, r.dst_id) for r in dag.collect()} == {("d", "wiki/sources/a.md"), ("wiki/sources/a.md", "wiki/concepts/c.md"), ("wiki/concepts/c.md", "wiki/concepts/index.md")}
+
+
+def test_pagerank_equals_power_iteration(spark):
+    """To convergence, with repeated seeds and nodes that lead nowhere, against a plain loop."""
+    rng = np.random.default_rng(3)
+    edges = sorted({(f"n{a}", f"n{b}") for a, b in rng.integers(0, 40, (90, 2)).tolist()})
+    seeds = ["n1", "n1", "n7", "n9", "none"]
+    nodes = sorted({x for e in edges for x in e})
+    at = {x: i for i, x in enumerate(nodes)}
+    jump = np.zeros(len(nodes))
+    for x in seeds:
+        if x in at:
+            jump[at[x]] += 1
+    jump /= jump.sum()
+    score = jump.copy()
+    for _ in range(30):
+        new = np.zeros(len(nodes))
+        for a, b in edges:
+            new[at[b]] += 0.85 * score[at[a]] / sum(e[0] == a for e in edges)
+        dead = sum(score[at[x]] for x in nodes if not any(e[0] == x for e in edges))
+        new += jump * (0.15 + 0.85 * dead)
+        done = np.abs(new - score).max() < 1e-6
+        score = new
+        if done:
+            break
+    got = {r.item_id: r.score for r in graph.pagerank(spark.createDataFrame(edges, "src_id string, dst_id string"), spark.createDataFrame([(x,) for x in seeds], "item_id string")).collect()}
+    want = {x: score[i] for x, i in at.items() if score[i] > 1e-6 / len(nodes)}
+    assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_quotations_within_edits():
+    """Candidate places by unchanged parts, against every place and length."""
+    rng = np.random.default_rng(5)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+            row = new
+        return row[-1]
+
+    def plain(quote, source, budget):
+        for start in range(len(source)):
+            for length in range(max(0, len(quote) - budget), len(quote) + budget + 1):
+                if start + length <= len(source) and distance(quote, source[start : start + length]) <= budget:
+                    return distance(quote, source[start : start + length])
+        return None
+
+    for _ in range(400):
+        quote = "".join(rng.choice(list("ab c"), int(rng.integers(3, 14))))
+        changed = list(quote)
+        for _ in range(int(rng.integers(0, 4))):
+            changed[int(rng.integers(0, len(changed)))] = str(rng.choice(list("abx")))
+        source = "".join(rng.choice(list("ab c"), int(rng.integers(0, 15)))) + "".join(changed) + "".join(rng.choice(list("ab c"), int(rng.integers(0, 10))))
+        budget = int(rng.integers(0, 4))
+        assert verify.within(quote, source, budget) == plain(quote, source, budget), (quote, source, budget)
+
+
+def test_patterns_in_passes(spark, monkeypatch):
+    from corpusflow.operators import matching
+
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abé "), n))
+    patterns = [(i, word(int(rng.integers(0, 40)))) for i in range(60)] + [(99, None)]
+    texts = [(f"t{i}", "".join(patterns[int(k)][1] + word(2) for k in rng.integers(0, 60, 5))) for i in range(30)] + [("none", None), ("empty", "")]
+    want = {(p, t) for p, x in patterns for t, y in texts if x and y and x in y}
+    for most in (50_000, 6):
+        monkeypatch.setattr(matching, "PASS_PATTERNS", most)
+        found = matching.contained(spark.createDataFrame(patterns, "pattern_id int, pattern string"), spark.createDataFrame(texts, "text_id string, text string"))
+        assert {(r.pattern_id, r.text_id) for r in found.collect()} == want
+    assert matching.contained(spark.createDataFrame([], "pattern_id int, pattern string"), spark.createDataFrame(texts, "text_id string, text string")).count() == 0
+
+
+def test_near_names_of_several_names(spark):
+    rows = [(1, "Borrow checker", None), (1, "Ownership", None), (2, "Borrow checkers", None), (3, "ownership", None), (4, "Raft", None)]
+    got = {(r.a, r.b): round(r.similarity, 3) for r in mining.near_names(spark.createDataFrame(rows, "id int, name string, definition string")).collect()}
+    assert got == {(1, 2): round(2 * 13 / 27, 3), (1, 3): 1.0}
+
+
+def test_versions_of_a_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for n in range(4):
+        sinks.replace_table(spark.range(n + 1), path)
+        (tmp_path / "t" / "_new-crashed").mkdir()
+        assert sinks.read_table(spark, path).count() == n + 1
+    sinks.replace_table(sinks.read_table(spark, path).limit(2), path)  # reads what it replaces
+    assert sinks.read_table(spark, path).count() == 2
+    assert sorted(x.name for x in (tmp_path / "t").iterdir()) == ["v000000000003", "v000000000004"]
+
+
+@pytest.mark.parametrize(
+    "raw,want",
+    [("foo", ("wiki/concepts/foo.md", None)), ("../sources/a.md#b", ("wiki/sources/a.md", "b")), ("#here", ("wiki/concepts/x.md", "here")), ("wiki/q/./y|alias", ("wiki/q/y.md", None)), ("<a b.md>", ("wiki/concepts/a b.md", None)), ("https://x.org", None), ("mailto:a@b", None), ("../../.kb/n", None), ("", None)],
+)
+def test_link_targets(spark, raw, want):
+    got = one(spark, T.link_target(F.col("r"), F.lit("wiki/concepts/x.md")), r=raw)
+    assert (tuple(got) if got else None) == want

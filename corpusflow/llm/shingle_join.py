@@ -44,10 +44,12 @@ from corpusflow.llm.components import components
 
 WORDS = 5
 PERCENT = 75
-#: N-grams that a task gathers before it sends them off (8 bytes each).
-FLUSH = 1_000_000
+#: N-grams, and sets, that a task gathers before it sends them off.
+FLUSH, FLUSH_SETS = 500_000, 60_000
 #: Stored input for which there is a part of the n-grams; a task gathers about twice as much.
 PART_BYTES = 16_000_000
+#: Parts at least. As each set is in most of the parts while they are few, more of them from the start keep what is sent in proportion to the input.
+LEAST_PARTS = 32
 #: Documents and n-grams of a block that one task searches; of what is more, the chunks.
 BLOCK_DOCS, BLOCK_GRAMS = 400, 600_000
 #: Sets of a large block that ask all others first. It doesn't change what is found, only how soon.
@@ -92,7 +94,7 @@ def _part_of(grams: np.ndarray, parts: int) -> np.ndarray:
     return (grams >> np.uint64(40)) % np.uint64(parts)
 
 
-_KEY = np.uint64((1 << 40) - 1)
+_KEY = np.uint64((1 << 32) - 1)
 _RAW = "kind int, part int, doc_id long, key long, n int, sig binary, grams binary"
 
 
@@ -101,8 +103,22 @@ def _key_of(sig: bytes) -> int:
     return int.from_bytes(sig[:8], "little", signed=True)
 
 
+def _packed(grams: np.ndarray, places: np.ndarray) -> bytes:
+    """Ascending n-grams as differences, byte by byte, as high bytes are mostly zero and compress; and the place of each one's set."""
+    steps = np.diff(grams, prepend=np.uint32(0)).astype("<u4")
+    return steps.view(np.uint8).reshape(-1, 4).T.tobytes() + places.astype("<u2").tobytes()
+
+
+def _unpacked(raw: pa.Buffer, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of n sets, ascending n-grams, places of their sets)."""
+    many = (raw.size - 8 * n) // 6
+    planes = np.frombuffer(raw, np.uint8, 4 * many, 8 * n).reshape(4, many)
+    steps = np.ascontiguousarray(planes.T).view("<u4").ravel()
+    return np.frombuffer(raw, np.int64, n).copy(), np.cumsum(steps, dtype=np.uint32), np.frombuffer(raw, "<u2", many, 8 * n + 4 * many).copy()
+
+
 def _spread(docs: DataFrame, n: int, parts: int) -> DataFrame:
-    """kind 0: a document, its set's size and digest. kind 1: n-grams of a task's different sets that belong to a part, in ascending order, each with the place of its set among the n keys that precede them."""
+    """kind 0: a document, its set's size and digest. kind 1: n-grams of a task's different sets that belong to a part: keys of n sets, and what ``_packed`` makes."""
     names = [f.split()[0] for f in _RAW.split(", ")]
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
@@ -115,13 +131,12 @@ def _spread(docs: DataFrame, n: int, parts: int) -> DataFrame:
         grams = np.concatenate([g for _, g in held])
         part = _part_of(grams, parts)
         grams &= _KEY
-        order = np.argsort(part << np.uint64(40) | grams)
+        order = np.argsort(part << np.uint64(32) | grams)
         place, grams, part = place[order], grams[order], part[order].astype(np.int32)
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             used, local = np.unique(place[a:b], return_inverse=True)
-            body = grams[a:b] << np.uint64(24) | local.astype(np.uint64)
-            yield rows(1, kind=[1], part=[int(part[a])], n=[len(used)], grams=[keys[used].tobytes() + body.tobytes()])
+            yield rows(1, kind=[1], part=[int(part[a])], n=[len(used)], grams=[keys[used].tobytes() + _packed(grams[a:b].astype(np.uint32), local.astype(np.uint16))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -139,7 +154,7 @@ def _spread(docs: DataFrame, n: int, parts: int) -> DataFrame:
                         seen.add(k)
                         held.append((k, s))
                         waiting += len(s)
-                if waiting >= FLUSH or len(held) >= 1 << 23:
+                if waiting >= FLUSH or len(held) >= FLUSH_SETS:
                     yield from flush(held)
                     held, waiting = [], 0
         if held:
@@ -154,48 +169,50 @@ _COUNTED = "kind int, doc_id long, key long, n int, sig binary, part int, shared
 COUNT_AT_ONCE, GATHER_BYTES = 1_000_000, 192 << 20
 
 
+Blob = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 class _Blobs:
-    """What a part's task gathers: (keys of sets, n-grams), beyond some bytes in a file without a name that maps to memory."""
+    """What a part's task gathers, beyond some bytes in a file without a name that maps to memory."""
 
     def __init__(self) -> None:
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held: list[Blob] = []
         self.bytes = 0
         self.file = None
 
     def add(self, raw: pa.Buffer, n: int) -> None:
+        keys, grams, places = _unpacked(raw, n)
         self.bytes += raw.size
         if self.bytes > GATHER_BYTES:
             self.file = self.file or tempfile.TemporaryFile()
             at = self.file.seek(0, 2)
-            self.file.write(raw)
+            self.file.write(grams.tobytes() + places.tobytes())
             self.file.flush()
-            both = np.memmap(self.file, np.uint64, "r", at, raw.size // 8)
-            self.held.append((both[:n].view(np.int64), both[n:]))
-        else:  # stays where Arrow put it
-            self.held.append((np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint64, offset=8 * n)))
+            if len(grams):
+                grams, places = np.memmap(self.file, np.uint32, "r", at, len(grams)), np.memmap(self.file, np.uint16, "r", at + 4 * len(grams), len(grams))
+        self.held.append((keys, grams, places))
 
 
-def _holders(blobs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+def _holders(blobs: list[Blob]) -> list[np.ndarray]:
     """Of each n-gram of each blob, in how many different sets it is (255: or more); 0 for a set that an earlier blob has."""
-    every = np.concatenate([keys for keys, _ in blobs])
+    every = np.concatenate([keys for keys, _, _ in blobs])
     first = np.zeros(len(every), bool)
     first[np.unique(every, return_index=True)[1]] = True
-    ends = np.cumsum([len(keys) for keys, _ in blobs])
-    own = [first[end - len(keys) : end] for end, (keys, _) in zip(ends.tolist(), blobs, strict=True)]
-    out = [np.zeros(len(body), np.uint8) for _, body in blobs]
-    at, low = [0] * len(blobs), (1 << 24) - 1
-    slices = max(1, sum(len(body) for _, body in blobs) // COUNT_AT_ONCE)
+    ends = np.cumsum([len(keys) for keys, _, _ in blobs])
+    own = [first[end - len(keys) : end] for end, (keys, _, _) in zip(ends.tolist(), blobs, strict=True)]
+    out = [np.zeros(len(grams), np.uint8) for _, grams, _ in blobs]
+    at = [0] * len(blobs)
+    slices = max(1, sum(len(grams) for _, grams, _ in blobs) // COUNT_AT_ONCE)
     for k in range(1, slices + 1):
-        top = (k << 40) // slices  # n-grams below this; blobs are in ascending order
-        stops = [len(body) if k == slices else int(np.searchsorted(body, np.uint64(top << 24))) for _, body in blobs]
-        some = [np.asarray(body[a:b]) for (_, body), a, b in zip(blobs, at, stops, strict=True)]
-        alive = [mine[(x & np.uint64(low)).astype(np.int64)] for mine, x in zip(own, some, strict=True)]
-        grams = np.concatenate([x[y] >> np.uint64(24) for x, y in zip(some, alive, strict=True)])
-        if len(grams):
-            order = np.argsort(grams, kind="stable")
-            start = np.flatnonzero(np.concatenate([[True], np.diff(grams[order]) != 0]))
-            count = np.diff(np.concatenate([start, [len(grams)]]))
-            many = np.empty(len(grams), np.uint8)
+        top = (k << 32) // slices  # n-grams below this; blobs are in ascending order
+        stops = [len(grams) if k == slices else int(np.searchsorted(grams, np.uint32(top))) for _, grams, _ in blobs]
+        alive = [mine[places[a:b]] for mine, (_, _, places), a, b in zip(own, blobs, at, stops, strict=True)]
+        some = np.concatenate([grams[a:b][y] for (_, grams, _), a, b, y in zip(blobs, at, stops, alive, strict=True)])
+        if len(some):
+            order = np.argsort(some, kind="stable")
+            start = np.flatnonzero(np.concatenate([[True], np.diff(some[order]) != 0]))
+            count = np.diff(np.concatenate([start, [len(some)]]))
+            many = np.empty(len(some), np.uint8)
             many[order] = np.repeat(np.minimum(count, 255).astype(np.uint8), count)
             done = 0
             for x, a, b, y in zip(out, at, stops, alive, strict=True):
@@ -207,7 +224,7 @@ def _holders(blobs: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
 
 
 def _count(spread: DataFrame, parts: int) -> DataFrame:
-    """kind 0: as before. kind 1: of a set's n-grams in a part, in ascending order of their low 40 bits, in how many sets each is (a byte, 255: or more), if any is in two; and how many are."""
+    """kind 0: as before. kind 1: of a set's n-grams in a part, in ascending order of their low 32 bits, in how many sets each is (a byte, 255: or more), if any is in two; and how many are."""
     names = [f.split()[0] for f in _COUNTED.split(", ")]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
@@ -226,8 +243,8 @@ def _count(spread: DataFrame, parts: int) -> DataFrame:
                 gathered.setdefault(part, _Blobs()).add(grams.as_buffer(), n)
         for part in sorted(gathered):
             blobs = gathered.pop(part).held
-            for (keys, body), held in zip(blobs, _holders(blobs), strict=True):
-                mine = (np.asarray(body) & np.uint64((1 << 24) - 1)).astype(np.int64)
+            for (keys, _, places), held in zip(blobs, _holders(blobs), strict=True):
+                mine = places.astype(np.int64)
                 shared = np.bincount(mine[held > 1], minlength=len(keys))
                 have = np.flatnonzero(shared)
                 if len(have):
@@ -332,13 +349,14 @@ def _search_group(percent: int):
 
 
 def _grouped_search(members: DataFrame, sets: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links that the tasks find; members: keys, sig, label, side."""
-    full = members.join(sets.select("sig", "grams"), "sig").select(*keys, "sig", "label", "side", "grams")
+    """Links that the tasks find; members: keys, sig, label, side. Few members go to the sets, so that these are shuffled by group alone."""
+    members = common.broadcast_if_small(common.materialize(members, "shingles-members"))
+    full = sets.select("sig", "grams").join(members, "sig").select(*keys, "sig", "label", "side", "grams")
     return full.groupBy(*keys).applyInArrow(_search_group(percent), _LINKS)
 
 
-def _copies(docs: DataFrame, able: DataFrame, n: int, parts: int, percent: int) -> DataFrame:
-    """sig, key, n, grams, prefix of the sets that may have links; able: rep (a document that has the set), sig, held (how many sets hold its n-grams, by part)."""
+def _copies(docs: DataFrame, able: DataFrame, n: int, parts: int, percent: int, repeats: bool) -> DataFrame:
+    """sig, key, n, grams, prefix of the sets that may have links; able: rep (a document that has the set), sig, held (how many sets hold its n-grams, by part); repeats: whether rows repeat ids."""
     names = ["sig", "key", "n", "grams", "prefix"]
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -351,7 +369,7 @@ def _copies(docs: DataFrame, able: DataFrame, n: int, parts: int, percent: int)
         for i in mine:
             s = sets[i]
             of = _part_of(s, parts)
-            order = np.argsort(of << np.uint64(40) | s & _KEY)
+            order = np.argsort(of << np.uint64(32) | s & _KEY)
             first = np.concatenate([[0], np.cumsum(np.bincount(of.astype(np.int64), minlength=parts))])
             holders = np.ones(len(s), np.uint8)
             for h in held[i]:
@@ -364,13 +382,13 @@ def _copies(docs: DataFrame, able: DataFrame, n: int, parts: int, percent: int)
     wanted = able.select(F.col("rep").alias("doc_id"), "sig", "held")
     texts = docs.join(common.broadcast_if_small(wanted.select("doc_id")), "doc_id", "left_semi").join(wanted, "doc_id")
     made = common.map_slices(texts.select("doc_id", "text", "sig", "held"), run, "sig binary, key long, n int, grams binary, prefix array<long>")
-    return made.dropDuplicates(["sig"])
+    return made.dropDuplicates(["sig"]) if repeats else made
 
 
 def _parts(docs: DataFrame, part_bytes: int) -> int:
     """Parts that n-grams are dealt into, by the bytes of the stored input; as many as there are shuffle partitions where these aren't known."""
     size = common.stored_bytes(docs)
-    return common.shuffle_partitions(docs.sparkSession) if size is None else max(1, -(-size // part_bytes))
+    return common.shuffle_partitions(docs.sparkSession) if size is None else max(LEAST_PARTS, -(-size // part_bytes))
 
 
 def linked_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
@@ -380,11 +398,12 @@ def linked_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, i
     counted = common.materialize(_count(_spread(texts, n, parts), parts), "shingles-counted", free=True)
     own = counted.where("kind = 0").select("doc_id", "key", "n", "sig")
     shared = counted.where("kind = 1").select("key", "part", "shared", "holders")
+    repeats = own.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     reps = own.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("key").alias("key"), F.first("n").alias("n"))
     able = reps.join(shared.groupBy("key").agg(F.sum("shared").alias("shared")), "key").where(F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("n"))
     able = common.materialize(able.select("sig", "rep", "key"), "shingles-able")
     held = shared.join(common.broadcast_if_small(able.select("key")), "key", "left_semi").groupBy("key").agg(F.collect_list(F.struct("part", "holders")).alias("held"))
-    sets = common.materialize(_copies(texts, able.join(held, "key"), n, parts, percent), "shingles-sets", free=True)
+    sets = common.materialize(_copies(texts, able.join(held, "key"), n, parts, percent, repeats), "shingles-sets", free=True)
 
     blocks = _blocks(sets)
     small = blocks.where("NOT large").select("block", "sig", F.col("sig").alias("label"), F.lit(2).alias("side"))
@@ -400,10 +419,9 @@ def linked_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, i
             links = links.union(_rest_asks(left.where("large").select("block", "sig", "n", "label"), sets, percent))
         links = common.materialize(links, "shingles-rest")
 
-    several = own.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a != b").select("doc_id")
-    several = common.materialize(several, "shingles-several")
-    again = several.limit(1).count() > 0  # ids with more than one set
-    if again:
+    if repeats:
+        several = own.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a != b").select("doc_id")
+        several = common.materialize(several, "shingles-several")  # ids with more than one set
         theirs = own.where("n > 0").join(several, "doc_id", "left_semi")
         links = links.union(theirs.join(theirs.groupBy("doc_id").agg(F.min("sig").alias("b")), "doc_id").select(F.col("sig").alias("a"), "b"))
     reached = components(links).select(F.col("a").alias("sig"), F.col("b").alias("root"))
@@ -411,7 +429,7 @@ def linked_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, i
     least = reached.join(reps.select("sig", "rep"), "sig").groupBy("root").agg(F.min("rep").alias("component_id"))
     found = reps.select("sig", "rep").join(reached.join(least, "root").select("sig", "component_id"), "sig", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id"))
     out = own.join(found, "sig", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    if again:
+    if repeats:
         out = common.materialize(out, "shingles-out")
         one = out.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("one"))
         out = out.join(one, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("one", "component_id").alias("component_id"))

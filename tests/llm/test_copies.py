@@ -169,28 +169,30 @@ def test_rows_of_one_id_are_one_document(spark, monkeypatch, seed, docs, grams):
 def test_count_in_slices_and_from_a_file(spark, monkeypatch):
     rng = np.random.default_rng(8)
     blobs, want = [], Counter()
-    sets = [np.unique(rng.integers(0, 3000, 400).astype(np.uint64) << np.uint64(28)) for _ in range(30)]
+    sets = [np.unique(rng.integers(0, 3000, 400).astype(np.uint32) << np.uint32(20)) for _ in range(30)]
     for at in range(0, 30, 5):
         some = sets[at : at + 5] + [sets[0]] * (at > 0)  # the first set comes again and again, and counts once
         keys = [*range(at, at + 5)] + [0] * (at > 0)
-        body = np.concatenate([g << np.uint64(24) | np.uint64(i) for i, g in enumerate(some)])
-        blobs.append((np.array(keys, np.int64), body[np.argsort(body >> np.uint64(24), kind="stable")]))
-    for s in sets:
-        want.update(s.tolist())
+        grams, places = np.concatenate(some), np.repeat(np.arange(len(some), dtype=np.uint16), [len(x) for x in some])
+        order = np.argsort(grams, kind="stable")
+        blobs.append((np.array(keys, np.int64), grams[order], places[order]))
+    for x in sets:
+        want.update(x.tolist())
     for at_once in (10**6, 500):
         monkeypatch.setattr(shingle_join, "COUNT_AT_ONCE", at_once)
-        for number, ((keys, body), held) in enumerate(zip(blobs, shingle_join._holders(blobs), strict=True)):
-            for x, n in zip(body.tolist(), held.tolist(), strict=True):
-                again = number > 0 and keys[x & 0xFFFFFF] == 0
-                assert n == (0 if again else want[x >> 24])
+        for number, ((keys, grams, places), held) in enumerate(zip(blobs, shingle_join._holders(blobs), strict=True)):
+            for gram, place, n in zip(grams.tolist(), places.tolist(), held.tolist(), strict=True):
+                assert n == (0 if number > 0 and keys[place] == 0 else want[gram])
     monkeypatch.setattr(shingle_join, "GATHER_BYTES", 5000)
     gathered = shingle_join._Blobs()
-    for keys, body in blobs:
-        gathered.add(pa.py_buffer(keys.tobytes() + body.tobytes()), len(keys))
+    for keys, grams, places in blobs:
+        gathered.add(pa.py_buffer(keys.tobytes() + shingle_join._packed(grams, places)), len(keys))
     assert gathered.file is not None
+    for one, two in zip(blobs, gathered.held, strict=True):
+        assert all(a.tolist() == b.tolist() for a, b in zip(one, two, strict=True))
     for a, b in zip(shingle_join._holders(blobs), shingle_join._holders(gathered.held), strict=True):
         assert a.tolist() == b.tolist()
-    monkeypatch.setattr(shingle_join, "PART_BYTES", 1)
+    monkeypatch.setattr(shingle_join, "LEAST_PARTS", 1)
     rows = corpus(6)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.linked_components(df, part_bytes=500).collect()} == brute(rows)

@@ -32,9 +32,10 @@ def _count(tokens: Column, term: str) -> Column:
     return F.size(F.filter(tokens, lambda w: w == term))
 
 
-def _fields(weights: dict[str, int]) -> list[tuple[str, int, Column]]:
+def _fields(weights: dict[str, int], terms: list[str]) -> list[tuple[str, int, Column]]:
+    """Name, weight and the tokens that are among the terms of each field."""
     text = {"title": F.col("title"), "alias": F.array_join("aliases", " "), "heading": F.array_join("headings", " "), "summary": F.col("summary")}
-    return [(name, w, T.tokens(F.coalesce(text[name], F.lit("")))) for name, w in weights.items()]
+    return [(name, w, T.tokens_among(F.coalesce(text[name], F.lit("")), terms)) for name, w in weights.items()]
 
 
 def _hits(index: DataFrame, query: str, weights: dict[str, int]) -> DataFrame:
@@ -44,7 +45,7 @@ def _hits(index: DataFrame, query: str, weights: dict[str, int]) -> DataFrame:
         F.array(*[F.struct(F.lit(i).alias("field_order"), F.lit(name).alias("field"), F.lit(j).alias("term_order"), F.lit(term).alias("term"), _count(F.col(f"_{name}"), term).alias("found"), F.lit(n * weights[name]).alias("weight")) for j, (term, n) in enumerate(terms.items())])
         for i, name in enumerate(weights)
     ]
-    marked = index.select("*", *[toks.alias(f"_{name}") for name, _, toks in _fields(weights)])
+    marked = index.select("*", *[toks.alias(f"_{name}") for name, _, toks in _fields(weights, list(terms))])
     return marked.select("*", F.filter(F.concat(*per_field), lambda h: h["found"] > 0).alias("hits")).drop(*[f"_{name}" for name in weights])
 
 
@@ -53,9 +54,8 @@ def score(index: DataFrame, query: str, weights: dict[str, int] = WEIGHTS) -> Da
     if not T.query_terms(query):
         return index.select("*", F.lit(0).cast("long").alias("score")).limit(0)
     total = F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + (h["found"] * h["weight"]).cast("long"))
-    wanted = F.array(*map(F.lit, sorted(set(T.query_terms(query)))))
-    matches = [F.exists(tokens, lambda w: F.array_contains(wanted, w)) for _, _, tokens in _fields(weights)]
-    # weights are positive, so what matches has a score; asked this way, tokens are made once to filter, and once more for the few that match
+    matches = [F.size(tokens) > 0 for _, _, tokens in _fields(weights, T.query_terms(query))]
+    # weights are positive, so what matches has a score
     return _hits(index.where(reduce(lambda a, b: a | b, matches)), query, weights).withColumn("score", total)
 
 
@@ -124,4 +124,6 @@ def section_scores(sections: DataFrame, query: str) -> DataFrame:
     def hits(tokens: Column) -> Column:
         return sum((_count(tokens, t) * n for t, n in terms.items()), F.lit(0))
 
-    return sections.withColumn("score", (2 * hits(T.tokens(F.col("anchor"))) + hits(T.tokens(F.col("body")))).cast("long"))
+    if not terms:
+        return sections.withColumn("score", F.lit(0).cast("long"))
+    return sections.withColumn("score", (2 * hits(T.tokens_among(F.col("anchor"), list(terms))) + hits(T.tokens_among(F.col("body"), list(terms)))).cast("long"))

@@ -12,12 +12,30 @@ from pyspark.sql import functions as F
 PROBE, UNPRINTABLE = 8192, 300
 
 
+#: Files at the root that list what is passed over.
+IGNORE_FILES = (".gitignore", ".kbignore")
+
+
+def ignored(spark: SparkSession, root: str) -> list[str]:
+    """The patterns of the ignore files at a root; comments, empty lines and exceptions (!) are left out."""
+    jvm = spark.sparkContext._jvm
+    lines: list[str] = []
+    for name in IGNORE_FILES:  # Spark's readers pass over hidden files
+        path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            stream = fs.open(path)
+            lines += [x.strip() for x in jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()]
+            stream.close()
+    return [x for x in lines if x and not x.startswith(("#", "!"))]
+
+
 def walk(spark: SparkSession, root: str, glob: str = "*", ignore: list[str] = ()) -> DataFrame:
-    """path, content, length of all files below root but hidden ones and those whose path below root fits an ignore pattern (as in ignore files: * and **)."""
+    """path, content, length of all files below root but hidden ones and those whose path below root fits an ignore pattern (as in ignore files: * and **), given or in an ignore file at the root."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     below = F.regexp_replace("path", f"^.*?{re.escape(root.rstrip('/').split('://')[-1])}/", "")
     found = files.select(below.alias("path"), "content", "length", "modificationTime").where(~F.col("path").rlike(r"(?:^|/)\."))
-    for pattern in ignore:
+    for pattern in [*ignore, *ignored(spark, root)]:
         body = re.escape(pattern.strip("/")).replace(r"\*\*/", "(?:.*/)?").replace(r"\*\*", ".*").replace(r"\*", "[^/]*")
         found = found.where(~F.col("path").rlike(f"(?:^{'' if pattern.startswith('/') else '|/'}){body}(?:/|$)"))
     return found

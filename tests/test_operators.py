@@ -26,6 +26,16 @@ def test_tokens(spark, text, want):
     assert one(spark, T.tokens(F.col("t")), t=text) == want
 
 
+def test_tokens_among_terms_are_those_of_all_tokens(spark):
+    rng = np.random.default_rng(7)
+    parts = ["ab", "AB", "aB", "é", "x1", "1x", " ", "-", "_", "ß", "ab1", "Éa", "日本"]
+    rows = [(i, "".join(rng.choice(parts, int(rng.integers(0, 14))))) for i in range(800)]
+    terms = ["ab", "x1", "éa", "日本", "ab1"]
+    df = spark.createDataFrame(rows, "i int, t string")
+    wanted = F.array(*map(F.lit, terms))
+    assert df.where(T.tokens_among(F.col("t"), terms) != F.filter(T.tokens(F.col("t")), lambda w: F.array_contains(wanted, w))).count() == 0
+
+
 def test_query_terms_keep_repeats(spark):
     assert T.query_terms("How does the fooBar work, work?") == ["foo", "bar", "work", "work"]
     assert one(spark, T.query_tokens(F.col("t")), t="How does the fooBar work, work?") == ["foo", "bar", "work", "work"]
@@ -298,6 +308,8 @@ def test_sources(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
     assert {r.path for r in files.walk(spark, str(tmp_path), "*.md", ["skip/"]).collect()} == {"a.md", "sub/b.md"}
+    (tmp_path / ".kbignore").write_text("# c\nsub/\n!x\n")
+    assert {r.path for r in files.walk(spark, str(tmp_path), "*.md", ["skip/"]).collect()} == {"a.md"}
     golden = files.golden_set(spark, '[[query]]\nid = "q"\nquery = "x"\nexpected_sources = ["s"]')
     assert golden.first()["expected"] == ["s"]
     with pytest.raises(ValueError):

@@ -251,7 +251,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
                 crc = [zlib.crc32(view[a:b]) for a, b in zip(((begin[doc] + start) * 4).tolist(), ((begin[doc] + end) * 4).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([common.ids_of(part).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(end - start), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return common.map_arrow(common.texts_only(docs, id_col, text_col, named=True), run, PIECES)
+    return common.map_arrow(common.few_tasks(common.texts_only(docs, id_col, text_col, named=True)), run, PIECES)
 
 
 def pack(parts: DataFrame, capacity: int = 1024, node_limit: int | None = 6000, ranked: int = RANKED) -> DataFrame:

@@ -63,13 +63,16 @@ def clear_workspaces(spark: SparkSession) -> None:
 ROW_GROUP = 16 << 20
 
 
-def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+def materialize(df: DataFrame, name: str, free: bool = False, narrow: bool = False) -> DataFrame:
     """Write once to the shared workspace and read back: cuts lineage and survives lost executors.
 
     free: let Spark's cleaner delete shuffle files that nothing refers to any more; worth it after large shuffles.
+    narrow: rows are few dozen bytes for a document at most, so eight partitions of what is sized for texts make one file.
     """
     spark, schema = df.sparkSession, df.schema
     path = workspace(spark, name)
+    if narrow:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, shuffle_partitions(spark) // 8))
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     if free:
         del df
@@ -84,6 +87,16 @@ def stored_bytes(df: DataFrame) -> int | None:
     return size if size < 1 << 60 else None
 
 
+#: Stored bytes of texts for which there is a task, at most, where tasks enough for all cores remain.
+TASK_BYTES = 16 << 20
+
+
+def few_tasks(df: DataFrame) -> DataFrame:
+    """df, not in more tasks than its stored bytes are worth: tiny splits would make as many tiny files. Large tables keep their splits."""
+    size = stored_bytes(df)
+    return df if size is None else df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)))
+
+
 #: Rows and bytes up to which a side may be broadcast.
 SMALL_ROWS, SMALL_BYTES = 500_000, 32 << 20
 
@@ -188,7 +201,7 @@ def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
                 if out is not None:
                     yield out
 
-    return map_arrow(df, run, schema)
+    return map_arrow(few_tasks(df), run, schema)
 
 
 def text_list(batch: pa.RecordBatch, column: str = "text") -> list[str]:
@@ -212,7 +225,7 @@ def keep_rows(docs: DataFrame, keeps: Callable[[list[bytes]], np.ndarray], text_
             for part in slices(batch, text_col):
                 yield part.filter(pa.array(keeps(bytes_list(part, text_col)), pa.bool_()))
 
-    return map_arrow(docs, run, docs.schema)
+    return map_arrow(few_tasks(docs), run, docs.schema)
 
 
 def change_texts(docs: DataFrame, change: Callable[[str], str], text_col: str = "text") -> DataFrame:
@@ -225,4 +238,4 @@ def change_texts(docs: DataFrame, change: Callable[[str], str], text_col: str =
                 new = pa.array([None if t is None else change(t) for t in part.column(at).to_pylist()], part.schema.field(at).type)
                 yield part.set_column(at, part.schema.field(at), new)
 
-    return map_arrow(docs, run, docs.schema)
+    return map_arrow(few_tasks(docs), run, docs.schema)

@@ -54,7 +54,7 @@ def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     each round moves every link towards the smallest member near it, the number of rounds grows with the
     logarithm of the size of components, and each round's links are a table in the shared folder.
     """
-    pairs = common.materialize(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    pairs = common.materialize(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", narrow=True)
     if pairs.count() <= one_task:
         return common.materialize(common.map_arrow(pairs.coalesce(1), _union_find, pairs.schema), "links")
     before = None
@@ -68,4 +68,4 @@ def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(low.select("a", F.col("m").alias("b"))).distinct()
-        pairs = common.materialize(small, "links")
+        pairs = common.materialize(small, "links", narrow=True)

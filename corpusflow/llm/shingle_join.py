@@ -160,7 +160,7 @@ def _spread(docs: DataFrame, n: int, parts: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return common.map_arrow(docs, run, _RAW)
+    return common.map_arrow(common.few_tasks(docs), run, _RAW)
 
 
 _COUNTED = "kind int, doc_id long, key long, n int, sig binary, part int, shared int, holders binary"
@@ -350,7 +350,7 @@ def _search_group(percent: int):
 
 def _grouped_search(members: DataFrame, sets: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """Links that the tasks find; members: keys, sig, label, side. Few members go to the sets, so that these are shuffled by group alone."""
-    members = common.broadcast_if_small(common.materialize(members, "shingles-members"))
+    members = common.broadcast_if_small(common.materialize(members, "shingles-members", narrow=True))
     full = sets.select("sig", "grams").join(members, "sig").select(*keys, "sig", "label", "side", "grams")
     return full.groupBy(*keys).applyInArrow(_search_group(percent), _LINKS)
 
@@ -401,27 +401,27 @@ def linked_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, i
     repeats = own.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     reps = own.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("key").alias("key"), F.first("n").alias("n"))
     able = reps.join(shared.groupBy("key").agg(F.sum("shared").alias("shared")), "key").where(F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("n"))
-    able = common.materialize(able.select("sig", "rep", "key"), "shingles-able")
+    able = common.materialize(able.select("sig", "rep", "key"), "shingles-able", narrow=True)
     held = shared.join(common.broadcast_if_small(able.select("key")), "key", "left_semi").groupBy("key").agg(F.collect_list(F.struct("part", "holders")).alias("held"))
     sets = common.materialize(_copies(texts, able.join(held, "key"), n, parts, percent, repeats), "shingles-sets", free=True)
 
     blocks = _blocks(sets)
     small = blocks.where("NOT large").select("block", "sig", F.col("sig").alias("label"), F.lit(2).alias("side"))
-    links = common.materialize(_grouped_search(small, sets, ["block"], percent), "shingles-links")
+    links = common.materialize(_grouped_search(small, sets, ["block"], percent), "shingles-links", narrow=True)
     if blocks.where("large").limit(1).count():
         hot = blocks.where("large").select("block", "sig", "n")
-        links = common.materialize(links.union(_some_ask(hot, sets, percent)), "shingles-some")
+        links = common.materialize(links.union(_some_ask(hot, sets, percent)), "shingles-some", narrow=True)
         label = _labels(hot, links)
         left = _blocks(sets, label)
         some = left.where("NOT large").select("block", "sig", "label", F.lit(2).alias("side"))
         links = links.union(_grouped_search(some, sets, ["block"], percent))
         if left.where("large").limit(1).count():
             links = links.union(_rest_asks(left.where("large").select("block", "sig", "n", "label"), sets, percent))
-        links = common.materialize(links, "shingles-rest")
+        links = common.materialize(links, "shingles-rest", narrow=True)
 
     if repeats:
         several = own.groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a != b").select("doc_id")
-        several = common.materialize(several, "shingles-several")  # ids with more than one set
+        several = common.materialize(several, "shingles-several", narrow=True)  # ids with more than one set
         theirs = own.where("n > 0").join(several, "doc_id", "left_semi")
         links = links.union(theirs.join(theirs.groupBy("doc_id").agg(F.min("sig").alias("b")), "doc_id").select(F.col("sig").alias("a"), "b"))
     reached = components(links).select(F.col("a").alias("sig"), F.col("b").alias("root"))
@@ -430,7 +430,7 @@ def linked_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, i
     found = reps.select("sig", "rep").join(reached.join(least, "root").select("sig", "component_id"), "sig", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id"))
     out = own.join(found, "sig", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     if repeats:
-        out = common.materialize(out, "shingles-out")
+        out = common.materialize(out, "shingles-out", narrow=True)
         one = out.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("one"))
         out = out.join(one, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("one", "component_id").alias("component_id"))
     return out
@@ -456,12 +456,12 @@ def _blocks(sets: DataFrame, label: DataFrame | None = None) -> DataFrame:
     block = block.join(every.drop("prefix"), "key").drop("key")
     weight = block.groupBy("block").agg(F.count("*").alias("docs"), F.sum("n").alias("grams"))
     large = (F.col("docs") > BLOCK_DOCS) | (F.col("grams") > BLOCK_GRAMS)
-    return common.materialize(block.join(weight.select("block", large.alias("large")), "block"), "shingles-blocks")
+    return common.materialize(block.join(weight.select("block", large.alias("large")), "block"), "shingles-blocks", narrow=True)
 
 
 def _labels(hot: DataFrame, links: DataFrame) -> DataFrame:
     found = components(links).select(F.col("a").alias("sig"), F.col("b").alias("label"))
-    return common.materialize(hot.join(found, "sig", "left").select("sig", F.coalesce("label", "sig").alias("label")), "shingles-labels")
+    return common.materialize(hot.join(found, "sig", "left").select("sig", F.coalesce("label", "sig").alias("label")), "shingles-labels", narrow=True)
 
 
 def _load(rows: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -482,7 +482,7 @@ def _some_ask(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """In large blocks: some sets ask all, in chunks."""
     first = F.row_number().over(Window.partitionBy("block").orderBy(F.xxhash64("sig"), "sig"))
     asks = hot.select("block", "sig", first.alias("place")).where(F.col("place") <= ASKING)
-    load = common.materialize(_load(hot, ["block"], "chunks"), "shingles-load")
+    load = common.materialize(_load(hot, ["block"], "chunks"), "shingles-load", narrow=True)
     index = _dealt(hot.join(load, "block"), ["block"], "chunks", "chunk").select("block", "chunk", "sig", F.col("sig").alias("label"), F.lit(1).alias("side"))
     query = asks.join(load, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "sig", F.col("sig").alias("label"), F.lit(0).alias("side"))
     return _grouped_search(index.union(query), sets, ["block", "chunk"], percent)
@@ -496,9 +496,9 @@ def _rest_asks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     band = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent) + 1e-6)).cast("int") if percent < 100 else F.col("n")
     each = rows.groupBy("block", "label").agg(F.count("*").alias("docs"))
     most = each.groupBy("block").agg(F.max_by("label", F.struct("docs", "label")).alias("main"))
-    rows = common.materialize(rows.join(most, "block").withColumn("band", band), "shingles-open")
+    rows = common.materialize(rows.join(most, "block").withColumn("band", band), "shingles-open", narrow=True)
     few = rows.where("label != main")
-    asked, asking = (common.materialize(_load(r, ["block", "band"], c), "shingles-load") for r, c in ((rows, "x_chunks"), (few, "q_chunks")))
+    asked, asking = (common.materialize(_load(r, ["block", "band"], c), "shingles-load", narrow=True) for r, c in ((rows, "x_chunks"), (few, "q_chunks")))
     near = F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))
     of = lambda load, name: load.select("block", F.col("band").alias(name), f"{name[0]}_chunks")
     index = _dealt(rows.join(asked, ["block", "band"]), ["block", "band"], "x_chunks", "j").select("block", F.col("band").alias("x_band"), "j", "sig", "label", near.alias("q_band"))
@@ -515,7 +515,7 @@ def keep(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
 
     Of repeated rows of an id one stays, the first by its text.
     """
-    found = common.materialize(linked_components(docs, n, percent).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "shingles-found")
+    found = common.materialize(linked_components(docs, n, percent).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "shingles-found", narrow=True)
     goes = found.where("doc_id != component_id").select("doc_id")
     kept = docs.join(common.broadcast_if_small(goes), "doc_id", "left_anti").select(*docs.columns)
     if found.where("rows > 1").limit(1).count():

@@ -56,6 +56,12 @@ def retire(stored: DataFrame, live: DataFrame, key: list[str]) -> DataFrame:
     return stored.join(live.select(*key), key, "left_anti")
 
 
+def retire_chunks(stored: DataFrame, live: DataFrame) -> DataFrame:
+    """Stored chunks (chunk_id: item#number) to delete: those that are live no more, and those whose id isn't of that form."""
+    known = live.select("chunk_id", F.lit(True).alias("_live"))
+    return stored.join(known, "chunk_id", "left").where(F.col("_live").isNull() | ~F.col("chunk_id").rlike(r"^.+#\d+$")).drop("_live")
+
+
 def stage_keys(docs: DataFrame, template_hash: str, model: str) -> DataFrame:
     """doc_id and the key under which a stage's result is kept: content, template and model."""
     return docs.select("doc_id", fingerprint(F.sha2(F.coalesce("text", F.lit("")), 256), F.lit(template_hash), F.lit(model)).alias("stage_key"))

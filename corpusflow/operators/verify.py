@@ -176,6 +176,21 @@ def artifact_state(manifest: DataFrame, records: DataFrame, outputs: DataFrame)
     return manifest.join(o, "path", "left").join(r, "record_id", "left").select("path", state.alias("state"))
 
 
+def artifact_issues(manifest: DataFrame, records: DataFrame, outputs: DataFrame) -> DataFrame:
+    """path, record_id, kind of all that is wrong: output_missing, record_missing and fingerprint_mismatch of the manifest's entries, record_output_missing of records none of whose outputs is there.
+
+    manifest: path, record_id, fingerprint; records: record_id, fingerprint, output_paths; outputs: path.
+    """
+    there = outputs.select("path", F.lit(True).alias("_there"))
+    known = records.select("record_id", F.col("fingerprint").alias("_fp"), F.lit(True).alias("_record"))
+    at = manifest.join(there, "path", "left").join(known, "record_id", "left")
+    wrong = F.array_compact(F.array(F.when(F.col("_there").isNull(), "output_missing"), F.when(F.col("_record").isNull(), "record_missing").when(~F.col("fingerprint").eqNullSafe(F.col("_fp")), "fingerprint_mismatch")))
+    listed = at.select("path", "record_id", F.explode(wrong).alias("kind"))
+    made = records.where(F.size("output_paths") > 0).select("record_id", F.col("output_paths")[0].alias("_first"), F.explode("output_paths").alias("path"))
+    gone = made.join(there, "path", "left").groupBy("record_id", "_first").agg(F.count("_there").alias("n")).where("n = 0")
+    return listed.unionByName(gone.select(F.col("_first").alias("path"), "record_id", F.lit("record_output_missing").alias("kind")))
+
+
 def thin(concepts: DataFrame, least: int = 12) -> DataFrame:
     """Concepts (page_id, body) of fewer than ``least`` words, once regions and the title are gone."""
     body = F.regexp_replace(F.regexp_replace(F.col("body"), r"(?s)<!-- kb:begin id=(.*?) -->.*?<!-- kb:end id=\1 -->", " "), r"(?m)^# .*$", " ")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -101,25 +102,46 @@ def page_links(pages: DataFrame) -> DataFrame:
     return found.where("t IS NOT NULL").select("page_id", "t.target", "t.anchor")
 
 
-def lint(pages: DataFrame, anchors: DataFrame, sources: DataFrame) -> DataFrame:
-    """The rules that need pages, anchors and sources alone. pages: page_id, body; anchors: page_id, anchor; sources: source_id, page_id, text."""
+#: Rules of ``lint``.
+RULES = ("broken_links", "missing_citations", "stale_citations", "orphan_sources", "unverified_quotes", "drift", "thin_concepts", "missing_concepts")
+
+
+def lint(pages: DataFrame, anchors: DataFrame, sources: DataFrame, rules: Sequence[str] = RULES) -> DataFrame:
+    """The rules that need pages, anchors and sources alone; some of them, by name, with dashes or underscores. pages: page_id, body; anchors: page_id, anchor; sources: source_id, page_id, text."""
+    wanted = [r.replace("-", "_") for r in rules]
+    if not wanted or set(wanted) - set(RULES):
+        raise ValueError(f"no such rules: {sorted(set(wanted) - set(RULES))}")
     links = page_links(pages)
     cited = pages.select("page_id", F.explode(T.source_references(F.col("body"))).alias("source_id"))
-    used = cited.select("source_id").union(links.join(sources.select(F.col("page_id").alias("target"), "source_id"), "target").select("source_id"))
-    quotes = verify.verify_quotes(verify.quote_citations(pages.where(F.col("page_id").startswith("wiki/concepts/"))).select("page_id", "quote", "source_id"), sources)
-    unverified = quotes.where(F.col("status").isin("absent", "source_missing"))
-    return issues(
-        {
-            "broken_links": verify.missing_targets(links, pages, anchors),
-            "missing_citations": missing_citations(pages),
-            "stale_citations": verify.stale_citations(cited, sources),
-            "orphan_sources": verify.orphan_sources(sources, used),
-            "unverified_quotes": unverified,
-            "drift": unverified.where("status = 'absent'"),
-            "thin_concepts": verify.thin(pages.where(F.col("page_id").startswith("wiki/concepts/"))),
-            "missing_concepts": mining.missing_terms(sources.select(F.col("source_id").alias("doc_id"), "text"), pages.select(T.frontmatter_value(F.col("body"), "name").alias("name")).where("name IS NOT NULL")),
-        }
-    )
+    listed = pages.select(F.explode(T.frontmatter_list(F.col("body"), "source_document_ids")).alias("source_id"))
+    used = cited.select("source_id").union(listed).union(links.join(sources.select(F.col("page_id").alias("target"), "source_id"), "target").select("source_id"))
+    concepts = pages.where(F.col("page_id").startswith("wiki/concepts/"))
+
+    def unverified() -> DataFrame:
+        quotes = verify.verify_quotes(verify.quote_citations(concepts).select("page_id", "quote", "source_id"), sources)
+        return quotes.where(F.col("status").isin("absent", "source_missing"))
+
+    found = {
+        "broken_links": lambda: verify.missing_targets(links, pages, anchors),
+        "missing_citations": lambda: missing_citations(pages),
+        "stale_citations": lambda: verify.stale_citations(cited, sources),
+        "orphan_sources": lambda: verify.orphan_sources(sources, used),
+        "unverified_quotes": unverified,
+        "drift": lambda: unverified().where("status = 'absent'"),
+        "thin_concepts": lambda: verify.thin(concepts),
+        "missing_concepts": lambda: mining.missing_terms(sources.select(F.col("source_id").alias("doc_id"), "text"), pages.select(T.frontmatter_value(F.col("body"), "name").alias("name")).where("name IS NOT NULL")),
+    }
+    return issues({rule: found[rule]() for rule in wanted})
+
+
+def category_listing(pages: DataFrame) -> DataFrame:
+    """category, position and body of an index page's parts: a heading, and a link for each page by title. pages: page_id, title, category."""
+    known = F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("Uncategorized"))
+    rows = pages.select("page_id", "title", F.lower(known).alias("key"))
+    links = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("title", "page_id"))).alias("p"))
+    listed = F.array_join(F.transform("p", lambda x: F.concat(F.lit("- [["), x["page_id"], F.lit("|"), x["title"], F.lit("]]"))), "\n")
+    heads = mining.category_index(pages).select("category", "position", F.lower("category").alias("key"))
+    return heads.join(links, "key").select("category", "position", F.concat(F.lit("## "), "category", F.lit("\n\n"), listed).alias("body"))
 
 
 def resolve_ids(wanted: DataFrame, known: DataFrame) -> DataFrame:
@@ -241,6 +263,16 @@ def imputed_body(existing: Column, name: Column, definition: Column, sources: Co
     return F.concat(front, F.lit("\n# "), name, F.lit("\n"), drafted, listed, F.when(regions != "", F.concat(F.lit("\n"), regions, F.lit("\n"))).otherwise(""))
 
 
+def promoted_body(existing: Column, answer: Column, citations: Column) -> Column:
+    """The body of a question page: an answer and its citations (array) in regions of their own; what else an existing body (null: none) says stays."""
+    said = F.regexp_replace(answer, r"^\s+|\s+$", "")
+    listed = F.when(F.size(citations) == 0, "_No citations._").otherwise(F.array_join(F.transform(citations, lambda c: F.concat(F.lit("- "), F.trim(c))), "\n"))
+    region = lambda name, content: F.concat(F.lit(f"<!-- kb:begin id={name} -->\n"), content, F.lit(f"\n<!-- kb:end id={name} -->"))
+    fresh = F.concat(F.lit("## Answer\n"), region("answer", said), F.lit("\n\n## Citations\n"), region("citations", listed), F.lit("\n"))
+    kept = T.put_region(T.put_region(T.without_frontmatter(existing), "answer", said), "citations", listed)
+    return F.when(existing.isNull(), fresh).otherwise(kept)
+
+
 def tree(files: DataFrame) -> DataFrame:
     """path, kind (dir or file), depth of all that isn't hidden below a root, folders before files and then by name, in ``position``. files: path."""
     parts = F.split("path", "/")

@@ -10,6 +10,16 @@ from corpusflow.functions import text as T
 from corpusflow.operators import fusion, graph, lexical, semantic
 
 
+def seeds(tiers: list[DataFrame]) -> DataFrame:
+    """item_id and place of what some limited tiers (item_id, rank) found: by tier, then by rank, each item once."""
+    every = None
+    for number, tier in enumerate(tiers):
+        rows = tier.select("item_id", F.struct(F.lit(number).alias("tier"), F.col("rank").alias("rank")).alias("at"))
+        every = rows if every is None else every.unionByName(rows)
+    first = every.groupBy("item_id").agg(F.min("at").alias("at"))
+    return first.select("item_id", F.row_number().over(Window.orderBy("at.tier", "at.rank", "item_id")).alias("place"))
+
+
 def hybrid_search(index: DataFrame, chunks: DataFrame, query: str, vector: DataFrame, edges: DataFrame | None, limit: int = 10, floors: tuple[float, float] = semantic.FLOORS["hash"], rrf_k: int = fusion.RRF_K, rerank: bool = False) -> DataFrame:
     """position, item_id, score and ranks: lexical, semantic above its floor, PageRank from what both found, fused, and reranked if asked for and the tiers disagree. An index with a column body lends its first paragraph to reranking."""
     pool = max(limit, fusion.RERANK_POOL) if rerank else limit
@@ -19,8 +29,8 @@ def hybrid_search(index: DataFrame, chunks: DataFrame, query: str, vector: DataF
     semantic_tier = semantic.ranks(sem, "semantic")
     tiers = [lexical_tier, semantic_tier]
     if edges is not None:
-        seeds = lexical_tier.select("item_id").union(semantic_tier.select("item_id")).distinct()
-        tiers.append(semantic.ranks_among(graph.pagerank(edges, seeds), seeds, pool, "structural"))
+        both = seeds(tiers).select("item_id")
+        tiers.append(semantic.ranks_among(graph.pagerank(edges, both), both, pool, "structural"))
     fused = fusion.fuse(tiers, pool, rrf_k)
     if rerank:
         paragraph = T.first_paragraph(F.col("body")) if "body" in index.columns else F.lit(None).cast("string")

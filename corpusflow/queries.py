@@ -67,9 +67,10 @@ def token_counts(spark, sf_dir):
     return t.select("doc_id", F.size("t").cast("long").alias("n"), F.size(F.array_distinct("t")).cast("long").alias("different"), F.aggregate("t", F.lit(None).cast("long"), lambda a, w: F.coalesce(a, F.lit(0)) + F.octet_length(w)).alias("bytes"))
 
 
-@query(f"SELECT item_id, len(t) > 0 AND len(list_filter(t, lambda w: NOT list_contains({_list(QUERY_STOPWORDS)}, w))) = 0 AS only_stopwords FROM (SELECT item_id, {_tokens('text')} AS t FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT -item_id - 1, array_to_string(regexp_split_to_array(text, ' ')[1:2], ' ') FROM benchmark))")
+@query(f"SELECT item_id, len(t) > 0 AND len(list_filter(t, lambda w: NOT list_contains({_list(QUERY_STOPWORDS)}, w))) = 0 AS only_stopwords FROM (SELECT item_id, {_tokens('text')} AS t FROM (SELECT doc_id AS item_id, text FROM documents UNION ALL SELECT -doc_id - 1, array_to_string(regexp_split_to_array(text, ' ')[1:2], ' ') FROM documents))")
 def stopword_guard(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    """Whole documents, and their first two words."""
+    b = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), "text")
     short = b.select((-F.col("item_id") - 1).alias("item_id"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("text"))
     return b.unionByName(short).select("item_id", T.only_stopwords(F.col("text")).alias("only_stopwords"))
 
@@ -87,9 +88,9 @@ def title_slugs(spark, sf_dir):
     return t.select(F.col("item_id").alias("doc_id"), T.slug(F.col("title")).alias("slug"), T.file_slug(F.col("title")).alias("file_slug"), T.link_slug(F.col("title")).alias("link_slug"))
 
 
-@query("""SELECT item_id, md5(trim(regexp_replace(lower(translate(translate(text,'“”„‟«»‘’‚‛',repeat(chr(34), 6) || repeat(chr(39), 4)),'*_`','')),'\\s+',' ','g'))) AS form FROM (SELECT item_id, '“' || text || '” *said* ‘x’' AS text FROM benchmark)""")
+@query("""SELECT item_id, md5(trim(regexp_replace(lower(translate(translate(text,'“”„‟«»‘’‚‛',repeat(chr(34), 6) || repeat(chr(39), 4)),'*_`','')),'\\s+',' ','g'))) AS form FROM (SELECT doc_id AS item_id, '“' || text || '” *said* ‘x’' AS text FROM documents)""")
 def match_forms(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("“"), "text", F.lit("” *said* ‘x’")).alias("text"))
+    b = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.concat(F.lit("“"), "text", F.lit("” *said* ‘x’")).alias("text"))
     return b.select("item_id", F.md5(T.match_form(F.col("text")).cast("binary")).alias("form"))
 
 
@@ -198,6 +199,17 @@ def hash_embed_buckets(spark, sf_dir):
     return semantic.bucket_counts(table(spark, sf_dir, "part"), "p_partkey", "p_name")
 
 
+@query(rf"""WITH p AS (SELECT p_partkey, lower(p_name) AS low FROM part),
+ g AS (SELECT p_partkey, unnest(list_filter(regexp_split_to_array(low,'\s+'), lambda w: w <> '')) AS gram FROM p
+  UNION ALL SELECT p_partkey, substring(low, i, n) FROM p, (VALUES (3),(4),(5)) t(n), range(1, 200) r(i) WHERE i <= length(low) - n + 1),
+ b AS (SELECT p_partkey, CAST({_HASH} AS INTEGER) AS bucket, count(*) AS n FROM g GROUP BY ALL)
+ SELECT p_partkey, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY p_partkey)), 5) AS value FROM b""")
+def hash_embedding_values(spark, sf_dir):
+    """The unit vectors themselves, where they aren't zero."""
+    e = semantic.hash_embeddings(table(spark, sf_dir, "part"), "p_partkey", "p_name")
+    return e.select("p_partkey", F.posexplode("embedding").alias("bucket", "value")).where("value > 0").select("p_partkey", "bucket", F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
 _RANKS = f"""{_SCORES}, lex AS (SELECT item_id, row_number() OVER (ORDER BY score DESC, item_id) AS rank FROM (SELECT * FROM scores ORDER BY score DESC, item_id LIMIT 30)),
  {_KNN}, sem AS (SELECT item_id, row_number() OVER (ORDER BY score DESC, item_id) AS rank FROM (SELECT chunk_id AS item_id, score FROM k ORDER BY score DESC, chunk_id LIMIT 30))"""
 
@@ -357,6 +369,21 @@ def semantic_index_stats(spark, sf_dir):
     return state.index_stats(e.where("chunk_id % 17 != 2"), stored)
 
 
+@query("SELECT CASE WHEN vec_id % 9 = 4 THEN 'broken' || vec_id ELSE 'i' || label || '#' || vec_id END AS chunk_id FROM embeddings WHERE vec_id % 9 = 4 OR vec_id % 5 = 2")
+def chunks_retired(spark, sf_dir):
+    """Stored chunks that aren't live any more, and those whose ids are no ids of chunks."""
+    stored = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "CASE WHEN vec_id % 9 = 4 THEN 'broken' || vec_id ELSE 'i' || label || '#' || vec_id END AS chunk_id")
+    return state.retire_chunks(stored, stored.where("vec_id % 5 != 2")).select("chunk_id")
+
+
+@query("SELECT item_id, CAST(r AS INTEGER) AS place FROM (SELECT c_custkey AS item_id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r <= 30 UNION ALL SELECT -1, 31")
+def seeds_in_order(spark, sf_dir):
+    """What two tiers found, the first tier's first, each once."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item_id"), F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")).alias("rank")).where("rank <= 30")
+    other = c.where("rank <= 5").union(spark.createDataFrame([(-1, 9)], "item_id long, rank int"))
+    return retrieve.seeds([c, other])
+
+
 @query("""WITH p AS (SELECT l_orderkey AS page_id, list_sort(list(DISTINCT l_suppkey)) AS s FROM lineitem GROUP BY l_orderkey)
  SELECT page_id, CASE WHEN len(s) = 1 THEN 'delete' ELSE 'scrub' END AS action, CAST(len(s) - 1 AS INTEGER) AS left_over FROM p WHERE list_contains(s, 7)""")
 def forget_cascade(spark, sf_dir):
@@ -719,12 +746,12 @@ def context_assembly(spark, sf_dir):
     return retrieve.assemble(planned, pages, found, QUESTION, 4000)
 
 
-@query(r"""WITH a AS (SELECT conv_id * 100 + turn AS answer_id, 'See [' || (turn + 1) || '] and [' || (conv_id % 9) || '], [' || (turn + 1) || '].' AS t FROM conversations),
+@query(r"""WITH a AS (SELECT conv_id * 100 + turn AS answer_id, text || ' See [' || (turn + 1) || '] and [' || (conv_id % 9) || '], [' || (turn + 1) || '].' AS t FROM conversations),
  n AS (SELECT answer_id, list_transform(regexp_extract_all(t,'\[(\d{1,6})\]',1), lambda x: x::INT) AS n FROM a), d AS (SELECT answer_id, list_distinct(n) AS n FROM n), v AS (SELECT answer_id, len(list_filter(n, lambda x: x BETWEEN 1 AND 4)) AS valid, len(list_filter(n, lambda x: x NOT BETWEEN 1 AND 4)) AS invalid FROM d)
  SELECT answer_id, CAST(valid AS INTEGER) AS valid, CAST(invalid AS INTEGER) AS invalid, valid = 0 OR invalid > valid AS banner FROM v""")
 def answer_citations(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    text = F.concat(F.lit("See ["), F.col("turn") + 1, F.lit("] and ["), F.col("conv_id") % 9, F.lit("], ["), F.col("turn") + 1, F.lit("]."))
+    text = F.concat("text", F.lit(" See ["), F.col("turn") + 1, F.lit("] and ["), F.col("conv_id") % 9, F.lit("], ["), F.col("turn") + 1, F.lit("]."))
     done = retrieve.postprocess(c.select((F.col("conv_id") * 100 + F.col("turn")).alias("answer_id"), text.alias("answer")), F.lit(4))
     return done.select("answer_id", F.size("valid").alias("valid"), F.size("invalid").alias("invalid"), "banner")
 

@@ -311,11 +311,34 @@ def contradictions_prepared(spark, sf_dir):
     return made.select("concept_id", F.size("quotes").cast("long").alias("n"), part("source_id").alias("sources"), F.md5(part("text").cast("binary")).alias("texts"))
 
 
-@query("SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'narrow_variant_prefix' WHEN 1 THEN 'specialization_prefix' END AS opening, CASE WHEN p_partkey % 4 = 2 THEN 'Fast ' || p_brand END AS alias, p_partkey % 4 = 3 AS no_scope FROM part")
+@query("""SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'narrow_variant_prefix' WHEN 1 THEN 'specialization_prefix' END AS opening, CASE WHEN p_partkey % 6 = 2 THEN 'Fast ' || p_brand END AS alias, p_partkey % 6 IN (3, 4, 5) AS no_scope, p_partkey % 6 IN (0, 1, 2, 4) AS no_name FROM part""")
 def merged_prose_checks(spark, sf_dir):
-    body = "CASE p_partkey % 4 WHEN 0 THEN 'A cheap variant that is. The family.' WHEN 1 THEN ' An instance of it. It includes.' WHEN 2 THEN 'Here fast ' || lower(p_brand) || 's are. Variants.' ELSE 'It is. Nothing else.' END"
+    """Six openings: a variant, an instance, an alias, the name itself, the name within another thing's, a variant of the concept's own name."""
+    body = "CASE p_partkey % 6 WHEN 0 THEN 'A cheap variant that is. The family.' WHEN 1 THEN ' An instance of it. It includes.' WHEN 2 THEN 'Here fast ' || lower(p_brand) || 's are. Variants.' WHEN 3 THEN 'The ' || p_brand || ' is it. Nothing else.' WHEN 4 THEN p_brand || ' safety property of it! No' ELSE 'A ' || p_brand || ' means a thing' END"
     p = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", f"{body} AS body", "p_brand AS name", "array(p_brand, 'Fast ' || p_brand, 'z') AS aliases")
-    return p.select("id", mining.narrow_opening(F.col("body")).alias("opening"), mining.names_alias(F.col("body"), F.col("name"), F.col("aliases")).alias("alias"), mining.lacks_scope(F.col("body"), F.col("aliases")).alias("no_scope"))
+    b, n, a = F.col("body"), F.col("name"), F.col("aliases")
+    return p.select("id", mining.narrow_opening(b, n, a).alias("opening"), mining.names_alias(b, n, a).alias("alias"), mining.lacks_scope(b, a).alias("no_scope"), mining.lacks_name(b, n).alias("no_name"))
+
+
+@query("""WITH m AS (SELECT o_orderkey, o_custkey, o_orderstatus AS f FROM orders), r AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'O' END AS f FROM customer WHERE c_custkey % 10 <> 3)
+ SELECT 'o' || o_orderkey AS path, o_custkey AS record_id, 'output_missing' AS kind FROM m WHERE o_orderkey % 9 = 4 UNION ALL SELECT 'o' || o_orderkey, o_custkey, 'record_missing' FROM m WHERE o_custkey NOT IN (SELECT c_custkey FROM r)
+ UNION ALL SELECT 'o' || o_orderkey, o_custkey, 'fingerprint_mismatch' FROM m JOIN r ON c_custkey = o_custkey WHERE m.f <> r.f
+ UNION ALL SELECT 'x' || c_custkey, c_custkey, 'record_output_missing' FROM r WHERE c_custkey % 4 = 1""")
+def artifact_problems(spark, sf_dir):
+    """An entry may have two; of four records one has outputs that aren't there."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").where("c_custkey % 10 != 3")
+    manifest = o.selectExpr("'o' || o_orderkey AS path", "o_custkey AS record_id", "o_orderstatus AS fingerprint")
+    records = c.selectExpr("c_custkey AS record_id", "CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'O' END AS fingerprint", "CASE c_custkey % 4 WHEN 0 THEN CAST(array() AS ARRAY<STRING>) WHEN 1 THEN array('x' || c_custkey, 'y') ELSE array('y', 'z') END AS output_paths")
+    there = o.where("o_orderkey % 9 != 4").selectExpr("'o' || o_orderkey AS path").union(spark.createDataFrame([("z",)], "path string"))
+    return verify.artifact_issues(manifest, records, there)
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '## Answer' || {_N} || '<!-- kb:begin id=answer -->' || {_N} || {W[0]} || {_N} || '<!-- kb:end id=answer -->' || {_N} || {_N} || '## Citations' || {_N} || '<!-- kb:begin id=citations -->' || {_N} || '- a' || {_N} || '- b' || {_N} || '<!-- kb:end id=citations -->' || {_N}
+ ELSE 'mine' || {_N} || '<!-- kb:begin id=answer -->' || {_N} || {W[0]} || {_N} || '<!-- kb:end id=answer -->' || {_N} || 'tail' || {_N} || {_N} || '<!-- kb:begin id=citations -->' || {_N} || '- a' || {_N} || '- b' || {_N} || '<!-- kb:end id=citations -->' END AS body FROM documents""")
+def answers_promoted(spark, sf_dir):
+    old = _text("'---'", "'id: q'", "'---'", "'mine'", "'<!-- kb:begin id=answer -->'", "'old'", "'<!-- kb:end id=answer -->'", "'tail'")
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id", f"CASE WHEN doc_id % 2 = 1 THEN {old} END AS old", f"' ' || {W[0]} || {_N} AS answer")
+    return d.select("doc_id", wiki.promoted_body(F.col("old"), F.col("answer"), F.array(F.lit("a"), F.lit("b"))).alias("body"))
 
 
 # Graphs and state
@@ -519,3 +542,21 @@ def context_folded(spark, sf_dir):
     parts = d.selectExpr("doc_id AS item_id", "explode(sequence(0, 3)) AS section", "t").selectExpr("item_id", "section", "'part-' || section AS anchor", "substring(t, 1 + 300 * section, 300) AS body")
     context = retrieve.assemble(planned, d.selectExpr("doc_id AS item_id", "t AS body", "substring(t, 1, 200) AS summary"), parts, "the ering", 1500)
     return context.select("seq", "item_id", "anchor", "kind", F.md5(F.col("text").cast("binary")).alias("text_md5"), "start", "end")
+
+
+# Listings
+
+
+@query("""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'Uncategorized' ELSE c_mktsegment END AS c FROM customer), g AS (SELECT c, string_agg('- [[p' || c_custkey || '|' || 'T' || (c_custkey % 10) || ']]', chr(10) ORDER BY 'T' || (c_custkey % 10), 'p' || c_custkey) AS l FROM c GROUP BY c)
+ SELECT c AS category, CAST(row_number() OVER (ORDER BY c = 'Uncategorized', lower(c)) AS INTEGER) AS position, md5('## ' || c || chr(10) || chr(10) || l) AS body_md5 FROM g""")
+def category_listings(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").selectExpr("'p' || c_custkey AS page_id", "'T' || (c_custkey % 10) AS title", "CASE WHEN c_custkey % 5 = 0 THEN ' ' ELSE c_mktsegment END AS category")
+    return wiki.category_listing(c).select("category", "position", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
+@query("""SELECT '| query | now | before | change |' || chr(10) || '|---|---|---|---|' || chr(10) || string_agg('| q' || n_nationkey || ' | ' || CASE WHEN n_nationkey % 5 = 0 THEN '-' ELSE format('{:.3f}', n_nationkey / 8.0) END || ' | ' || CASE WHEN n_nationkey % 7 = 0 THEN '-' ELSE format('{:.3f}', n_regionkey / 4.0) END || ' | ' || CASE WHEN n_nationkey % 5 = 0 OR n_nationkey % 7 = 0 THEN '-' ELSE format('{:.3f}', n_nationkey / 8.0 - n_regionkey / 4.0) END || ' |', chr(10) ORDER BY 'q' || n_nationkey) AS body FROM nation WHERE n_nationkey % 35 <> 0""")
+def eval_report(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    now = n.where("n_nationkey % 5 != 0").selectExpr("'q' || n_nationkey AS query_id", "n_nationkey / 8.0D AS ndcg_at_k")
+    before = n.where("n_nationkey % 7 != 0").selectExpr("'q' || n_nationkey AS query_id", "n_regionkey / 4.0D AS ndcg_at_k")
+    return evaluate.report(evaluate.compare_runs(now, before))

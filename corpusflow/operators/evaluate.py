@@ -68,7 +68,7 @@ def grounding_summary(graded: DataFrame) -> DataFrame:
 
 def report(compared: DataFrame) -> DataFrame:
     """One row, body: a Markdown table of two runs, as ``compare_runs`` has them, by query; what is missing in one is a dash."""
-    number = lambda c: F.coalesce(F.format_number(c, "0.000"), F.lit("-"))
+    number = lambda c: F.coalesce(F.format_number(c, 3), F.lit("-"))
     line = F.concat(F.lit("| "), "query_id", F.lit(" | "), number("now"), F.lit(" | "), number("before"), F.lit(" | "), number("change"), F.lit(" |"))
     lines = compared.select("query_id", line.alias("line")).agg(F.transform(F.array_sort(F.collect_list(F.struct("query_id", "line"))), lambda x: x["line"]).alias("lines"))
     return lines.select(F.concat(F.lit("| query | now | before | change |\n|---|---|---|---|\n"), F.array_join("lines", "\n")).alias("body"))

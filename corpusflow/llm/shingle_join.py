@@ -261,8 +261,8 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-#: From so many postings on, short lists are merged as the runs of a merge sort, in C, instead of by a heap.
-HEAP_POSTINGS = 200
+#: From so many postings on, short lists are merged as the runs of a merge sort, in C, instead of by a heap; few merges are that large.
+HEAP_POSTINGS = 2000
 
 
 def merge_short(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:

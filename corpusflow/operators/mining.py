@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
 from corpusflow.functions.words import CONCEPT_STOPWORDS, MENTION_STOPWORDS, PHRASE_STOPWORDS, TOPIC_STOPWORDS
-from corpusflow.operators import matching
+from corpusflow.operators import matching, places
 
 #: Words in a key phrase; sources and mentions that make a missing concept; similarity of duplicates.
 PHRASE_WORDS = (2, 4)
@@ -198,8 +198,7 @@ def category_index(pages: DataFrame) -> DataFrame:
     """category, position, n: categories without regard to case, shown as first seen; pages without one come last."""
     known = F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("Uncategorized"))
     grouped = pages.withColumn("c", known).groupBy(F.lower("c").alias("key")).agg(F.min_by("c", "page_id").alias("category"), F.count("*").alias("n"))
-    order = Window.orderBy(F.col("key") == "uncategorized", "key")
-    return grouped.select("category", F.row_number().over(order).alias("position"), "n")
+    return places.numbered(grouped, [F.col("key") == "uncategorized", F.col("key")], "position").select("category", "position", "n")
 
 
 # Openings of a definition of a special case, and words that say that there are several.

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,25 +46,44 @@ def speakers(segments: DataFrame, voices: DataFrame, bucket: float = 60.0) -> Da
 def merge_turns(segments: DataFrame, gap: float = TURN_GAP, length: float = TURN_LENGTH) -> DataFrame:
     """rec, turn, speaker, start_s, end_s, text: segments of one speaker with small gaps, up to a length, in whole seconds.
 
-    The length counts from where a turn starts, so a turn's end depends on all before it: recordings are folded one by one.
+    The length counts from where a turn starts, so a turn's end depends on all before it: recordings are folded in order, segment
+    by segment, and a task holds no more than the turn that is open. Segments without text are passed over.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        turns: list[list] = []
-        for r in pdf.sort_values(["seq"]).itertuples():
-            text = (r.text or "").strip()
-            if not text:
-                continue
-            end = max(r.end_s, r.start_s)
-            if turns and turns[-1][0] == r.speaker and r.start_s - turns[-1][2] < gap and end - turns[-1][1] < length:
-                turns[-1][2] = int(end)
-                turns[-1][3] = f"{turns[-1][3]} {text}".strip()
-            else:
-                turns.append([r.speaker, int(r.start_s), int(end), text])
-        return pd.DataFrame([(pdf["rec"].iloc[0], i, *t) for i, t in enumerate(turns)], columns=["rec", "turn", "speaker", "start_s", "end_s", "text"])
-
     kind = segments.schema["rec"].dataType.simpleString()
-    return segments.select("rec", "seq", "speaker", F.col("start_s").cast("double"), F.col("end_s").cast("double"), "text").groupBy("rec").applyInPandas(fold, f"rec {kind}, turn int, speaker string, start_s int, end_s int, text string")
+    names = ["rec", "turn", "speaker", "start_s", "end_s", "text"]
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list | None = None  # recording, turn, speaker, start, end, texts
+        rec_type = None
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            types = [rec_type, pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+        def closed(turn: list) -> tuple:
+            return (*turn[:5], " ".join(turn[5]))
+
+        for batch in batches:
+            rec_type, out = batch.column(0).type, []
+            for rec, speaker, start, end, text in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+                if not (text := (text or "").strip()):
+                    continue
+                end = max(end, start)
+                if held and held[0] == rec and held[2] == speaker and start - held[4] < gap and end - held[3] < length:
+                    held[4] = int(end)
+                    held[5].append(text)
+                    continue
+                if held:
+                    out.append(closed(held))
+                held = [rec, held[1] + 1 if held and held[0] == rec else 0, speaker, int(start), int(end), [text]]
+            if out:
+                yield made(out)
+        if held:
+            yield made([closed(held)])
+
+    rows = segments.select("rec", "seq", "speaker", F.col("start_s").cast("double"), F.col("end_s").cast("double"), "text")
+    ordered = rows.repartition("rec").sortWithinPartitions("rec", "seq").drop("seq")
+    return ordered.mapInArrow(fold, f"rec {kind}, turn int, speaker string, start_s int, end_s int, text string")
 
 
 def pauses(turns: DataFrame, least: int = PAUSE) -> DataFrame:

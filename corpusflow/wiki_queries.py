@@ -560,3 +560,21 @@ def eval_report(spark, sf_dir):
     now = n.where("n_nationkey % 5 != 0").selectExpr("'q' || n_nationkey AS query_id", "n_nationkey / 8.0D AS ndcg_at_k")
     before = n.where("n_nationkey % 7 != 0").selectExpr("'q' || n_nationkey AS query_id", "n_regionkey / 4.0D AS ndcg_at_k")
     return evaluate.report(evaluate.compare_runs(now, before))
+
+
+_LINT_SOURCES = "SELECT doc_id FROM documents WHERE doc_id % 3 = 0"
+
+
+@query(f"""WITH l AS ({_LINK_ROWS}), b AS (SELECT count(*) AS n FROM l WHERE (starts_with(target, 'wiki/sources/') AND doc_id % 40 NOT IN (SELECT doc_id FROM documents WHERE doc_id < 10)) OR anchor = 'top' OR (starts_with(target, 'wiki/concepts/') AND anchor <> 'top' AND (doc_id % 50 NOT IN (SELECT doc_id FROM documents) OR doc_id % 50 % 3 <> doc_id % 3))),
+ c AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, doc_id % 97 AS s FROM documents UNION ALL SELECT doc_id, doc_id % 11 FROM documents) WHERE s NOT IN ({_LINT_SOURCES})),
+ q AS (SELECT doc_id % 2 = 0 AS there FROM documents WHERE doc_id % 7 = 1)
+ SELECT * FROM (SELECT 'broken_links' AS rule, 'error' AS severity, n FROM b UNION ALL SELECT 'stale_citations', 'warning', (SELECT count(*) FROM c) UNION ALL SELECT 'unverified_quotes', 'warning', count(*) FROM q WHERE NOT there UNION ALL SELECT 'drift', 'warning', count(*) FROM q WHERE NOT there) WHERE n > 0""")
+def lint_counts(spark, sf_dir):
+    """The lint rules over the wiki: links, citations of sources that aren't there, and quotations of which every second stands in its source."""
+    d = table(spark, sf_dir, "documents")
+    quoted = f"CASE WHEN doc_id % 7 = 1 THEN chr(10) || '\"' || CASE WHEN doc_id % 2 = 0 THEN 'said it' ELSE 'never said' END || '\" [src-0]' || chr(10) ELSE '' END"
+    pages = d.selectExpr("doc_id", f"{PAGE} AS page_id", f"{BODY} || {quoted} AS body")
+    homes = d.where("doc_id < 10").selectExpr("doc_id", "'wiki/sources/' || doc_id || '.md' AS page_id", "'---' || chr(10) || 'source_document_ids:' || chr(10) || '  - src-' || doc_id || chr(10) || '---' || chr(10) || 'x [src-0]' AS body")
+    sources = d.where("doc_id % 3 = 0").selectExpr("'src-' || doc_id AS source_id", "'wiki/sources/src-' || doc_id || '.md' AS page_id", "CASE WHEN doc_id = 0 THEN 'he said it so' ELSE 'none' END AS text")
+    found = wiki.lint(pages.unionByName(homes).select("page_id", "body"), chunks.heading_anchors(pages), sources, [r for r in wiki.RULES if r not in ("thin_concepts", "missing-concepts")])
+    return found.groupBy("rule", "severity").agg(F.count("*").alias("n"))

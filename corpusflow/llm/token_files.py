@@ -3,7 +3,7 @@
 Each partition of the range-partitioned documents becomes a pair of files: ``.ids`` holds
 nothing but the ids (``<u2`` if the vocabulary fits, else ``<u4``), ``.idx`` a header,
 the doc ids and the n+1 offsets of the documents in the first. A partition's base, the
-number of ids before it, is a prefix sum over the manifest. Readers map the files to memory.
+number of ids before it, is a prefix sum over the manifest. Readers map the files to memory, or read slices where a store has no files to map.
 
 Null and empty texts are documents that hold the end id alone. Repeated doc ids stay
 separate documents side by side; rows without an id are left out. An empty table makes no files and reads back as no rows.
@@ -92,8 +92,22 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 2, keeps_spac
     return shards
 
 
-def open_shard(out: str, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc ids, offsets and the mapped ids of a pair of files."""
+class RangeReader:
+    """Ids of a file that can't be mapped: each slice is read when it is asked for."""
+
+    def __init__(self, file: pa.NativeFile, dtype: np.dtype):
+        self.file, self.dtype = file, dtype
+
+    def __len__(self) -> int:
+        return self.file.size() // self.dtype.itemsize
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        start, stop, _ = at.indices(len(self))
+        return np.frombuffer(self.file.read_at((stop - start) * self.dtype.itemsize, start * self.dtype.itemsize), self.dtype)
+
+
+def open_shard(out: str, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray | RangeReader]:
+    """doc ids, offsets and the ids of a pair of files: mapped to memory, or read slice by slice from stores that aren't file systems."""
     fs, folder = common.filesystem(out)
     with fs.open_input_file(f"{folder}/{name}.idx") as f:
         raw = f.read()
@@ -105,8 +119,7 @@ def open_shard(out: str, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     if common.pafs.LocalFileSystem is type(fs):
         ids = np.memmap(f"{folder}/{name}.ids", WIDTHS[width], "r") if offsets[-1] else np.empty(0, WIDTHS[width])
     else:
-        with fs.open_input_file(f"{folder}/{name}.ids") as f:
-            ids = np.frombuffer(f.read_buffer(), WIDTHS[width])
+        ids = RangeReader(fs.open_input_file(f"{folder}/{name}.ids"), WIDTHS[width])
     return doc, offsets, ids
 
 

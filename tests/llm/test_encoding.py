@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.fs as pafs
 import pytest
 from tokenizers import Tokenizer
 
@@ -82,7 +83,7 @@ def test_digests_and_round_trip(spark):
     assert back[1] == lib.decode(lib.encode(TEXTS[1], add_special_tokens=False).ids, skip_special_tokens=False)
 
 
-def test_token_files(spark, tmp_path):
+def test_token_files(spark, tmp_path, monkeypatch):
     lib = Tokenizer.from_file(WORD)
     shards = token_files.write(rows(spark), str(tmp_path / "ids"), WORD, 2)
     got = {r.doc_id: r for r in token_files.read(spark, str(tmp_path / "ids"), shards).collect()}
@@ -95,6 +96,9 @@ def test_token_files(spark, tmp_path):
     name = shards[0].name
     doc, offsets, flat = token_files.open_shard(str(tmp_path / "ids"), name)
     assert isinstance(flat, np.memmap) and flat.dtype == np.uint16 and len(flat) == offsets[-1]
+    monkeypatch.setattr(common, "filesystem", lambda uri: (pafs.SubTreeFileSystem("/", pafs.LocalFileSystem()), uri.lstrip("/")))  # a store that can't be mapped
+    _, _, ranged = token_files.open_shard(str(tmp_path / "ids"), name)
+    assert isinstance(ranged, token_files.RangeReader) and len(ranged) == len(flat) and ranged[3:9].tolist() == flat[3:9].tolist() and ranged[0:0].tolist() == []
 
 
 def test_token_files_of_nothing(spark, tmp_path):

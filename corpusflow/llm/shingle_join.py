@@ -428,6 +428,7 @@ def linked_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT, i
     reached = reached.union(reached.select(F.col("root").alias("sig"), "root").distinct())
     least = reached.join(reps.select("sig", "rep"), "sig").groupBy("root").agg(F.min("rep").alias("component_id"))
     found = reps.select("sig", "rep").join(reached.join(least, "root").select("sig", "component_id"), "sig", "left").select("sig", F.coalesce("component_id", "rep").alias("component_id"))
+    found = common.materialize(found, "shingles-sets-found", narrow=True)  # a table, so that Spark can split a digest that a third of all documents have
     out = own.join(found, "sig", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     if repeats:
         out = common.materialize(out, "shingles-out", narrow=True)

@@ -239,6 +239,11 @@ def drop_narration(text: Column) -> Column:
     return F.regexp_replace(F.when(heading != "", heading).when(broken, last).otherwise(plain), r"\s+$", "")
 
 
+def rebased(body: Column, prefix: str) -> Column:
+    """Relative links and images with a prefix before their path, as a page in another folder needs them; addresses, roots and anchors stay."""
+    return F.regexp_replace(body, r"(!?\[[^\]]*\])\((?![A-Za-z][A-Za-z0-9+.-]*:|#|/)(?:\./)?([^)\s]+)", f"$1({prefix}$2")
+
+
 def kb_path(uri: Column) -> Column:
     """The path that a kb:// address names, without fragment, query and leading slashes; null for anything else."""
     rest = F.regexp_extract(uri, r"^kb://([^#?]*)", 1)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import fingerprint
-from corpusflow.operators.graph import closure
+from corpusflow.operators.graph import closure, prune
 
 
 def delta(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -90,5 +90,14 @@ def forget_plan(pages: DataFrame, source_id: Column) -> DataFrame:
     return pages.where(F.array_contains("source_ids", source_id)).select("page_id", F.when(F.size("source_ids") == 1, "delete").otherwise("scrub").alias("action"), F.array_remove("source_ids", source_id).alias("remaining"))
 
 
+def forget(pages: DataFrame, edges: DataFrame, source_id: Column) -> tuple[DataFrame, DataFrame]:
+    """What is left after forgetting a source: pages (page_id, source_ids) without it and without those it was all of, and edges (src_id, dst_id) that touch neither these nor the source."""
+    plan = forget_plan(pages, source_id)
+    gone = plan.where("action = 'delete'").select("page_id")
+    kept = pages.join(gone, "page_id", "left_anti").withColumn("source_ids", F.array_remove("source_ids", source_id))
+    ends = gone.select(F.col("page_id").cast(edges.schema["src_id"].dataType).alias("item_id"))
+    return kept, prune(edges, ends).where((F.col("src_id") != source_id) & (F.col("dst_id") != source_id))
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

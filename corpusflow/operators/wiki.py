@@ -285,3 +285,46 @@ def tree(files: DataFrame) -> DataFrame:
 def eval_runs(files: DataFrame) -> DataFrame:
     """name and time of the evaluations whose results are stored, newest first. files: path, modified."""
     return files.where(F.col("path").rlike(r"\.json$")).select(F.regexp_extract("path", r"([^/]*)\.json$", 1).alias("name"), "modified").orderBy(F.desc("modified"), "name")
+
+
+def with_assets(pages: DataFrame, staged: DataFrame, folder: str = "assets") -> DataFrame:
+    """pages (page_id, body) whose staged images (page_id, target, asset) point to their assets."""
+    moved = staged.groupBy("page_id").agg(F.array_sort(F.collect_set(F.struct("target", "asset"))).alias("_moved"))
+    swap = lambda text, m: F.replace(text, F.concat(F.lit("]("), m["target"], F.lit(")")), F.concat(F.lit(f"]({folder}/"), m["asset"], F.lit(")")))
+    joined = pages.join(moved, "page_id", "left")
+    return joined.select(*[c for c in pages.columns if c != "body"], F.coalesce(F.aggregate("_moved", F.col("body"), swap), F.col("body")).alias("body"))
+
+
+def with_captions(pages: DataFrame, captions: DataFrame) -> DataFrame:
+    """pages (page_id, body) with a region for each caption (page_id, target, caption), named after the image's file; a caption that is there already is replaced."""
+    stem = F.regexp_extract("target", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    listed = captions.groupBy("page_id").agg(F.array_sort(F.collect_set(F.struct(F.concat(F.lit("caption-"), T.link_slug(stem)).alias("name"), "caption"))).alias("_c"))
+
+    def put(body: Column, c: Column) -> Column:
+        start, end = F.concat(F.lit("<!-- kb:begin id="), c["name"], F.lit(" -->")), F.concat(F.lit("<!-- kb:end id="), c["name"], F.lit(" -->"))
+        at, stop = F.call_function("instr", body, start), F.call_function("instr", body, end)
+        whole = F.concat(start, F.lit("\n"), c["caption"], F.lit("\n"), end)
+        return F.when((at > 0) & (stop > at), F.concat(F.substring(body, F.lit(1), at - 1), whole, F.substring(body, stop + F.length(end), F.length(body)))).otherwise(F.concat(body, F.lit("\n\n"), whole))
+
+    joined = pages.join(listed, "page_id", "left")
+    return joined.select(*[c for c in pages.columns if c != "body"], F.coalesce(F.aggregate("_c", F.col("body"), put), F.col("body")).alias("body"))
+
+
+def kind_counts(items: DataFrame, ingested: int) -> DataFrame:
+    """kind, n, and how many of the ingested a kind still lacks. items: kind."""
+    return items.groupBy("kind").agg(F.count("*").alias("n")).withColumn("pending", F.greatest(F.lit(0), F.lit(ingested) - F.col("n")).cast("long"))
+
+
+def pushed_turns(turns: DataFrame, pushed: DataFrame) -> DataFrame:
+    """session_id, turn, role, text of turns that are pushed to sessions (session_id, at, role, text), numbered on from those that are there (session_id, turn); sessions without a proper name take none."""
+    last = turns.groupBy("session_id").agg(F.max("turn").alias("_last"))
+    order = Window.partitionBy("session_id").orderBy("at")
+    new = pushed.where(F.col("session_id").rlike(SESSION_ID)).join(last, "session_id", "left").withColumn("turn", (F.coalesce(F.col("_last"), F.lit(-1)) + F.row_number().over(order)).cast("long"))
+    return new.select("session_id", "turn", "role", "text")
+
+
+def candidate_draft(docs: DataFrame, categories: DataFrame, term: str, most: int = 12) -> DataFrame:
+    """One row for a concept to write: name, path, snippets around its mentions (array, by document), and the categories there are (array, in order)."""
+    found = mining.snippets(docs, term, most=most).agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "snippet"))), lambda x: x["snippet"]).alias("snippets"))
+    known = categories.agg(F.array_sort(F.collect_set(F.nullif(F.trim("category"), F.lit("")))).alias("categories"))
+    return found.crossJoin(known).select(F.lit(term).alias("name"), F.concat(F.lit("wiki/concepts/"), T.slug(F.lit(term)), F.lit(".md")).alias("path"), "snippets", "categories")

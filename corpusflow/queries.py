@@ -687,7 +687,7 @@ def job_page(spark, sf_dir):
 
 @query("SELECT event_type AS kind, count(*) AS n, CAST(greatest(0, 3000 - count(*)) AS BIGINT) AS pending FROM events GROUP BY event_type")
 def status_counts(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n")).withColumn("pending", F.greatest(F.lit(0), F.lit(3000) - F.col("n")).cast("long"))
+    return wiki.kind_counts(table(spark, sf_dir, "events").select(F.col("event_type").alias("kind")), 3000)
 
 
 @query(None)

@@ -30,9 +30,9 @@ def ignored(spark: SparkSession, root: str) -> list[str]:
     return [x for x in lines if x and not x.startswith(("#", "!"))]
 
 
-def walk(spark: SparkSession, root: str, glob: str = "*", ignore: list[str] = ()) -> DataFrame:
+def walk(spark: SparkSession, root: str, glob: str = "*", ignore: list[str] = (), recursive: bool = True) -> DataFrame:
     """path, content, length of all files below root but hidden ones and those whose path below root fits an ignore pattern (as in ignore files: * and **), given or in an ignore file at the root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).load(root)
     below = F.regexp_replace("path", f"^.*?{re.escape(root.rstrip('/').split('://')[-1])}/", "")
     found = files.select(below.alias("path"), "content", "length", "modificationTime").where(~F.col("path").rlike(r"(?:^|/)\."))
     for pattern in [*ignore, *ignored(spark, root)]:
@@ -51,9 +51,9 @@ def looks_like_text(content: Column) -> Column:
     return (F.octet_length(content) == 0) | (~F.contains(F.decode(probe, "ISO-8859-1"), F.lit("\x00")) & valid & (odd * 1000 <= UNPRINTABLE * F.octet_length(probe)))
 
 
-def markdown_pages(spark: SparkSession, root: str) -> DataFrame:
-    """page_id (path below root) and body of all Markdown files."""
-    return walk(spark, root, "*.md").select(F.col("path").alias("page_id"), F.decode("content", "UTF-8").alias("body"))
+def markdown_pages(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """page_id (path below root) and body of all Markdown files; of those in the root alone if not recursive."""
+    return walk(spark, root, "*.md", recursive=recursive).select(F.col("path").alias("page_id"), F.decode("content", "UTF-8").alias("body"))
 
 
 def transcript_turns(bodies: DataFrame) -> DataFrame:

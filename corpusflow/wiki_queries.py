@@ -578,3 +578,55 @@ def lint_counts(spark, sf_dir):
     sources = d.where("doc_id % 3 = 0").selectExpr("'src-' || doc_id AS source_id", "'wiki/sources/src-' || doc_id || '.md' AS page_id", "CASE WHEN doc_id = 0 THEN 'he said it so' ELSE 'none' END AS text")
     found = wiki.lint(pages.unionByName(homes).select("page_id", "body"), chunks.heading_anchors(pages), sources, [r for r in wiki.RULES if r not in ("thin_concepts", "missing-concepts")])
     return found.groupBy("rule", "severity").agg(F.count("*").alias("n"))
+
+
+# Rewriting pages
+
+
+@query("SELECT 'p' || doc_id AS page_id, '![x](assets/' || (doc_id % 7) || CASE WHEN doc_id % 2 = 1 THEN '-2' ELSE '' END || '.png) ![y](none.png) d' || (doc_id % 2) || '/' || (doc_id % 7) || '.png' AS body FROM documents")
+def assets_rewritten(spark, sf_dir):
+    """Staged images point to their assets; the same path in prose stays."""
+    pages = table(spark, sf_dir, "documents").selectExpr("'p' || doc_id AS page_id", "'![x](d' || (doc_id % 2) || '/' || (doc_id % 7) || '.png) ![y](none.png) d' || (doc_id % 2) || '/' || (doc_id % 7) || '.png' AS body")
+    there = spark.range(14).selectExpr("'d' || (id % 2) || '/' || (id % 7) || '.png' AS path", "10L AS length")
+    return wiki.with_assets(pages, wiki.staged_images(pages, there))
+
+
+@query(f"SELECT 'p' || doc_id AS page_id, 'a' || CASE WHEN doc_id % 2 = 0 THEN {_N} || '<!-- kb:begin id=caption-cat -->' || {_N} || 'a cat ' || {W[0]} || {_N} || '<!-- kb:end id=caption-cat -->' || {_N} || 'tail' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN {_N} || {_N} || '<!-- kb:begin id=caption-dog -->' || {_N} || 'a dog' || {_N} || '<!-- kb:end id=caption-dog -->' ELSE '' END AS body FROM documents")
+def captions_put(spark, sf_dir):
+    """Captions that are there are replaced, others are added."""
+    d = table(spark, sf_dir, "documents")
+    old = f"'a' || CASE WHEN doc_id % 2 = 0 THEN {_N} || '<!-- kb:begin id=caption-cat -->' || {_N} || 'old' || {_N} || '<!-- kb:end id=caption-cat -->' || {_N} || 'tail' ELSE '' END"
+    cats = d.where("doc_id % 2 = 0").selectExpr("'p' || doc_id AS page_id", "'img/Cat.png' AS target", f"'a cat ' || {W[0]} AS caption")
+    dogs = d.where("doc_id % 3 = 0").selectExpr("'p' || doc_id AS page_id", "'dog.png' AS target", "'a dog' AS caption")
+    return wiki.with_captions(d.selectExpr("'p' || doc_id AS page_id", f"{old} AS body"), cats.union(dogs))
+
+
+@query("SELECT doc_id, '[a](../x/' || doc_id || '.md#f) ![i](../i.png \"t\") [b](/abs) [c](https://o.org) [d](#e) [m](mailto:a@b)' AS body FROM documents")
+def links_rebased(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id", "'[a](./x/' || doc_id || '.md#f) ![i](i.png \"t\") [b](/abs) [c](https://o.org) [d](#e) [m](mailto:a@b)' AS body")
+    return d.select("doc_id", T.rebased(F.col("body"), "../").alias("body"))
+
+
+@query("SELECT 'c-' || conv_id AS session_id, CAST(max(turn) + r.i AS BIGINT) AS turn, 'user' AS role, 'new ' || r.i AS text FROM conversations, range(1, 3) r(i) GROUP BY conv_id, r.i UNION ALL SELECT 'fresh', 0, 'user', 'new 1'")
+def session_turns_pushed(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").selectExpr("'c-' || conv_id AS session_id", "turn")
+    pushed = c.select("session_id").distinct().selectExpr("session_id", "explode(sequence(1, 2)) AS at", "'user' AS role").selectExpr("session_id", "at", "role", "'new ' || at AS text")
+    odd = spark.createDataFrame([("fresh", 1, "user", "new 1"), ("no/name", 1, "user", "x")], "session_id string, at int, role string, text string")
+    return wiki.pushed_turns(c, pushed.unionByName(odd))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS page_id, list(DISTINCT l_suppkey) AS s FROM lineitem GROUP BY l_orderkey), k AS (SELECT page_id, len(list_filter(s, lambda x: x <> 7)) AS n FROM p WHERE NOT (len(s) = 1 AND s[1] = 7))
+ SELECT 'page' AS part, page_id AS a, CAST(n AS BIGINT) AS b FROM k UNION ALL SELECT 'edge', l_orderkey, CAST(l_suppkey AS BIGINT) FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) WHERE l_suppkey <> 7 AND l_orderkey <> 7 AND l_orderkey IN (SELECT page_id FROM k) AND l_suppkey NOT IN (SELECT page_id FROM p WHERE page_id NOT IN (SELECT page_id FROM k))""")
+def source_forgotten(spark, sf_dir):
+    """Pages and edges that are left."""
+    l = table(spark, sf_dir, "lineitem")
+    pages = l.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.collect_set("l_suppkey").alias("source_ids"))
+    edges = l.select(F.col("l_orderkey").alias("src_id"), F.col("l_suppkey").alias("dst_id")).distinct()
+    kept, left = state.forget(pages, edges, F.lit(7).cast("long"))
+    return kept.select(F.lit("page").alias("part"), F.col("page_id").alias("a"), F.size("source_ids").cast("long").alias("b")).union(left.select(F.lit("edge"), "src_id", F.col("dst_id").cast("long")))
+
+
+@query("SELECT 'The Thing' AS name, 'wiki/concepts/the-thing.md' AS path, (SELECT md5(string_agg(s, '|' ORDER BY doc_id)) FROM (SELECT doc_id, substring(text, greatest(1, strpos(lower(text), 'the thing') - 80), 280) AS s FROM documents WHERE strpos(lower(text), 'the thing') > 0 ORDER BY doc_id LIMIT 12)) AS snippets, (SELECT string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) FROM customer) AS categories")
+def concept_drafted(spark, sf_dir):
+    made = wiki.candidate_draft(table(spark, sf_dir, "documents"), table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("category")), "The Thing")
+    return made.select("name", "path", F.when(F.size("snippets") > 0, F.md5(F.array_join("snippets", "|").cast("binary"))).alias("snippets"), F.array_join("categories", ",").alias("categories"))

@@ -308,6 +308,7 @@ def test_sources(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
     assert {r.path for r in files.walk(spark, str(tmp_path), "*.md", ["skip/"]).collect()} == {"a.md", "sub/b.md"}
+    assert {r.page_id for r in files.markdown_pages(spark, str(tmp_path), recursive=False).collect()} == {"a.md"}
     (tmp_path / ".kbignore").write_text("# c\nsub/\n!x\n")
     assert {r.path for r in files.walk(spark, str(tmp_path), "*.md", ["skip/"]).collect()} == {"a.md"}
     golden = files.golden_set(spark, '[[query]]\nid = "q"\nquery = "x"\nexpected_sources = ["s"]')
@@ -467,3 +468,16 @@ def test_versions_of_a_table(spark, tmp_path):
 def test_link_targets(spark, raw, want):
     got = one(spark, T.link_target(F.col("r"), F.lit("wiki/concepts/x.md")), r=raw)
     assert (tuple(got) if got else None) == want
+
+
+def test_eval_run(spark):
+    index = spark.createDataFrame([("wiki/a.md", "raft log", "raft"), ("wiki/b.md", "raft", "other"), ("wiki/c.md", "paxos", "")], "item_id string, title string, summary string").selectExpr("*", "CAST(array() AS ARRAY<STRING>) AS aliases", "CAST(array() AS ARRAY<STRING>) AS headings")
+    got = {r.query_id: r for r in retrieve.eval_run(index, [("q1", "raft", ["B.md"]), ("q2", "paxos", ["c", "d"])], k=2).collect()}
+    assert (got["q1"].precision_at_k, got["q1"].mrr, got["q2"].precision_at_k, got["q2"].mrr) == (0.5, 0.5, 0.5, 1.0)
+
+
+def test_reports_and_conclusions(spark):
+    pages = spark.createDataFrame([("p", None)], "page_id string, body string")
+    with pytest.raises(ValueError):
+        wiki.lint(pages, pages, pages, ["no-such"])
+    assert one(spark, wiki.promoted_body(F.lit(None).cast("string"), F.col("a"), F.array().cast("array<string>")), a=" x ") == "## Answer\n<!-- kb:begin id=answer -->\nx\n<!-- kb:end id=answer -->\n\n## Citations\n<!-- kb:begin id=citations -->\n_No citations._\n<!-- kb:end id=citations -->\n"

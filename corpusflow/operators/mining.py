@@ -29,30 +29,38 @@ _STOPPED = frozenset(PHRASE_STOPWORDS)
 def phrases(text: str) -> list[list[str]]:
     """Runs of words between stopwords, numbers and punctuation."""
     out: list[list[str]] = [[]]
+    run = out[0]
     for token in _TOKEN.findall(text):
-        word = _ENDS.sub("", token)
-        low = word.lower()
-        if not word or not word.strip("_") or low in _STOPPED or token.lower() in _STOPPED or _NUMBER.fullmatch(word):
-            out.append([])
+        low = token.lower()
+        if token.isalpha():  # most tokens: nothing to cut, and no number
+            stops = low in _STOPPED
         else:
-            out[-1].append(word)
+            word = _ENDS.sub("", token)
+            stops = not word.strip("_") or low in _STOPPED or word.lower() in _STOPPED or _NUMBER.fullmatch(word)
+            token = word
+        if not stops:
+            run.append(token)
+        elif run:
+            run = []
+            out.append(run)
     return [p for p in out if p]
 
 
 def rank_phrases(text: str, limit: int) -> list[tuple[str, float]]:
     """(phrase, score): a word scores the mean length of the phrases it is in; a phrase the sum of its words, once for each time it occurs."""
     runs = phrases(text)
+    lows = [[w.lower() for w in run] for run in runs]
     length, times = Counter(), Counter()
-    for run in runs:
-        for w in run:
-            length[w.lower()] += len(run)
-            times[w.lower()] += 1
+    for low in lows:
+        n = len(low)
+        for w in low:
+            length[w] += n
+            times[w] += 1
     found: dict[str, list] = {}
-    for run in runs:
+    for run, low in zip(runs, lows, strict=True):
         if PHRASE_WORDS[0] <= len(run) <= PHRASE_WORDS[1]:
-            name = " ".join(run)
-            entry = found.setdefault(name.lower(), [name, 0.0])
-            entry[1] += sum(length[w.lower()] / times[w.lower()] for w in run)
+            entry = found.setdefault(" ".join(low), [" ".join(run), 0.0])
+            entry[1] += sum([length[w] / times[w] for w in low])
     return sorted(((n, x) for n, x in found.values()), key=lambda e: (-round(e[1], 9), e[0]))[:limit]
 
 

@@ -13,8 +13,8 @@ probability.
 3. Queries meet the codes again: vectors whose upper bound reaches the threshold are survivors.
 4. Survivors are scored exactly, each block of original vectors with the survivors it holds.
 
-Codes take dim / 8 + 24 bytes a vector; original vectors only meet what the bounds have
-chosen. A block of queries and a block of codes are one unit of work with bounded memory.
+Codes take dim / 8 + 24 bytes a vector, survivors a bit at most; original vectors only meet what the
+bounds have chosen. A block of queries and a block of codes are one unit of work with bounded memory.
 
 Vectors without an id, or that are null, zero, of another length than most (of equally frequent lengths the
 shorter counts), or that hold null or non-finite components take no part. Ties go to the smaller id; a query's own
@@ -86,28 +86,33 @@ def encode(frame: Frame, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _packed(frame, turned > 0), np.stack([length, np.maximum(fit, 1e-6), vectors.astype(np.float64) @ frame.centre], axis=1)
 
 
-def estimates(frame: Frame, bits: np.ndarray, numbers: np.ndarray, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each query the estimated inner products with all codes, and how far these may be off."""
+def estimates(frame: Frame, bits: np.ndarray, numbers: np.ndarray, queries: np.ndarray, bounds: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """For each query the estimated inner products with all codes, and (if asked for) how far these may be off."""
     length, fit, along = numbers.T
-    scale = length / fit / np.sqrt(frame.dim)
-    spread = length * np.sqrt(np.maximum(0, 1 - fit * fit)) / fit / np.sqrt(max(1, frame.dim - 1))
-    ones = np.bitwise_count(bits).sum(1, dtype=np.int64)
+    reach = length / fit
+    scale = (reach / np.sqrt(frame.dim)).astype(np.float32)
+    code = (reach**2 * np.maximum(0, 1 - fit * fit) / max(1, frame.dim - 1)).astype(np.float32)  # variances of what the codes and the planes leave out
+    plane_of = (reach**2 / 12).astype(np.float32)
+    along = along.astype(np.float32)
+    columns = [np.ascontiguousarray(bits[:, w]) for w in range(frame.words)]
+    ones = np.bitwise_count(bits).sum(1, dtype=np.int64).astype(np.float32)
+    counts = np.uint16 if frame.words * 64 << PLANES <= 1 << 16 else np.uint32
     queries = queries.astype(np.float64)
     turned = (queries - frame.centre) @ frame.rotation.T
     lows, norms = turned.min(1), np.linalg.norm(turned, axis=1)
     steps = np.maximum((turned.max(1) - lows) / ((1 << PLANES) - 1), 1e-30)
     levels = np.rint((turned - lows[:, None]) / steps[:, None]).astype(np.uint8)
+    planes = np.stack([_packed(frame, (levels >> j & 1).astype(bool)) for j in range(PLANES)], axis=1)
     base = queries @ frame.centre - frame.centre @ frame.centre
     for q in range(len(queries)):
-        shared = np.zeros(len(bits), np.int64)
+        shared = np.zeros(len(bits), counts)
         for j in range(PLANES):
-            plane = _packed(frame, (levels[q] >> j & 1)[None].astype(bool))[0]
-            for w in range(frame.words):
-                shared += np.bitwise_count(bits[:, w] & plane[w]).astype(np.int64) << j
+            for w, column in enumerate(columns):
+                shared += np.left_shift(np.bitwise_count(column & planes[q, j, w]), j, dtype=counts)
         total = steps[q] * float(levels[q].sum()) + frame.dim * lows[q]
-        product = 2 * (steps[q] * shared + lows[q] * ones) - total  # of the rounded query with the signs
-        rounding = scale * steps[q] * np.sqrt(frame.dim / 12)
-        yield product * scale + along + base[q], EPSILON * np.sqrt((norms[q] * spread) ** 2 + rounding**2)
+        product = np.float32(2 * steps[q]) * shared + np.float32(2 * lows[q]) * ones - np.float32(total)  # of the rounded query with the signs
+        off = np.float32(EPSILON) * np.sqrt(np.float32(norms[q] ** 2) * code + np.float32(steps[q] ** 2) * plane_of) if bounds else None
+        yield product * scale + along + np.float32(base[q]), off
 
 
 def usable(vector: Column) -> Column:
@@ -144,10 +149,26 @@ def _blocks(rows: DataFrame, size: int, frame: Frame | None) -> DataFrame:
     return common.map_arrow(rows, run, BLOCK)
 
 
+def _pack_places(at: np.ndarray, n: int) -> bytes:
+    """Places below n, as a list or as bits, whichever is shorter."""
+    width = "<u2" if n <= 1 << 16 else "<u4"
+    if len(at) * np.dtype(width).itemsize <= -(-n // 8):
+        return b"\0" + at.astype(width).tobytes()
+    chosen = np.zeros(n, bool)
+    chosen[at] = True
+    return b"\1" + np.packbits(chosen).tobytes()
+
+
+def _places(raw: bytes, n: int) -> np.ndarray:
+    if raw[0] == 0:
+        return np.frombuffer(raw, "<u2" if n <= 1 << 16 else "<u4", offset=1)
+    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, offset=1), count=n))
+
+
 _FOUND = "block long, together long, query_id long, q binary, places binary"
 
 
-def _met(pairs: DataFrame, frame: Frame, choose) -> DataFrame:
+def _met(pairs: DataFrame, frame: Frame, choose, bounds: bool) -> DataFrame:
     """What choose(ids, query's id, its threshold, estimates, how far these may be off) takes of each block, for each query: the places of vectors."""
     names = [f.split()[0] for f in _FOUND.split(", ")]
 
@@ -159,10 +180,10 @@ def _met(pairs: DataFrame, frame: Frame, choose) -> DataFrame:
                 queries = np.frombuffer(r["q_vectors"], "<f4").reshape(len(q_ids), -1)
                 least = np.frombuffer(r["least"], "<f8") if r["least"] is not None else np.full(len(q_ids), -np.inf)
                 rows = []
-                for i, (estimate, off) in enumerate(estimates(frame, bits, numbers, queries)):
+                for i, (estimate, off) in enumerate(estimates(frame, bits, numbers, queries, bounds)):
                     at = choose(ids, q_ids[i], least[i], estimate, off)
                     if len(at):
-                        rows.append((int(q_ids[i]), queries[i].tobytes(), at.astype("<u4").tobytes()))
+                        rows.append((int(q_ids[i]), queries[i].tobytes(), _pack_places(at, len(ids))))
                 if rows:
                     q, vector, places = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array([r["block"]] * len(rows), pa.int64()), pa.array([r["together"]] * len(rows), pa.int64()), pa.array(q, pa.int64()), pa.array(vector, pa.binary()), pa.array(places, pa.binary())], names)
@@ -176,11 +197,15 @@ def _scored(found: DataFrame, originals: DataFrame, k: int) -> DataFrame:
 
     def run(block: pa.Table, asked: pa.Table) -> pa.Table:
         ids = np.frombuffer(block["ids"][0].as_py(), "<i8")
-        vectors = np.frombuffer(block["vectors"][0].as_py(), "<f4").reshape(len(ids), -1).astype(np.float64)
+        vectors = np.frombuffer(block["vectors"][0].as_py(), "<f4").reshape(len(ids), -1)
         of, which, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         for query, q, places in zip(asked["query_id"].to_pylist(), asked["q"].to_pylist(), asked["places"].to_pylist(), strict=True):
-            at = np.frombuffer(places, "<u4")
-            score = (vectors[at] * np.frombuffer(q, "<f4").astype(np.float64)).sum(1)
+            at, vector = _places(places, len(ids)), np.frombuffer(q, "<f4").astype(np.float64)
+            if len(at) > 2 * k:  # a product of matrices first, whose last digits may differ between equal vectors
+                rough = vectors[at].astype(np.float64) @ vector
+                least = np.partition(rough, len(at) - k)[len(at) - k]
+                at = at[rough >= least - 1e-9 * (1 + np.abs(rough).max())]
+            score = (vectors[at].astype(np.float64) * vector).sum(1)
             best = np.lexsort((ids[at], -score))[:k]
             of.append(np.full(len(best), query))
             which.append(ids[at[best]])
@@ -211,9 +236,9 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
     codes, originals = index.select("block", "ids", "bits", "numbers"), index.select("block", "ids", "vectors")
     tasks = max(1, common.shuffle_partitions(spark))
 
-    def meet(queries: DataFrame, choose) -> DataFrame:
+    def meet(queries: DataFrame, choose, bounds: bool) -> DataFrame:
         pairs = queries.select("together", "q_ids", "q_vectors", "least").crossJoin(codes)  # of blocks: a stated query set against all rows
-        return _met(pairs.repartition(tasks), frame, choose)
+        return _met(pairs.repartition(tasks), frame, choose, bounds)
 
     def highest(ids: np.ndarray, query: int, least: float, estimate: np.ndarray, off: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(ids != query)
@@ -223,7 +248,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
         return np.flatnonzero((estimate + off >= least) & (ids != query))
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    first = _scored(meet(asked.withColumn("least", F.lit(None).cast("binary")), highest), originals, k)
+    first = _scored(meet(asked.withColumn("least", F.lit(None).cast("binary")), highest, False), originals, k)
     first = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", F.col("score").alias("least")).distinct()
     thresholds = common.materialize(first, "ann-thresholds")  # queries with fewer than k candidates have none, and all survive
 
@@ -239,7 +264,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str =
     homes = common.map_arrow(asked.select("number", "q_ids"), _members, "number long, query_id long")
     by_block = homes.join(thresholds, "query_id").groupBy("number").agg(F.collect_list("query_id").alias("t_ids"), F.collect_list("least").alias("t_least"))
     ready = common.map_arrow(asked.join(by_block, "number", "left").select("together", "q_ids", "q_vectors", "t_ids", "t_least"), known, "together long, q_ids binary, q_vectors binary, least binary")
-    found = _scored(meet(common.materialize(ready, "ann-asked"), reaching), originals, k)
+    found = _scored(meet(common.materialize(ready, "ann-asked"), reaching, True), originals, k)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -71,7 +71,16 @@ def test_estimates_count_bits_as_a_product_of_signs():
         turned = frame.rotation @ q
         step = (turned.max() - turned.min()) / (2**ann_codes.PLANES - 1)
         rounded = np.rint((turned - turned.min()) / step) * step + turned.min()
-        np.testing.assert_allclose(estimate, signs @ rounded * length / fit / 8, rtol=1e-9, atol=1e-9)
+        np.testing.assert_allclose(estimate, signs @ rounded * length / fit / 8, rtol=1e-4, atol=1e-4)
+
+
+def test_places_as_lists_and_bits():
+    rng = np.random.default_rng(6)
+    for n in (1, 9, 200, 70_000):
+        for share in (0, 0.01, 0.5, 1):
+            at = np.flatnonzero(rng.random(n) < share)
+            raw = ann_codes._pack_places(at, n)
+            assert ann_codes._places(raw, n).tolist() == at.tolist() and len(raw) <= 2 + -(-n // 8)
 
 
 def test_codewords_differ():

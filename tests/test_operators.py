@@ -481,3 +481,43 @@ def test_reports_and_conclusions(spark):
     with pytest.raises(ValueError):
         wiki.lint(pages, pages, pages, ["no-such"])
     assert one(spark, wiki.promoted_body(F.lit(None).cast("string"), F.col("a"), F.array().cast("array<string>")), a=" x ") == "## Answer\n<!-- kb:begin id=answer -->\nx\n<!-- kb:end id=answer -->\n\n## Citations\n<!-- kb:begin id=citations -->\n_No citations._\n<!-- kb:end id=citations -->\n"
+
+
+def hybrid_parts(spark):
+    rng = np.random.default_rng(9)
+    words = ["raft", "log", "paxos", "vote", "disk", "page", "leader"]
+    index = spark.createDataFrame([(f"d{i}", " ".join(rng.choice(words, 2)), " ".join(rng.choice(words, 6))) for i in range(40)], "item_id string, title string, summary string").selectExpr("*", "CAST(array() AS ARRAY<STRING>) AS aliases", "CAST(array() AS ARRAY<STRING>) AS headings")
+    chunks_ = spark.createDataFrame([(f"d{i % 40}#{i // 40}", f"d{i % 40}", rng.standard_normal(4).tolist()) for i in range(80)], "chunk_id string, item_id string, embedding array<double>")
+    vector = spark.createDataFrame([([1.0, 0.5, 0.0, 0.2],)], "v array<double>")
+    edges = spark.createDataFrame(sorted({(f"d{a}", f"d{b}") for a, b in rng.integers(0, 60, (150, 2)).tolist() if a != b}), "src_id string, dst_id string")
+    return index, chunks_, vector, edges
+
+
+def test_hybrid_search_is_the_fusion_of_whole_tiers(spark):
+    """Places in the structural tier are counted for a few nodes; here all are sorted, and fused by hand."""
+    index, chunks_, vector, edges = hybrid_parts(spark)
+    lex = [(r.item_id, r.score) for r in lexical.search(index, "raft leader", 10).collect()]
+    near = [(r.item_id, r.score) for r in semantic.semantic_items(chunks_, vector, 10).collect()]
+    sem = [x for x in near if x[1] >= 0.35]
+    seeds = spark.createDataFrame([(x,) for x in sorted({x for x, _ in lex} | {x for x, _ in sem})], "item_id string")
+    whole = sorted(((r.item_id, r.score) for r in graph.pagerank(edges, seeds).collect()), key=lambda x: (-x[1], x[0]))
+    total = {}
+    for tier in (lex, sem, whole):
+        for place, (item, _) in enumerate(tier, 1):
+            total[item] = total.get(item, 0) + 1 / (60 + place)
+    want = sorted(((x, round(s, 12)) for x, s in total.items()), key=lambda x: (-x[1], x[0]))[:10]
+    got = [(r.item_id, round(r.score, 12)) for r in retrieve.hybrid_search(index, chunks_, "raft leader", vector, edges).orderBy("position").collect()]
+    assert sorted(got) == sorted(want) and [s for _, s in got] == [s for _, s in want]
+
+
+def test_hybrid_plan_with_edges(spark):
+    """PageRank reorders a plan and adds nothing to it."""
+    index, chunks_, vector, edges = hybrid_parts(spark)
+    plain = {r.item_id: r for r in retrieve.hybrid_plan(index, chunks_, "raft leader", vector, None, 500).collect()}
+    got = {r.item_id: r for r in retrieve.hybrid_plan(index, chunks_, "raft leader", vector, edges, 500).collect()}
+    assert set(got) == set(plain) and sum(r.tokens for r in got.values()) <= 500
+    seeds = spark.createDataFrame([(x,) for x in sorted(got)], "item_id string")
+    whole = [x for x, _ in sorted(((r.item_id, r.score) for r in graph.pagerank(edges, seeds).collect()), key=lambda x: (-x[1], x[0]))]
+    for item, r in got.items():
+        assert r.structural_rank == (whole.index(item) + 1 if item in whole else None)
+        assert abs(r.score - plain[item].score - (1 / (60 + r.structural_rank) if r.structural_rank else 0)) < 1e-12

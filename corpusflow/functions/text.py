@@ -311,6 +311,17 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
+#: Elements that frame a page's text.
+FRAMES = ("nav", "header", "footer", "aside", "form")
+
+
+def html_main(html: Column) -> Column:
+    """The visible text of what a page is about: its main part or article if it marks one, without navigation, headers, footers, asides and forms."""
+    bare = F.regexp_replace(html, "(?is)" + "|".join(f"<{x}\\b.*?</{x}>" for x in FRAMES), " ")
+    marked = F.regexp_extract(bare, r"(?is)<(?:main|article)\b[^>]*>(.*)</(?:main|article)>", 1)
+    return html_text(F.when(marked != "", marked).otherwise(F.regexp_replace(bare, r"(?is)<head\b.*?</head>", " ")))
+
+
 def html_title(html: Column) -> Column:
     return F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1)
 

@@ -157,6 +157,12 @@ def write_context(context: DataFrame, path: str) -> None:
     context.write.mode("overwrite").json(path)
 
 
+def write_answer(answers: DataFrame, context: DataFrame, planned: DataFrame, path: str) -> None:
+    """An answer's artifacts below a folder, as JSON: the answers, and beside them what they were given to read and the plan of it."""
+    for name, rows in (("answer", answers), ("context", context), ("plan", planned)):
+        rows.write.mode("overwrite").json(f"{path}/{name}")
+
+
 def eval_run(index: DataFrame, golden: list[tuple[str, str, list[str]]], k: int = 10, budget: int = 20_000) -> DataFrame:
     """The ranking measures of each query of a golden set (query_id, query, expected names; a few dozen): the first k of its plan."""
     runs = None

@@ -115,6 +115,18 @@ def html_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.html_title(h).alias("title"), F.md5(T.html_text(h).cast("binary")).alias("text_md5"), T.looks_like_markdown(h).alias("markdown"))
 
 
+@query(r"""WITH a AS (SELECT page_id, regexp_replace(CASE WHEN page_id % 2 = 0 THEN replace(replace(html, '<body>', '<body><main class="x">'), '</body>', '</main><footer>f</footer></body>') ELSE html END,'(?is)<nav\b.*?</nav>|<header\b.*?</header>|<footer\b.*?</footer>|<aside\b.*?</aside>|<form\b.*?</form>',' ','g') AS h FROM pages),
+ m AS (SELECT page_id, h, regexp_extract(h,'(?is)<(?:main|article)\b[^>]*>(.*)</(?:main|article)>',1) AS m FROM a), c AS (SELECT page_id, CASE WHEN m <> '' THEN m ELSE regexp_replace(h,'(?is)<head\b.*?</head>',' ','g') END AS c FROM m),
+ b AS (SELECT page_id, regexp_replace(regexp_replace(c,'(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->',' ','g'),'(?s)<[^>]*>',' ','g') AS x FROM c)
+ SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(x,'&nbsp;',' '),'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',chr(39)),'&amp;','&'),'\s+',' ','g'))) AS text_md5 FROM b""")
+def html_main_texts(spark, sf_dir):
+    """Every second page marks its main part."""
+    h, k = F.col("html"), F.col("page_id")
+    marked = F.replace(F.replace(h, F.lit("<body>"), F.lit('<body><main class="x">')), F.lit("</body>"), F.lit("</main><footer>f</footer></body>"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.when(k % 2 == 0, marked).otherwise(h).alias("html"))
+    return p.select("page_id", F.md5(T.html_main(F.col("html")).cast("binary")).alias("text_md5"))
+
+
 @query(r"""SELECT href, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT page_id) AS BIGINT) AS n_pages FROM (SELECT page_id, unnest(regexp_extract_all(html,'<a\s[^>]*href="([^"]*)"',1)) AS href FROM pages) GROUP BY href""")
 def page_links(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select("page_id", F.explode(T.hrefs(F.col("html"))).alias("href"))

@@ -470,6 +470,12 @@ def test_link_targets(spark, raw, want):
     assert (tuple(got) if got else None) == want
 
 
+def test_answers_are_written(spark, tmp_path):
+    rows = spark.range(2)
+    retrieve.write_answer(rows, rows, rows.limit(1), str(tmp_path / "a"))
+    assert [spark.read.json(f"{tmp_path}/a/{x}").count() for x in ("answer", "context", "plan")] == [2, 2, 1]
+
+
 def test_eval_run(spark):
     index = spark.createDataFrame([("wiki/a.md", "raft log", "raft"), ("wiki/b.md", "raft", "other"), ("wiki/c.md", "paxos", "")], "item_id string, title string, summary string").selectExpr("*", "CAST(array() AS ARRAY<STRING>) AS aliases", "CAST(array() AS ARRAY<STRING>) AS headings")
     got = {r.query_id: r for r in retrieve.eval_run(index, [("q1", "raft", ["B.md"]), ("q2", "paxos", ["c", "d"])], k=2).collect()}

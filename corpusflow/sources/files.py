@@ -36,11 +36,31 @@ def walk(spark: SparkSession, root: str, glob: str = "*", ignore: list[str] = ()
     below = F.regexp_replace("path", f"^.*?{re.escape(root.rstrip('/').split('://')[-1])}/", "")
     found = files.select(below.alias("path"), "content", "length", "modificationTime").where(~F.col("path").rlike(r"(?:^|/)\."))
     for pattern in [*ignore, *ignored(spark, root)]:
-        body = re.escape(pattern.strip("/")).replace(r"\*\*/", "(?:.*/)?").replace(r"\*\*", ".*").replace(r"\*", "[^/]*")
-        found = found.where(~F.col("path").rlike(f"(?:^{'' if pattern.startswith('/') else '|/'}){body}(?:/|$)"))
+        found = found.where(~F.col("path").rlike(_pattern(pattern)))
     return found
 
 
+def _pattern(glob: str) -> str:
+    """A glob as in ignore files as a regular expression: * within a name, ** across folders; from the root only if it begins with a slash."""
+    body = re.escape(glob.strip("/")).replace(r"\*\*/", "(?:.*/)?").replace(r"\*\*", ".*").replace(r"\*", "[^/]*")
+    return f"(?:^{'' if glob.startswith('/') else '|/'}){body}(?:/|$)"
+
+
+def repository_files(files: DataFrame, url: str, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+    """source_id, revision_id, stable_location, path of the text files of a repository (path, content) that fit one of the globs to include (none: all) and none to exclude.
+
+    A file's id hangs on the repository's address and its path, a revision's on the bytes.
+    """
+    kept = files.where(looks_like_text(F.col("content")))
+    if include:
+        kept = kept.where(F.col("path").rlike("|".join(map(_pattern, include))))
+    for glob in exclude:
+        kept = kept.where(~F.col("path").rlike(_pattern(glob)))
+    location = F.concat(F.lit(f"git+{url}#"), "path")
+    short = lambda prefix, c: F.concat(F.lit(prefix), F.left(F.sha2(c, 256), F.lit(12)))
+    return kept.select(short("src-", location).alias("source_id"), short("rev-", F.col("content")).alias("revision_id"), location.alias("stable_location"), "path")
+
+
 def looks_like_text(content: Column) -> Column:
     """No NUL, valid UTF-8 (a character cut at the probe's end aside), and not too much that can't be printed, in the first 8 KiB."""
     probe = F.substring(content, 1, PROBE)

@@ -630,3 +630,11 @@ def source_forgotten(spark, sf_dir):
 def concept_drafted(spark, sf_dir):
     made = wiki.candidate_draft(table(spark, sf_dir, "documents"), table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("category")), "The Thing")
     return made.select("name", "path", F.when(F.size("snippets") > 0, F.md5(F.array_join("snippets", "|").cast("binary"))).alias("snippets"), F.array_join("categories", ",").alias("categories"))
+
+
+@query("""WITH f AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'docs/' WHEN 1 THEN 'src/gen/' ELSE 'src/' END || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '.rs' END AS path, coalesce(text, '') AS t FROM documents)
+ SELECT 'src-' || substring(sha256('git+https://x.org/r#' || path), 1, 12) AS source_id, 'rev-' || substring(sha256(t), 1, 12) AS revision_id, path FROM f WHERE (starts_with(path, 'docs/') OR ends_with(path, '.rs')) AND NOT starts_with(path, 'src/gen/')""")
+def repository_sources(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").selectExpr("CASE doc_id % 3 WHEN 0 THEN 'docs/' WHEN 1 THEN 'src/gen/' ELSE 'src/' END || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '.rs' END AS path", "CAST(coalesce(text, '') AS BINARY) AS content")
+    binary = spark.createDataFrame([("docs/x.md", bytearray(b"a\x00b"))], "path string, content binary")
+    return files.repository_files(d.unionByName(binary), "https://x.org/r", ["/docs/", "*.rs"], ["gen/"]).select("source_id", "revision_id", "path")

@@ -23,15 +23,16 @@ def seeds(tiers: list[DataFrame]) -> DataFrame:
 def hybrid_search(index: DataFrame, chunks: DataFrame, query: str, vector: DataFrame, edges: DataFrame | None, limit: int = 10, floors: tuple[float, float] = semantic.FLOORS["hash"], rrf_k: int = fusion.RRF_K, rerank: bool = False) -> DataFrame:
     """position, item_id, score and ranks: lexical, semantic above its floor, PageRank from what both found, fused, and reranked if asked for and the tiers disagree. An index with a column body lends its first paragraph to reranking."""
     pool = max(limit, fusion.RERANK_POOL) if rerank else limit
-    lex = lexical.search(index, query, pool)
+    # tiers are a few dozen rows that are read several times: each is computed once
+    lex = graph.settle(lexical.search(index, query, pool))
     lexical_tier = semantic.ranks(lex, "lexical")
-    sem = semantic.above_floor(semantic.semantic_items(chunks, vector, pool), lex, *floors)
+    sem = graph.settle(semantic.above_floor(semantic.semantic_items(chunks, vector, pool), lex, *floors))
     semantic_tier = semantic.ranks(sem, "semantic")
     tiers = [lexical_tier, semantic_tier]
     if edges is not None:
         both = seeds(tiers).select("item_id")
-        tiers.append(semantic.ranks_among(graph.pagerank(edges, both), both, pool, "structural"))
-    fused = fusion.fuse(tiers, pool, rrf_k)
+        tiers.append(graph.settle(semantic.ranks_among(graph.pagerank(edges, both), both, pool, "structural")))
+    fused = graph.settle(fusion.fuse(tiers, pool, rrf_k))
     if rerank:
         paragraph = T.first_paragraph(F.col("body")) if "body" in index.columns else F.lit(None).cast("string")
         text = fusion.rich_text(F.col("title"), F.col("summary"), paragraph, F.col("item_id"))
@@ -41,8 +42,8 @@ def hybrid_search(index: DataFrame, chunks: DataFrame, query: str, vector: DataF
 
 def hybrid_plan(index: DataFrame, chunks: DataFrame, query: str, vector: DataFrame, edges: DataFrame | None, budget: int, floors: tuple[float, float] = semantic.FLOORS["hash"]) -> DataFrame:
     """A lexical plan; if semantic hits survive, those not in it follow while the budget lasts, and all are ordered by fused ranks. PageRank reorders and never adds."""
-    planned = lexical.plan(index, query, budget)
-    sem = semantic.above_floor(semantic.semantic_items(chunks, vector, lexical.PLAN_CANDIDATES), planned, *floors)
+    planned = graph.settle(lexical.plan(index, query, budget))
+    sem = graph.settle(semantic.above_floor(semantic.semantic_items(chunks, vector, lexical.PLAN_CANDIDATES), planned, *floors))
     cost = index.select("item_id", T.entry_estimate(F.concat_ws(" ", "title", F.array_join("aliases", " "), F.array_join("headings", " "), "summary")).alias("tokens"))
     tail = sem.join(planned.select("item_id"), "item_id", "left_anti").join(cost, "item_id").select("item_id", F.col("score").alias("semantic_score"), "tokens")
     used = planned.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("used"))

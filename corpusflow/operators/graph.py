@@ -1,7 +1,8 @@
 """Graph operators over tables of edges: personalized PageRank, closures, layers, staleness.
 
-Iterations write each round to the checkpoint folder of the session, so plans stay short
-and a lost executor costs one round at most.
+Graphs of few edges, counted first, go to one task. Iterations over larger ones write each
+round to the checkpoint folder of the session, so plans stay short and a lost executor costs
+one round at most.
 """
 
 from __future__ import annotations
@@ -9,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow.operators import small_graphs
+
 #: Damping, rounds at most, and the change below which a ranking stands still.
 DAMPING, ROUNDS, EPSILON = 0.85, 30, 1e-6
 
@@ -65,6 +68,9 @@ def pagerank(edges: DataFrame, seeds: DataFrame | None, damping: float = DAMPING
         return state.select("item_id", F.col("weight").alias("score")).limit(0)
     state = state.select("item_id", "degree", (F.col("weight") / total).alias("teleport")).withColumn("score", F.col("teleport"))
     links = settle(links.join(degree, "src_id"))
+    if links.count() <= small_graphs.FEW_EDGES:
+        ranked = small_graphs.pagerank(state.select("item_id", "teleport"), links.select("src_id", "dst_id"), damping, rounds, epsilon)
+        return settle(ranked.where(F.col("score") > epsilon / n))
     for _ in range(max(1, rounds)):
         dangling = state.where("degree IS NULL").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
         sent = links.join(state.select(F.col("item_id").alias("src_id"), "score"), "src_id").groupBy(F.col("dst_id").alias("item_id")).agg(F.sum(damping * F.col("score") / F.col("degree")).alias("got"))
@@ -82,7 +88,10 @@ COMPACT = 12
 
 
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """item_id and depth (0 for start) of all that edges (src_id, dst_id) lead to. Each round writes what is new in it."""
+    """item_id and depth (0 for start) of all that edges (src_id, dst_id) lead to. Few edges go to one task; else each round writes what is new in it."""
+    edges = settle(edges.select("src_id", "dst_id").distinct())
+    if edges.count() <= small_graphs.FEW_EDGES:
+        return settle(small_graphs.closure(start.select("item_id").distinct().withColumn("depth", F.lit(0)), edges))
     reached = frontier = settle(start.select("item_id").distinct().withColumn("depth", F.lit(0)))
     depth = 0
     while frontier.limit(1).count():
@@ -103,6 +112,8 @@ def layers(edges: DataFrame) -> DataFrame:
     """item_id and layer, each behind all that lead to it; nodes on or behind a cycle have layer null."""
     left = settle(edges.select("src_id", "dst_id").distinct())
     nodes = settle(left.select(F.col("src_id").alias("item_id")).union(left.select("dst_id")).distinct())
+    if left.count() <= small_graphs.FEW_EDGES:
+        return settle(small_graphs.layers(nodes.withColumn("one", F.lit(1)), left))
     done, layer = None, 0
     while True:
         free = settle(nodes.join(left.select(F.col("dst_id").alias("item_id")), "item_id", "left_anti").withColumn("layer", F.lit(layer)))

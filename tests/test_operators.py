@@ -146,7 +146,13 @@ def test_fusion_gate_and_rerank(spark):
     assert [r.item_id for r in fusion.rerank(same, texts, fusion.overlap_scorer(["want"])).orderBy("position").collect()] == ["a", "b", "c"]
 
 
-def test_pagerank(spark):
+@pytest.fixture(params=["one task", "rounds"])
+def graph_size(request, monkeypatch):
+    if request.param == "rounds":
+        monkeypatch.setattr(graph.small_graphs, "FEW_EDGES", -1)
+
+
+def test_pagerank(spark, graph_size):
     ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src_id string, dst_id string")
     got = {r.item_id: r.score for r in graph.pagerank(ring, None).collect()}
     assert abs(sum(got.values()) - 1) < 1e-6 and set(got) == set("abcd")
@@ -155,7 +161,7 @@ def test_pagerank(spark):
     assert near["a"] > near["b"] > near["c"] > near["d"]
 
 
-def test_cycles_and_closure(spark):
+def test_cycles_and_closure(spark, graph_size):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("y", "z")], "src_id string, dst_id string")
     assert {r.item_id: r.layer for r in graph.layers(edges).collect()} == {"a": 0, "b": 1, "c": 2, "x": None, "y": None, "z": None}
     assert {r.item_id: r.depth for r in graph.closure(edges, spark.createDataFrame([("x",)], "item_id string")).collect()} == {"x": 0, "y": 1, "z": 2}
@@ -371,7 +377,7 @@ def test_kept_page_and_dag(spark):
     assert {(r.src_id, r.dst_id) for r in dag.collect()} == {("d", "wiki/sources/a.md"), ("wiki/sources/a.md", "wiki/concepts/c.md"), ("wiki/concepts/c.md", "wiki/concepts/index.md")}
 
 
-def test_pagerank_equals_power_iteration(spark):
+def test_pagerank_equals_power_iteration(spark, graph_size):
     """To convergence, with repeated seeds and nodes that lead nowhere, against a plain loop."""
     rng = np.random.default_rng(3)
     edges = sorted({(f"n{a}", f"n{b}") for a, b in rng.integers(0, 40, (90, 2)).tolist()})

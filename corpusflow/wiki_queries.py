@@ -404,7 +404,7 @@ def sources_through_backlinks(spark, sf_dir):
     return retrieve.sources_of(pages.select("page_id"), pages, links)
 
 
-@query("""WITH live AS (SELECT vec_id, CASE WHEN vec_id % 4 = 1 THEN 'new' ELSE 'h' END AS h FROM embeddings WHERE vec_id % 5 <> 0) SELECT 'c' || vec_id AS chunk_id, h AS content_hash, CASE WHEN vec_id % 3 = 0 AND h = 'h' THEN 1.0 ELSE 2.0 END AS first FROM live""")
+@query("""WITH live AS (SELECT vec_id, CASE WHEN vec_id % 4 = 1 THEN 'new' ELSE 'h' END AS h FROM embeddings WHERE vec_id % 5 <> 0) SELECT 'c' || vec_id AS chunk_id, h AS content_hash, CAST(CASE WHEN vec_id % 3 = 0 AND h = 'h' THEN 1 ELSE 2 END AS DOUBLE) AS first FROM live""")
 def embeddings_synced(spark, sf_dir):
     """A third is stored; of these what has changed is embedded anew, and what isn't live goes."""
     e = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "'c' || vec_id AS chunk_id", "label AS item_id")

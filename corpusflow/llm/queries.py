@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import ann_codes, bin_packing, bpe_cuts, common, language_codes, oracles, pii_offsets, quality_subword, rule_cascade, shingle_join, token_files, warc_zstd
+from corpusflow.llm import ann_codes, bin_packing, bpe_cuts, common, fill_middle, language_codes, oracles, pii_offsets, quality_subword, rule_cascade, shingle_join, simhash_tiles, token_alignment, token_files, warc_zstd
 
 END_ID = 2
 CAPACITY = 1024
@@ -77,6 +77,21 @@ def op10_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.linked_components(common.table(spark, sf_dir, "documents"), 5, 75)
 
 
+def op11_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The components of all documents whose 64-bit fingerprints differ in three bits at most."""
+    return simhash_tiles.linked_components(common.table(spark, sf_dir, "documents"), 3, 3)
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their middle last, and the texts restored from that."""
+    return fill_middle.digests(common.table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of two tokenizers over all documents, aligned by their bytes."""
+    return token_alignment.alignments(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -90,8 +105,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_rule_cascade,
         op9_quality_subword,
         op10_shingle_join,
+        op11_simhash_tiles,
+        op12_fill_middle,
+        op13_token_alignment,
     )
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op3_warc_zstd": oracles.OP3, "op8_rule_cascade": oracles.OP8, "op10_shingle_join": oracles.OP10}
+ORACLES: dict[str, str] = {"op3_warc_zstd": oracles.OP3, "op8_rule_cascade": oracles.OP8, "op10_shingle_join": oracles.OP10, "op12_fill_middle": oracles.OP12}

@@ -153,12 +153,12 @@ class Aligner:
         group_a, group_b = np.cumsum(group_a) - 1, np.cumsum(group_b) - 1
         # a group's tokens of A come before its tokens of B: what is before each token in the whole sequence
         at_a = np.arange(len(a)) + first_b[group_a]
-        ends_a = np.append(first_a[1:], len(a))
+        ends_a, ends_b = (np.append(first[1:], n)[: len(first)] for first, n in ((first_a, len(a)), (first_b, len(b))))
         at_b = np.arange(len(b)) + ends_a[group_b]
         ids, mark = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
         ids[at_a], ids[at_b] = a, b
         mark[at_a[ends_a - 1]] = ord("|")
-        mark[at_b[np.append(first_b[1:], len(b)) - 1] if len(first_b) else []] = ord(";")
+        mark[at_b[ends_b - 1]] = ord(";")
         size = self.digits.size[ids] + 1
         ends = np.cumsum(size)
         out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)

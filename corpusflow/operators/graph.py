@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.operators import small_graphs
+from corpusflow.operators import names, small_graphs
 
 #: Damping, rounds at most, and the change below which a ranking stands still.
 DAMPING, ROUNDS, EPSILON = 0.85, 30, 1e-6
@@ -134,13 +134,12 @@ def inconsistent(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
 
 
 def resolve_node(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (name) to item_id: the node of that name, else the only one that ends with it, else null. Endings meet by equality, for each length that is asked for."""
-    lengths = [r[0] for r in wanted.select(F.length("name").alias("n")).where("n > 0").distinct().orderBy("n").limit(1000).collect()]
-    same = wanted.join(nodes.withColumnRenamed("item_id", "exact"), F.col("name") == F.col("exact"), "left")
-    sizes = F.filter(F.array(*map(F.lit, lengths or [0])).cast("array<int>"), lambda n: n <= F.length("item_id"))
-    endings = nodes.select("item_id", F.explode(sizes).alias("n")).select("item_id", F.right("item_id", F.col("n")).alias("name"))
-    ending = same.where("exact IS NULL").join(endings, "name", "left")
-    found = ending.groupBy("name").agg(F.count("item_id").alias("n"), F.min("item_id").alias("only")).select("name", F.when(F.col("n") == 1, F.col("only")).alias("item_id"))
+    """wanted (name) to item_id: the node of that name, else the only one that ends with it, else null."""
+    same = wanted.join(nodes.select(F.col("item_id").alias("exact")), F.col("name") == F.col("exact"), "left")
+    open_ = same.where("exact IS NULL").select("name")
+    turned = names.beginnings(nodes.select("item_id", F.reverse("item_id").alias("whole")), open_.select(F.reverse("name").alias("part")), "whole", "part")
+    ending = turned.groupBy(F.reverse("part").alias("name")).agg(F.count("item_id").alias("n"), F.min("item_id").alias("only"))
+    found = open_.join(ending, "name", "left").select("name", F.when(F.col("n") == 1, F.col("only")).alias("item_id"))
     return same.where("exact IS NOT NULL").select("name", F.col("exact").alias("item_id")).unionByName(found)
 
 

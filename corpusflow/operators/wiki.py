@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
-from corpusflow.operators import mining, state, verify
+from corpusflow.operators import mining, names, state, verify
 
 #: Pages that only list others.
 INDEX_PAGES = ("wiki/index.md", "wiki/concepts/index.md", "wiki/sources/index.md", "wiki/questions/index.md")
@@ -146,10 +146,7 @@ def category_listing(pages: DataFrame) -> DataFrame:
 
 def resolve_ids(wanted: DataFrame, known: DataFrame) -> DataFrame:
     """wanted (input) to id, kind and status: found or ambiguous in the first kind where the input is an id or starts one, else missing. known: id, kind, rank of the kind."""
-    lengths = [r[0] for r in wanted.select(F.length("input").alias("n")).where("n > 0").distinct().orderBy("n").limit(1000).collect()]  # beginnings meet by equality, for each length that is asked for
-    sizes = F.filter(F.array(*map(F.lit, lengths or [0])).cast("array<int>"), lambda n: n <= F.length("id"))
-    starts = known.select("*", F.explode(sizes).alias("_n")).withColumn("input", F.left("id", F.col("_n"))).drop("_n")
-    hits = wanted.join(starts, "input")
+    hits = names.beginnings(known.select("id", "kind", "rank"), wanted, "id", "input")
     per_kind = hits.groupBy("input", "kind", "rank").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.max((F.col("id") == F.col("input")).cast("int")).alias("exact"), F.max(F.when(F.col("id") == F.col("input"), F.col("id"))).alias("same"))
     first = per_kind.groupBy("input").agg(F.min_by(F.struct("kind", "n", "exact", F.coalesce("same", "id").alias("id")), "rank").alias("m"))
     status = F.when(F.col("m").isNull(), "missing").when((F.col("m.exact") == 1) | (F.col("m.n") == 1), "found").otherwise("ambiguous")

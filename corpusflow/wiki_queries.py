@@ -351,13 +351,13 @@ def graph_inconsistencies(spark, sf_dir):
     return graph.inconsistent(o.where("o_orderkey % 7 != 2").select("src_id", "dst_id"), back)
 
 
-@query("""WITH n AS (SELECT 'wiki/' || lower(c_mktsegment) || '/' || c_custkey AS id FROM customer), w AS (SELECT '/' || c_custkey AS name FROM customer WHERE c_custkey < 60 UNION SELECT 'wiki/building/' || c_custkey FROM customer WHERE c_custkey < 60 UNION SELECT 'none')
- SELECT name, CASE WHEN name IN (SELECT id FROM n) THEN name WHEN (SELECT count(*) FROM n WHERE suffix(id, name)) = 1 THEN (SELECT min(id) FROM n WHERE suffix(id, name)) END AS item_id FROM w""")
+@query("""WITH n AS (SELECT 'wiki/' || lower(c_mktsegment) || '/' || c_custkey AS id FROM customer), w AS (SELECT '/' || c_custkey AS name FROM customer UNION SELECT 'wiki/building/' || c_custkey FROM customer UNION SELECT c_custkey % 97 || '' FROM customer UNION SELECT 'none'),
+ m AS (SELECT name, count(*) AS k, min(id) AS one, max(CASE WHEN id = name THEN id END) AS same FROM w JOIN n ON suffix(id, name) GROUP BY name)
+ SELECT name, CASE WHEN same IS NOT NULL THEN same WHEN k = 1 THEN one END AS item_id FROM w LEFT JOIN m USING (name)""")
 def nodes_resolved(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    few = c.where("c_custkey < 60")
-    wanted = few.selectExpr("'/' || c_custkey AS name").union(few.selectExpr("'wiki/building/' || c_custkey")).union(spark.createDataFrame([("none",)], "name string"))
-    return graph.resolve_node(c.selectExpr("'wiki/' || lower(c_mktsegment) || '/' || c_custkey AS item_id"), wanted)
+    wanted = c.selectExpr("'/' || c_custkey AS name").union(c.selectExpr("'wiki/building/' || c_custkey")).union(c.selectExpr("c_custkey % 97 || '' AS name")).union(spark.createDataFrame([("none",)], "name string"))
+    return graph.resolve_node(c.selectExpr("'wiki/' || lower(c_mktsegment) || '/' || c_custkey AS item_id"), wanted.distinct())
 
 
 @query("""WITH one AS (SELECT DISTINCT l_orderkey AS r, l_suppkey AS s FROM lineitem WHERE l_partkey % 50 = 3), two AS (SELECT DISTINCT s FROM one)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from corpusflow.functions import text as T
 from corpusflow.functions import vectors as V
 from corpusflow.functions.words import CONCEPT_STOPWORDS, PHRASE_STOPWORDS, QUERY_STOPWORDS
-from corpusflow.operators import chunks, evaluate, fusion, graph, lexical, mining, semantic, state, transcript, verify, wiki
+from corpusflow.operators import chunks, evaluate, fusion, graph, lexical, lexical_index, mining, semantic, state, transcript, verify, wiki
 from corpusflow.plans import retrieve
+from corpusflow.sources import cells
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,6 +151,14 @@ def lex_reasons(spark, sf_dir):
     return lexical.reasons(scored.orderBy(F.desc("score"), "item_id").limit(10))
 
 
+@query(f"WITH {_SCORES} SELECT item_id, score FROM scores ORDER BY score DESC, item_id LIMIT 10")
+def lex_search_stored(spark, sf_dir):
+    """The same, from an index that is built first."""
+    path = cells.shared_folder(spark, "lexical-index")
+    lexical_index.build(_index(spark, sf_dir), path)
+    return lexical_index.search(spark, path, QUESTION, 10)
+
+
 _BUDGET = 2500
 _ENTRY = f"CAST(greatest(32, ceil(strlen({_TITLE} || '   ' || text) / 4.0)) AS BIGINT)"
 
@@ -167,6 +176,17 @@ def lex_plan_budget(spark, sf_dir):
     return lexical.plan(_index(spark, sf_dir), QUESTION, _BUDGET)
 
 
+@query(f"WITH RECURSIVE {_plan_sql(_BUDGET).replace('FROM documents', 'FROM (SELECT * FROM documents WHERE doc_id % 101 <> 5)')} SELECT position, item_id, score, tokens FROM planned")
+def lex_plan_updated(spark, sf_dir):
+    """A plan from an index that was built of all documents with a few taken for another text, and then mended: one of each hundred and one goes, five get their own text back."""
+    path = cells.shared_folder(spark, "lexical-index")
+    d = table(spark, sf_dir, "documents")
+    wrong = d.withColumn("text", F.when(F.col("doc_id") % 101 < 6, F.concat(F.lit("hein leon thand "), F.col("text"))).otherwise(F.col("text")))
+    lexical_index.build(lexical.entries(wrong), path)
+    lexical_index.update(path, lexical.entries(d.where("doc_id % 101 < 5")), d.where("doc_id % 101 = 5").select(F.col("doc_id").alias("item_id")))
+    return lexical_index.plan(spark, path, QUESTION, _BUDGET)
+
+
 def _chunks(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("item_id"), "embedding")

@@ -45,8 +45,7 @@ def query_tokens(text: Column) -> Column:
 
 def query_terms(query: str) -> list[str]:
     """query_tokens of a string, on the driver."""
-    cut = re.sub(r"([^\W\d_])([^\W\d_])", lambda m: m[0], query)
-    cut = "".join(a + " " if a.islower() and b.isupper() else a for a, b in zip(cut, cut[1:] + " ", strict=True))
+    cut = "".join(a + " " if a.islower() and b.isupper() else a for a, b in zip(query, [*query[1:], " "], strict=False))
     words = re.split(r"[\W_]+", cut.lower())
     return [w for w in words if len(w.encode()) > 1 and w not in QUERY_STOPWORDS]
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
-from corpusflow.operators import evaluate, fusion, graph, lexical, semantic
+from corpusflow.operators import evaluate, fusion, graph, lexical, many, semantic
 
 
 def seeds(tiers: list[DataFrame]) -> DataFrame:
@@ -165,10 +165,8 @@ def write_answer(answers: DataFrame, context: DataFrame, planned: DataFrame, pat
 
 
 def eval_run(index: DataFrame, golden: list[tuple[str, str, list[str]]], k: int = 10, budget: int = 20_000) -> DataFrame:
-    """The ranking measures of each query of a golden set (query_id, query, expected names; a few dozen): the first k of its plan."""
-    runs = None
-    for query_id, text, expected in golden:
-        top = lexical.plan(index, text, budget).where(F.col("position") <= k)
-        rows = top.select(F.lit(query_id).alias("query_id"), "position", evaluate.relevant(F.col("item_id").cast("string"), F.array(*map(F.lit, expected))).alias("relevant"))
-        runs = rows if runs is None else runs.unionByName(rows)
-    return evaluate.ranking_metrics(runs, k)
+    """The ranking measures of each query of a golden set (query_id, query, expected names): the first k of its plan. All queries are planned in one scan."""
+    asked = index.sparkSession.createDataFrame(golden, "query_id string, query string, expected array<string>")
+    top = many.lexical_plans(index, asked.select("query_id", "query"), budget).where(F.col("position") <= k)
+    rows = top.join(F.broadcast(asked.select("query_id", "expected")), "query_id")  # broadcast: the golden set
+    return evaluate.ranking_metrics(rows.select("query_id", "position", evaluate.relevant(F.col("item_id").cast("string"), F.col("expected")).alias("relevant")), k)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions import text as T
 from corpusflow.functions import vectors as V
 from corpusflow.functions.words import CONCEPT_STOPWORDS, PHRASE_STOPWORDS, QUERY_STOPWORDS
-from corpusflow.operators import chunks, evaluate, fusion, graph, lexical, lexical_index, mining, semantic, state, transcript, verify, wiki
+from corpusflow.operators import chunks, evaluate, fusion, graph, lexical, lexical_index, many, mining, semantic, state, transcript, verify, wiki
 from corpusflow.plans import retrieve
 from corpusflow.sources import cells
 
@@ -187,6 +187,55 @@ def lex_plan_updated(spark, sf_dir):
     return lexical_index.plan(spark, path, QUESTION, _BUDGET)
 
 
+_ASKED = """asked AS (SELECT 'c' || conv_id || '-' || turn AS query_id, text AS query FROM conversations UNION ALL SELECT 'b' || item_id, text FROM benchmark),
+ words AS (SELECT query_id, unnest(query_tokens) AS term FROM (SELECT query_id, list_filter({t}, lambda w: NOT list_contains({s}, w)) AS query_tokens FROM asked)),
+ wanted AS (SELECT query_id, term, count(*) AS n FROM words GROUP BY ALL),
+ posted AS (SELECT doc_id, term, sum(w) AS impact FROM (SELECT doc_id, unnest({a}) AS term, 4 AS w FROM documents UNION ALL SELECT doc_id, unnest({b}), 1 FROM documents) GROUP BY ALL),
+ every AS (SELECT query_id, doc_id AS item_id, CAST(sum(impact * n) AS BIGINT) AS score FROM wanted JOIN posted USING (term) GROUP BY ALL),
+ best AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS INTEGER) AS position FROM every)""".format(t=_tokens("query"), s=_list(QUERY_STOPWORDS), a=_tokens(_TITLE), b=_tokens("text"))
+
+
+def _asked(spark, sf_dir):
+    """Every turn of a conversation, and every text of the benchmark, is a question."""
+    turns = table(spark, sf_dir, "conversations").selectExpr("'c' || conv_id || '-' || turn AS query_id", "text AS query")
+    return turns.unionByName(table(spark, sf_dir, "benchmark").selectExpr("'b' || item_id AS query_id", "text AS query"))
+
+
+@query(f"WITH {_ASKED} SELECT query_id, position, item_id, score FROM best WHERE position <= 10")
+def lex_search_many(spark, sf_dir):
+    return many.lexical_search(_index(spark, sf_dir), _asked(spark, sf_dir), 10)
+
+
+_MANY_PLANS = f"""{_ASKED}, c AS (SELECT query_id, position AS pos, item_id, score, {_ENTRY} AS tokens FROM best JOIN documents ON doc_id = item_id WHERE position <= 25),
+ walk(query_id, pos, item_id, score, tokens, used, takes) AS (SELECT DISTINCT query_id, CAST(0 AS INTEGER), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false FROM c
+  UNION ALL SELECT c.query_id, c.pos, c.item_id, c.score, c.tokens, w.used + CASE WHEN w.used + c.tokens <= {_BUDGET} THEN c.tokens ELSE 0 END, w.used + c.tokens <= {_BUDGET} FROM walk w JOIN c ON c.query_id = w.query_id AND c.pos = w.pos + 1),
+ plans AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS INTEGER) AS position, item_id, score, tokens FROM walk WHERE takes)"""
+
+
+@query(f"WITH RECURSIVE {_MANY_PLANS} SELECT query_id, position, item_id, score, tokens FROM plans")
+def lex_plans_many(spark, sf_dir):
+    return many.lexical_plans(_index(spark, sf_dir), _asked(spark, sf_dir), _BUDGET)
+
+
+@query(f"""WITH RECURSIVE {_MANY_PLANS}, p AS (SELECT query_id, position, contains(CAST(item_id AS VARCHAR), substring(query_id, 2, 1)) AS relevant FROM plans WHERE position <= 5),
+ m AS (SELECT query_id, count(*) FILTER (relevant) AS hits, min(CASE WHEN relevant THEN position END) AS first, sum(CASE WHEN relevant THEN 1.0 / log2(position + 1) ELSE 0.0 END) AS dcg FROM p GROUP BY query_id)
+ SELECT query_id, round(hits / 5, 6) AS precision_at_k, round(coalesce(1.0 / first, 0.0), 6) AS mrr, round(CASE WHEN hits = 0 THEN 0.0 ELSE dcg / list_sum(list_transform(range(1, hits + 1), lambda i: 1.0 / log2(i + 1))) END, 6) AS ndcg_at_k FROM m""")
+def eval_questions(spark, sf_dir):
+    """An evaluation of all questions; an item is held relevant if its id has the first digit of the question's."""
+    golden = [(r.query_id, r.query, [r.query_id[1]]) for r in _asked(spark, sf_dir).collect()]
+    return retrieve.eval_run(_index(spark, sf_dir), golden, 5, _BUDGET).select("query_id", *[F.round(c, 6).alias(c) for c in ("precision_at_k", "mrr", "ndcg_at_k")])
+
+
+@query("""WITH k AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, greatest(0.0, list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS score FROM embeddings q, embeddings c),
+ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS position FROM k)
+ SELECT query_id, position, chunk_id, round(score, 6) AS score FROM r WHERE position <= 10""")
+def knn_many(spark, sf_dir):
+    """The nearest of every vector, itself included."""
+    e = table(spark, sf_dir, "embeddings")
+    found = many.nearest(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 10)
+    return found.select("query_id", "position", "chunk_id", F.round("score", 6).alias("score"))
+
+
 def _chunks(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("item_id"), "embedding")

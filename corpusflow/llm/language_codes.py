@@ -120,8 +120,17 @@ def learn(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE) ->
     if not count:
         return None
     languages = tuple(sorted(count))
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1_000_000, -(-per_language * 1_000_000 // count[k])))])
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")]).select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    # the smallest hashed ids of each language, of which no more are told apart than it takes
+    ids, hashed = rows.select("doc_id", "lang"), F.xxhash64("doc_id")
+    below = F.create_map(*[F.lit(x) for k in languages for x in (k, min((1 << 63) - 1, -(1 << 63) + (1 << 64) * 8 * per_language // count[k]))])
+    first = lambda some: common.fewest(some.distinct(), "lang", [hashed, F.col("doc_id")], per_language)
+    picked = first(ids.where(hashed <= below[F.col("lang")]))
+    found = {r["lang"]: r["count"] for r in picked.groupBy("lang").count().collect()}
+    if any(found.get(k, 0) < min(per_language, count[k]) for k in languages):  # ids repeat
+        picked = first(ids)
+    # of an id that repeats all rows meet now; the first by their texts stay
+    texts = rows.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))  # broadcast: per_language ids a language
+    picked = common.fewest(texts, "lang", [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text"), F.col("text")], per_language)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         x = features(common.bytes_list(part)).astype(np.float16)

@@ -18,6 +18,7 @@ Repeated rows and rows without an id are scored row by row; an empty table makes
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from dataclasses import dataclass, field
@@ -158,12 +159,15 @@ def _bags(raw: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def fit(raw: list[bytes], y: np.ndarray, dim: int = 8, epochs: int = 6, rate: float = 3.0) -> Model:
+#: What a text is learnt from: different buckets, and the share of each.
+Bag = tuple[np.ndarray, np.ndarray]
+
+
+def fit(bags: list[Bag], y: np.ndarray, dim: int = 8, epochs: int = 6, rate: float = 3.0) -> Model:
     """Plain stochastic gradient descent, one text at a time, with a falling rate."""
     rng = np.random.default_rng(5)
     vectors = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     top, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
-    bags = _bags(raw)
     steps, total = 0, epochs * len(bags)
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
@@ -186,13 +190,21 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int =
     """labels: doc_id, quality. Only documents for which usable holds (an expression over doc_id) are learnt from."""
     known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     picked = known.where(usable).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = common.texts_only(docs).join(F.broadcast(picked), "doc_id").limit(sample_rows).toArrow()  # broadcast: at most sample_rows pairs of numbers
+    texts = common.texts_only(docs).join(F.broadcast(picked), "doc_id").limit(sample_rows)  # broadcast: at most sample_rows pairs of numbers
+
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        raw = common.bytes_list(part)
+        bags = _bags(raw)
+        packed = [which.astype("<i4").tobytes() + share.astype("<f4").tobytes() for which, share in bags]
+        return pa.RecordBatch.from_arrays([common.ids_of(part), pa.array([hashlib.sha256(b).digest() for b in raw], pa.binary()), part.column(2), pa.array(packed, pa.binary())], ["doc_id", "sha", "quality", "bag"])
+
+    # the driver gets sample_rows bags of buckets, of which a text has as many as different words and n-grams, 2 ** BITS at most
+    rows = common.map_slices(texts, run, "doc_id long, sha binary, quality int, bag binary").toArrow()
     if rows.num_rows == 0:
         return Model(np.zeros(BUCKETS), 0.0)
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    raw, y = [t.encode() for t in rows["text"].to_pylist()], rows["quality"].to_numpy().astype(np.int64)
-    del rows
-    return fit(raw, y)
+    rows = rows.sort_by([("doc_id", "ascending"), ("sha", "ascending")])
+    bags = [(np.frombuffer(b, "<i4", len(b) // 8), np.frombuffer(b, "<f4", len(b) // 8, len(b) // 2)) for b in rows["bag"].to_pylist()]
+    return fit(bags, rows["quality"].to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +30,7 @@ MAX_REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
 
 #: Documents (at most, in expectation) on which costs and selectivities are measured.
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS, SAMPLE_BYTES = 1000, 32 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -191,10 +191,23 @@ def verdicts(texts: Texts, rules: tuple[Rule, ...]) -> np.ndarray:
     return kept
 
 
-def sample_texts(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> list[bytes]:
-    """The texts of ``rows`` documents at most, those with the smallest hashed ids."""
-    texts = common.texts_only(docs, id_col, text_col)
-    return [(r.text or "").encode() for r in common.sample(texts, "doc_id", rows).collect()]
+def measured_order(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, ...]:
+    """The rules' names in the order that one task finds best for the documents with the smallest hashed ids: ``rows`` at most, and SAMPLE_BYTES of text."""
+    sampled = common.sample(common.texts_only(docs, id_col, text_col), "doc_id", rows)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw: list[bytes] = []
+        size = 0
+        for batch in batches:
+            for text in common.bytes_list(batch):
+                if size <= SAMPLE_BYTES:
+                    raw.append(text)
+                    size += len(text)
+        names = [r.name for r in order_rules(raw)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(names)), pa.int32()), pa.array(names)], ["place", "name"])
+
+    found = common.map_arrow(sampled.coalesce(1), run, "place int, name string").collect()
+    return tuple(r.name for r in sorted(found)) or tuple(r.name for r in RULES)
 
 
 def _ordered(names: tuple[str, ...]) -> tuple[Rule, ...]:
@@ -204,7 +217,7 @@ def _ordered(names: tuple[str, ...]) -> tuple[Rule, ...]:
 
 def cascade(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per document the base measures, whether the base rule fails, and the cascade's verdict. The verdict comes first; the measures of what is rejected are taken for the report alone."""
-    rules = tuple(r.name for r in order_rules(sample_texts(docs, sample_rows, id_col, text_col)))
+    rules = measured_order(docs, sample_rows, id_col, text_col)
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
     names = [f.split()[0] for f in schema.split(", ")]
 
@@ -218,5 +231,5 @@ def cascade(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows, with all their columns, that every rule lets pass; nothing is measured that no verdict needs."""
-    rules = tuple(r.name for r in order_rules(sample_texts(docs, sample_rows, id_col, text_col)))
+    rules = measured_order(docs, sample_rows, id_col, text_col)
     return common.keep_rows(docs, lambda raw: verdicts(Texts(raw), _ordered(rules)), text_col)

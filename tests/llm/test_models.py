@@ -150,7 +150,7 @@ def test_decoding_equals_a_plain_loop():
 def test_learning_equals_a_plain_loop():
     """The subword model's gradient descent, vector by vector."""
     raw, y = [b"good words here", b"bad bad stuff", "très bon".encode(), b"stuff"], np.array([1, 0, 1, 0])
-    model = quality_subword.fit(raw, y, dim=3, epochs=2, rate=0.5)
+    model = quality_subword.fit(quality_subword._bags(raw), y, dim=3, epochs=2, rate=0.5)
     rng = np.random.default_rng(5)
     vectors = rng.uniform(-1 / 3, 1 / 3, (quality_subword.BUCKETS, 3))
     top, bias, step = np.zeros((2, 3)), np.zeros(2), 0

@@ -30,11 +30,12 @@ from __future__ import annotations
 
 import heapq
 import math
-import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -165,49 +166,90 @@ def _spread(docs: DataFrame, n: int, parts: int) -> DataFrame:
 
 _COUNTED = "kind int, doc_id long, key long, n int, sig binary, part int, shared int, holders binary"
 
-#: N-grams counted at once, and bytes that a task gathers before the rest goes to a file.
-COUNT_AT_ONCE, GATHER_BYTES = 1_000_000, 192 << 20
+#: N-grams counted at once, and bytes that a part gathers before they go to a file.
+COUNT_AT_ONCE, GATHER_BYTES = 1_000_000, 96 << 20
 
 
-Blob = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: Of n-grams that wait in the shared folder, every so manieth stays in memory, to find a place among them.
+EVERY = 1024
+
+
+class _Blob:
+    """Keys of sets, and ascending n-grams with the places of their sets among the keys; these two in memory, or in a file from some byte on."""
+
+    def __init__(self, keys: np.ndarray, grams: np.ndarray, places: np.ndarray):
+        self.keys, self.grams, self.places, self.many = keys, grams, places, len(grams)
+        self.file, self.at = None, 0
+
+    def leave(self, file: pafs.FileSystem, path: str, at: int) -> None:
+        """Let go of what stands in a file."""
+        self.file, self.path, self.at = file, path, at
+        self.grams, self.places = self.grams[::EVERY].copy(), None
+
+    def _read(self, at: int, size: int) -> np.ndarray:
+        with self.file.open_input_file(self.path) as f:
+            return np.frombuffer(f.read_at(size, at), np.uint8)
+
+    def places_of(self, a: int, b: int) -> np.ndarray:
+        return self.places[a:b] if self.file is None else self._read(self.at + 4 * self.many + 2 * a, 2 * (b - a)).view(np.uint16)
+
+    def below(self, a: int, top: int | None) -> np.ndarray:
+        """The n-grams from place a on that are smaller than top."""
+        if self.file is None:
+            return self.grams[a : self.many if top is None else int(np.searchsorted(self.grams, np.uint32(top)))]
+        stop = self.many if top is None else min(self.many, EVERY * int(np.searchsorted(self.grams, np.uint32(top))))
+        if stop <= a:
+            return np.empty(0, np.uint32)
+        found = self._read(self.at + 4 * a, 4 * (stop - a)).view(np.uint32)
+        return found if top is None else found[: int(np.searchsorted(found, np.uint32(top)))]
 
 
 class _Blobs:
-    """What a part's task gathers, beyond some bytes in a file without a name that maps to memory."""
+    """What a part's task gathers; beyond some bytes in files of the shared folder, as many as it takes."""
 
-    def __init__(self) -> None:
-        self.held: list[Blob] = []
+    def __init__(self, folder: str):
+        self.folder = folder
+        self.held: list[_Blob] = []
+        self.open: list[_Blob] = []
         self.bytes = 0
-        self.file = None
 
     def add(self, raw: pa.Buffer, n: int) -> None:
-        keys, grams, places = _unpacked(raw, n)
+        blob = _Blob(*_unpacked(raw, n))
+        self.held.append(blob)
+        self.open.append(blob)
         self.bytes += raw.size
         if self.bytes > GATHER_BYTES:
-            self.file = self.file or tempfile.TemporaryFile()
-            at = self.file.seek(0, 2)
-            self.file.write(grams.tobytes() + places.tobytes())
-            self.file.flush()
-            if len(grams):
-                grams, places = np.memmap(self.file, np.uint32, "r", at, len(grams)), np.memmap(self.file, np.uint16, "r", at + 4 * len(grams), len(grams))
-        self.held.append((keys, grams, places))
-
-
-def _holders(blobs: list[Blob]) -> list[np.ndarray]:
+            self._leave()
+
+    def _leave(self) -> None:
+        files, path = common.filesystem(f"{self.folder}/{uuid.uuid4().hex}")
+        files.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        at = 0
+        with files.open_output_stream(path) as out:
+            for blob in self.open:
+                out.write(blob.grams.astype("<u4").tobytes() + blob.places.astype("<u2").tobytes())
+        for blob in self.open:
+            blob.leave(files, path, at)
+            at += 6 * blob.many
+        self.open, self.bytes = [], 0
+
+
+def _holders(blobs: list[_Blob]) -> list[np.ndarray]:
     """Of each n-gram of each blob, in how many different sets it is (255: or more); 0 for a set that an earlier blob has."""
-    every = np.concatenate([keys for keys, _, _ in blobs])
+    every = np.concatenate([x.keys for x in blobs])
     first = np.zeros(len(every), bool)
     first[np.unique(every, return_index=True)[1]] = True
-    ends = np.cumsum([len(keys) for keys, _, _ in blobs])
-    own = [first[end - len(keys) : end] for end, (keys, _, _) in zip(ends.tolist(), blobs, strict=True)]
-    out = [np.zeros(len(grams), np.uint8) for _, grams, _ in blobs]
+    ends = np.cumsum([len(x.keys) for x in blobs])
+    own = [first[end - len(x.keys) : end] for end, x in zip(ends.tolist(), blobs, strict=True)]
+    out = [np.zeros(x.many, np.uint8) for x in blobs]
     at = [0] * len(blobs)
-    slices = max(1, sum(len(grams) for _, grams, _ in blobs) // COUNT_AT_ONCE)
+    slices = max(1, sum(x.many for x in blobs) // COUNT_AT_ONCE)
     for k in range(1, slices + 1):
-        top = (k << 32) // slices  # n-grams below this; blobs are in ascending order
-        stops = [len(grams) if k == slices else int(np.searchsorted(grams, np.uint32(top))) for _, grams, _ in blobs]
-        alive = [mine[places[a:b]] for mine, (_, _, places), a, b in zip(own, blobs, at, stops, strict=True)]
-        some = np.concatenate([grams[a:b][y] for (_, grams, _), a, b, y in zip(blobs, at, stops, alive, strict=True)])
+        top = None if k == slices else (k << 32) // slices  # n-grams below this; blobs are in ascending order
+        grams = [x.below(a, top) for x, a in zip(blobs, at, strict=True)]
+        stops = [a + len(g) for a, g in zip(at, grams, strict=True)]
+        alive = [mine[x.places_of(a, b)] for mine, x, a, b in zip(own, blobs, at, stops, strict=True)]
+        some = np.concatenate([g[y] for g, y in zip(grams, alive, strict=True)])
         if len(some):
             order = np.argsort(some, kind="stable")
             start = np.flatnonzero(np.concatenate([[True], np.diff(some[order]) != 0]))
@@ -226,6 +268,7 @@ def _holders(blobs: list[Blob]) -> list[np.ndarray]:
 def _count(spread: DataFrame, parts: int) -> DataFrame:
     """kind 0: as before. kind 1: of a set's n-grams in a part, in ascending order of their low 32 bits, in how many sets each is (a byte, 255: or more), if any is in two; and how many are."""
     names = [f.split()[0] for f in _COUNTED.split(", ")]
+    folder = common.workspace(spread.sparkSession, "shingles-waiting")
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
     def rows(many: int, **col) -> pa.RecordBatch:
@@ -240,11 +283,11 @@ def _count(spread: DataFrame, parts: int) -> DataFrame:
                 yield rows(own.num_rows, kind=own.column(0), doc_id=own.column(2), key=own.column(3), n=own.column(4), sig=own.column(5))
             sent = batch.filter(pa.array(kind == 1))
             for part, n, grams in zip(sent.column(1).to_pylist(), sent.column(4).to_pylist(), sent.column(6), strict=True):
-                gathered.setdefault(part, _Blobs()).add(grams.as_buffer(), n)
+                gathered.setdefault(part, _Blobs(folder)).add(grams.as_buffer(), n)
         for part in sorted(gathered):
             blobs = gathered.pop(part).held
-            for (keys, _, places), held in zip(blobs, _holders(blobs), strict=True):
-                mine = places.astype(np.int64)
+            for blob, held in zip(blobs, _holders(blobs), strict=True):
+                keys, mine = blob.keys, blob.places_of(0, blob.many).astype(np.int64)
                 shared = np.bincount(mine[held > 1], minlength=len(keys))
                 have = np.flatnonzero(shared)
                 if len(have):

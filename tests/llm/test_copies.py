@@ -166,7 +166,7 @@ def test_rows_of_one_id_are_one_document(spark, monkeypatch, seed, docs, grams):
     assert sorted(r.doc_id for r in kept) == sorted({d for d, _, c in want if d == c}) and {r.row for r in kept} == {"x"}
 
 
-def test_count_in_slices_and_from_a_file(spark, monkeypatch):
+def test_count_in_slices_and_from_a_file(spark, monkeypatch, tmp_path):
     rng = np.random.default_rng(8)
     blobs, want = [], Counter()
     sets = [np.unique(rng.integers(0, 3000, 400).astype(np.uint32) << np.uint32(20)) for _ in range(30)]
@@ -180,18 +180,23 @@ def test_count_in_slices_and_from_a_file(spark, monkeypatch):
         want.update(x.tolist())
     for at_once in (10**6, 500):
         monkeypatch.setattr(shingle_join, "COUNT_AT_ONCE", at_once)
-        for number, ((keys, grams, places), held) in enumerate(zip(blobs, shingle_join._holders(blobs), strict=True)):
+        for number, ((keys, grams, places), held) in enumerate(zip(blobs, shingle_join._holders([shingle_join._Blob(*b) for b in blobs]), strict=True)):
             for gram, place, n in zip(grams.tolist(), places.tolist(), held.tolist(), strict=True):
                 assert n == (0 if number > 0 and keys[place] == 0 else want[gram])
     monkeypatch.setattr(shingle_join, "GATHER_BYTES", 5000)
-    gathered = shingle_join._Blobs()
+    gathered = shingle_join._Blobs(str(tmp_path / "waiting"))
     for keys, grams, places in blobs:
         gathered.add(pa.py_buffer(keys.tobytes() + shingle_join._packed(grams, places)), len(keys))
-    assert gathered.file is not None
-    for one, two in zip(blobs, gathered.held, strict=True):
-        assert all(a.tolist() == b.tolist() for a, b in zip(one, two, strict=True))
-    for a, b in zip(shingle_join._holders(blobs), shingle_join._holders(gathered.held), strict=True):
-        assert a.tolist() == b.tolist()
+    assert any(b.file is not None for b in gathered.held) and any((tmp_path / "waiting").iterdir())
+    for (keys, grams, places), two in zip(blobs, gathered.held, strict=True):
+        assert keys.tolist() == two.keys.tolist() and grams.tolist() == two.below(0, None).tolist() and places.tolist() == two.places_of(0, two.many).tolist()
+    for every in (2, 1024):
+        monkeypatch.setattr(shingle_join, "EVERY", every)
+        gathered = shingle_join._Blobs(str(tmp_path / "waiting"))
+        for keys, grams, places in blobs:
+            gathered.add(pa.py_buffer(keys.tobytes() + shingle_join._packed(grams, places)), len(keys))
+        for a, b in zip(shingle_join._holders([shingle_join._Blob(*b) for b in blobs]), shingle_join._holders(gathered.held), strict=True):
+            assert a.tolist() == b.tolist()
     monkeypatch.setattr(shingle_join, "LEAST_PARTS", 1)
     rows = corpus(6)
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -308,7 +313,7 @@ def test_queries_run(spark, sf_dir):
     """Each registered query over a small scale, by its contract's columns; every document comes back."""
     import __spark_entry__
 
-    columns = {1: "query_id rank vec_id score", 2: "doc_id held_out lang_pred score", 3: "page_id payload_bytes payload_digest record_type refers_to", 4: "doc_id piece start length ids_crc32 sequence_id offset", 5: "doc_id n_email n_ip n_card n_phone base_sha256 spans", 6: "doc_id start n_tokens ids_crc32", 7: "doc_id n_tokens ids_sha256 decoded_sha256", 8: "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", 9: "doc_id held_out score predicted", 10: "doc_id n_shingles component_id"}
+    columns = {1: "query_id rank vec_id score", 2: "doc_id held_out lang_pred score", 3: "page_id payload_bytes payload_digest record_type refers_to", 4: "doc_id piece start length ids_crc32 sequence_id offset", 5: "doc_id n_email n_ip n_card n_phone base_sha256 spans", 6: "doc_id start n_tokens ids_crc32", 7: "doc_id n_tokens ids_sha256 decoded_sha256", 8: "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", 9: "doc_id held_out score predicted", 10: "doc_id n_shingles component_id", 11: "doc_id fingerprint component_id", 12: "doc_id n form prefix_chars middle_chars output_sha256 restored_sha256", 13: "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256"}
     n = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("documents", "pages")}
     for name, query in __spark_entry__.queries().items():
         if m := re.match(r"op(\d+)_", name):
@@ -326,7 +331,7 @@ def test_registered(spark):
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11))
+    assert "pipeline" in names and {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 14))
 
 
 def test_workspaces_are_shared_and_cleared(spark):

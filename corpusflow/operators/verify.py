@@ -114,20 +114,6 @@ def missing_targets(links: DataFrame, pages: DataFrame, anchors: DataFrame) -> D
     return joined.withColumn("kind", kind).where("kind IS NOT NULL").select("page_id", "target", "anchor", "kind")
 
 
-def suggestions(broken: DataFrame, names: DataFrame) -> DataFrame:
-    """target and the name nearest to it by edits, if it is near enough: half the longer one's length, 3 at least.
-
-    Targets and names meet by equal length, for each length that is near enough; so no target meets names that can't be it.
-    """
-    far = F.greatest(F.lit(3), F.floor(F.greatest(F.length("target"), F.length("name")) / 2)).cast("int")
-    long = F.length("target")
-    low, high = long - F.greatest(F.lit(3), F.floor(long / 2).cast("int")), F.greatest(long + 3, 2 * long + 1)
-    asked = broken.select("target").distinct().withColumn("n", F.explode(F.sequence(F.greatest(low, F.lit(0)), high)))
-    pairs = names.select("name").distinct().withColumn("n", F.length("name")).join(asked, "n")
-    near = pairs.withColumn("edits", F.levenshtein("target", "name")).where(F.col("edits") <= far)
-    return near.groupBy("target").agg(F.min_by("name", F.struct("edits", "name")).alias("suggestion"), F.min("edits").alias("edits"))
-
-
 def stale_citations(cited: DataFrame, sources: DataFrame) -> DataFrame:
     """page_id, source_id of citations whose source isn't known, each once."""
     return cited.join(sources.select("source_id"), "source_id", "left_anti").select("page_id", "source_id").distinct()

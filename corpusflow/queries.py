@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions import text as T
 from corpusflow.functions import vectors as V
 from corpusflow.functions.words import CONCEPT_STOPWORDS, PHRASE_STOPWORDS, QUERY_STOPWORDS
-from corpusflow.operators import chunks, evaluate, fusion, graph, lexical, lexical_index, many, mining, semantic, state, transcript, verify, wiki
+from corpusflow.operators import chunks, evaluate, fusion, graph, lexical, lexical_index, many, mining, nearest_names, semantic, state, transcript, verify, wiki
 from corpusflow.plans import retrieve
 from corpusflow.sources import cells
 
@@ -601,7 +601,7 @@ def broken_link_suggestions(spark, sf_dir):
     links = p.select(F.lit("index").alias("page_id"), F.replace("name", F.lit("e"), F.lit("o")).alias("target"), F.lit(None).cast("string").alias("anchor")).distinct()
     pages = p.select(F.col("name").alias("page_id")).distinct()
     broken = verify.missing_targets(links, pages, pages.select("page_id", F.lit("top").alias("anchor")))
-    return verify.suggestions(broken, p)
+    return nearest_names.suggestions(broken, p)
 
 
 @query("""SELECT l_orderkey AS page_id, CASE max(CASE WHEN p.p_partkey IS NULL THEN 0 WHEN p.p_size > 40 THEN 1 WHEN l_linenumber <> p.p_size % 7 + 1 THEN 2 ELSE 3 END) WHEN 0 THEN 'orphan' WHEN 1 THEN 'revision_missing' WHEN 2 THEN 'stale' ELSE 'current' END AS state

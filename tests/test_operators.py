@@ -435,7 +435,7 @@ def test_quotations_within_edits():
         assert verify.within(quote, source, budget) == plain(quote, source, budget), (quote, source, budget)
 
 
-def test_patterns_in_passes(spark, monkeypatch):
+def test_patterns_in_texts(spark, monkeypatch):
     from corpusflow.operators import matching
 
     rng = np.random.default_rng(6)
@@ -443,13 +443,23 @@ def test_patterns_in_passes(spark, monkeypatch):
     patterns = [(i, word(int(rng.integers(0, 40)))) for i in range(60)] + [(99, None)]
     texts = [(f"t{i}", "".join(patterns[int(k)][1] + word(2) for k in rng.integers(0, 60, 5))) for i in range(30)] + [("none", None), ("empty", "")]
     want = {(p, t) for p, x in patterns for t, y in texts if x and y and x in y}
-    for most in (50_000, 6):
-        monkeypatch.setattr(matching, "PASS_PATTERNS", most)
+    for reach in (256, 6):
+        monkeypatch.setattr(matching, "REACH", reach)
         found = matching.contained(spark.createDataFrame(patterns, "pattern_id int, pattern string"), spark.createDataFrame(texts, "text_id string, text string"))
         assert {(r.pattern_id, r.text_id) for r in found.collect()} == want
     assert matching.contained(spark.createDataFrame([], "pattern_id int, pattern string"), spark.createDataFrame(texts, "text_id string, text string")).count() == 0
 
 
+def test_a_million_names_take_one_scan(spark, tmp_path):
+    from corpusflow.operators import matching
+
+    spark.createDataFrame([(1, " of name 77 and name 123456 there "), (2, " nothing here "), (3, " name 999999 ")], "text_id int, text string").write.parquet(str(tmp_path / "t"))
+    patterns = spark.range(1_000_000).selectExpr("id AS pattern_id", "' name ' || id || ' ' AS pattern")
+    found = matching.contained(patterns, spark.read.parquet(str(tmp_path / "t")))
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert sorted(map(tuple, found.collect())) == [(77, 1), (123456, 1), (999999, 3)]
+
+
 def test_near_names_of_several_names(spark):
     rows = [(1, "Borrow checker", None), (1, "Ownership", None), (2, "Borrow checkers", None), (3, "ownership", None), (4, "Raft", None)]
     got = {(r.a, r.b): round(r.similarity, 3) for r in mining.near_names(spark.createDataFrame(rows, "id int, name string, definition string")).collect()}

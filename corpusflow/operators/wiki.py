@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
+from corpusflow.functions.readable import answer_json
 from corpusflow.operators import mining, names, state, verify
 
 #: Pages that only list others.
@@ -239,9 +240,11 @@ def heading_citations(revisions: DataFrame) -> DataFrame:
 
 
 def extracted_concepts(answers: DataFrame) -> DataFrame:
-    """source_id, name of the concepts that a model's answers (source_id, answer: JSON with ``concepts``) list; remarks on a concept are no concepts, and what can't be read lists none."""
-    parsed = F.from_json("answer", "concepts array<struct<name string>>")
-    rows = answers.select("source_id", F.explode(parsed["concepts"]).alias("c")).select("source_id", F.trim("c.name").alias("name"))
+    """source_id, name of the concepts that a model's answers (source_id, answer) list: JSON with ``concepts``, or a list of them, bare, in a fence or amid prose; remarks on a concept are no concepts, and what can't be read lists none."""
+    read = answers.select("source_id", answer_json(F.col("answer")).alias("json"))
+    listed = F.when(F.ltrim("json").startswith("["), F.concat(F.lit('{"concepts":'), "json", F.lit("}"))).otherwise(F.col("json"))
+    parsed = F.from_json(listed, "concepts array<struct<name string>>")
+    rows = read.select("source_id", F.explode(parsed["concepts"]).alias("c")).select("source_id", F.trim("c.name").alias("name"))
     return rows.where((F.col("name") != "") & ~T.meta_slug(T.link_slug(F.col("name"))))
 
 

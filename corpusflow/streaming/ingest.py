@@ -17,23 +17,26 @@ def document_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def ingest(docs: DataFrame, store: str, checkpoint: str, on_new: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+def ingest(docs: DataFrame, store: str, checkpoint: str, on_new: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Take all that has arrived: find new sources and revisions, keep every revision, and hand on only what is new.
 
-    A batch that is taken again finds its own revisions and changes nothing.
+    Revisions are kept by the number of their batch. A batch that is taken again, after a crash anywhere in it, puts its own in their place and hands
+    the same rows on again, with its number; so what takes them can tell a repetition, and nothing is handed on never.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         arrived = rows.select("doc_id", fingerprint(F.coalesce("text", F.lit(""))).alias("content_hash"), "text").dropDuplicates(["doc_id", "content_hash"])
         path = f"{store}/revisions"
-        known = spark.read.parquet(path) if sinks.present(spark, path) else arrived.select("doc_id", "content_hash").limit(0)
+        known = arrived.select("doc_id", "content_hash").limit(0)
+        if sinks.present(spark, path):
+            known = spark.read.schema(f"doc_id {arrived.schema['doc_id'].dataType.simpleString()}, content_hash string, batch long").parquet(path).where(F.col("batch") != number).select(*known.columns)
         outcome = state.ingest_outcome(arrived.select("doc_id", "content_hash"), known.select("doc_id"), known)
         fresh = arrived.join(outcome.where("outcome != 'skipped'"), ["doc_id", "content_hash"]).persist()
         try:
             if on_new is not None:
-                on_new(fresh)
-            fresh.select("doc_id", "content_hash").write.mode("append").parquet(path)
+                on_new(fresh, number)
+            fresh.select("doc_id", "content_hash").write.mode("overwrite").parquet(f"{path}/batch={number}")
         finally:
             fresh.unpersist()
 

@@ -329,7 +329,7 @@ def test_stream(spark, tmp_path):
     src, store, ck = (str(tmp_path / x) for x in ("src", "store", "ck"))
     seen = []
     spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").write.parquet(src)
-    stream = lambda: ingest.ingest(ingest.document_stream(spark, src, "doc_id long, text string"), store, ck, lambda df: seen.append(sorted(r.doc_id for r in df.collect()))).awaitTermination()
+    stream = lambda: ingest.ingest(ingest.document_stream(spark, src, "doc_id long, text string"), store, ck, lambda df, number: seen.append(sorted(r.doc_id for r in df.collect()))).awaitTermination()
     stream()
     spark.createDataFrame([(2, "b"), (2, "c"), (3, "d")], "doc_id long, text string").write.mode("append").parquet(src)
     stream()

@@ -195,7 +195,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int =
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         raw = common.bytes_list(part)
         bags = _bags(raw)
-        packed = [which.astype("<i4").tobytes() + share.astype("<f4").tobytes() for which, share in bags]
+        packed = [zlib.compress(np.diff(which, prepend=0).astype("<i4").tobytes() + share.astype("<f4").tobytes(), 1) for which, share in bags]
         return pa.RecordBatch.from_arrays([common.ids_of(part), pa.array([hashlib.sha256(b).digest() for b in raw], pa.binary()), part.column(2), pa.array(packed, pa.binary())], ["doc_id", "sha", "quality", "bag"])
 
     # the driver gets sample_rows bags of buckets, of which a text has as many as different words and n-grams, 2 ** BITS at most
@@ -203,8 +203,14 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int =
     if rows.num_rows == 0:
         return Model(np.zeros(BUCKETS), 0.0)
     rows = rows.sort_by([("doc_id", "ascending"), ("sha", "ascending")])
-    bags = [(np.frombuffer(b, "<i4", len(b) // 8), np.frombuffer(b, "<f4", len(b) // 8, len(b) // 2)) for b in rows["bag"].to_pylist()]
-    return fit(bags, rows["quality"].to_numpy().astype(np.int64))
+    bags, y = [_unpacked(b.as_buffer()) for b in rows["bag"]], rows["quality"].to_numpy().astype(np.int64)
+    del rows
+    return fit(bags, y)
+
+
+def _unpacked(raw: pa.Buffer) -> Bag:
+    b = zlib.decompress(raw)
+    return np.cumsum(np.frombuffer(b, "<i4", len(b) // 8), dtype=np.int32), np.frombuffer(b, "<f4", len(b) // 8, len(b) // 2)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

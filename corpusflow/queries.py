@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusflow.functions import readable
 from corpusflow.functions import text as T
 from corpusflow.functions import vectors as V
 from corpusflow.functions.words import CONCEPT_STOPWORDS, PHRASE_STOPWORDS, QUERY_STOPWORDS
-from corpusflow.operators import chunks, evaluate, fusion, graph, lexical, lexical_index, many, mining, nearest_names, semantic, state, transcript, verify, wiki
+from corpusflow.operators import chunks, evaluate, fusion, graph, graph_paths, lexical, lexical_index, many, mining, nearest_names, push, semantic, state, transcript, verify, wiki
 from corpusflow.plans import retrieve
 from corpusflow.sources import cells
 
@@ -128,6 +129,17 @@ def html_main_texts(spark, sf_dir):
     return p.select("page_id", F.md5(T.html_main(F.col("html")).cast("binary")).alias("text_md5"))
 
 
+@query(r"""WITH a AS (SELECT page_id, regexp_extract(html, '(?is)<article>(.*)</article>', 1) AS h FROM pages),
+ t AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->|<nav\b.*?</nav>|<footer\b.*?</footer>|<aside\b.*?</aside>', '', 'g'), '(?s)<[^>]*>', '', 'g') AS x, regexp_extract(h, '(?is)<h1>(.*?)</h1>', 1) AS head FROM a)
+ SELECT page_id, md5(regexp_replace(replace(replace(replace(replace(replace(replace(x,'&nbsp;',' '),'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',chr(39)),'&amp;','&'), '[^\p{L}\p{N}]', '', 'g')) AS letters_md5,
+  trim(regexp_replace(replace(replace(replace(replace(replace(replace(head,'&nbsp;',' '),'&lt;','<'),'&gt;','>'),'&quot;','"'),'&#39;',chr(39)),'&amp;','&'), '\s+', ' ', 'g')) AS heading FROM t""")
+def pages_markdown(spark, sf_dir):
+    """Pages as Markdown: its letters and digits are those of the article, and its first line is the article's heading."""
+    m = table(spark, sf_dir, "pages").select("page_id", readable.html_markdown(F.col("html")).alias("m"))
+    letters = F.regexp_replace(F.regexp_replace("m", r"\]\([^)]*\)", ""), r"[^\p{L}\p{N}]", "")
+    return m.select("page_id", F.md5(letters.cast("binary")).alias("letters_md5"), F.regexp_extract("m", r"\A# (.*)", 1).alias("heading"))
+
+
 @query(r"""SELECT href, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT page_id) AS BIGINT) AS n_pages FROM (SELECT page_id, unnest(regexp_extract_all(html,'<a\s[^>]*href="([^"]*)"',1)) AS href FROM pages) GROUP BY href""")
 def page_links(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select("page_id", F.explode(T.hrefs(F.col("html"))).alias("href"))
@@ -338,10 +350,38 @@ def _rank_sql(rounds: int) -> str:
     return f"WITH {_EDGES}, {', '.join(steps)} SELECT id AS item_id, round(score, 6) AS score FROM r{rounds} WHERE score > 0"
 
 
-@query(_rank_sql(6))
+def _seeds(spark):
+    return spark.createDataFrame([("s1",), ("s1",), ("s2",), ("nowhere",)], "item_id string")
+
+
+@query(_rank_sql(graph.ROUNDS).replace("round(score, 6)", "round(score, 4)").replace("WHERE score > 0", f"WHERE score > {graph.EPSILON} / (SELECT count(*) FROM nodes)"))
 def ppr_seeded(spark, sf_dir):
-    seeds = spark.createDataFrame([("s1",), ("s1",), ("s2",), ("nowhere",)], "item_id string")
-    return graph.pagerank(_trade_edges(spark, sf_dir), seeds, rounds=6, epsilon=0.0).select("item_id", F.round("score", 6).alias("score"))
+    return graph.pagerank(_trade_edges(spark, sf_dir), _seeds(spark)).select("item_id", F.round("score", 4).alias("score"))
+
+
+@query(_rank_sql(6))
+def ppr_pushed(spark, sf_dir):
+    """By forward push over stored links: all residuals of six rounds."""
+    path = cells.shared_folder(spark, "links")
+    push.store_links(_trade_edges(spark, sf_dir), path, 8)
+    return push.pagerank(spark, path, _seeds(spark), rounds=6, epsilon=0.0, least=0.0).select("item_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, walk(a, b) AS (SELECT src, dst FROM edges UNION SELECT w.a, e.dst FROM walk w JOIN edges e ON e.src = w.b), ring AS (SELECT a FROM walk WHERE a = b)
+ SELECT DISTINCT i.b AS item_id FROM walk i JOIN walk o ON o.a = i.b WHERE i.a IN (SELECT a FROM ring) AND o.b IN (SELECT a FROM ring)""")
+def graph_core(spark, sf_dir):
+    return graph_paths.core(_trade_edges(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, walk(a, b) AS (SELECT src, dst FROM edges UNION SELECT w.a, e.dst FROM walk w JOIN edges e ON e.src = w.b), ring AS (SELECT a FROM walk WHERE a = b),
+ c AS (SELECT DISTINCT i.b AS id FROM walk i JOIN walk o ON o.a = i.b WHERE i.a IN (SELECT a FROM ring) AND o.b IN (SELECT a FROM ring)),
+ step AS (SELECT src, min(dst) AS dst FROM edges WHERE src IN (SELECT id FROM c) AND dst IN (SELECT id FROM c) GROUP BY src),
+ go(a, b) AS (SELECT src, dst FROM step UNION SELECT g.a, s.dst FROM go g JOIN step s ON s.src = g.b), first AS (SELECT min(a) AS id FROM go WHERE a = b),
+ path(position, id) AS (SELECT CAST(0 AS BIGINT), id FROM first UNION ALL SELECT position + 1, s.dst FROM path p JOIN step s ON s.src = p.id WHERE s.dst <> (SELECT id FROM first))
+ SELECT position, id AS item_id FROM path""")
+def graph_cycle(spark, sf_dir):
+    """One cycle, its smallest node first."""
+    return graph_paths.cycle(_trade_edges(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, reach(id, depth) AS (SELECT 's1', 0 UNION SELECT e.dst, depth + 1 FROM reach r JOIN edges e ON e.src = r.id WHERE depth < 40)

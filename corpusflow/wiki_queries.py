@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
-from corpusflow.operators import chunks, evaluate, graph, lexical, mining, semantic, state, transcript, verify, wiki
+from corpusflow.operators import chunks, evaluate, graph, graph_paths, lexical, mining, semantic, state, transcript, verify, wiki
 from corpusflow.plans import retrieve
 from corpusflow.queries import QUESTION, _chunks, _index, _vector, query, table
 from corpusflow.sources import files, sinks
@@ -250,10 +250,12 @@ def citations_made(spark, sf_dir):
     return wiki.heading_citations(table(spark, sf_dir, "orders").join(anchors, "o_orderkey", "left").select(F.concat(F.lit("r"), "o_orderkey").alias("revision_id"), "anchors"))
 
 
-@query("SELECT doc_id AS source_id, 'Term ' || doc_id AS name FROM documents WHERE doc_id % 3 <> 1")
+@query("SELECT doc_id AS source_id, 'Term ' || doc_id AS name FROM documents WHERE doc_id % 5 <> 1 UNION ALL SELECT doc_id, 'See [' || lang || ']' FROM documents WHERE doc_id % 5 = 4 AND lang IS NOT NULL")
 def concepts_extracted(spark, sf_dir):
-    """Answers with a concept and a remark on one; every third can't be read."""
-    answer = "CASE doc_id % 3 WHEN 1 THEN 'no json' ELSE '{\"concepts\": [{\"name\": \" Term ' || doc_id || ' \"}, {\"name\": \"Error Handling\"}]}' END"
+    """Answers with a concept and a remark on one, bare, in a fence, amid prose, or as a list; every fifth can't be read."""
+    one = "'{\"concepts\": [{\"name\": \" Term ' || doc_id || ' \"}, {\"name\": \"Error Handling\"}]}'"
+    more = "'[{\"name\": \"Term ' || doc_id || '\"}, {\"name\": \"' || coalesce('See [' || lang || ']', '') || '\"}]'"
+    answer = f"CASE doc_id % 5 WHEN 0 THEN {one} WHEN 1 THEN 'no json {{ here' WHEN 2 THEN 'These [1] I found:\\n```json\\n' || {one} || '\\n```\\nThat is all.' WHEN 3 THEN 'I found ' || {one} || ', and [2] no more.' ELSE {more} END"
     return wiki.extracted_concepts(table(spark, sf_dir, "documents").selectExpr("doc_id AS source_id", f"{answer} AS answer"))
 
 
@@ -394,6 +396,19 @@ def trace_tree(spark, sf_dir):
     return graph.first_parents(edges.distinct(), spark.createDataFrame([("r1",)], "item_id string"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT 'n' || n_nationkey AS s, 'c' || c_custkey AS d FROM nation JOIN customer ON c_nationkey = n_nationkey UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION SELECT 'c' || c_custkey, 'o' || (c_custkey * 4) FROM customer),
+ w(id, depth) AS (SELECT 'r1', 0 UNION SELECT e.d, depth + 1 FROM w JOIN e ON e.s = w.id), f AS (SELECT id, min(depth) AS depth FROM w GROUP BY id),
+ up AS (SELECT e.d AS id, min(p.id) AS parent FROM f p JOIN e ON e.s = p.id JOIN f c ON c.id = e.d WHERE p.depth + 1 = c.depth GROUP BY e.d),
+ walk(id, parent, path) AS (SELECT 'r1', CAST(NULL AS VARCHAR), ['r1'] UNION ALL SELECT u.id, u.parent, list_append(w.path, u.id) FROM walk w JOIN up u ON u.parent = w.id)
+ SELECT id AS item_id, CAST(len(path) - 1 AS INTEGER) AS depth, parent, array_to_string(path, '/') AS path, CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS place FROM walk""")
+def trace_depth_first(spark, sf_dir):
+    """The same tree with paths, in depth-first order."""
+    n, c, o = (table(spark, sf_dir, t) for t in ("nation", "customer", "orders"))
+    edges = c.selectExpr("'n' || c_nationkey AS src_id", "'c' || c_custkey AS dst_id").union(n.selectExpr("'r' || n_regionkey", "'n' || n_nationkey")).union(o.selectExpr("'c' || o_custkey", "'o' || o_orderkey")).union(c.selectExpr("'c' || c_custkey", "'o' || (c_custkey * 4)"))
+    found = graph_paths.tree(edges.distinct(), spark.createDataFrame([("r1",)], "item_id string"))
+    return found.withColumn("path", F.array_join("path", "/"))
+
+
 @query("""SELECT 'wiki/' || c_custkey AS page_id, s AS source_id FROM customer, (SELECT DISTINCT c_nationkey AS n, c_nationkey % 4 AS k FROM customer) x, range(0, 3) r(s) WHERE false
  UNION ALL SELECT 'p' || c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 's' || c_custkey WHEN c_custkey % 3 = 1 THEN 's' || (c_custkey - 1) ELSE 's' || (c_custkey - 2) END FROM customer WHERE c_custkey >= 3""")
 def sources_through_backlinks(spark, sf_dir):
@@ -439,32 +454,30 @@ def relevance(spark, sf_dir):
     return d.select(F.col("doc_id").alias("id"), evaluate.relevant(F.concat(F.lit("wiki/SRC-"), "doc_id", F.lit("-x.md")), F.array(F.lit("none"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" src-"), "doc_id", F.lit(" "))).otherwise("zz"))).alias("relevant"))
 
 
-_FALL = "f AS (SELECT 'w' || i AS id, CAST(greatest(32, (i * 37 % 11) * 30) AS BIGINT) AS tokens, i AS pos FROM range(1, 9) r(i))"
-
-
-@query(f"""WITH RECURSIVE {_FALL}, walk(pos, id, tokens, used, takes) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false
- UNION ALL SELECT f.pos, f.id, f.tokens, w.used + CASE WHEN w.used + f.tokens <= 700 THEN f.tokens ELSE 0 END, w.used + f.tokens <= 700 FROM walk w JOIN f ON f.pos = w.pos + 1)
+@query("""WITH RECURSIVE f AS (SELECT *, row_number() OVER (ORDER BY tier, o, id) AS pos FROM (SELECT 'r' || r_regionkey AS id, CAST(60 + 37 * length(r_name) AS BIGINT) AS tokens, 0 AS tier, r_regionkey AS o FROM region
+  UNION ALL (SELECT 'd' || doc_id, CAST(greatest(32, ceil(n_chars / 40.0)) AS BIGINT), 1, -doc_id FROM documents ORDER BY doc_id DESC LIMIT 5))),
+ walk(pos, id, tokens, used, takes) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(0 AS BIGINT), false
+ UNION ALL SELECT f.pos, f.id, f.tokens, w.used + CASE WHEN w.used + f.tokens <= 1400 THEN f.tokens ELSE 0 END, w.used + f.tokens <= 1400 FROM walk w JOIN f ON f.pos = w.pos + 1)
  SELECT CAST(row_number() OVER (ORDER BY pos) AS INTEGER) AS position, id AS item_id, CAST(0 AS BIGINT) AS score, tokens FROM walk WHERE takes""")
 def fallback_plan(spark, sf_dir):
-    """A question that nothing matches: three index pages and the five newest sources, as far as they fit."""
-    index = lexical.entries(table(spark, sf_dir, "documents")).withColumn("item_id", F.col("item_id").cast("string"))
-    f = spark.range(1, 12).selectExpr("'w' || id AS item_id", "greatest(32, (id * 37 % 11) * 30) AS tokens", "id AS order")
-    return lexical.plan(index, "zzqqxx qqzzxx", 700, f.where("order <= 3"), f.where("order > 3"))
+    """A question that nothing matches: a page for each region and the five newest documents, as far as they fit."""
+    d = table(spark, sf_dir, "documents")
+    index = lexical.entries(d).withColumn("item_id", F.concat(F.lit("d"), "item_id"))
+    regions = table(spark, sf_dir, "region").selectExpr("'r' || r_regionkey AS item_id", "CAST(60 + 37 * length(r_name) AS BIGINT) AS tokens", "CAST(r_regionkey AS BIGINT) AS order")
+    newest = d.selectExpr("'d' || doc_id AS item_id", "CAST(greatest(32, ceil(n_chars / 40.0)) AS BIGINT) AS tokens", "-doc_id AS order")
+    return lexical.plan(index, "zzqqxx qqzzxx", 1400, regions, newest)
 
 
 def _hybrid(spark, sf_dir):
     return _chunks(spark, sf_dir).withColumn("item_id", F.col("chunk_id"))
 
 
-@query(f"SELECT (SELECT count(*) FROM documents) > 0 AS ok")
+@query("""WITH r AS (SELECT o_orderkey AS item_id, CAST(row_number() OVER (ORDER BY floor(o_totalprice / 1000) DESC, o_orderkey) AS INTEGER) AS rank FROM orders)
+ SELECT item_id, rank FROM r WHERE rank <= 5 OR item_id IN (SELECT s_suppkey FROM supplier)""")
 def structural_ranks(spark, sf_dir):
-    """Places counted for a few nodes are those that sorting all of them gives."""
+    """Orders by price: the first five, and those that have a supplier's number."""
     hits = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"), F.floor(F.col("o_totalprice") / 1000).alias("score"))
-    few = hits.where("item_id % 997 = 5").select("item_id").orderBy("item_id").limit(40)
-    near = semantic.ranks_among(hits, few, 5, "x").select("item_id", "rank")
-    every = semantic.ranks(hits, "x").select("item_id", "rank")
-    bad = near.join(every, ["item_id", "rank"], "left_anti").count() + few.join(near, "item_id", "left_anti").count()
-    return spark.createDataFrame([(bad == 0 and near.count() >= 5,)], "ok boolean")
+    return semantic.ranks_among(hits, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("item_id")), 5, "x").select("item_id", "rank")
 
 
 @query(f"""SELECT CAST(row_number() OVER (ORDER BY doc_id) AS INTEGER) AS number, 'p' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '#a' ELSE '' END AS label FROM documents WHERE doc_id < 50""")

@@ -90,9 +90,13 @@ COMPACT = 12
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """item_id and depth (0 for start) of all that edges (src_id, dst_id) lead to. Few edges go to one task; else each round writes what is new in it."""
     edges = settle(edges.select("src_id", "dst_id").distinct())
+    begun = settle(start.select("item_id").distinct().withColumn("depth", F.lit(0)))
     if edges.count() <= small_graphs.FEW_EDGES:
-        return settle(small_graphs.closure(start.select("item_id").distinct().withColumn("depth", F.lit(0)), edges))
-    reached = frontier = settle(start.select("item_id").distinct().withColumn("depth", F.lit(0)))
+        # only starts that have an edge go to the task: no more than there are edges
+        leads = edges.select(F.col("src_id").alias("item_id")).distinct()
+        found = settle(small_graphs.closure(begun.join(leads, "item_id", "left_semi"), edges))
+        return found.unionByName(begun.join(found.select("item_id"), "item_id", "left_anti"))
+    reached = frontier = begun
     depth = 0
     while frontier.limit(1).count():
         depth += 1

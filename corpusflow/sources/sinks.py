@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
 from corpusflow.operators import state
+from corpusflow.operators.graph import settle
+from corpusflow.sources import cells
 
 
 def _fs(spark: SparkSession, path: str):
@@ -27,7 +29,9 @@ def _versions(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of a table that ``replace_table`` wrote."""
+    """The newest version of a table that ``replace_table``, ``upsert_table`` or ``persist_edges`` wrote."""
+    if cells.exists(spark, path):
+        return cells.rows(spark, path)
     return spark.read.parquet(f"{path}/{_versions(spark, path)[-1]}")
 
 
@@ -53,8 +57,8 @@ def replace_table(df: DataFrame, path: str, partition_by: list[str] = ()) -> Non
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether ``replace_table`` has written there."""
-    return bool(_versions(spark, path))
+    """Whether a table has been written there."""
+    return cells.exists(spark, path) or bool(_versions(spark, path))
 
 
 def present(spark: SparkSession, path: str) -> bool:
@@ -63,20 +67,25 @@ def present(spark: SparkSession, path: str) -> bool:
     return fs.exists(jvm.org.apache.hadoop.fs.Path(path))
 
 
-def upsert_table(df: DataFrame, path: str, key: list[str]) -> None:
-    """Insert rows or replace those with the same key."""
-    spark = df.sparkSession
-    replace_table(state.upsert(read_table(spark, path), df, key) if exists(spark, path) else df, path)
+def upsert_table(df: DataFrame, path: str, key: list[str], gone: DataFrame | None = None) -> int:
+    """Insert rows or replace those with the same key, and delete those whose key is in gone; only the buckets of these keys are rewritten. Returns how many were."""
+    return cells.upsert(df, path, key, gone)
 
 
 def persist_edges(edges: DataFrame, path: str) -> dict[str, int]:
-    """Store a graph's edges; returns how many there are, and how many were inserted and deleted. An unchanged graph isn't written."""
-    spark = edges.sparkSession
-    stored = read_table(spark, path) if exists(spark, path) else edges.limit(0)
-    change = {r["change"]: r["count"] for r in state.delta(stored, edges).groupBy("change").count().collect()}
-    if change or not exists(spark, path):
-        replace_table(edges, path)
-    return {"edges": read_table(spark, path).count(), "inserted": change.get("insert", 0), "deleted": change.get("delete", 0)}
+    """Store a graph's different edges; returns how many there are, and how many were inserted and deleted. Only buckets with such an edge are written, and an unchanged graph isn't."""
+    spark, edges = edges.sparkSession, edges.distinct()
+    columns = edges.columns
+    if not cells.exists(spark, path):
+        cells.upsert(edges, path, columns)
+        n = cells.rows(spark, path).count()
+        return {"edges": n, "inserted": n, "deleted": 0}
+    stored = cells.rows(spark, path)
+    change = settle(state.delta(stored, edges))
+    count = {r["change"]: r["count"] for r in change.groupBy("change").count().collect()}
+    of = lambda kind: change.where(F.col("change") == kind).select(*columns)
+    cells.upsert(of("insert"), path, columns, of("delete"))
+    return {"edges": cells.rows(spark, path).count(), "inserted": count.get("insert", 0), "deleted": count.get("delete", 0)}
 
 
 def with_backlinks(pages: DataFrame, backlinks: DataFrame) -> DataFrame:

@@ -51,6 +51,15 @@ def test_push_reads_no_links_of_the_other_half(spark, tmp_path, monkeypatch):
     assert got and {r.item_id for r in got} <= set(low) and read <= {"0", "1", "2", "3"}
 
 
+def test_starts_without_edges_stay_out_of_the_task(spark, monkeypatch):
+    given = []
+    real = small_graphs.closure
+    monkeypatch.setattr(small_graphs, "closure", lambda start, edges: given.append(start.count()) or real(start, edges))
+    start = spark.range(5000).selectExpr("'s' || id AS item_id").union(spark.createDataFrame([("a",)], "item_id string"))
+    got = graph.closure(edges_of(spark, {("a", "b"), ("b", "c"), ("x", "y")}), start)
+    assert given == [1] and got.count() == 5003 and {r.item_id: r.depth for r in got.where("NOT startswith(item_id, 's')").collect()} == {"a": 0, "b": 1, "c": 2}
+
+
 def plain_core(pairs):
     nodes = {x for p in pairs for x in p}
     while True:

@@ -51,6 +51,11 @@ FLUSH, FLUSH_SETS = 500_000, 60_000
 PART_BYTES = 16_000_000
 #: Parts at least. As each set is in most of the parts while they are few, more of them from the start keep what is sent in proportion to the input.
 LEAST_PARTS = 32
+#: Parts that a task of texts sends rows to at most: where there are more, it sends to groups of parts, and a second shuffle deals each group's
+#: n-grams, gathered to so many, to its parts. So a row holds hundreds of n-grams in both, however many parts there are.
+MOST_PARTS, GROUP_FLUSH = 1024, 4_000_000
+#: Tasks that count, at most; each takes its parts one after the other.
+MOST_TASKS = 50_000
 #: Documents and n-grams of a block that one task searches; of what is more, the chunks.
 BLOCK_DOCS, BLOCK_GRAMS = 400, 600_000
 #: Sets of a large block that ask all others first. It doesn't change what is found, only how soon.
@@ -118,10 +123,80 @@ def _unpacked(raw: pa.Buffer, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.frombuffer(raw, np.int64, n).copy(), np.cumsum(steps, dtype=np.uint32), np.frombuffer(raw, "<u2", many, 8 * n + 4 * many).copy()
 
 
+def _sorted_by(part: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    return np.argsort(part.astype(np.uint64) << np.uint64(32) | grams)
+
+
+def _cut(keys: np.ndarray, place: np.ndarray, grams: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Of n-grams, sorted by part and then themselves: each part, the number of its sets, and these and the n-grams packed. place: of each n-gram its set's among the keys."""
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        used, local = np.unique(place[a:b], return_inverse=True)
+        yield int(part[a]), len(used), keys[used].tobytes() + _packed(grams[a:b].astype(np.uint32), local.astype(np.uint16))
+
+
+def _cut_groups(keys: np.ndarray, place: np.ndarray, grams: np.ndarray, part: np.ndarray, wide: int) -> Iterator[tuple[int, int, bytes]]:
+    """The same for groups of so many parts; each n-gram says which of them is its."""
+    group = part // wide
+    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(part)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        used, local = np.unique(place[a:b], return_inverse=True)
+        yield int(group[a]), len(used), keys[used].tobytes() + grams[a:b].astype("<u4").tobytes() + local.astype("<u2").tobytes() + (part[a:b] % wide).astype("<u2").tobytes()
+
+
+def _width(parts: int) -> int:
+    """Parts of a group."""
+    return -(-parts // MOST_PARTS)
+
+
+def _dealt_to_parts(spread: DataFrame, parts: int, wide: int) -> DataFrame:
+    """Rows of groups to rows of parts. A group goes to several tasks, by the digest of its rows; a task gathers one group at a time."""
+    spark = spread.sparkSession
+    names = [f.split()[0] for f in _RAW.split(", ")]
+
+    def made(found: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        for part, n, packed in found:
+            columns = [pa.array([1], pa.int32()), pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([n], pa.int32()), pa.nulls(1, pa.binary()), pa.array([packed], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    def flush(group: int, held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if held:
+            before = np.cumsum([0, *(len(k) for k, *_ in held)])
+            keys, place = np.concatenate([k for k, *_ in held]), np.concatenate([p.astype(np.int64) + b for (_, _, p, _), b in zip(held, before, strict=False)])
+            grams, part = np.concatenate([g for _, g, _, _ in held]), group * wide + np.concatenate([s for *_, s in held]).astype(np.int64)
+            order = _sorted_by(part, grams)
+            yield from made(_cut(keys, place[order], grams[order], part[order]))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, waiting, sets = -1, [], 0, 0
+        for batch in batches:
+            kind = batch.column(0).to_numpy()
+            own = batch.filter(pa.array(kind == 0))
+            if own.num_rows:
+                yield own
+            sent = batch.filter(pa.array(kind == 1))
+            for group, n, raw in zip(sent.column(1).to_pylist(), sent.column(4).to_pylist(), sent.column(6), strict=True):
+                if group != now or waiting >= GROUP_FLUSH or sets + n > FLUSH_SETS:
+                    yield from flush(now, held)
+                    now, held, waiting, sets = group, [], 0, 0
+                b = raw.as_buffer()
+                many = (b.size - 8 * n) // 8
+                at = 8 * n
+                held.append((np.frombuffer(b, np.int64, n).copy(), np.frombuffer(b, "<u4", many, at).copy(), np.frombuffer(b, "<u2", many, at + 4 * many).copy(), np.frombuffer(b, "<u2", many, at + 6 * many).copy()))
+                waiting, sets = waiting + many, sets + n
+        yield from flush(now, held)
+
+    tasks = common.shuffle_partitions(spark)
+    salt = F.pmod(F.crc32(F.coalesce("grams", F.col("sig"))), F.lit(max(1, -(-tasks // MOST_PARTS)) * 4))
+    routed = spread.withColumn("_salt", salt).repartition(tasks, "part", "_salt").sortWithinPartitions("part").drop("_salt")
+    return common.map_arrow(routed, run, _RAW)
+
+
 def _spread(docs: DataFrame, n: int, parts: int) -> DataFrame:
     """kind 0: a document, its set's size and digest. kind 1: n-grams of a task's different sets that belong to a part: keys of n sets, and what ``_packed`` makes."""
     names = [f.split()[0] for f in _RAW.split(", ")]
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    wide = _width(parts)
 
     def rows(many: int, **col) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(col[k], t) if k in col else pa.nulls(many, t) for k, t in zip(names, types, strict=True)], names)
@@ -132,12 +207,10 @@ def _spread(docs: DataFrame, n: int, parts: int) -> DataFrame:
         grams = np.concatenate([g for _, g in held])
         part = _part_of(grams, parts)
         grams &= _KEY
-        order = np.argsort(part << np.uint64(32) | grams)
-        place, grams, part = place[order], grams[order], part[order].astype(np.int32)
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            used, local = np.unique(place[a:b], return_inverse=True)
-            yield rows(1, kind=[1], part=[int(part[a])], n=[len(used)], grams=[keys[used].tobytes() + _packed(grams[a:b].astype(np.uint32), local.astype(np.uint16))])
+        order = _sorted_by(part, grams)
+        place, grams, part = place[order], grams[order], part[order].astype(np.int64)
+        for at, many, packed in _cut(keys, place, grams, part) if wide == 1 else _cut_groups(keys, place, grams, part, wide):
+            yield rows(1, kind=[1], part=[at], n=[many], grams=[packed])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -149,7 +222,7 @@ def _spread(docs: DataFrame, n: int, parts: int) -> DataFrame:
                 sets = shingle_sets(common.bytes_list(piece), n)
                 sigs = [signature(s) for s in sets]
                 keys = [_key_of(x) for x in sigs]
-                yield rows(len(doc), kind=[0] * len(doc), part=[d % parts for d in doc], doc_id=doc, key=keys, n=[len(s) for s in sets], sig=sigs)
+                yield rows(len(doc), kind=[0] * len(doc), part=[d % parts // wide for d in doc], doc_id=doc, key=keys, n=[len(s) for s in sets], sig=sigs)
                 for k, s in zip(keys, sets, strict=True):
                     if len(s) and k not in seen:
                         seen.add(k)
@@ -161,7 +234,8 @@ def _spread(docs: DataFrame, n: int, parts: int) -> DataFrame:
         if held:
             yield from flush(held)
 
-    return common.map_arrow(common.few_tasks(docs), run, _RAW)
+    sent = common.map_arrow(common.few_tasks(docs), run, _RAW)
+    return sent if wide == 1 else _dealt_to_parts(sent, parts, wide)
 
 
 _COUNTED = "kind int, doc_id long, key long, n int, sig binary, part int, shared int, holders binary"
@@ -268,7 +342,7 @@ def _holders(blobs: list[_Blob]) -> list[np.ndarray]:
 def _count(spread: DataFrame, parts: int) -> DataFrame:
     """kind 0: as before. kind 1: of a set's n-grams in a part, in ascending order of their low 32 bits, in how many sets each is (a byte, 255: or more), if any is in two; and how many are."""
     names = [f.split()[0] for f in _COUNTED.split(", ")]
-    folder = common.workspace(spread.sparkSession, "shingles-waiting")
+    folder, wide = common.workspace(spread.sparkSession, "shingles-waiting"), _width(parts)
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
     def rows(many: int, **col) -> pa.RecordBatch:
@@ -283,7 +357,12 @@ def _count(spread: DataFrame, parts: int) -> DataFrame:
                 yield rows(own.num_rows, kind=own.column(0), doc_id=own.column(2), key=own.column(3), n=own.column(4), sig=own.column(5))
             sent = batch.filter(pa.array(kind == 1))
             for part, n, grams in zip(sent.column(1).to_pylist(), sent.column(4).to_pylist(), sent.column(6), strict=True):
+                if wide > 1 and part not in gathered:
+                    yield from counted(gathered)  # parts come one after the other
                 gathered.setdefault(part, _Blobs(folder)).add(grams.as_buffer(), n)
+        yield from counted(gathered)
+
+    def counted(gathered: dict[int, _Blobs]) -> Iterator[pa.RecordBatch]:
         for part in sorted(gathered):
             blobs = gathered.pop(part).held
             for blob, held in zip(blobs, _holders(blobs), strict=True):
@@ -296,7 +375,9 @@ def _count(spread: DataFrame, parts: int) -> DataFrame:
                     packed = held[np.argsort(mine, kind="stable")].tobytes()
                     yield rows(len(have), kind=np.ones(len(have), np.int32), key=keys[have], part=np.full(len(have), part, np.int32), shared=shared[have].astype(np.int32), holders=[packed[x:y] for x, y in zip(start[have].tolist(), stop[have].tolist(), strict=True)])
 
-    return common.map_arrow(spread.repartitionById(parts, "part"), run, _COUNTED)
+    if wide == 1:
+        return common.map_arrow(spread.repartitionById(parts, "part"), run, _COUNTED)
+    return common.map_arrow(spread.repartition(min(parts, MOST_TASKS), "part").sortWithinPartitions("part"), run, _COUNTED)
 
 
 def least_overlap(n: int, percent: int) -> int:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 import zstandard
 
-from corpusflow.llm import shingle_join, warc_zstd
+from corpusflow.llm import common, shingle_join, warc_zstd
 from corpusflow.llm.components import components
 
 
@@ -203,6 +203,19 @@ def test_count_in_slices_and_from_a_file(spark, monkeypatch, tmp_path):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.linked_components(df, part_bytes=500).collect()} == brute(rows)
 
 
+@pytest.mark.parametrize("flush", [4_000_000, 700])
+def test_groups_of_parts(spark, monkeypatch, flush):
+    """More parts than a task sends to: two shuffles, and parts taken one after the other."""
+    for name, value in (("MOST_PARTS", 3), ("GROUP_FLUSH", flush), ("MOST_TASKS", 4)):
+        monkeypatch.setattr(shingle_join, name, value)
+    rows = corpus(12)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    texts = common.texts_only(df, named=True)
+    sent = shingle_join._spread(texts, 5, 40).where("kind = 1")
+    assert sent.select("part").distinct().count() == 40 and shingle_join._width(40) == 14
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.linked_components(df, part_bytes=300).collect()} == brute(rows)
+
+
 def test_large_blocks_in_bands(spark, monkeypatch):
     """Documents that share passages but aren't alike, in one block that is too large, among groups that are."""
     for name, value in (("BLOCK_DOCS", 6), ("BLOCK_GRAMS", 10**6), ("ASKING", 2)):

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.words import QUERY_STOPWORDS
 
-#: Endings of slugs that are remarks on a concept.
-REMARK_ENDINGS = ("trade-off", "handling", "behavior", "implementation", "considerations?", "approach")
+# Patterns of slugs that are remarks on a concept.
+META_SLUGS = (r"^.+-trade-off$", r"^.+-handling$", r"^.+-behavior$", r"^.+-implementation$", r"^.+-considerations?$", r"^.+-approach$")
 #: Double and single quotation marks that fold into one.
 DOUBLE_QUOTES = "“”„‟«»"
 SINGLE_QUOTES = "‘’‚‛"
@@ -281,7 +281,7 @@ def contains_word(text: Column, word: Column) -> Column:
 
 def meta_slug(value: Column) -> Column:
     """Whether a slug is a remark on a concept rather than one."""
-    return value.rlike(f"^.+-(?:{'|'.join(REMARK_ENDINGS)})$")
+    return value.rlike("|".join(META_SLUGS))
 
 
 def url_identity(url: Column) -> Column:

@@ -5,39 +5,91 @@ from __future__ import annotations
 import re
 import tomllib
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: Bytes looked at, and the share of them (in a thousand) that may be unprintable.
 PROBE, UNPRINTABLE = 8192, 300
 
 
-#: Files at the root that list what is passed over.
+#: Files, in any folder, that list what is passed over below it; the second one's word counts more.
 IGNORE_FILES = (".gitignore", ".kbignore")
 
 
-def ignored(spark: SparkSession, root: str) -> list[str]:
-    """The patterns of the ignore files at a root; comments, empty lines and exceptions (!) are left out."""
+class Rule:
+    """A line of an ignore file: * within a name, ** across folders; from its folder on if it has a slash, else anywhere below; folders only if it ends with one; ! takes back."""
+
+    def __init__(self, line: str, folder: str):
+        self.folder, self.takes_back = folder, line.startswith("!")
+        body = line.removeprefix("!")
+        self.folders_only = body.endswith("/")
+        body = body.rstrip("/")
+        anchored = "/" in body
+        glob = re.escape(body.strip("/")).replace(r"\*\*/", "(?:.*/)?").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+        self.regex = re.compile(f"{re.escape(folder)}{'' if anchored else '(?:.*/)?'}{glob}")
+
+    def fits(self, path: str, is_folder: bool) -> bool:
+        return (is_folder or not self.folders_only) and self.regex.fullmatch(path) is not None
+
+
+class Ignored:
+    """Which paths ignore files pass over: of the rules that fit a path the last one counts, deeper folders after the ones above; what is in a folder that is passed over can't be taken back."""
+
+    def __init__(self, lines: list[tuple[str, str, str]]):
+        """lines: name of the ignore file, its folder below the root ("" or ending in a slash), and the line, in order."""
+        rules = [(name, Rule(line, folder)) for name, folder, line in sorted(lines, key=lambda x: x[1].count("/"))]
+        self.ranked = [[r for n, r in reversed(rules) if n == name] for name in reversed(IGNORE_FILES)]
+        self.known: dict[str, bool] = {"": False}
+
+    def _says(self, path: str, is_folder: bool) -> bool:
+        hit = next((r for rules in self.ranked for r in rules if path.startswith(r.folder) and r.fits(path, is_folder)), None)
+        return hit is not None and not hit.takes_back
+
+    def _folder(self, folder: str) -> bool:
+        if folder not in self.known:
+            self.known[folder] = self._folder(folder.rpartition("/")[0]) or self._says(folder, True)
+        return self.known[folder]
+
+    def __call__(self, path: str) -> bool:
+        return self._folder(path.rpartition("/")[0]) or self._says(path, False)
+
+
+def ignore_lines(spark: SparkSession, root: str) -> list[tuple[str, str, str]]:
+    """Name, folder and lines of all ignore files at a root and below; comments and empty lines are left out."""
     jvm = spark.sparkContext._jvm
-    lines: list[str] = []
-    for name in IGNORE_FILES:  # Spark's readers pass over hidden files
-        path = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
-        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(path):
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(top).toUri().getPath().rstrip("/") + "/"
+    found: list[tuple[str, str, str]] = []
+    files = fs.listFiles(top, True)  # Spark's readers pass over hidden files
+    while files.hasNext():
+        path = files.next().getPath()
+        if path.getName() in IGNORE_FILES:
             stream = fs.open(path)
-            lines += [x.strip() for x in jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()]
+            lines = [x.strip() for x in jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()]
             stream.close()
-    return [x for x in lines if x and not x.startswith(("#", "!"))]
+            folder = path.toUri().getPath().removeprefix(base).rpartition("/")[0]
+            found += [(path.getName(), f"{folder}/" if folder else "", x) for x in lines if x and not x.startswith("#")]
+    return found
 
 
 def walk(spark: SparkSession, root: str, glob: str = "*", ignore: list[str] = (), recursive: bool = True) -> DataFrame:
-    """path, content, length of all files below root but hidden ones and those whose path below root fits an ignore pattern (as in ignore files: * and **), given or in an ignore file at the root."""
+    """path, content, length of all files below root but hidden ones, those that the ignore files of its folders pass over, and those whose path below root fits an ignore pattern that is given (* and **)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", glob).load(root)
     below = F.regexp_replace("path", f"^.*?{re.escape(root.rstrip('/').split('://')[-1])}/", "")
     found = files.select(below.alias("path"), "content", "length", "modificationTime").where(~F.col("path").rlike(r"(?:^|/)\."))
-    for pattern in [*ignore, *ignored(spark, root)]:
+    for pattern in ignore:
         found = found.where(~F.col("path").rlike(_pattern(pattern)))
-    return found
+    lines = ignore_lines(spark, root)
+    if not lines:
+        return found
+
+    def passed_over(paths: pd.Series) -> pd.Series:
+        return paths.map(Ignored(lines))
+
+    return found.where(~F.pandas_udf(passed_over, BooleanType())(F.col("path")))
 
 
 def _pattern(glob: str) -> str:

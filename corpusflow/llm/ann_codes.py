@@ -18,7 +18,8 @@ bounds have chosen. A block of queries and a block of codes are one unit of work
 
 Vectors without an id, or that are null, zero, of another length than most (of equally frequent lengths the
 shorter counts), or that hold null or non-finite components take no part. Ties go to the smaller id; a query's own
-row is no candidate (all rows of that id). A query without candidates has no rows, and an empty table makes none.
+row is no candidate (all rows of that id). Rows of one query id are one query, which has the k best of all their pairs; other rows of an id are candidates each.
+Other columns, whatever their names, are not looked at. A query without candidates has no rows, and an empty table makes none.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ first incumbent is best-fit decreasing. The search ends at the lower bound or af
 there must be at least, so the gap is known.
 
 Null and empty texts make one piece, the end id. Repeated rows are packed one by one; rows
-without an id are left out. An
+without an id are left out. A very long text is encoded in whole, about twenty times its size. Pieces of one
+length take the places for it in any order. Other columns, whatever their names, are not looked at. An
 empty table makes no rows.
 """
 

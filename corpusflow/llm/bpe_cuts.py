@@ -11,7 +11,8 @@ ids equal those of the tokenizers library with ``add_special_tokens=False``, and
 equals its ``decode(ids, skip_special_tokens=False)`` without a decoder.
 
 Null and empty texts have no ids and decode to the empty string. Repeated rows and rows without
-an id come back row by row; an empty table makes no rows.
+an id come back row by row; very long texts are cut word by word, and long words into fragments. Other columns,
+whatever their names, are not looked at; there are no ties. An empty table makes no rows.
 """
 
 from __future__ import annotations

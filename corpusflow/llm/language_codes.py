@@ -10,7 +10,8 @@ language, picked by hashed id. Texts are used whole, in learning and predicting.
 
 Null texts and texts without a letter are ``und`` with score 0 and not ambiguous. Without
 any labelled row all texts are ``und``. Of equally near codewords the language that comes first by name
-counts. Repeated rows and rows without an id are predicted one by one, very long texts whole; an empty table makes no rows.
+counts. Repeated rows and rows without an id are predicted one by one, very long texts whole; ``keep`` returns all
+columns as they are, whatever their names. An empty table makes no rows.
 """
 
 from __future__ import annotations

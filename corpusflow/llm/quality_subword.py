@@ -13,7 +13,8 @@ remembered by the worker.
 Learning takes a bounded sample of labelled rows, picked by hashed id. Null and empty
 texts have no vectors and get the score of the bias. Without labels every score is 0.5.
 Repeated labels of a document count by their smallest value. A score of exactly 0.5 counts as class 1.
-Repeated rows and rows without an id are scored row by row; an empty table makes no rows.
+Repeated rows and rows without an id are scored row by row, very long texts whole; ``keep`` returns all columns as they are,
+whatever their names. An empty table makes no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ when a rule first asks for it.
 
 Words are runs of anything but ASCII white space. Null and empty texts have no words and
 fail the base rule. Every rule is a function of one text alone; ties and repeated rows
-don't matter. Rows without an id come back too; an empty table makes no rows.
+don't matter. Very long texts are measured whole. Rows without an id come back too, and ``keep`` returns all columns as they are, whatever
+their names; an empty table makes no rows.
 """
 
 from __future__ import annotations

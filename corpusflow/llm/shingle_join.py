@@ -23,7 +23,8 @@ reach from it. It is exact (n-grams are compared by 64-bit hashes, sets by 128-b
 No candidate is dropped anywhere. Null and empty texts have no n-grams and link with
 nothing. Texts of fewer words than n have one, all their words. Repeated rows come back
 row by row; rows of one id are one document, linked by any of its texts, each with its own
-set's size. Rows without an id are left out. An empty table makes no rows.
+set's size. Components are named by their smallest id, so there are no ties. A very long text is one set, of which about forty times its size is
+held. Rows without an id are left out; other columns, whatever their names, are not looked at, and ``keep`` returns them as they are. An empty table makes no rows.
 """
 
 from __future__ import annotations

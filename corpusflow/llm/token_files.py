@@ -6,7 +6,8 @@ the doc ids and the n+1 offsets of the documents in the first. A partition's bas
 number of ids before it, is a prefix sum over the manifest. Readers map the files to memory, or read slices where a store has no files to map.
 
 Null and empty texts are documents that hold the end id alone. Repeated doc ids stay
-separate documents side by side; rows without an id are left out. An empty table makes no files and reads back as no rows.
+separate documents side by side; rows without an id are left out. A very long text is
+encoded in whole; ids of equal documents stand in any order. Other columns are not looked at. An empty table makes no files and reads back as no rows.
 Every attempt of a task writes files under names of its own, and only the manifest, made
 from the attempts that succeeded, says which ones count, so a lost executor does no harm.
 """

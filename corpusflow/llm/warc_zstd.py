@@ -9,7 +9,8 @@ Where the sample is too small or too uniform to train on, its last bytes serve a
 Records with equal payloads are stored once: the one with the largest id is a response,
 the others are revisits that refer to it. Payloads of null pages are empty, and equal as
 others are; pages without an id are left out. Repeated page ids are archived row by row; of equal ones none is a revisit of
-itself. An empty table makes no archive.
+itself. A very long payload is held about three times while its record is written. Other columns, whatever their names, are not looked at.
+An empty table makes no archive.
 
 Each attempt of a task writes an archive under a name of its own; the manifest of the
 attempts that succeeded says which count, so a lost executor does no harm.

@@ -39,7 +39,7 @@ def test_index_finds_what_a_scan_finds(spark, tmp_path):
     docs, path = library(spark, 300, 1), str(tmp_path / "index")
     lexical_index.build(docs, path, buckets=8, parts=4, segment=10)
     for q in QUERIES:
-        for k in (1, 10, 1000):
+        for k in (3, 1000):
             assert rows(lexical_index.search(spark, path, q, k)) == rows(lexical.search(docs, q, k)), (q, k)
     assert rows(lexical_index.plan(spark, path, QUERIES[0], 90)) == rows(lexical.plan(docs, QUERIES[0], 90))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions import vectors as V
+from corpusflow.operators import places
 
 # The floors of hash embeddings, and of a model's.
 FLOORS = {"hash": (0.35, 0.45), "model": (0.15, 0.20)}
@@ -68,15 +69,15 @@ def ranks(hits: DataFrame, tier: str) -> DataFrame:
 
 
 def ranks_among(hits: DataFrame, wanted: DataFrame, top: int, tier: str) -> DataFrame:
-    """item_id and its place in a long tier, of the first ``top`` items and of the wanted ones (item_id; few, as they come from tiers with a limit).
+    """item_id and its place in a long tier, of the first ``top`` items and of the wanted ones (item_id).
 
-    The places of wanted items are counted, not sorted for: how many hits stand before each.
+    Both may be long: hits are sorted in ranges, and wanted items meet their places by equality.
     """
-    first = ranks(hits.orderBy(F.desc("score"), "item_id").limit(top), tier)
-    asked = hits.join(F.broadcast(wanted.select("item_id").distinct()), "item_id", "left_semi").select(F.col("item_id").alias("_id"), F.col("score").alias("_score"))
-    before = hits.join(F.broadcast(asked), (F.col("score") > F.col("_score")) | ((F.col("score") == F.col("_score")) & (F.col("item_id") <= F.col("_id"))))
-    counted = before.groupBy("_id", "_score").agg(F.count("*").cast("int").alias("rank")).select(F.col("_id").alias("item_id"), "rank", F.lit(tier).alias("tier"), F.col("_score").cast("double").alias("score"))
-    return first.unionByName(counted).distinct()
+    score = F.col("score").cast("double")
+    placed = places.numbered(hits.select("item_id", score.alias("score")), [F.col("score").isNull(), -F.col("score"), F.col("item_id")], "rank")
+    found = placed.select("item_id", "rank", F.lit(tier).alias("tier"), "score")
+    asked = found.where(F.col("rank") > top).join(wanted.select("item_id").distinct(), "item_id", "left_semi")
+    return found.where(F.col("rank") <= top).unionByName(asked.select(*found.columns))
 
 
 def sync(stored: DataFrame, inputs: DataFrame, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:

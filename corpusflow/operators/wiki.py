@@ -51,10 +51,14 @@ def anchor_backlinks(cited: DataFrame, anchors: DataFrame, homes: DataFrame, all
     cited: concept_id, anchor. anchors: anchor, doc_id. homes: doc_id, page_id. allowed: concept_id, doc_id; a
     concept that lists documents gets those only, and all of those.
     """
-    limited = allowed.select("concept_id").distinct().withColumn("_limited", F.lit(True))
-    by_anchor = cited.join(anchors, "anchor").join(limited, "concept_id", "left")
-    free = by_anchor.where(F.col("_limited").isNull()).select("concept_id", "doc_id")
-    return free.union(allowed.select("concept_id", "doc_id")).distinct().join(homes, "doc_id").select("concept_id", "page_id").distinct()
+    free = cited.join(allowed.select("concept_id").distinct(), "concept_id", "left_anti").select("concept_id", "anchor").distinct()
+    held = anchors.join(homes, "doc_id").select("anchor", "page_id").distinct()
+    # pairs are as many as the result, so they are never shuffled: one that meets by several anchors is made by the first of them
+    every = Window.partitionBy("concept_id").orderBy("anchor")
+    free = free.withColumn("_before", F.collect_list("anchor").over(every.rowsBetween(Window.unboundedPreceding, -1)))
+    shown = held.withColumn("_anchors", F.collect_list("anchor").over(Window.partitionBy("page_id")))
+    met = free.join(shown, "anchor").where((F.size("_before") == 0) | ~F.arrays_overlap("_before", "_anchors")).select("concept_id", "page_id")
+    return met.unionByName(allowed.join(homes, "doc_id").select("concept_id", "page_id").distinct())
 
 
 def backlinks(links: DataFrame, anchored: DataFrame, mentioned: DataFrame, pages: DataFrame) -> DataFrame:

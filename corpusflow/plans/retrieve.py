@@ -164,9 +164,9 @@ def write_answer(answers: DataFrame, context: DataFrame, planned: DataFrame, pat
         rows.write.mode("overwrite").json(f"{path}/{name}")
 
 
-def eval_run(index: DataFrame, golden: list[tuple[str, str, list[str]]], k: int = 10, budget: int = 20_000) -> DataFrame:
+def eval_run(index: DataFrame, golden: DataFrame | list[tuple[str, str, list[str]]], k: int = 10, budget: int = 20_000) -> DataFrame:
     """The ranking measures of each query of a golden set (query_id, query, expected names): the first k of its plan. All queries are planned in one scan."""
-    asked = index.sparkSession.createDataFrame(golden, "query_id string, query string, expected array<string>")
+    asked = golden if isinstance(golden, DataFrame) else index.sparkSession.createDataFrame(golden, "query_id string, query string, expected array<string>")
     top = many.lexical_plans(index, asked.select("query_id", "query"), budget).where(F.col("position") <= k)
-    rows = top.join(F.broadcast(asked.select("query_id", "expected")), "query_id")  # broadcast: the golden set
+    rows = top.join(asked.select("query_id", "expected"), "query_id")
     return evaluate.ranking_metrics(rows.select("query_id", "position", evaluate.relevant(F.col("item_id").cast("string"), F.col("expected")).alias("relevant")), k)

@@ -58,9 +58,15 @@ def hash_embeddings(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bucket_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, bucket, n: a hash embedding before it is scaled, by built-in functions alone."""
-    found = texts.select(id_col, F.explode(V.grams(F.col(text_col))).alias("gram"))
-    return found.groupBy(id_col, V.hash_bucket(F.col("gram")).alias("bucket")).agg(F.count("*").alias("n"))
+    """id, bucket, n: a hash embedding before it is scaled, by built-in functions alone.
+
+    Texts are dealt out by id, and what is counted is one id at a time, so a task holds no table of all its counts.
+    """
+    dealt = texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
+    found = dealt.groupBy(id_col).agg(F.collect_list(text_col).alias("_texts")).select(id_col, F.flatten(F.transform("_texts", lambda t: F.transform(V.grams(t), V.hash_bucket))).alias("_b"))
+    times = lambda x: (F.size("_b") - F.size(F.array_remove("_b", x))).cast("long")
+    each = found.select(id_col, F.explode(F.transform(F.array_distinct("_b"), lambda x: F.struct(x.alias("bucket"), times(x).alias("n")))).alias("_c"))
+    return each.select(id_col, "_c.bucket", "_c.n")
 
 
 def ranks(hits: DataFrame, tier: str) -> DataFrame:

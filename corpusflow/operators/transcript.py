@@ -7,6 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 TURN_GAP, TURN_LENGTH, PAUSE, RUN = 10.0, 300.0, 5, 4
 #: Likeness of voices of one speaker, and segments that make a cluster stand.
 VOICE, SMALL = 0.4, 5
+#: Tasks that recordings are dealt to at least, so that few share one.
+RECORDING_TASKS = 256
 
 
 def speakers(segments: DataFrame, voices: DataFrame, bucket: float = 60.0) -> DataFrame:
@@ -151,64 +154,141 @@ def page(rows: DataFrame, order: list[Column], number: int, size: int) -> DataFr
     return rows.orderBy(*order).offset(number * size).limit(size)
 
 
-def _cosines(centres: np.ndarray, v: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(centres, axis=-1) * np.linalg.norm(v)
+def _cosines(centres: np.ndarray, norms: np.ndarray, v: np.ndarray) -> np.ndarray:
+    norms = norms * np.linalg.norm(v)
     return np.divide(centres @ v, norms, out=np.zeros(len(centres)), where=norms > 1e-12)
 
 
+class Voices:
+    """The clusters of a recording: vectors come in order and aren't kept, only centres and each vector's number are."""
+
+    def __init__(self, likeness: float = VOICE, small: int = SMALL):
+        self.likeness, self.small, self.n = likeness, small, 0
+        self.centres, self.norms, self.counts = np.empty((0, 0)), np.empty(0), np.empty(0, np.int64)
+        self.of: list[np.ndarray] = []
+
+    def add(self, vectors: np.ndarray) -> None:
+        """Each vector to the likeliest centre so far, or to a new one."""
+        of = np.empty(len(vectors), np.int64)
+        for at, v in enumerate(vectors.astype(np.float64)):
+            sims = _cosines(self.centres[: self.n], self.norms[: self.n], v) if self.n else np.empty(0)
+            if len(sims) and sims.max() > self.likeness:
+                i = int(sims.argmax())
+                self.centres[i] = (self.centres[i] * self.counts[i] + v) / (self.counts[i] + 1)
+                self.counts[i] += 1
+            else:
+                i = self.n
+                if i == len(self.centres):
+                    more = max(64, i)
+                    self.centres = np.concatenate([self.centres.reshape(i, len(v)), np.zeros((more, len(v)))])
+                    self.norms, self.counts = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.norms, self.counts))
+                self.centres[i], self.counts[i] = v, 1
+                self.n += 1
+            self.norms[i] = np.linalg.norm(self.centres[i : i + 1], axis=-1)[0]
+            of[at] = i
+        self.of.append(of)
+
+    def _merge(self) -> tuple[np.ndarray, np.ndarray]:
+        """The likest centres merge, again and again: each centre's target, and which stay.
+
+        Every centre knows the likest of those after it. Where that one has changed or gone, what it had is a bound, and it is
+        looked up anew when the bound is the largest of all.
+        """
+        n, c, norms, counts = self.n, self.centres[: self.n], self.norms[: self.n], self.counts[: self.n]
+        alive, target, places = np.ones(n, bool), np.arange(n), np.arange(n)
+        best, to, stale = np.full(n, np.inf), np.zeros(n, np.int64), np.ones(n, bool)
+
+        def likest(a: int, b: int) -> None:
+            sims = (c[a:b] @ c[a:].T) / np.maximum(np.outer(norms[a:b], norms[a:]), 1e-12)
+            sims[~alive[a:] | (places[a:] <= places[a:b, None])] = -np.inf
+            to[a:b] = a + sims.argmax(1)
+            best[a:b] = sims[np.arange(b - a), to[a:b] - a]
+            stale[a:b] = False
+
+        for a in range(0, n, 256):
+            likest(a, min(n, a + 256))
+        while n:
+            i = int(best.argmax())
+            if best[i] <= self.likeness:
+                break
+            if stale[i]:
+                likest(i, i + 1)
+                continue
+            j = int(to[i])
+            c[i] = (c[i] * counts[i] + c[j] * counts[j]) / (counts[i] + counts[j])
+            norms[i] = np.linalg.norm(c[i : i + 1], axis=-1)[0]
+            counts[i] += counts[j]
+            counts[j], alive[j], best[j], target[j] = 0, False, -np.inf, i
+            stale |= alive & (to == j)
+            likest(i, i + 1)
+            before = alive[:i]
+            sims = (c[:i] @ c[i]) / np.maximum(norms[:i] * norms[i], 1e-12)
+            stale[:i] |= before & (to[:i] == i) & (sims < best[:i])
+            closer = before & ((sims > best[:i]) | ((sims == best[:i]) & ~stale[:i] & (i <= to[:i])))
+            best[:i][closer], to[:i][closer], stale[:i][closer] = sims[closer], i, False
+        for i in range(n):  # a target comes before what it took
+            target[i] = target[target[i]]
+        return target, alive
+
+    def clusters(self) -> np.ndarray:
+        """A cluster for each vector: centres merge, then small clusters join the nearest large one."""
+        target, alive = self._merge()
+        counts = self.counts[: self.n]
+        large = np.flatnonzero(alive & (counts >= self.small))
+        if len(large):
+            c, norms = self.centres[large], self.norms[large]
+            move = np.arange(self.n)
+            for i in np.flatnonzero(alive & (counts < self.small)):
+                move[i] = large[_cosines(c, norms, self.centres[i]).argmax()]
+            target = move[target]
+        return target[np.concatenate([np.empty(0, np.int64), *self.of])]
+
+
 def cluster(vectors: np.ndarray, likeness: float = VOICE, small: int = SMALL) -> np.ndarray:
     """A cluster for each vector of a recording, in order: to the likeliest centre or a new one; then the likest centres merge; then small clusters join the nearest large one.
 
     A merged cluster counts its members once.
     """
-    centres: list[np.ndarray] = []
-    counts: list[int] = []
-    of = []
-    for v in vectors.astype(np.float64):
-        sims = _cosines(np.array(centres), v) if centres else np.empty(0)
-        if len(sims) and sims.max() > likeness:
-            i = int(sims.argmax())
-            centres[i] = (centres[i] * counts[i] + v) / (counts[i] + 1)
-            counts[i] += 1
-        else:
-            i = len(centres)
-            centres.append(v)
-            counts.append(1)
-        of.append(i)
-    target = list(range(len(centres)))
-    alive = set(target)
-    while len(alive) > 1:
-        at = sorted(alive)
-        c = np.array([centres[i] for i in at])
-        n = np.linalg.norm(c, axis=1)
-        sims = np.triu((c @ c.T) / np.maximum(np.outer(n, n), 1e-12), 1)
-        best = int(sims.argmax())
-        i, j = at[best // len(at)], at[best % len(at)]
-        if sims.flat[best] <= likeness:
-            break
-        centres[i] = (centres[i] * counts[i] + centres[j] * counts[j]) / (counts[i] + counts[j])
-        counts[i] += counts[j]
-        counts[j] = 0
-        alive.discard(j)
-        target = [i if t == j else t for t in target]
-    large = [i for i in sorted(alive) if counts[i] >= small]
-    if large:
-        c = np.array([centres[i] for i in large])
-        move = {i: large[int(_cosines(c, centres[i]).argmax())] for i in alive if counts[i] < small}
-        target = [move.get(t, t) for t in target]
-    return np.array([target[i] for i in of], np.int64)
+    voices = Voices(likeness, small)
+    voices.add(vectors)
+    return voices.clusters()
 
 
 def cluster_voices(segments: DataFrame, likeness: float = VOICE, small: int = SMALL) -> DataFrame:
-    """rec, seq, cluster of segments (rec, seq, embedding); recordings are independent."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        found = cluster(np.stack(pdf["embedding"].to_numpy()), likeness, small)
-        return pd.DataFrame({"rec": pdf["rec"], "seq": pdf["seq"], "cluster": found})
+    """rec, seq, cluster of segments (rec, seq, embedding); recordings are independent.
 
+    A vector's centre depends on all vectors before it, so a recording is folded in order; recordings are dealt to many
+    tasks, and a task holds the centres and numbers of the one that is open.
+    """
     kind = segments.schema["rec"].dataType.simpleString()
-    return segments.select("rec", F.col("seq").cast("long").alias("seq"), "embedding").groupBy("rec").applyInPandas(fold, f"rec {kind}, seq long, cluster long")
+    names = ["rec", "seq", "cluster"]
+
+    def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voices, rec, seqs = Voices(likeness, small), None, []
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            found, at = pa.array(voices.clusters()), 0
+            for seq in seqs:
+                yield pa.RecordBatch.from_arrays([pa.array([rec.as_py()] * len(seq), rec.type), seq, found.slice(at, len(seq))], names)
+                at += len(seq)
+
+        for batch in batches:
+            ends = [*pc.run_end_encode(batch.column(0)).run_ends.to_pylist()]
+            for a, b in zip([0, *ends], ends, strict=False):
+                part = batch.slice(a, b - a)
+                if rec is not None and part.column(0)[0] != rec:
+                    yield from closed()
+                    voices, seqs = Voices(likeness, small), []
+                rec = part.column(0)[0]
+                seqs.append(part.column(1))
+                voices.add(part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1))
+        if seqs:
+            yield from closed()
+
+    rows = segments.select("rec", F.col("seq").cast("long").alias("seq"), "embedding")
+    tasks = max(RECORDING_TASKS, int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = rows.repartition(tasks, "rec").sortWithinPartitions("rec", F.asc_nulls_last("seq"))
+    return ordered.mapInArrow(fold, f"rec {kind}, seq long, cluster long")
 
 
 def render(turns: DataFrame, least_pause: int = PAUSE) -> DataFrame:

@@ -15,19 +15,24 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as T
-from corpusflow.functions.words import QUERY_STOPWORDS
-from corpusflow.operators import lexical
+from corpusflow.operators import lexical, many
 from corpusflow.sources import cells
 
 #: Buckets of terms, and items of a segment, about.
 TERM_BUCKETS, SEGMENT = 32, 256
 #: Items for which there is a part, and parts at most: each has a file a bucket.
 PART_ITEMS, MOST_PARTS = 16_384, 512
+#: Entries that become blocks at once, about, and tasks for each part, so that few tasks have several.
+SLICE, SPREAD = 2048, 4
 
 
 def _bucket(term: str, buckets: int) -> int:
@@ -40,24 +45,51 @@ def _placed(df: DataFrame, parts: int, segments: int) -> DataFrame:
     return df.withColumn("segment", segment.cast("int")).withColumn("part", (F.col("segment") % parts).cast("int"))
 
 
-def postings(entries: DataFrame, weights: dict[str, int] = lexical.WEIGHTS) -> DataFrame:
-    """item_id, term, impact: the weighted count of each term that a query can ask for. entries: as ``lexical.search`` takes them."""
-    text = {"title": F.col("title"), "alias": F.array_join("aliases", " "), "heading": F.array_join("headings", " "), "summary": F.col("summary")}
-    stop = F.array(*map(F.lit, QUERY_STOPWORDS))
-
-    def weighed(tokens: Column, weight: int) -> Column:
-        return F.transform(tokens, lambda w: F.struct(w.alias("term"), F.lit(weight).alias("weight")))
-
-    found = F.concat(*[weighed(T.tokens(F.coalesce(text[name], F.lit(""))), n) for name, n in weights.items()])
-    each = entries.select("item_id", F.explode(found).alias("x")).select("item_id", "x.term", "x.weight").where(~F.array_contains(stop, F.col("term")))
-    return each.groupBy("item_id", "term").agg(F.sum("weight").cast("long").alias("impact"))
-
-
-def _blocks(rows: DataFrame, parts: int, segments: int, buckets: int) -> DataFrame:
-    """Postings to blocks: at most as many postings as a segment has items."""
-    placed = _placed(rows, parts, segments).withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int"))
-    grouped = placed.groupBy("bucket", "part", "term", "segment").agg(F.max("impact").alias("best"), F.collect_list(F.struct("item_id", "impact")).alias("postings"))
-    return grouped.sortWithinPartitions("bucket", "part", "term", "segment")
+def _blocks(entries: DataFrame, parts: int, segments: int, weights: dict[str, int]) -> DataFrame:
+    """part, term, segment, postings: entries are dealt out whole, a part a task, and become blocks a segment at a time."""
+    kind = entries.schema["item_id"].dataType.simpleString()
+
+    def blocks(rows: pa.RecordBatch) -> pa.RecordBatch:
+        lengths = pc.list_value_length(rows.column(2)).to_numpy()
+        row = np.repeat(np.arange(rows.num_rows), lengths)
+        coded = pc.dictionary_encode(rows.column(2).flatten())
+        code, size = coded.indices.to_numpy().astype(np.int64), max(1, len(coded.dictionary))
+        key = rows.column(1).to_numpy().astype(np.int64)[row] * size + code
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        impact = rows.column(3).flatten().take(pa.array(order))
+        held = pa.StructArray.from_arrays([rows.column(0).take(pa.array(row[order])), impact], ["item_id", "impact"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), held)
+        term = coded.dictionary.take(pa.array(key[first] % size))
+        return pa.RecordBatch.from_arrays([term, pa.array(key[first] // size, pa.int32()), lists], ["term", "segment", "postings"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[pa.RecordBatch] = []  # the rows of the segment that is open
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                segment = part.column(1).to_numpy()
+                start = int(np.searchsorted(segment, segment[-1]))
+                if start or (left and left[-1].column(1)[0].as_py() != segment[-1]):
+                    yield blocks(pa.concat_batches([*left, part.slice(0, start)]))
+                    left = []
+                left.append(part.slice(start))
+        if left:
+            yield blocks(pa.concat_batches(left))
+
+    rows = _placed(many.counted(entries, weights), parts, segments).select("item_id", "segment", "terms", "impacts", "part")
+    dealt = rows.repartition(SPREAD * parts, "part").sortWithinPartitions("segment").drop("part")
+    made = dealt.mapInArrow(run, f"term string, segment int, postings array<struct<item_id:{kind},impact:bigint>>")
+    return made.select((F.col("segment") % parts).cast("int").alias("part"), "term", "segment", "postings")
+
+
+def _write(blocks: DataFrame, path: str, buckets: int, touched: Iterable[cells.Cell] | None = None, meta: dict[str, str] | None = None) -> int:
+    """Blocks, each part's in one task, to the cells of the index."""
+    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int").alias("bucket")
+    best = F.array_max(F.transform("postings", lambda p: p["impact"])).alias("best")
+    rows = blocks.select(bucket, "part", "term", "segment", best, "postings")
+    return cells.write(rows, f"{path}/blocks", ["bucket", "part"], touched, meta, dealt=True, order=["term", "segment"])
 
 
 def _items(entries: DataFrame, parts: int, segments: int) -> DataFrame:
@@ -73,7 +105,7 @@ def build(entries: DataFrame, path: str, buckets: int = TERM_BUCKETS, parts: int
     segments = max(1, -(-n // (parts * segment)))
     meta = {"buckets": str(buckets), "parts": str(parts), "segments": str(segments)}
     cells.write(_items(entries, parts, segments), f"{path}/items", ["part"], meta=meta)
-    cells.write(_blocks(postings(entries, weights), parts, segments, buckets), f"{path}/blocks", ["bucket", "part"], meta=meta)
+    _write(_blocks(entries, parts, segments, weights), path, buckets, meta=meta)
 
 
 def update(path: str, changed: DataFrame, gone: DataFrame | None = None, weights: dict[str, int] = lexical.WEIGHTS) -> dict[str, int]:
@@ -87,11 +119,14 @@ def update(path: str, changed: DataFrame, gone: DataFrame | None = None, weights
     if not touched:
         return {"parts": 0, "cells": 0}
     stored = cells.read(spark, f"{path}/blocks", lambda cell: cell[1] in touched, of)
-    rows = stored.select("term", F.explode("postings").alias("p")).select("p.item_id", "term", "p.impact").join(ids.select("item_id"), "item_id", "left_anti")
-    rows = rows.unionByName(postings(changed, weights))
+    out = ids.groupBy("segment").agg(F.collect_set("item_id").alias("out"))  # no more than a segment's items
+    kept = F.filter("postings", lambda p: F.col("out").isNull() | ~F.array_contains("out", p["item_id"])).alias("postings")
+    rows = stored.select("part", "term", "segment", "postings").join(out, "segment", "left").select("part", "term", "segment", kept).where(F.size("postings") > 0)
+    rows = rows.unionByName(_blocks(changed, parts, segments, weights)).repartition(SPREAD * parts, "part")
+    rows = rows.groupBy("part", "term", "segment").agg(F.flatten(F.collect_list("postings")).alias("postings"))
     items = cells.read(spark, f"{path}/items", lambda cell: cell[0] in touched).join(ids.select("item_id"), "item_id", "left_anti")
     cells.write(items.unionByName(_items(changed, parts, segments)), f"{path}/items", ["part"], [(p,) for p in touched])
-    written = cells.write(_blocks(rows, parts, segments, buckets), f"{path}/blocks", ["bucket", "part"], [cell for cell in map(of.cell, of.cells) if cell[1] in touched])
+    written = _write(rows, path, buckets, [cell for cell in map(of.cell, of.cells) if cell[1] in touched])
     return {"parts": len(touched), "cells": written}
 
 

@@ -73,10 +73,10 @@ def read(spark: SparkSession, path: str, wanted: Callable[[Cell], bool] | None =
     return spark.read.schema(of.schema).parquet(*folders) if folders else spark.createDataFrame([], of.schema)
 
 
-def write(df: DataFrame, path: str, by: list[str], touched: Iterable[Cell] | None = None, meta: dict[str, str] | None = None) -> int:
+def write(df: DataFrame, path: str, by: list[str], touched: Iterable[Cell] | None = None, meta: dict[str, str] | None = None, dealt: bool = False, order: Iterable[str] = ()) -> int:
     """Put df in the place of the touched cells (None: of all), and return how many cells were written. Touched cells without rows go.
 
-    df may read the table. by: columns with short values (numbers, names); they stay columns of the rows.
+    df may read the table. dealt: the rows of a cell are in one task already. order: columns that a cell's rows are sorted by. by: columns with short values (numbers, names); they stay columns of the rows.
     """
     spark = df.sparkSession
     at, store = _store(spark, path)
@@ -85,7 +85,9 @@ def write(df: DataFrame, path: str, by: list[str], touched: Iterable[Cell] | Non
     fresh = uuid.uuid4().hex
     folder = f"{path}/data/{fresh}"
     keys = [f"_{c}" for c in by]
-    df.select("*", *[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).repartition(*by).write.partitionBy(*keys).parquet(folder)
+    keyed = df.select("*", *[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)])
+    keyed = keyed if dealt else keyed.repartition(*by)
+    keyed.sortWithinPartitions(*keys, *order).write.partitionBy(*keys).parquet(folder)
     new = _cells_below(store, at, folder, len(by))
     gone = None if touched is None else {"/".join(f"{k}={v}" for k, v in zip(keys, cell, strict=True)) for cell in touched}
     kept = {} if old is None or gone is None else {name: where for name, where in old.cells.items() if name not in gone}

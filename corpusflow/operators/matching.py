@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.operators import names
+from corpusflow.operators.chunks import slices
 
 #: Lengths of heads.
 HEADS = (1, 2, 4, 8, 16)
@@ -24,7 +25,7 @@ BITS = 26
 #: Characters of a pattern that are looked for at once; of what is longer the whole text is asked again.
 REACH = 256
 #: Characters of texts taken at once.
-SLICE = 1 << 20
+SLICE = 1 << 17
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,7 +85,7 @@ def _scan(words: np.ndarray, sizes: int, reach: int, kind: pa.DataType):
         return np.flatnonzero(may)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             start = 0
             while start < len(texts):

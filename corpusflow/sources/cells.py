@@ -1,7 +1,7 @@
 """Tables kept in cells: folders of rows, by the values of some columns, of which an update rewrites only those it touches.
 
-``data/<write>/<column>=<value>/...`` holds the rows; ``manifest/v<number>.json`` lists each cell's folder. A write
-puts its cells into a folder of its own and then adds a manifest, which one rename makes the newest: readers see the
+``data/<write>/<column>=<value>/...`` holds the rows; ``manifest/v<number>.json`` lists each cell's folders: one, and
+those of later writes that were put beside it. A write puts its cells into a folder of its own and then adds a manifest, which one rename makes the newest: readers see the
 old cells or the new ones, and a crash before it leaves the old. There is one writer at a time. The manifest before
 stays, with all it lists, for those who read it; what no manifest lists is deleted.
 """
@@ -50,7 +50,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 class Manifest:
     """What a version of a table consists of."""
 
-    def __init__(self, schema: StructType, by: list[str], cells: dict[str, str], meta: dict[str, str]):
+    def __init__(self, schema: StructType, by: list[str], cells: dict[str, list[str]], meta: dict[str, str]):
         self.schema, self.by, self.cells, self.meta = schema, by, cells, meta
 
     def cell(self, name: str) -> Cell:
@@ -63,18 +63,19 @@ def manifest(spark: SparkSession, path: str, number: int | None = None) -> Manif
     _, store = _store(spark, path)
     text = spark.read.text(f"{path}/manifest/v{number:012d}.json", wholetext=True).first()[0]
     held = json.loads(text)
-    return Manifest(StructType.fromJson(held["schema"]), held["by"], held["cells"], held["meta"])
+    folders = {name: [where] if isinstance(where, str) else where for name, where in held["cells"].items()}
+    return Manifest(StructType.fromJson(held["schema"]), held["by"], folders, held["meta"])
 
 
 def read(spark: SparkSession, path: str, wanted: Callable[[Cell], bool] | None = None, of: Manifest | None = None) -> DataFrame:
     """The rows of all cells, or of those that are wanted; other cells' files are not listed."""
     of = of or manifest(spark, path)
-    folders = [f"{path}/data/{folder}/{name}" for name, folder in sorted(of.cells.items()) if wanted is None or wanted(of.cell(name))]
+    folders = [f"{path}/data/{folder}/{name}" for name, held in sorted(of.cells.items()) if wanted is None or wanted(of.cell(name)) for folder in held]
     return spark.read.schema(of.schema).parquet(*folders) if folders else spark.createDataFrame([], of.schema)
 
 
 def write(df: DataFrame, path: str, by: list[str], touched: Iterable[Cell] | None = None, meta: dict[str, str] | None = None, dealt: bool = False, order: Iterable[str] = ()) -> int:
-    """Put df in the place of the touched cells (None: of all), and return how many cells were written. Touched cells without rows go.
+    """Put df in the place of the touched cells (None: of all), and return how many cells were written. Touched cells without rows go; rows of cells that aren't touched are put beside what these hold.
 
     df may read the table. dealt: the rows of a cell are in one task already. order: columns that a cell's rows are sorted by. by: columns with short values (numbers, names); they stay columns of the rows.
     """
@@ -91,7 +92,7 @@ def write(df: DataFrame, path: str, by: list[str], touched: Iterable[Cell] | Non
     new = _cells_below(store, at, folder, len(by))
     gone = None if touched is None else {"/".join(f"{k}={v}" for k, v in zip(keys, cell, strict=True)) for cell in touched}
     kept = {} if old is None or gone is None else {name: where for name, where in old.cells.items() if name not in gone}
-    cells = kept | dict.fromkeys(new, fresh)
+    cells = kept | {name: [*kept.get(name, []), fresh] for name in new}
     held = {"schema": json.loads(df.schema.json()), "by": by, "cells": cells, "meta": (old.meta if old else {}) | (meta or {})}
     _commit(spark, path, numbers[-1] + 1 if numbers else 0, json.dumps(held))
     _clean(spark, path)
@@ -126,7 +127,7 @@ def _clean(spark: SparkSession, path: str) -> None:
         if file.getPath().getName().startswith("_new-"):
             store.delete(file.getPath(), False)
     live = [manifest(spark, path, n) for n in numbers[-2:]]
-    listed = {(where, name) for m in live for name, where in m.cells.items()}
+    listed = {(where, name) for m in live for name, held in m.cells.items() for where in held}
     used = {where for where, _ in listed}
     for file in store.listStatus(at(f"{path}/data")):
         where = file.getPath().getName()

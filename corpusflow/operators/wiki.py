@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions import text as T
 from corpusflow.functions.readable import answer_json
 from corpusflow.operators import mining, names, state, verify
+from corpusflow.sources import cells
 
 #: Pages that only list others.
 INDEX_PAGES = ("wiki/index.md", "wiki/concepts/index.md", "wiki/sources/index.md", "wiki/questions/index.md")
@@ -117,14 +118,18 @@ def lint(pages: DataFrame, anchors: DataFrame, sources: DataFrame, rules: Sequen
     if not wanted or set(wanted) - set(RULES):
         raise ValueError(f"no such rules: {sorted(set(wanted) - set(RULES))}")
     links = page_links(pages)
+    if {"broken_links", "orphan_sources"} <= set(wanted):  # both read them
+        links = cells.stored(links, "lint-links")
     cited = pages.select("page_id", F.explode(T.source_references(F.col("body"))).alias("source_id"))
     listed = pages.select(F.explode(T.frontmatter_list(F.col("body"), "source_document_ids")).alias("source_id"))
     used = cited.select("source_id").union(listed).union(links.join(sources.select(F.col("page_id").alias("target"), "source_id"), "target").select("source_id"))
     concepts = pages.where(F.col("page_id").startswith("wiki/concepts/"))
 
+    @cache
     def unverified() -> DataFrame:
         quotes = verify.verify_quotes(verify.quote_citations(concepts).select("page_id", "quote", "source_id"), sources)
-        return quotes.where(F.col("status").isin("absent", "source_missing"))
+        rows = quotes.where(F.col("status").isin("absent", "source_missing"))
+        return cells.stored(rows, "lint-quotes") if {"unverified_quotes", "drift"} <= set(wanted) else rows
 
     found = {
         "broken_links": lambda: verify.missing_targets(links, pages, anchors),

@@ -860,9 +860,10 @@ def hybrid_plan(spark, sf_dir):
 
 @query(None)
 def context_assembly(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
+    pages = cells.stored(_pages(spark, sf_dir), "pages")
     index = pages.select("item_id", F.col("summary").alias("title"), F.array().cast("array<string>").alias("aliases"), F.array().cast("array<string>").alias("headings"), F.col("body").alias("summary"))
-    planned = lexical.plan(index, QUESTION, 8000)
+    planned = graph.settle(lexical.plan(index, QUESTION, 8000))
+    pages = pages.join(F.broadcast(planned.select("item_id")), "item_id", "left_semi")  # broadcast: the candidates of a plan; no other page is cut
     found = chunks.sections(pages, "item_id").withColumnRenamed("page_id", "item_id")
     return retrieve.assemble(planned, pages, found, QUESTION, 4000)
 

@@ -952,7 +952,7 @@ def origins_missing(spark, sf_dir):
 @query(None)
 def wiki_lint(spark, sf_dir):
     """The lint rules over pages made of the driver's: each links to pages of the same names and cites a source."""
-    p = _pages(spark, sf_dir)
+    p = cells.stored(_pages(spark, sf_dir), "pages")
     number = F.col("item_id").cast("int")
     front = F.concat(F.lit("---\nname: "), "summary", F.lit("\n---\n"))
     body = F.concat(front, "body", F.lit("\n[[wiki/concepts/"), (number * 7) % 300, F.lit("#part-0]] \"the of\" [src-"), number % 40, F.lit("]\n<!-- kb:begin id=note -->\nx\n<!-- kb:end id=note -->\n"))

@@ -275,8 +275,8 @@ def clock(seconds: Column) -> Column:
 
 
 def contains_word(text: Column, word: Column) -> Column:
-    """Whether the word stands in the text between ASCII word boundaries."""
-    return F.regexp_like(text, F.concat(F.lit(r"(?:^|[^A-Za-z0-9_])\Q"), word, F.lit(r"\E(?:$|[^A-Za-z0-9_])")))
+    """Whether the word stands in the text between ASCII word boundaries. A plain look comes first, as a pattern must be made for each word; one that would end the quoting is left to the pattern."""
+    return (F.contains(text, word) | F.contains(word, F.lit(r"\E"))) & F.regexp_like(text, F.concat(F.lit(r"(?:^|[^A-Za-z0-9_])\Q"), word, F.lit(r"\E(?:$|[^A-Za-z0-9_])")))
 
 
 def meta_slug(value: Column) -> Column:

@@ -17,6 +17,8 @@ from corpusflow.sources import cells
 INDEX_PAGES = ("wiki/index.md", "wiki/concepts/index.md", "wiki/sources/index.md", "wiki/questions/index.md")
 #: What a session may be called.
 SESSION_ID = r"^[A-Za-z0-9_-]{1,64}$"
+#: Rows of a side, counted just before, that go to every task.
+BROADCAST_ROWS = 1 << 19
 
 
 def _kind(page_id: Column) -> Column:
@@ -53,12 +55,13 @@ def anchor_backlinks(cited: DataFrame, anchors: DataFrame, homes: DataFrame, all
     concept that lists documents gets those only, and all of those.
     """
     free = cited.join(allowed.select("concept_id").distinct(), "concept_id", "left_anti").select("concept_id", "anchor").distinct()
-    held = anchors.join(homes, "doc_id").select("anchor", "page_id").distinct()
     # pairs are as many as the result, so they are never shuffled: one that meets by several anchors is made by the first of them
     every = Window.partitionBy("concept_id").orderBy("anchor")
     free = free.withColumn("_before", F.collect_list("anchor").over(every.rowsBetween(Window.unboundedPreceding, -1)))
-    shown = held.withColumn("_anchors", F.collect_list("anchor").over(Window.partitionBy("page_id")))
-    met = free.join(shown, "anchor").where((F.size("_before") == 0) | ~F.arrays_overlap("_before", "_anchors")).select("concept_id", "page_id")
+    if free.count() <= BROADCAST_ROWS:
+        free = F.broadcast(free)  # counted; pages then need not move with all their anchors
+    shown = anchors.join(homes, "doc_id").groupBy("page_id").agg(F.collect_set("anchor").alias("_anchors")).select("page_id", "_anchors", F.explode("_anchors").alias("anchor"))
+    met = shown.join(free, "anchor").where((F.size("_before") == 0) | ~F.arrays_overlap("_before", "_anchors")).select("concept_id", "page_id")
     return met.unionByName(allowed.join(homes, "doc_id").select("concept_id", "page_id").distinct())
 
 
